@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .textkit import BYTE_TABLES, PUNCTUATION, Words, lowered, rolling, slices
+from .workspace import ship
 
 ITEMS = 20_000
 WALKS, SAMPLES, BITS = 6, 24, 3
@@ -183,10 +184,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float =
     out = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        shared = spark.sparkContext.broadcast(index_items([r.item_id for r in rows], [r.text for r in rows], similarity))
+        shared = ship(spark, index_items([r.item_id for r in rows], [r.text for r in rows], similarity))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+            index = shared()
             for batch in batches if len(index.ids) else ():
                 for part in slices(batch):
                     got = list(_matches(index, part.column("text")))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -51,3 +55,16 @@ class Workspace:
     def release(self) -> None:
         """Lets Spark's cleaner remove the shuffle files of finished jobs."""
         self.spark._jvm.System.gc()
+
+
+def ship(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcasts a value of bounded size; its classes travel with it. Call the result on a worker."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    held: list[Any] = []
+
+    def get() -> Any:
+        if not held:
+            held.append(pickle.loads(sent.value))
+        return held[0]
+
+    return get
