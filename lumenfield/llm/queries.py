@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, embeddings, minhash, packing, quality, secrets, substring
+from . import decontaminate, embeddings, minhash, packing, quality, secrets, substring, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *secrets.digest())
 
@@ -48,7 +53,15 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of pages: the toxic mark of the labels table for the page's id, and the seed words of hosts."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    marks = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("toxic").alias("bad"))
+    return urls.judge(pages, urls.seeded(pages, marks))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op3_secret_scan": op3_secret_scan,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
@@ -56,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_packing": op8_packing,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_url_filter": op10_url_filter,
 }
 
 #: DuckDB SQL where it can express the operator on whole tables.
