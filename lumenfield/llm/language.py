@@ -41,7 +41,7 @@ PRIOR_HOST, PRIOR_DOMAIN, PRIOR_CLAIM = 8.0, 20.0, 4.0
 #: Country domains with one main language.
 SUFFIX_LANGUAGE = {"at": "de", "br": "pt", "ch": "de", "cn": "zh", "de": "de", "es": "es", "fr": "fr", "ie": "en", "it": "it", "jp": "ja", "mx": "es", "nl": "nl", "pl": "pl", "pt": "pt", "ru": "ru", "uk": "en", "us": "en"}
 
-_INVISIBLE = re.compile(rb"(?is)<!--.*?-->|<(script|style|nav|title|aside|footer)\b.*?</\1\s*>|<div\b[^>]*class=["']?(?:ad|ads|banner)["'\s>].*?</div\s*>|<[^>]*>|&[a-z#0-9]+;")
+_INVISIBLE = re.compile(rb"(?is)<!--.*?-->|<(script|style|nav|title|aside|footer)\b.*?</\1\s*>|<div\b[^>]*class=.?(?:ad|ads|banner)\b.*?</div\s*>|<[^>]*>|&[a-z#0-9]+;")
 
 
 def visible(html: bytes) -> bytes:
