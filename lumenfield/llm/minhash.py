@@ -262,7 +262,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, threshold: float = 0.8
                 values, off = shingle_sets(part.column("text"), width)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("component", "doc_id", "blocks", "block")), _ragged(values, off)], ["component", "doc_id", "blocks", "block", "shingles"])
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed, "doc_id")
+    # the candidates are a share of the corpus: one plan for every size, never a broadcast
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").hint("merge").join(placed, "doc_id")
     held = texts.mapInArrow(sets, "component long, doc_id long, blocks int, block int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = held.select("component", "doc_id", "block", "shingles", other)
