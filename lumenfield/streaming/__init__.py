@@ -1,0 +1 @@
+"""No operator of the engine is a stream: its graphs and spectra are built from a whole table."""
