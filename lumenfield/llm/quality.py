@@ -6,7 +6,7 @@ over these and the chunk's length gives each chunk a logit; a second, tiny logis
 smallest chunk logit and the log of the length into one probability.
 
 Null and empty texts are scored as one chunk of zero bytes. Rows whose doc_id is null are
-scored like any other. Repeated rows get equal scores. Extra columns do not matter.
+scored like any other. Repeated rows get equal scores, up to the rounding of float sums. Extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -206,16 +206,16 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, c
     return fit([got["chunk"][i] for i in order], group, y, n, 0.5 if share is None else float(share))
 
 
-def score(documents: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
-    """All columns of ``documents`` with ``score`` and ``predicted`` (replacing columns so named)."""
-    keep = documents.drop("score", "predicted")
-    schema = T.StructType([*keep.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+def score(documents: DataFrame, model: QualityModel, threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of ``documents`` with the score and whether it reaches the threshold; columns so named are replaced."""
+    keep = documents.drop(*names)
+    schema = T.StructType([*keep.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 s = model.score_texts(part.column("text"))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*part.schema.names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*part.schema.names, *names])
 
     return keep.mapInArrow(run, schema)
 

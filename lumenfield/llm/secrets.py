@@ -70,29 +70,30 @@ def _entropy(c: str) -> str:
     )
 
 
-def scan(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` with ``spans``: array<struct<start, rank, end, kind>>, sorted."""
-    out = documents.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+def scan(documents: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:
+    """``documents`` with ``name``: array<struct<start, rank, end, kind>>, sorted. A column so named is replaced."""
+    t = "__secret_text"
+    out = documents.withColumn(t, F.coalesce(F.col(text), F.lit("")))
     for kind, (pattern, group, _) in KINDS.items():
-        out = out.withColumn(f"_{kind}", _located("_t", pattern, group))
+        out = out.withColumn(f"__secret_{kind}", _located(t, pattern, group))
     span = lambda kind, rank, src, keep: (
         f"transform(filter({src}, x -> {keep}), x -> struct(x.start as start, {rank} as rank, x.end as end, '{kind}' as kind))"
     )
-    base = ", ".join(span(kind, rank, f"_{kind}", f"char_length(x.value) >= {least}") for rank, (kind, (_, _, least)) in enumerate(KINDS.items()))
-    out = out.withColumn("_base", F.expr(f"concat({base})"))
+    base = ", ".join(span(kind, rank, f"__secret_{kind}", f"char_length(x.value) >= {least}") for rank, (kind, (_, _, least)) in enumerate(KINDS.items()))
+    out = out.withColumn("__secret_base", F.expr(f"concat({base})"))
     allowed = " or ".join(f"x.value rlike {_literal(p)}" for p in ALLOWED)
-    inside = "exists(_base, b -> b.start <= x.start and x.end <= b.end)"
-    out = out.withColumn("_candidates", _located("_t", CANDIDATE, 0))
-    out = out.withColumn("_candidates", F.expr(f"filter(_candidates, x -> not ({allowed}) and not {inside})"))
+    inside = "exists(__secret_base, b -> b.start <= x.start and x.end <= b.end)"
+    out = out.withColumn("__secret_tried", _located(t, CANDIDATE, 0))
+    out = out.withColumn("__secret_tried", F.expr(f"filter(__secret_tried, x -> not ({allowed}) and not {inside})"))
     limit = (
         f"case when x.value rlike '^([0-9a-f]+|[0-9A-F]+)$' then {THRESHOLDS['hex']}D "
         f"when x.value rlike '^[A-Za-z0-9]+$' then {THRESHOLDS['alnum']}D else {THRESHOLDS['base64']}D end"
     )
     pieces = f"transform(sequence(0, greatest(0, (char_length(x.value) - {WINDOW}) div {PIECE})), k -> substring(x.value, cast(k * {PIECE} + 1 as int), {PIECE + WINDOW - 1}))"
     random = f"exists({pieces}, p -> {_entropy('p')} >= {limit})"
-    out = out.withColumn("_extra", F.expr(span("entropy", len(KINDS), "_candidates", random)))
-    out = out.withColumn("spans", F.expr("array_sort(concat(_base, _extra))"))
-    return out.drop("_t", "_candidates", "_extra", "_base", *(f"_{k}" for k in KINDS))
+    out = out.withColumn("__secret_extra", F.expr(span("entropy", len(KINDS), "__secret_tried", random)))
+    out = out.withColumn(name, F.expr("array_sort(concat(__secret_base, __secret_extra))"))
+    return out.drop(t, "__secret_tried", "__secret_extra", "__secret_base", *(f"__secret_{k}" for k in KINDS))
 
 
 def digest(spans: str = "spans") -> list[Column]:
@@ -105,12 +106,12 @@ def digest(spans: str = "spans") -> list[Column]:
 
 def redact(documents: DataFrame, text: str = "text") -> DataFrame:
     """``documents`` with every span of its text replaced by its kind in square brackets; overlapping spans become one."""
-    scanned = scan(documents, text)
+    spans = "__secret_spans"
     whole = F.expr(
-        f"""aggregate(spans, struct(0 as at, '' as out),
+        f"""aggregate({spans}, struct(0 as at, '' as out),
               (acc, x) -> struct(
                 greatest(acc.at, x.end) as at,
                 if(x.start >= acc.at, concat(acc.out, substring({text}, acc.at + 1, x.start - acc.at), '[', x.kind, ']'), acc.out) as out),
               acc -> concat(acc.out, substring({text}, acc.at + 1)))"""
     )
-    return scanned.withColumn(text, F.when(F.size("spans") > 0, whole).otherwise(F.col(text))).drop("spans")
+    return scan(documents, text, spans).withColumn(text, F.when(F.size(spans) > 0, whole).otherwise(F.col(text))).drop(spans)

@@ -84,7 +84,10 @@ def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confiden
     verdict = F.array(F.when(F.col("bad") == 1, F.lit(BLOCK)).otherwise(F.lit(ALLOW)))
     deals = pages.join(known, "page_id").select(F.array_union(tokens(F.col("url")), verdict).alias("items"))
     # a combination seen on a few pages only says nothing, however small the table
-    least = min(1.0, max(support, LEAST_COUNT / max(1, deals.count())))
+    n = deals.count()
+    if not n:
+        return pages.sparkSession.createDataFrame([], "rule_id string, antecedent array<string>, confidence double, lift double, support double")
+    least = min(1.0, max(support, LEAST_COUNT / n))
     model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence).fit(deals)
     rules = model.associationRules.where((F.element_at("consequent", 1) == BLOCK) & (F.size("antecedent") <= items) & (F.col("lift") >= lift))
     rules = rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "lift", "support")
