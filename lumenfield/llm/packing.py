@@ -20,17 +20,22 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .textkit import slices
+
 GROUP = 1 << 20
-#: Words of at most so many bytes are kept with their ids, at most so many at a time.
-CACHED_BYTES, CACHED_WORDS = 48, 400_000
+#: Words and pieces are kept with their ids, about so many at a time.
+CACHED_WORDS = 400_000
 
 
 def karmarkar_karp(sizes: np.ndarray, m: int) -> list[list[int]]:
@@ -109,10 +114,45 @@ def _filled(windows: list[list[tuple[int, int, int]]], capacity: int) -> list[li
     return done
 
 
+#: The tokenizer's own split of lower-cased text, a fixed value; a line feed stands between words here.
+PIECES = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Words with other characters are left to the tokenizer whole: other scripts, odd white space, special tokens.
+ODD = re.compile("[^!-~\u00a1-\u024f\n]|<\\|")
+
+
+class _Arena:
+    """Runs of ids, numbered from 0."""
+
+    def __init__(self):
+        self.ids, self.begin, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.n = self.used = 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n + len(sizes) > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        self.ids[self.used : self.used + len(ids)] = ids
+        at = slice(self.n, self.n + len(sizes))
+        self.size[at] = sizes
+        self.begin[at] = self.used + np.cumsum(sizes) - sizes
+        self.n += len(sizes)
+        self.used += len(ids)
+        return range(self.n - len(sizes), self.n)
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these runs in a row, size of each)."""
+        size = self.size[at]
+        first = np.cumsum(size) - size
+        return self.ids[np.arange(int(size.sum())) + np.repeat(self.begin[at] - first, size)], size
+
+
 class WordTokenizer:
     """Ids of whole texts by way of their words: the tokenizer never looks across white space.
 
-    Exact for tokenizers that drop white space and split at it; ``ids`` of other ones would differ.
+    A new plain word is split into the tokenizer's own pieces, which many words share; only new
+    pieces are encoded, all in one text, where each ends with the token that ends a word. Exact for
+    tokenizers that lower-case, drop white space, split so and mark ends of words.
     """
 
     def __init__(self, path: str):
@@ -120,48 +160,64 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids, self.begin, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.n = self.used = 0
+        self.words = _Arena()
+        self.pieces: dict[str, int] = {}
+        self.parts = _Arena()
+        self.pieces["\n"] = self.parts.add(np.zeros(0, np.uint32), np.array([0]))[0]
 
-    def _add(self, words: list[bytes], known: dict[bytes, int]) -> None:
-        got = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        for w, e in zip(words, got):
-            ids = np.array(e.ids, np.uint32)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if self.n == len(self.begin):
-                self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.begin[self.n], self.size[self.n] = self.used, len(ids)
-            known[w] = self.n
-            self.n += 1
-            self.used += len(ids)
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)
 
-    def encode(self, text: str, end: int) -> np.ndarray:
-        words = text.encode("utf-8", "replace").split()  # at ASCII white space
-        if self.n > CACHED_WORDS or self.used > 8 * CACHED_WORDS:
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        last = np.flatnonzero(self.ends[ids]) if not len(ids) or ids.max() < len(self.ends) else np.zeros(0, np.int64)
+        if len(last) != len(pieces):
+            return self._each(pieces)
+        return ids, np.diff(last, prepend=-1)
+
+    def _add(self, words: list[bytes]) -> None:
+        """Learns words: plain ones by their pieces, odd ones by themselves."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        if ODD.search("\n".join(texts)):
+            odd = [bool(ODD.search(t)) for t in texts]
+            self.known.update(zip([w for w, o in zip(words, odd) if o], self.words.add(*self._each([t for t, o in zip(texts, odd) if o]))))
+            words, texts = [w for w, o in zip(words, odd) if not o], [t for t, o in zip(texts, odd) if not o]
+        if not words:
+            return
+        split = PIECES.findall("\n".join(texts).lower())
+        new = list(set(split) - self.pieces.keys())
+        if new:
+            self.pieces.update(zip(new, self.parts.add(*self._encoded(new))))
+        at = np.fromiter(map(self.pieces.__getitem__, split), np.int64, len(split))
+        ids, size = self.parts.gather(at)
+        per = np.bincount(np.cumsum(at == 0), weights=size, minlength=len(words)).astype(np.int64)
+        self.known.update(zip(words, self.words.add(ids, per)))
+
+    def encode_batch(self, texts: list[str], end: int) -> list[np.ndarray]:
+        """Each text's ids and the end id."""
+        split = [t.encode("utf-8", "replace").split() for t in texts]  # at ASCII white space
+        if self.words.n > CACHED_WORDS or self.parts.n > CACHED_WORDS:
             self.clear()
-        known = self.known
-        try:
-            at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            new = list({w for w in words if w not in known})
-            long = {}
-            self._add([w for w in new if len(w) <= CACHED_BYTES], known)
-            self._add([w for w in new if len(w) > CACHED_BYTES], long)
-            both = known | long if long else known
-            at = np.fromiter(map(both.__getitem__, words), np.int64, len(words))
-        size = self.size[at]
-        total = int(size.sum())
-        out = np.empty(total + 1, np.uint32)
-        first = np.cumsum(size) - size
-        out[:total] = self.ids[np.arange(total) + np.repeat(self.begin[at] - first, size)]
-        out[total] = end
-        return out
+        new = set().union(*split) - self.known.keys()
+        if new:
+            self._add(list(new))
+        counts = [len(w) for w in split]
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
+        ids, size = self.words.gather(at)
+        cuts = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *counts])]
+        tail = np.array([end], np.uint32)
+        return [np.concatenate([ids[a:b], tail]) for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def encode(self, text: str, end: int) -> np.ndarray:
+        return self.encode_batch([text], end)[0]
 
 
 def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, group: int = GROUP) -> DataFrame:
@@ -185,9 +241,9 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id
             kinds = [pa.int64()] * 7 + [pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-        for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                x = tokenizer.encode(text.as_py() or "", end_id)
+        for part in (p for batch in batches for p in slices(batch)):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            for doc, x in zip(part.column("doc_id").to_pylist(), tokenizer.encode_batch(texts, end_id)):
                 docs.append(doc)
                 ids.append(x)
                 total += len(x)
