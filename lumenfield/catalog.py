@@ -39,6 +39,11 @@ def r6(c: str | Column, name: str | None = None) -> Column:
     return F.round(col, 6).alias(name or c)
 
 
+def r6up(c: str) -> Column:
+    """Rounded off the exact halves that ratios of small whole numbers make."""
+    return F.round(F.col(c) + 3e-10, 6).alias(c)
+
+
 class Base:
     """The inputs of most queries; built on demand, and only as far as a query reaches."""
 
@@ -538,12 +543,12 @@ def local_extrema(spark, sf_dir):
     return extrema.local_extrema(b.y, b.edges())
 
 
-@query(sql("""SELECT p.vertex, round(sum(CASE WHEN p.y > q.y THEN r.rho ELSE 0 END) / sum(r.rho), 6) AS maxp, round(sum(CASE WHEN p.y < q.y THEN r.rho ELSE 0 END) / sum(r.rho), 6) AS minp
+@query(sql("""SELECT p.vertex, round(sum(CASE WHEN p.y > q.y THEN r.rho ELSE 0 END) / sum(r.rho) + 3e-10, 6) AS maxp, round(sum(CASE WHEN p.y < q.y THEN r.rho ELSE 0 END) / sum(r.rho) + 3e-10, 6) AS minp
     FROM points p LEFT JOIN adj a ON a.vertex = p.vertex LEFT JOIN points q ON q.vertex = a.nbr LEFT JOIN rho0 r ON r.vertex = a.nbr GROUP BY p.vertex"""))
 def extremp(spark, sf_dir):
     b = Base(spark, sf_dir)
     edges, _, rho0, _ = b.geometry()
-    return extrema.extremp(b.y, edges, rho0).select("vertex", r6("maxp"), r6("minp"))
+    return extrema.extremp(b.y, edges, rho0).select("vertex", r6up("maxp"), r6up("minp"))
 
 
 @query()
@@ -584,7 +589,7 @@ def k_diagnostics(spark, sf_dir):
     return pipelines.k_diagnostics(b.points, b.y, [3, 4, 5])
 
 
-@query(sql("""SELECT h.vertex, n_neighbors, n_hat, n_subjects_hat, round(n_hat / n_subjects_hat, 6) AS "R", n_subjects_conductance, round(p_max_conductance, 6) AS p_max_conductance, round(s_eff_conductance, 6) AS s_eff_conductance, round(p_max_operator, 6) AS p_max_operator, round(s_eff_operator, 6) AS s_eff_operator
+@query(sql("""SELECT h.vertex, n_neighbors, n_hat, n_subjects_hat, round(n_hat / n_subjects_hat, 6) AS "R", n_subjects_conductance, round(p_max_conductance + 3e-10, 6) AS p_max_conductance, round(s_eff_conductance + 3e-10, 6) AS s_eff_conductance, round(p_max_operator + 3e-10, 6) AS p_max_operator, round(s_eff_operator + 3e-10, 6) AS s_eff_operator
     FROM (SELECT vertex, count(*) AS n_hat, count(DISTINCT subject) AS n_subjects_hat FROM (SELECT a.vertex, p.subject FROM adj a JOIN points p ON p.vertex = a.nbr UNION ALL SELECT vertex, subject FROM points) GROUP BY vertex) h
     JOIN (SELECT vertex, sum(n)::BIGINT AS n_neighbors, count(*) AS n_subjects_conductance, max(c) / sum(c) AS p_max_conductance, pow(sum(c), 2) / sum(c * c) AS s_eff_conductance, max(o) / sum(o) AS p_max_operator, pow(sum(o), 2) / sum(o * o) AS s_eff_operator
       FROM (SELECT w.vertex, p.subject, count(*) AS n, sum(conductance) AS c, sum(mass_sym) AS o FROM weights w JOIN points p ON p.vertex = w.nbr GROUP BY ALL) GROUP BY vertex) s USING (vertex)"""))
@@ -592,7 +597,7 @@ def subject_stats(spark, sf_dir):
     b = Base(spark, sf_dir)
     edges, _, rho0, rho1 = b.geometry()
     s = extrema.subject_stats(b.subjects, edges, measures.neighbour_weights(rho0, rho1))
-    return s.select("vertex", "n_neighbors", "n_hat", "n_subjects_hat", r6("R"), "n_subjects_conductance", *[r6(c) for c in ("p_max_conductance", "s_eff_conductance", "p_max_operator", "s_eff_operator")])
+    return s.select("vertex", "n_neighbors", "n_hat", "n_subjects_hat", r6("R"), "n_subjects_conductance", *[r6up(c) for c in ("p_max_conductance", "s_eff_conductance", "p_max_operator", "s_eff_operator")])
 
 
 # -- resampling and tests
