@@ -78,17 +78,33 @@ def test_near_duplicates(documents, empty, width):
     assert minhash.near_duplicates(empty, width).count() == 0
 
 
-def test_crowded_regions_are_cut_deeper(monkeypatch):
+def test_region_edges_are_a_spanning_forest():
     rng = np.random.default_rng(0)
-    base = rng.integers(0, 1 << 16, minhash.HASHES).astype(np.uint16)
+    base = rng.integers(0, 1 << 8, minhash.HASHES).astype(np.uint8)
     sig = np.repeat(base[None], 50, 0)
-    sig[10:20] = rng.integers(0, 1 << 16, (10, minhash.HASHES))
-    monkeypatch.setattr(minhash, "REGION", 8)
-    pairs = minhash._region_edges(sig, 84, 3, 0, 8)
+    sig[10:20] = rng.integers(0, 1 << 8, (10, minhash.HASHES))
+    pairs = minhash._region_edges(sig, 84)
     joined = {i for p in pairs for i in p}
     assert joined == set(range(50)) - set(range(10, 20)) and len(pairs) == 39
 
 
+def test_crowded_regions_are_cut_deeper_without_losing_links(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(60):  # a crowd of near copies among other texts
+        words = list(base)
+        words[rng.randrange(200)] = f"x{i}"
+        texts.append(" ".join(words))
+    texts += [" ".join(rng.choices(base, k=150)) for _ in range(20)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(table, 4).collect())
+    assert [c for _, c in whole] == [0] * 60 + list(range(60, 80))
+    for region in (4, 20):
+        monkeypatch.setattr(minhash, "REGION", region)
+        assert whole == sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(table, 4).collect())
+
+
 def test_many_blocks_give_the_same_components(documents, monkeypatch):
     whole = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(documents.where("doc_id is not null"), 4).collect())
     monkeypatch.setattr(minhash, "BLOCK", 2)
