@@ -80,12 +80,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _REACH = """reach AS (SELECT DISTINCT a AS id, a AS seen FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.seen),
   comp AS (SELECT id, min(seen) AS component FROM reach GROUP BY id)"""
 
+
+
+def _sql_matches(name: str, kind: str, rank: int, pattern: str, group: int) -> str:
+    """Matches of a pattern with their places: what lies before each, and the matches before it."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""{name} AS MATERIALIZED (SELECT doc_id, {rank} AS rank, '{kind}' AS kind, w, v, s - length(w) AS s, s AS e FROM
+    (SELECT *, sum(gap + length(w)) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS s FROM
+      (SELECT doc_id, generate_subscripts(ms, 1) AS k, unnest(ms) AS w, unnest(vs) AS v, unnest(list_transform(gaps[1:len(ms)], lambda x: length(x))) AS gap FROM
+        (SELECT doc_id, regexp_extract_all(t, {p}) AS ms, regexp_extract_all(t, {p}, {group}) AS vs, string_split_regex(t, {p}) AS gaps FROM d))))"""
+
+
+def _secrets_sql() -> str:
+    """Entropies of all windows come from the aggregate, not from incremental counts."""
+    kinds = [_sql_matches(kind, kind, rank, p, group) for rank, (kind, (p, group, _)) in enumerate(secrets.KINDS.items())]
+    base = " UNION ALL ".join(f"SELECT * FROM {kind} WHERE length(v) >= {least}" for kind, (_, _, least) in secrets.KINDS.items())
+    allowed = " OR ".join(f"regexp_matches(w, '{p}')" for p in secrets.ALLOWED)
+    limits, n = secrets.THRESHOLDS, secrets.WINDOW
+    counts = ", ".join(f"count_if(kind = '{kind}')::BIGINT AS n_{kind}" for kind in secrets.KINDS)
+    joined = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank)"
+    return f"""WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents), {", ".join(kinds)},
+  base AS MATERIALIZED ({base}), {_sql_matches("tried", "entropy", len(kinds), secrets.CANDIDATE, 0)},
+  left_over AS (SELECT * FROM tried x WHERE NOT ({allowed}) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.s <= x.s AND x.e <= b.e)),
+  extra AS (SELECT * FROM left_over WHERE list_max(list_transform(range(1, length(w) - {n - 2}), lambda i: list_entropy(string_split(w[i:i + {n - 1}], '')))) >=
+    CASE WHEN regexp_matches(w, '^([0-9a-f]+|[0-9A-F]+)$') THEN {limits["hex"]} WHEN regexp_matches(w, '^[A-Za-z0-9]+$') THEN {limits["alnum"]} ELSE {limits["base64"]} END),
+  every AS (SELECT * FROM base UNION ALL SELECT * FROM extra),
+  found AS (SELECT doc_id, {counts}, {joined} FILTER (kind <> 'entropy') AS b, {joined} AS a FROM every GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in secrets.KINDS)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM d LEFT JOIN found USING (doc_id)"""
+
+
 #: DuckDB SQL where it can express the operator on whole tables.
 ORACLES: dict[str, str] = {
     "op1_warc": """
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, min(page_id) OVER (PARTITION BY sha256(coalesce(html, ''))) AS first FROM pages)""",
+    "op3_secret_scan": _secrets_sql(),
     "op4_embedding_near_dedup": f"""
 WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
   links AS MATERIALIZED (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND list_cosine_similarity(p.x, q.x) >= 0.95), {_REACH}

@@ -7,12 +7,13 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
 import public_tokenizers
-from lumenfield.llm import decontaminate, minhash, packing, quality, secrets, substring
+from lumenfield.llm import decontaminate, minhash, packing, quality, queries, secrets, substring
 
 SPACE = "[^\x20\x09-\x0D]+"
 CLASH = "sig string, spans string, score string, predicted string, component string, bucket string, places string"
@@ -313,3 +314,27 @@ def test_quality_pools_every_chunk():
     raw = np.frombuffer(text + bytes(16), np.uint8)
     act = np.stack([np.maximum(model.embed[raw[4 * s : 4 * s + 8]].reshape(-1) @ model.kernel, 0) for s in range(slots)])
     assert np.allclose(pooled[owner == 1][:, :32].max(0), act.max(0), atol=1e-4) and (np.bincount(owner) == [1, 7, 1]).all()
+
+
+def test_secret_scan_agrees_with_sql(spark, tmp_path):
+    rng = random.Random(9)
+    key = lambda letters, n: "".join(rng.choices(letters, k=n))
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    makers = [
+        lambda: f"{rng.choice(['Password', 'api_key', 'TOKEN', 'secret'])}{rng.choice([' = ', ':', '\": \"'])}{key(base64, rng.randint(4, 30))}",
+        lambda: "AKIA" + key("ABCDEFGHIJ0123", rng.randint(8, 20)),
+        lambda: key("0123456789abcdef", rng.randint(20, 60)),
+        lambda: key("0123456789ABCDEF", rng.randint(15, 40)),
+        lambda: key(base64, rng.randint(15, 300)),
+        lambda: key("abcde0", rng.randint(20, 40)),
+        lambda: rng.choice(["été", "\U0001f600", "some-long-slug-of-words-1234", "123e4567-e89b-12d3-a456-426614174000", "\n\n", "plain"]),
+    ]
+    texts = [rng.choice(["", " ", "é"]).join(rng.choice(makers)() + " " for _ in range(rng.randint(0, 12))) for _ in range(300)] + [None, ""]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    got = sorted(map(tuple, queries.op3_secret_scan(spark, str(tmp_path)).collect()))
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+        want = sorted(c.execute(queries.ORACLES["op3_secret_scan"]).fetchall())
+    assert sum("entropy" in row[-1] for row in got) > 50
+    assert got == want
