@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lumenfield.functions import columns as fx
 from lumenfield.functions import orders
-from lumenfield.operators import extrema, graph, logit, meanshift, measures, metrics, resample, spectral
+from lumenfield.operators import extrema, graph, logit, meanshift, measures, metrics, resample, spectral, walks
 from lumenfield.oracles import sql
 from lumenfield.plans import fit as plans
 from lumenfield.plans import pipelines
@@ -423,6 +423,52 @@ def density_diffusion(spark, sf_dir):
     return spectral.diffuse(lap, rho0, t, beta)
 
 
+_WALK = {
+    "middle": "SELECT length AS d0 FROM (SELECT length, row_number() OVER (ORDER BY length) - 1 AS r FROM edges) WHERE r = (SELECT count(*) // 2 FROM edges)",
+    "chance": "SELECT vertex, nbr, exp(-length / d0) / sum(exp(-length / d0)) OVER (PARTITION BY vertex) AS p FROM adj, middle",
+}
+
+
+def _walk_step(before: str, to: str, source: str, rest: str) -> str:
+    return f"""SELECT r.vertex, 0.3 * any_value(r.rho) + 0.7 * coalesce(sum(p.p * q.rho), {rest}) AS rho
+        FROM {before} r LEFT JOIN chance p ON p.{to} = r.vertex LEFT JOIN {before} q ON q.vertex = p.{source} GROUP BY r.vertex"""
+
+
+@query(sql("""SELECT 'push' AS kind, vertex, round(sqrt(rho) * (SELECT count(*) / sum(sqrt(rho)) FROM push2), 6) AS rho FROM push2
+    UNION ALL SELECT 'average', vertex, round(sqrt(rho) * (SELECT count(*) / sum(sqrt(rho)) FROM average2), 6) FROM average2""", **_WALK,
+    push1=_walk_step("rho0", "nbr", "vertex", "0"), push2=_walk_step("push1", "nbr", "vertex", "0"),
+    average1=_walk_step("rho0", "vertex", "nbr", "any_value(r.rho)"), average2=_walk_step("average1", "vertex", "nbr", "any_value(r.rho)")))
+def lazy_walk(spark, sf_dir):
+    """Both preconditioners after two lazy steps."""
+    edges, _, rho0, _ = Base(spark, sf_dir).geometry()
+    kinds = [walks.lazy_walk(rho0, edges, 2, 0.7, 0.5, forward=f).select(F.lit(k).alias("kind"), "vertex", r6("rho")) for k, f in (("push", True), ("average", False))]
+    return kinds[0].unionByName(kinds[1])
+
+
+@query()
+def tikhonov_solve(spark, sf_dir):
+    b = Base(spark, sf_dir)
+    _, _, rho0, rho1 = b.geometry()
+    return walks.tikhonov(spectral._checkpointed(measures.laplacian(rho0, rho1)), b.y.withColumnRenamed("y", "x"), 0.5)
+
+
+@query()
+def heat_apply(spark, sf_dir):
+    b = Base(spark, sf_dir)
+    _, _, rho0, rho1 = b.geometry()
+    return walks.heat(spectral._checkpointed(measures.laplacian(rho0, rho1)), b.y.withColumnRenamed("y", "x"), 0.5, 4)
+
+
+@query()
+def rho_basins(spark, sf_dir):
+    """Basins of the local maxima of the fitted response."""
+    model = Base(spark, sf_dir).fit(n_eigenpairs=30)
+    y = model.fitted.select("vertex", F.col("y_hat").alias("y"))
+    weighted = y.join(model.vertex_rho, "vertex").select("vertex", (F.col("y") * F.col("rho")).alias("y"))
+    tops = extrema.local_extrema(weighted, model.edges).where("type = 'max'").select(F.col("vertex").alias("source"))
+    return walks.basins(y, model.edges, model.vertex_rho, tops)
+
+
 @query()
 def smoothed_density(spark, sf_dir):
     return plans.smoothed_density(Base(spark, sf_dir).fit())

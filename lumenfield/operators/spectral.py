@@ -140,34 +140,41 @@ def diffusion_parameters(gap: float, t_scale: float = 0.5, beta_scale: float = 0
     return t, max(1e-4, beta_scale / t)
 
 
-def diffuse(lap: DataFrame, rho: DataFrame, t: float, beta: float, tolerance: float = 1e-8, rounds: int = 2000) -> DataFrame:
-    """(vertex, rho) with ((1 + t beta) I + t L) rho' = rho + t beta, clipped, scaled to n and floored.
+def solve(lap: DataFrame, b: DataFrame, a: float, t: float, tolerance: float = 1e-8, rounds: int = 2000) -> DataFrame:
+    """(vertex, x) with (a I + t L) x = b for b (vertex, x).
 
     A dense solve up to DENSE vertices, conjugate gradients with join products beyond.
     """
+    if b.count() <= DENSE:
+        got = b.toArrow()
+        at, right = (got.column(c).to_numpy() for c in ("vertex", "x"))
+        order = np.argsort(at)
+        ids, matrix = dense(lap)
+        full = a * np.eye(len(at))
+        spot = np.searchsorted(at[order], ids)
+        full[np.ix_(spot, spot)] += t * matrix
+        x = np.linalg.solve(full, right[order])
+        return b.sparkSession.createDataFrame([(int(i), float(v)) for i, v in zip(at[order], x)], "vertex long, x double")
+    state = b.select("vertex", F.col("x").alias("r"), F.lit(0.0).alias("z")).withColumn("p", F.col("r"))
+    state = _checkpointed(state)
+    rr = first = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
+    for _ in range(rounds):
+        if rr <= tolerance**2 * first:
+            break
+        ap = multiply(lap, state.select("vertex", F.col("p").alias("x")))
+        both = state.join(ap, "vertex", "left").withColumn("ap", a * F.col("p") + t * F.coalesce("x", F.lit(0.0))).drop("x")
+        both = _checkpointed(both)
+        step = rr / both.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
+        both = both.withColumns({"z": F.col("z") + step * F.col("p"), "r": F.col("r") - step * F.col("ap")}).drop("ap")
+        new = both.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
+        state = _checkpointed(both.withColumn("p", F.col("r") + (new / rr) * F.col("p")))
+        rr = new
+    return state.select("vertex", F.col("z").alias("x"))
+
+
+def diffuse(lap: DataFrame, rho: DataFrame, t: float, beta: float) -> DataFrame:
+    """(vertex, rho) with ((1 + t beta) I + t L) rho' = rho + t beta, clipped, scaled to n and floored."""
     from .measures import normalised
 
-    n = rho.count()
-    if n <= DENSE:
-        ids, a = dense(lap)
-        got = rho.toArrow()
-        start = np.zeros(len(ids))
-        start[np.searchsorted(ids, got.column("vertex").to_numpy())] = got.column("rho").to_numpy()
-        x = np.linalg.solve((1 + t * beta) * np.eye(len(ids)) + t * a, start + t * beta)
-        out = rho.sparkSession.createDataFrame([(int(i), float(v)) for i, v in zip(ids, x)], "vertex long, raw double")
-    else:
-        state = rho.select("vertex", (F.col("rho") + t * beta).alias("r"), F.lit(0.0).alias("z")).withColumn("p", F.col("r"))
-        state = _checkpointed(state)
-        rr = first = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
-        for _ in range(rounds):
-            if rr <= tolerance**2 * first:
-                break
-            ap = multiply(lap, state.select("vertex", F.col("p").alias("x")))
-            both = _checkpointed(state.join(ap, "vertex").withColumn("ap", (1 + t * beta) * F.col("p") + t * F.col("x")).drop("x"))
-            step = rr / both.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
-            both = both.withColumns({"z": F.col("z") + step * F.col("p"), "r": F.col("r") - step * F.col("ap")}).drop("ap")
-            new = both.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
-            state = _checkpointed(both.withColumn("p", F.col("r") + (new / rr) * F.col("p")))
-            rr = new
-        out = state.select("vertex", F.col("z").alias("raw"))
-    return normalised(out.withColumn("raw", F.greatest("raw", F.lit(0.0))), "raw").select("vertex", "rho")
+    x = solve(lap, rho.select("vertex", (F.col("rho") + t * beta).alias("x")), 1 + t * beta, t)
+    return normalised(x.select("vertex", F.greatest("x", F.lit(0.0)).alias("raw")), "raw").select("vertex", "rho")

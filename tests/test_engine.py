@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumenfield import catalog
 from lumenfield.functions import columns as fx
 from lumenfield.functions import orders
-from lumenfield.operators import extrema, graph, logit, meanshift, measures, metrics, resample, spectral
+from lumenfield.operators import extrema, graph, logit, meanshift, measures, metrics, resample, spectral, walks
 from lumenfield.plans import fit as plans
 from lumenfield.plans import pipelines
 from lumenfield.sources import tables
@@ -359,3 +359,55 @@ def test_registration(spark):
 
     assert set(catalog.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def path_laplacian(spark, n):
+    edges = [(i, i + 1) for i in range(n - 1)]
+    a = np.zeros((n, n))
+    for i, j in edges:
+        a[[i, j], [i, j]] += 1
+        a[i, j] = a[j, i] = -1
+    rows = [(i, j, float(a[i, j])) for i in range(n) for j in range(n) if a[i, j]]
+    return a, spark.createDataFrame(rows, "i long, j long, val double"), spark.createDataFrame([(i, j, 1.0) for i, j in edges], "i long, j long, length double")
+
+
+@pytest.mark.parametrize("limit", [5000, 2])
+def test_implicit_steps_equal_dense_algebra(spark, monkeypatch, limit):
+    a, lap, _ = path_laplacian(spark, 6)
+    b = np.array([3.0, 0, 1, -2, 5, 0.5, 7.0])  # the last vertex is in no row of the operator
+    a = np.pad(a, (0, 1))
+    table = spark.createDataFrame([(i, float(v)) for i, v in enumerate(b)], "vertex long, x double")
+    monkeypatch.setattr(spectral, "DENSE", limit)
+    got = {r.vertex: r.x for r in walks.tikhonov(lap, table, 0.7).collect()}
+    want = np.linalg.solve(np.eye(7) + 0.7 * a, b)
+    assert np.allclose([got[i] for i in range(7)], want, atol=1e-6)
+    got = {r.vertex: r.x for r in walks.heat(lap, table, 0.4, 2).collect()}
+    want = np.linalg.solve(np.eye(7) + 0.2 * a, np.linalg.solve(np.eye(7) + 0.2 * a, b))
+    assert np.allclose([got[i] for i in range(7)], want, atol=1e-6)
+    assert sorted(map(tuple, walks.heat(lap, table, 0.0).collect())) == sorted(map(tuple, table.collect()))
+
+
+def test_lazy_walk_by_hand(spark):
+    _, _, edges = path_laplacian(spark, 3)
+    rho = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 0.0), (9, 1.0)], "vertex long, rho double")
+    walk = lambda **o: {r.vertex: r.rho for r in walks.lazy_walk(rho, edges, 1, 0.5, by_length=False, **o).collect()}
+    pushed, averaged = walk(), walk(forward=False)
+    raw = np.array([0.5 + 0.5 * 1, 1 + 0.5 * 1, 0.5 * 1, 0.5])
+    assert np.allclose([pushed[i] for i in (0, 1, 2, 9)], raw * 4 / raw.sum())
+    raw = np.array([0.5 + 0.5 * 2, 1 + 0.5 * 0.5, 0.5 * 2, 1.0])
+    assert np.allclose([averaged[i] for i in (0, 1, 2, 9)], raw * 4 / raw.sum())
+
+
+def test_basins_by_hand(spark):
+    _, _, edges = path_laplacian(spark, 7)
+    y = spark.createDataFrame([(i, float(v)) for i, v in enumerate([2, 5, 3, 1, 4, 6, 6])], "vertex long, y double")
+    rho = y.select("vertex", F.lit(1.0).alias("rho"))
+    sources = spark.createDataFrame([(1,), (5,)], "source long")
+    got = sorted(map(tuple, walks.basins(y, edges, rho, sources).collect()))
+    assert got == [
+        (1, 0, 1, 1, 3.0, True), (1, 1, 0, None, 0.0, False), (1, 2, 1, 1, 2.0, False), (1, 3, 2, 2, 4.0, True),
+        (5, 3, 2, 4, 5.0, True), (5, 4, 1, 5, 2.0, False), (5, 5, 0, None, 0.0, True),
+    ]
+    low = sorted(map(tuple, walks.basins(y, edges, rho, spark.createDataFrame([(3,)], "source long"), maxima=False).collect()))
+    assert [(r[1], r[2], r[4]) for r in low] == [(1, 2, 4.0), (2, 1, 2.0), (3, 0, 0.0), (4, 1, 3.0), (5, 2, 5.0)]
+    assert walks.basins(y, edges, rho, sources.limit(0)).count() == 0
