@@ -1,6 +1,6 @@
 """Benchmark decontamination by the CGK embedding, bit-sampling LSH and exact edit distance.
 
-Words are runs of ASCII letters and digits and of longer characters, lower-cased in A-Z. A text
+Words are runs of ASCII letters and digits and of longer characters, in lower case. A text
 is contaminated by an item of m words if some stretch of it turns into the item with at most
 floor((1 - similarity) * m) word edits.
 
@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textkit import BYTE_TABLES, PUNCTUATION, Words, lowered, rolling, slices
+from .textkit import BYTE_TABLES, PUNCTUATION, Words, caseless, rolling, slices
 from .workspace import ship
 
 ITEMS = 20_000
@@ -68,8 +68,8 @@ def _walk_keys(words: np.ndarray, m: int) -> np.ndarray:
 
 
 def index_items(ids: list[int], texts: list[str], similarity: float) -> ItemIndex:
-    found = Words(pa.array(texts, pa.string()), PUNCTUATION)
-    h = found.hashes(lowered(BYTE_TABLES[0]))
+    found = Words(caseless(pa.array(texts, pa.string())), PUNCTUATION)
+    h = found.hashes(BYTE_TABLES[0])
     kept = [(i, h[a:b]) for i, a, b in zip(ids, found.bounds[:-1], found.bounds[1:]) if b > a]
     words = [w for _, w in kept]
     m = np.array([len(w) for w in words], np.int64)
@@ -156,8 +156,8 @@ def edit_distance_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 def _matches(index: ItemIndex, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item_id, edits, item's words, end word)."""
-    found = Words(column, PUNCTUATION)
-    h, bounds = found.hashes(lowered(BYTE_TABLES[0])), found.bounds
+    found = Words(caseless(column), PUNCTUATION)
+    h, bounds = found.hashes(BYTE_TABLES[0]), found.bounds
     windows = _windows(index, h, bounds, found.owner())
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for (row, it, first, last), meets in zip(windows, _meets(index, h, bounds, windows)):

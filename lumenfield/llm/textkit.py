@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
 
@@ -38,6 +39,15 @@ def lowered(table: np.ndarray) -> np.ndarray:
     return out
 
 
+def caseless(column: pa.Array) -> pa.Array:
+    """Texts in lower case, whatever the script; bytes that are no UTF-8 become replacement characters."""
+    try:
+        return pc.utf8_lower(column)
+    except pa.ArrowInvalid:
+        raw = column.cast(pa.large_binary()).to_pylist()
+        return pa.array([None if t is None else t.decode("utf-8", "replace").lower() for t in raw], pa.large_string())
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser in the manner of the public-domain splitmix generator."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

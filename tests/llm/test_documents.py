@@ -14,6 +14,7 @@ import pytest
 
 import public_tokenizers
 from lumenfield.llm import decontaminate, minhash, packing, quality, queries, secrets, substring
+from lumenfield.llm.textkit import caseless
 
 SPACE = "[^\x20\x09-\x0D]+"
 CLASH = "sig string, spans string, score string, predicted string, component string, bucket string, places string"
@@ -201,9 +202,16 @@ def test_redaction_leaves_no_secret_and_keeps_columns(spark):
             assert r.text == "".join(parts) + before[end:]
 
 
+def test_case_folding_keeps_nulls_and_bad_bytes():
+    assert caseless(pa.array(["ÉÑ A", None, "ж"])).to_pylist() == ["éñ a", None, "ж"]
+    raw = pa.array([b"A\xffB", None], pa.binary())
+    bad = pa.StringArray.from_buffers(2, raw.buffers()[1], raw.buffers()[2], raw.buffers()[0])
+    assert caseless(bad).to_pylist() == ["a\ufffdb", None]
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
-    vocabulary = ["w%d" % k for k in range(4000)]
+    vocabulary = ["w%d" % k if k % 2 else "é%dñл" % k for k in range(4000)]
     items = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(3, 60)))) for k in range(30)] + [(98, None), (99, ""), (None, "some text")]
     docs, expected = [], set()
     for i in range(120):
@@ -222,10 +230,10 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
 
     def brute():
-        from lumenfield.llm.textkit import BYTE_TABLES, PUNCTUATION, Words, lowered
+        from lumenfield.llm.textkit import BYTE_TABLES, PUNCTUATION, Words
 
         def hashed(t):
-            return Words(pa.array([t]), PUNCTUATION).hashes(lowered(BYTE_TABLES[0]))
+            return Words(pa.array([t.lower()]), PUNCTUATION).hashes(BYTE_TABLES[0])
 
         for d, t, _ in docs:
             for k, u in items:
