@@ -7,8 +7,10 @@
    ``FAN`` orders at once, which go on with the values of different trees.
 4. In a region, classes whose whole signatures agree enough to reach the threshold (with a margin
    of four standard deviations) are candidates; a union-find hands on a spanning forest only.
-5. Candidate groups are compared on their full sets in blocks of ``BLOCK`` classes. A pair already
-   joined through others is skipped; only confirmed links leave the task.
+5. Candidate groups are compared on their full sets, dealt to blocks of ``BLOCK`` classes. A pair
+   already joined through others is skipped; only confirmed links leave the task. In a group of
+   several blocks one class of each part found so far meets those of other blocks, until that joins
+   little; then all classes outside the largest part meet each other and that part, in pairs of blocks.
 6. Components of the confirmed links give each document its class.
 
 Defined results: null or empty texts have empty sets and link with nothing. Rows with a null
@@ -206,7 +208,7 @@ def _candidates(ws: Workspace, classes: DataFrame, least: int) -> DataFrame:
 
 
 def _verify(numerator: int):
-    """applyInArrow over one pair of blocks: confirmed links, as a spanning forest."""
+    """applyInArrow over a block or a pair of blocks: confirmed links, as a spanning forest; ``part`` names what is joined already."""
 
     def run(table: pa.Table) -> pa.Table:
         docs = table.column("doc_id").to_numpy()
@@ -218,7 +220,8 @@ def _verify(numerator: int):
         off = np.concatenate([[0], np.cumsum(size)])
         _, ids = np.unique(np.concatenate(sets), return_inverse=True)
         mark = np.zeros(int(ids.max()) + 1, bool)
-        forest, src, dst = Forest(np.arange(len(docs))), [], []
+        parts = np.unique(table.column("part").to_numpy()[order], return_inverse=True)[1] if "part" in table.column_names else np.arange(len(docs))
+        forest, src, dst = Forest(parts), [], []
         for i in range(len(docs)):
             own = ids[off[i] : off[i + 1]]
             fits = 100 * np.minimum(size, size[i]) >= numerator * np.maximum(size, size[i])
@@ -242,6 +245,49 @@ def _verify(numerator: int):
     return run
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (component, doc_id) with the number of their group's blocks and their own."""
+    sizes = rows.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return rows.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+
+
+def _across(ws: Workspace, large: DataFrame, links: DataFrame, numerator: int) -> DataFrame:
+    """The links, and those between blocks of the groups in ``large`` (component, doc_id, shingles)."""
+    schema = "src long, dst long"
+    names, sets = large.select("component", "doc_id").distinct(), large.select("doc_id", "shingles")
+
+    def parted() -> DataFrame:
+        joined = connected_components(ws, links).select(F.col("node").alias("doc_id"), F.col("component").alias("part"))
+        return ws.save(names.join(joined, "doc_id", "left").select("component", "doc_id", F.coalesce("part", "doc_id").alias("part")), "parts")
+
+    while True:
+        rows = parted()
+        first = rows.where("doc_id = part").select("component", "doc_id")
+        met = _dealt(first).join(sets, "doc_id").select("component", "block", "doc_id", "shingles")
+        new = ws.save(met.groupBy("component", "block").applyInArrow(_verify(numerator), schema), "links")
+        found = new.count()
+        if not found:
+            break
+        links = ws.save(links.unionByName(new), "links")
+        if found * 20 < first.count():
+            rows = parted()
+            break
+    sizes = rows.groupBy("component", "part").agg(F.count("*").alias("n"))
+    groups = sizes.groupBy("component").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("n"), (F.sum("n") - F.max("n")).alias("others"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    still = rows.join(groups.where("others > 0").select("component", "main", blocks("n").alias("mains"), blocks("others").alias("rests")), "component")
+    # other blocks are 0, 1, ...; those of the largest part -1, -2, ...
+    is_main = F.col("part") == F.col("main")
+    still = still.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(is_main, F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    upto = lambda c, f: F.transform(F.sequence(F.lit(0), F.col(c) - 1), f)
+    pair = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+    with_rest = upto("rests", lambda o: pair(F.least("own", o), F.greatest("own", o)))
+    with_main = upto("mains", lambda m: pair(F.col("own"), -1 - m))
+    meets = F.when(is_main, upto("rests", lambda o: pair(o, -1 - F.col("own")))).otherwise(F.concat(with_rest, with_main))
+    shipped = still.join(sets, "doc_id").select("component", "doc_id", "part", "shingles", F.explode(meets).alias("at")).select("component", "at.low", "at.high", "doc_id", "part", "shingles")
+    return links.unionByName(shipped.groupBy("component", "low", "high").applyInArrow(_verify(numerator), schema))
+
+
 def near_duplicates(documents: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``documents``."""
     spark = documents.sparkSession
@@ -256,9 +302,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, threshold: float = 0.8
     representatives = classes.groupBy("doc_id").agg(F.max("sig").alias("sig"))
     candidates = ws.save(_candidates(ws, representatives, least), "candidates")
     groups = ws.save(connected_components(ws, candidates), "groups")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = groups.join(sizes, "component").select("component", F.col("node").alias("doc_id"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    placed = _dealt(groups.select("component", F.col("node").alias("doc_id")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,11 +312,11 @@ def near_duplicates(documents: DataFrame, width: int = 5, threshold: float = 0.8
 
     # the candidates are a share of the corpus: one plan for every size, never a broadcast
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").hint("merge").join(placed, "doc_id")
-    held = texts.mapInArrow(sets, "component long, doc_id long, blocks int, block int, shingles binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    paired = held.select("component", "doc_id", "block", "shingles", other)
-    paired = paired.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "shingles")
-    links = paired.groupBy("component", "low", "high").applyInArrow(_verify(numerator), "src long, dst long")
+    held = ws.save(texts.mapInArrow(sets, "component long, doc_id long, blocks int, block int, shingles binary"), "sets")
+    links = held.select("component", "block", "doc_id", "shingles").groupBy("component", "block").applyInArrow(_verify(numerator), "src long, dst long")
+    large = held.where("blocks > 1")
+    if not large.isEmpty():
+        links = _across(ws, large, ws.save(links, "links"), numerator)
     linked = connected_components(ws, links)
     # every row takes the component of its set's representative
     by_class = classes.select("c1", "c2", F.col("doc_id").alias("rep")).join(linked.withColumnRenamed("node", "rep"), "rep", "left")

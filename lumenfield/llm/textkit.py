@@ -71,7 +71,6 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
     """Consecutive runs of rows of about ``limit`` bytes of text."""
     if not batch.num_rows:
         return
-    import pyarrow.compute as pc
 
     lens = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     which = np.cumsum(lens) // limit

@@ -107,10 +107,16 @@ def test_crowded_regions_are_cut_deeper_without_losing_links(spark, monkeypatch)
         assert whole == sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(table, 4).collect())
 
 
-def test_many_blocks_give_the_same_components(documents, monkeypatch):
-    whole = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(documents.where("doc_id is not null"), 4).collect())
-    monkeypatch.setattr(minhash, "BLOCK", 2)
-    assert whole == sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(documents.where("doc_id is not null"), 4).collect())
+def test_many_blocks_give_the_same_components(spark, documents, monkeypatch):
+    """Also for a chain, whose ends are no near duplicates, and with a repeated doc_id."""
+    chain = [f"c{i}" for i in range(400)]
+    more = [(1000 + i, " ".join(chain[4 * i : 4 * i + 100])) for i in range(50)] + [(1000, "another text under the same id"), (1049, " ".join(chain[:100]))]
+    table = documents.where("doc_id is not null").select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    whole = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(table, 4).collect())
+    assert {c for i, c in whole if i >= 1000} == {1000}
+    for block in (2, 7):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        assert whole == sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(table, 4).collect())
 
 
 def test_substring_removal(documents, empty):
