@@ -9,7 +9,8 @@ the format's annex on skip-lengths proposes, so the reader seeks to the next mem
 without that field are decompressed through; a file may also be plain.
 
 ``df.write.format("warc")`` writes one file for each task attempt and lists the committed ones in
-a manifest, so an attempt that an executor's loss cut short is never read.
+a manifest of its own, so an attempt that an executor's loss cut short is never read. Mode append
+keeps what earlier writes committed, mode overwrite removes it.
 
 Files are reached through pyarrow's file systems: local and shared folders, hdfs, s3.
 
@@ -34,7 +35,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from .workspace import Workspace
 
-MANIFEST = "_files"
+MANIFEST = "_files-"
 SCHEMA = "uri string, record_type string, record_id string, date string, page_id long, refers_to long, payload_digest string, payload_bytes long, payload binary"
 #: Columns that come from one header each, and so can be filtered before a payload is read.
 HEADERS = {
@@ -52,6 +53,18 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
+def _manifests(system, path: str) -> dict[str, list[str]]:
+    """Names of the files that each finished write committed, by its manifest."""
+    from pyarrow import fs
+
+    out = {}
+    for f in system.get_file_info(fs.FileSelector(path)):
+        if f.base_name.startswith(MANIFEST):
+            with system.open_input_stream(f.path) as s:
+                out[f.path] = s.read().decode().split()
+    return out
+
+
 def _one_line(value) -> str:
     return str(value).replace("\r", "%0D").replace("\n", "%0A")
 
@@ -195,10 +208,9 @@ class WarcReader(DataSourceReader):
             found = [info]
         else:
             found = system.get_file_info(fs.FileSelector(path))
-            listed = [f for f in found if f.base_name == MANIFEST]
+            listed = _manifests(system, path)
             if listed:
-                with system.open_input_stream(listed[0].path) as s:
-                    names = set(s.read().decode().split())
+                names = {name for names in listed.values() for name in names}
                 found = [f for f in found if f.base_name in names]
         found = [f for f in found if f.type == fs.FileType.File and f.base_name.endswith((".warc", ".warc.gz")) and f.size]
         parts, size = [], self.target
@@ -241,8 +253,8 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Takes the reader's columns; payload_digest and payload_bytes are those of the full payload."""
 
-    def __init__(self, options):
-        self.path = options["path"]
+    def __init__(self, options, overwrite: bool = False):
+        self.path, self.overwrite = options["path"], overwrite
 
     def write(self, iterator):
         system, path = _filesystem(self.path)
@@ -261,8 +273,13 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages):
         system, path = _filesystem(self.path)
         system.create_dir(path, recursive=True)
-        with system.open_output_stream(f"{path}/{MANIFEST}") as s:
+        before = _manifests(system, path) if self.overwrite else {}
+        with system.open_output_stream(f"{path}/{MANIFEST}{uuid.uuid4().hex}") as s:
             s.write("\n".join(m.name for m in messages if m is not None and m.name).encode())
+        for manifest, names in before.items():
+            system.delete_file(manifest)
+            for name in names:
+                system.delete_file(f"{path}/{name}")
 
     def abort(self, messages):
         system, path = _filesystem(self.path)
@@ -283,7 +300,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:

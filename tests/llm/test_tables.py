@@ -188,3 +188,13 @@ def test_pipeline_stages(spark):
         n = docs.count()
     assert n > 50 and corpus_pipeline.STAGES[-1][1](spark, docs, d).where("length > 4096").count() == 0
     assert [s for s, _ in corpus_pipeline.STAGES] == ["quality_classifier", "minhash_near_dedup", "benchmark_decontamination", "secret_scan", "packing"]
+
+
+def test_archives_are_appended_to_and_overwritten(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    table = lambda k: spark.createDataFrame([(k, f"http://a/{k}", "x" * k)], "page_id long, url string, html string")
+    for k in (1, 2):
+        warc.archive(table(k), path)
+    assert sorted(r.page_id for r in warc.read(spark, path).collect()) == [1, 2]
+    warc.deduplicated(table(3)).write.format("warc").mode("overwrite").save(path)
+    assert [(r.page_id, bytes(r.payload)) for r in warc.read(spark, path).collect()] == [(3, b"xxx")]
