@@ -411,24 +411,3 @@ def test_basins_by_hand(spark):
     low = sorted(map(tuple, walks.basins(y, edges, rho, spark.createDataFrame([(3,)], "source long"), maxima=False).collect()))
     assert [(r[1], r[2], r[4]) for r in low] == [(1, 2, 4.0), (2, 1, 2.0), (3, 0, 0.0), (4, 1, 3.0), (5, 2, 5.0)]
     assert walks.basins(y, edges, rho, sources.limit(0)).count() == 0
-
-
-def test_implicit_step_and_basin_queries(spark):
-    _, _, rho0, rho1 = catalog.Base(spark, SF).geometry()
-    ids, a = spectral.dense(measures.laplacian(rho0, rho1))
-    y = {r.vertex: r.y for r in catalog.Base(spark, SF).y.collect()}
-    at = [int(i) for i in ids]
-    inverse = lambda t: np.linalg.inv(np.eye(len(at)) + t * a)
-    right = np.array([y[i] for i in at])
-    for name, want in (("tikhonov_solve", inverse(0.5) @ right), ("heat_apply", np.linalg.matrix_power(inverse(0.125), 4) @ right)):
-        got = {r.vertex: r.x for r in catalog.QUERIES[name](spark, SF).collect()}
-        assert len(got) == len(y) and np.allclose([got[i] for i in at], want, atol=1e-6)
-    rows = catalog.QUERIES["rho_basins"](spark, SF).collect()
-    own = [r for r in rows if r.source == r.vertex]
-    assert len(own) == len({r.source for r in rows}) > 0 and all(r.hop == 0 and r.span == 0 for r in own)
-    reached = {(r.source, r.vertex): r for r in rows}
-    assert len(reached) == len(rows)
-    for r in rows:
-        if r.hop:
-            before = reached[r.source, r.predecessor]
-            assert before.hop == r.hop - 1 and r.span > before.span
