@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 #: Rows of a block: a task compares two blocks and keeps k rows for each vertex of the first.
 BLOCK = 2048
+#: Pairs whose differences a task holds at once.
+PAIRS = 1 << 16
 
 
 def knn(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """The k nearest points by Euclidean distance, itself at rank 0; ties by vertex.
+    """The k nearest points by Euclidean distance, ties by vertex; itself at rank 0 unless an equal point has a smaller vertex.
 
     Exact: blocks of points meet pairwise in numpy and hand on k partial neighbours for each
-    vertex, so no pair leaves a task; a window picks the final k. Distances of the short list are
-    sums of squared differences in double precision.
+    vertex, so no pair leaves a task; a window picks the final k. All points as near as the k-th within
+    rounding are compared by sums of squared differences in double precision, however many are equal.
     """
     n = points.count()
     blocks = max(1, -(-n // block))
@@ -35,17 +37,24 @@ def knn(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
         out_v, out_n, out_d = [], [], []
         if len(q) and len(t):
             square = (x[t] ** 2).sum(1)
-            take = min(k + 4, len(t))
+            take = min(k, len(t))
+            # no rounding of rough differs by more from the exact square
+            slack = 16 * (x.shape[1] + 8) * np.finfo(np.float64).eps
             for a in range(0, len(q), 512):
                 some = q[a : a + 512]
                 rough = square - 2 * x[some] @ x[t].T
-                near = np.argpartition(rough, take - 1, axis=1)[:, :take] if take < len(t) else np.tile(np.arange(len(t)), (len(some), 1))
-                d = np.sqrt(((x[some][:, None] - x[t[near]]) ** 2).sum(2))
-                order = np.lexsort((ids[t[near]], d), axis=1)[:, :k]
-                near, d = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
-                out_v.append(np.repeat(ids[some], near.shape[1]))
-                out_n.append(ids[t[near]].ravel())
-                out_d.append(d.ravel())
+                near = np.argpartition(rough, take - 1, axis=1)[:, :take]
+                own = (x[some] ** 2).sum(1)
+                # any k points bound the k-th distance; all points within the bound stay, so no tie is lost
+                bound = ((x[some][:, None] - x[t[near]]) ** 2).sum(2).max(1) - own + slack * (own + square.max())
+                row, col = np.nonzero(~(rough > bound[:, None]))
+                d = np.concatenate([np.sqrt(((x[some[row[c : c + PAIRS]]] - x[t[col[c : c + PAIRS]]]) ** 2).sum(1)) for c in range(0, len(row), PAIRS)])
+                order = np.lexsort((col, d, row))
+                first = np.searchsorted(row, np.arange(len(some)))
+                order = order[np.arange(len(row)) - first[row] < k]
+                out_v.append(ids[some[row[order]]])
+                out_n.append(ids[t[col[order]]])
+                out_d.append(d[order])
         cat = lambda v, kind: np.concatenate(v) if v else np.zeros(0, kind)
         return pa.table({"vertex": pa.array(cat(out_v, np.int64)), "nbr": pa.array(cat(out_n, np.int64)), "dist": pa.array(cat(out_d, np.float64))})
 

@@ -116,6 +116,18 @@ def test_neighbours_in_blocks_equal_brute_force(spark):
         assert max(abs(r.dist - d[r.vertex, r.nbr]) for r in got) < 1e-12
 
 
+def test_neighbours_among_many_equal_points(spark):
+    # copies of one vector, and a shell of points at equal distance from it
+    x = np.vstack([np.tile([0.1, 0.7, -0.3], (50, 1)), np.tile([[0.1, 0.7, 0.7], [0.1, 0.7, -1.3]], (20, 1)), np.random.default_rng(1).normal(size=(30, 3))])
+    x = x[np.random.default_rng(2).permutation(len(x))]
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vertex long, x array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for k in (6, 60):
+        want = {(i, r): int(j) for i in range(len(x)) for r, j in enumerate(np.lexsort((np.arange(len(x)), d[i]))[:k])}
+        for block in (2048, 60):
+            assert {(r.vertex, r.rank): r.nbr for r in graph.knn(points, k, block).collect()} == want
+
+
 def test_pruning(spark):
     _, points = cloud(spark)
     edges = spectral._checkpointed(graph.iknn(graph.knn(points, 7)))
