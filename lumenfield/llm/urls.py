@@ -1,14 +1,14 @@
 """URL filter: fixed host and path rules first, association rules mined by FP-growth for the rest.
 
 A url's tokens are its host's last two labels, the words of the labels before them, the path's
-segments with digits folded, and the names of its query's parameters. Labelled pages give transactions of tokens plus the item
-``=block`` or ``=allow``; FP-growth finds the frequent combinations. Rules that conclude ``=block`` stay
-if their support, confidence and lift suffice and no shorter rule of at least the same confidence is
-contained in them. They are matched through an inverted index: each rule hangs from its rarest
+segments with digits folded, and the names of its query's parameters. Pages labelled bad give transactions of
+tokens; FP-growth finds the combinations that a fixed small number of them share, so that a rare host gives
+a rule in a table of any size. Rules stay if their confidence and lift over all labelled pages suffice and no
+shorter rule of at least the same confidence is contained in them. They are matched through an inverted index: each rule hangs from its rarest
 token, a url's tokens look up that index, and a rule fires when all its tokens are there.
 
 Tokens that every tenth of the labelled pages holds at least say nothing alone; the lift sees to it.
-Number of rules and of items in a rule are bounded by the support, not by the table's size.
+A rule has four items at most; the number of rules grows with the number of bad hosts and paths.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule and the verdict
 allow. Labels other than 0 and 1 and null ids do not teach. Without labels of both kinds no rule is
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .workspace import Workspace
+
 #: Verdict, host and path of each rule.
 RULES = (
     ("allow", "com", "/"),
@@ -28,10 +30,9 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-SUPPORT, LEAST_COUNT, CONFIDENCE, LIFT, ITEMS = 0.001, 20, 0.8, 1.5, 4
+LEAST_COUNT, CONFIDENCE, LIFT, ITEMS = 5, 0.8, 1.5, 4
 #: Words in a host that make a page a labelled bad one, whatever else is known of it.
 SEED_WORDS = ("adult", "bets", "casino", "pills", "porn", "spam", "track", "warez")
-BLOCK, ALLOW = "=block", "=allow"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -75,22 +76,44 @@ def seeded(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.select("page_id", F.col("bad").cast("int").alias("bad")).unionByName(seeds)
 
 
-def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, items: int = ITEMS) -> DataFrame:
+def counted(sets: DataFrame, wanted: DataFrame, items: int) -> DataFrame:
+    """(antecedent, pages) of the wanted combinations among (items, pages), items sorted.
+
+    Combinations grow token by token and only along wanted ones, whose beginnings are wanted too.
+    """
+    level = sets.select("pages", F.array().cast("array<string>").alias("antecedent"), F.col("items").alias("rest"))
+    out = None
+    for _ in range(items):
+        step = level.select("pages", "antecedent", "rest", F.posexplode("rest").alias("at", "token"))
+        step = step.select("pages", F.array_append("antecedent", F.col("token")).alias("antecedent"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"))
+        level = step.join(wanted.select("antecedent"), "antecedent", "left_semi")
+        found = level.groupBy("antecedent").agg(F.sum("pages").alias("pages"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def mine(pages: DataFrame, labels: DataFrame, count: int = LEAST_COUNT, confidence: float = CONFIDENCE, lift: float = LIFT, items: int = ITEMS) -> DataFrame:
     """rule_id, antecedent (array), confidence, lift, support of the pruned blocking rules.
 
-    labels: (page_id, bad), bad 1 for pages to block, 0 for others.
+    labels: (page_id, bad), bad 1 for pages to block, 0 for others. FP-growth sees the bad pages and
+    finds what ``count`` of them share, at every size of the table; confidences are exact counts over all labelled pages.
     """
     known = labels.where("page_id is not null and bad in (0, 1)").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    verdict = F.array(F.when(F.col("bad") == 1, F.lit(BLOCK)).otherwise(F.lit(ALLOW)))
-    deals = pages.join(known, "page_id").select(F.array_union(tokens(F.col("url")), verdict).alias("items"))
+    work = Workspace(pages.sparkSession, "urls")
+    sets = pages.join(known, "page_id").groupBy(tokens(F.col("url")).alias("items")).agg(F.count("*").alias("pages"), F.sum("bad").alias("bad"))
+    sets = work.save(sets, "sets")
+    total, bad = sets.agg(F.sum("pages"), F.sum("bad")).first()
     # a combination seen on a few pages only says nothing, however small the table
-    n = deals.count()
-    if not n:
+    if (bad or 0) < count:
         return pages.sparkSession.createDataFrame([], "rule_id string, antecedent array<string>, confidence double, lift double, support double")
-    least = min(1.0, max(support, LEAST_COUNT / n))
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence).fit(deals)
-    rules = model.associationRules.where((F.element_at("consequent", 1) == BLOCK) & (F.size("antecedent") <= items) & (F.col("lift") >= lift))
-    rules = rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "lift", "support")
+    deals = sets.where("bad > 0").select("items", F.explode(F.sequence(F.lit(1), F.col("bad"))).alias("_")).select("items")
+    # half a page less, so that no rounding of the quotient asks for one more
+    model = FPGrowth(itemsCol="items", minSupport=(count - 0.5) / bad).fit(deals)
+    common = model.freqItemsets.where(F.size("items") <= items).select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("bad"))
+    common = work.save(common, "common")
+    rules = common.join(counted(sets, common, items), "antecedent").withColumn("confidence", F.col("bad") / F.col("pages"))
+    rules = rules.select("antecedent", "confidence", (F.col("confidence") * total / bad).alias("lift"), (F.col("bad") / total).alias("support"))
+    rules = work.save(rules.where((F.col("confidence") >= confidence) & (F.col("lift") >= lift)), "rules")
     # a rule that holds a shorter one of the same strength adds nothing; subsets are found by equi-join
     n = F.size("antecedent")
     masks = F.explode(F.sequence(F.lit(1), F.pow(2, n).cast("int") - 2))

@@ -152,6 +152,22 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge(df.where("url like '%org%'"), marks.limit(0)).collect()} == {"allow"}
 
 
+def test_urls_of_a_rare_bad_host(spark):
+    # six bad pages among thousands; a path that good pages share; and a mixed host that stays allowed
+    given = [(f"http://rare.bad.org/x/{k}", 1) for k in range(6)] + [(f"http://mixed.good.org/x/{k}", int(k < 6)) for k in range(12)] + [(f"http://h{k % 7}.good.org/x/{k}", 0) for k in range(3000)]
+    df = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(given)], "page_id long, url string")
+    marks = spark.createDataFrame([(k, b) for k, (_, b) in enumerate(given)], "page_id long, bad int")
+    for repeat in (1, 4):
+        more = marks.unionByName(spark.range(10**6, 10**6 + 3000 * (repeat - 1)).select(F.col("id").alias("page_id"), F.lit(0).alias("bad")))
+        rest = df.unionByName(more.where("page_id >= 1000000").select("page_id", F.lit("http://h.good.org/y").alias("url")))
+        out = {r.page_id: r for r in urls.judge(rest, more).collect()}
+        assert [out[k].verdict for k in range(len(given))] == ["block"] * 6 + ["allow"] * 3012
+        rules = {tuple(r.antecedent): r for r in urls.mine(rest, more).collect()}
+        n = len(given) + 3000 * (repeat - 1)
+        rule = rules[("domain:bad.org",)]
+        assert (rule.confidence, rule.support, rule.lift) == pytest.approx((1, 6 / n, n / 12)) and all("word:mixed" not in r for r in rules)
+
+
 def test_language(spark):
     rng = random.Random(1)
     words = {"en": ["the", "and", "that", "with", "this"], "fr": ["les", "dans", "pour", "avec", "une"], "de": ["der", "und", "nicht", "ist", "mit"]}
