@@ -795,7 +795,7 @@ def ulogit_predict(spark, sf_dir):
 def ulogit(spark, sf_dir):
     """A fit for each half of the labelled documents, with left-out errors."""
     rows = _logit_rows(spark, sf_dir).withColumn("g", (F.col("doc_id") % 2).cast("int"))
-    return logit.ulogit(rows, "g", leave_one_out=rows.count() < 5000)
+    return logit.ulogit(rows, "g")
 
 
 @query()

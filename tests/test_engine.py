@@ -313,6 +313,25 @@ def test_logistic(spark):
     assert np.allclose(sorted(wls.prediction), sorted(one.prediction), atol=0.01) and (wls.loo_deviance > 0).all()
 
 
+def test_left_out_errors_of_many_rows(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    n = 6000
+    chars = rng.lognormal(5, 0.7, n).astype(int) + 1
+    good = (rng.random(n) < 1 / (1 + np.exp(-(chars - 200) / 100))).astype(int)
+    spark.createDataFrame([(k, int(c)) for k, c in enumerate(chars)], "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(g)) for k, g in enumerate(good)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = catalog.ulogit(spark, str(tmp_path)).toPandas()
+    assert len(out) == n and out.loo_error.notna().all()
+    one = out[out.g == 0].reset_index(drop=True)
+    x, y = one.x.to_numpy(), one.y.to_numpy()
+    for i in [int(np.argmin(x)), int(np.argmax(x)), int(np.argmax(one.loo_error)), *range(0, len(x), 200)]:
+        w = np.ones(len(x))
+        w[i] = 0
+        m = (w * x).sum() / w.sum()
+        b = logit._newton(x, y, w, m, logit.RIDGE)
+        assert one.loo_error[i] == pytest.approx((y[i] - 1 / (1 + math.exp(-(b[0] + b[1] * (x[i] - m))))) ** 2, abs=1e-9)
+
+
 def test_plans_over_k_and_p(spark):
     _, points = cloud(spark, 60)
     y = points.select("vertex", F.col("x")[0].alias("y"))
