@@ -370,7 +370,7 @@ def effective_degree(spark, sf_dir):
     tm="SELECT t.v0, t.v1, t.v2, sum(r.rho) AS val FROM tri t JOIN sets a ON a.vertex = t.v0 JOIN sets b ON b.vertex = t.v1 AND b.member = a.member JOIN sets c ON c.vertex = t.v2 AND c.member = a.member JOIN rho0 r ON r.vertex = a.member GROUP BY ALL"))
 def edge_mass(spark, sf_dir):
     edges, sets, rho0, rho1 = Base(spark, sf_dir).geometry()
-    return measures.edge_mass(edges, graph.triangles(edges, sets), rho1, rho0, sets).select("i", "j", "i2", "j2", r6("val"))
+    return measures.edge_mass(edges, graph.triangles(edges, sets), rho1, rho0, sets, policy="always").select("i", "j", "i2", "j2", r6("val"))
 
 
 @query(sql("SELECT CASE s WHEN -1 THEN i ELSE j END AS vertex, edge_id, s AS sign FROM (SELECT row_number() OVER (ORDER BY i, j) - 1 AS edge_id, i, j FROM edges), (SELECT unnest([-1, 1]) AS s)"))

@@ -115,13 +115,16 @@ def hodge_l0(vertex_rho: DataFrame, edge_rho: DataFrame) -> DataFrame:
     return entries.join(mass, "i").select("i", "j", (F.col("v") / F.col("m")).alias("val"))
 
 
-def edge_mass(edges: DataFrame, tri: DataFrame, edge_rho: DataFrame, vertex_rho: DataFrame, sets: DataFrame, limit: int = 200_000) -> DataFrame:
+def edge_mass(edges: DataFrame, tri: DataFrame, edge_rho: DataFrame, vertex_rho: DataFrame, sets: DataFrame, policy: str = "always", limit: int = 200_000) -> DataFrame:
     """(i, j, i2, j2, val): mass between edges; off the diagonal the density of a triangle's common members.
 
-    Above ``limit`` edges, or without triangles, only the diagonal.
+    Policy ``always`` gives both parts at every size, ``never`` the diagonal only, ``auto`` the diagonal
+    only above ``limit`` edges. Without triangles there is only a diagonal.
     """
+    if policy not in ("auto", "never", "always"):
+        raise ValueError("policy must be auto, never or always")
     own = edge_rho.select("i", "j", F.col("i").alias("i2"), F.col("j").alias("j2"), F.greatest("rho", F.lit(1e-15)).alias("val"))
-    if edges.count() > limit:
+    if policy == "never" or (policy == "auto" and edges.count() > limit):
         return own
     member = tri.select("v0", "v1", "v2")
     for v in ("v0", "v1", "v2"):

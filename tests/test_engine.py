@@ -101,6 +101,23 @@ def test_points_that_are_not_finite(spark):
     assert tables.points_from_long(sparse, "k", "f", "v", 3).first().x == [2.0, 0.0, 3.0]
 
 
+def test_edge_mass_has_no_limit_but_by_policy(spark):
+    # 200 001 edges, three of which make a triangle
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "i long, j long").unionByName(spark.range(200_000 - 2).select((2 * F.col("id") + 10).alias("i"), (2 * F.col("id") + 11).alias("j")))
+    rho1 = edges.withColumn("rho", F.lit(1.0))
+    rho0 = spark.createDataFrame([(1, 2.0), (2, 3.0), (3, 5.0)], "vertex long, rho double")
+    sets = spark.createDataFrame([(v, m) for v in (1, 2, 3) for m in (1, 2)], "vertex long, member long")
+    tri = graph.triangles(edges, sets)
+    off = measures.edge_mass(edges, tri, rho1, rho0, sets).where("i != i2 or j != j2").collect()
+    assert {(r.i, r.j, r.i2, r.j2): r.val for r in off} == {(a, b, c, d): 5.0 for a, b in ((1, 2), (1, 3), (2, 3)) for c, d in ((1, 2), (1, 3), (2, 3)) if (a, b) != (c, d)}
+    for policy in ("auto", "never"):
+        assert measures.edge_mass(edges, tri, rho1, rho0, sets, policy=policy).count() == 200_001
+    small = edges.where("i < 4")
+    assert measures.edge_mass(small, tri, rho1.where("i < 4"), rho0, sets, policy="auto").count() == 9
+    with pytest.raises(ValueError):
+        measures.edge_mass(edges, tri, rho1, rho0, sets, policy="some")
+
+
 def cloud(spark, n=90, d=4, seed=0):
     x = np.random.default_rng(seed).normal(size=(n, d))
     return x, spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vertex long, x array<double>")
