@@ -8,12 +8,15 @@ a task's memory is bounded. In a group:
 2. Multiway differencing after Karmarkar and Karp deals the other pieces to m windows: partial
    partitions are merged, the pair with the largest imbalance first, each one's large sums with
    the other's small ones, until a single, nearly equal partition is left. m starts at the total
-   over the capacity; it rises by one whenever a window exceeds the capacity.
-3. Since documents may be cut freely, the least filled window then gives tokens to fill the others;
-   what remains of it is cut into sequences of a power of two, which need no padding.
+   over the capacity and rises by one whenever a window exceeds the capacity, as long as no more than
+   ``PADDING`` of the group is padding; after that the few tokens that do not fit move to windows
+   with room. The windows stay as differencing made them but for those tokens.
+3. In a group of few windows one more would be much padding. There what full windows leave over is
+   taken from the largest pieces and cut into sequences of a power of two, which need no padding.
 
 Defined results: null and empty texts are the end id alone. Rows are packed even if they repeat or
-have a null doc_id. An empty table gives no rows. Extra columns are ignored.
+have a null doc_id. Bytes that are no UTF-8 count as replacement characters. An empty table gives no
+rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,19 +26,23 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .textkit import slices
+from .textkit import slices, valid
 
 GROUP = 1 << 20
-#: Words and pieces are kept with their ids, about so many at a time.
-CACHED_WORDS = 400_000
+#: The share of a group that may be padding.
+PADDING = 0.01
+#: Pieces of words are kept with their ids, about so many at a time.
+CACHED_PIECES = 600_000
+#: Bytes of text that are tokenised at once.
+SLICE = 4 << 20
 
 
 def karmarkar_karp(sizes: np.ndarray, m: int) -> list[list[int]]:
@@ -64,7 +71,7 @@ def karmarkar_karp(sizes: np.ndarray, m: int) -> list[list[int]]:
     return parts + [[] for _ in range(m - len(parts))]
 
 
-def plan(lengths: np.ndarray, capacity: int) -> list[list[tuple[int, int, int]]]:
+def plan(lengths: np.ndarray, capacity: int, padding: float = PADDING) -> list[list[tuple[int, int, int]]]:
     """Windows of a group: lists of (document, start, length)."""
     out, rest = [], []
     for d, n in enumerate(lengths.tolist()):
@@ -72,46 +79,86 @@ def plan(lengths: np.ndarray, capacity: int) -> list[list[tuple[int, int, int]]]
         out += [[(d, k * capacity, capacity)] for k in range(full)]
         if n % capacity:
             rest.append((d, full * capacity, n % capacity))
+    total = sum(r[2] for r in rest)
+    m = -(-total // capacity)
+    if m * capacity - total > padding * total:
+        m = total // capacity
+        over = total - m * capacity + int(padding * m * capacity)  # leaves the windows some room
+        rest, ends = _taken(rest, min(over, total))
+        out += _powers(ends)
+        total = sum(r[2] for r in rest)
     if not rest:
         return out
-    sizes = np.array([r[2] for r in rest], np.int64)
-    m = max(1, -(-int(sizes.sum()) // capacity))
+    bundles = _bundled(rest, capacity // 32)
+    sizes = np.array([sum(x[2] for x in b) for b in bundles], np.int64)
     while True:
         parts = karmarkar_karp(sizes, m)
-        if max(int(sizes[p].sum()) for p in parts if p) <= capacity:
+        most = max(int(sizes[p].sum()) for p in parts if p)
+        if most <= capacity or (m + 1) * capacity - total > padding * total:
             break
         m += 1
-    windows = sorted(([rest[i] for i in p] for p in parts if p), key=lambda w: -sum(x[2] for x in w))
-    return out + _filled(windows, capacity)
-
-
-def _filled(windows: list[list[tuple[int, int, int]]], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """The last windows' tokens fill the earlier ones; the remainder becomes powers of two."""
-    fill = [sum(x[2] for x in w) for w in windows]
-    total, i = sum(fill), 0
-    keep = total // capacity
-    pool = [x for w in windows[keep:] for x in w]
-    done = windows[:keep]
-
-    def take(n: int) -> list[tuple[int, int, int]]:
-        got = []
-        while n:
-            d, s, length = pool.pop()
-            part = min(n, length)
-            got.append((d, s, part))
-            if part < length:
-                pool.append((d, s + part, length - part))
-            n -= part
-        return got
-
-    for i, w in enumerate(done):
-        w += take(capacity - fill[i])
-    left = total - keep * capacity
+    windows = [[x for i in p for x in bundles[i]] for p in parts if p]
+    return out + (_fitted(windows, capacity, m) if most > capacity else windows)
+
+
+def _bundled(pieces: list[tuple[int, int, int]], least: int) -> list[list[tuple[int, int, int]]]:
+    """Neighbouring small pieces are dealt as one, so that many tiny documents do not slow the differencing."""
+    out, small, size = [], [], 0
+    for x in pieces:
+        if x[2] >= least:
+            out.append([x])
+            continue
+        if size + x[2] > least:
+            out.append(small)
+            small, size = [], 0
+        small.append(x)
+        size += x[2]
+    return out + ([small] if small else [])
+
+
+def _cut(pieces: list[tuple[int, int, int]], n: int) -> list[tuple[int, int, int]]:
+    """Takes the last ``n`` tokens off a list of pieces."""
+    got = []
+    while n:
+        d, start, length = pieces.pop()
+        part = min(n, length)
+        got.append((d, start + length - part, part))
+        if part < length:
+            pieces.append((d, start, length - part))
+        n -= part
+    return got
+
+
+def _taken(pieces: list[tuple[int, int, int]], n: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(what is left, n tokens of the largest pieces)."""
+    left = sorted(pieces, key=lambda x: x[2])
+    got = _cut(left, n)
+    return left, got
+
+
+def _powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Sequences whose lengths are different powers of two."""
+    out, left = [], sum(x[2] for x in pieces)
     while left:
         size = 1 << (left.bit_length() - 1)
-        done.append(take(size))
+        out.append(_cut(pieces, size))
         left -= size
-    return done
+    return out
+
+
+def _fitted(windows: list[list[tuple[int, int, int]]], capacity: int, m: int) -> list[list[tuple[int, int, int]]]:
+    """Tokens beyond the capacity move to windows with room; m windows hold everything."""
+    windows = windows + [[] for _ in range(m - len(windows))]
+    fill = [sum(x[2] for x in w) for w in windows]
+    loose = []
+    for w, n in zip(windows, fill):
+        if n > capacity:
+            w.sort(key=lambda x: x[2])  # one cut goes through the largest piece
+            loose += _cut(w, n - capacity)
+    for w, n in zip(windows, fill):
+        if n < capacity and loose:
+            w += _cut(loose, min(capacity - n, sum(x[2] for x in loose)))
+    return [w for w in windows if w]
 
 
 #: The tokenizer's own split of lower-cased text, a fixed value; a line feed stands between words here.
@@ -150,9 +197,9 @@ class _Arena:
 class WordTokenizer:
     """Ids of whole texts by way of their words: the tokenizer never looks across white space.
 
-    A new plain word is split into the tokenizer's own pieces, which many words share; only new
-    pieces are encoded, all in one text, where each ends with the token that ends a word. Exact for
-    tokenizers that lower-case, drop white space, split so and mark ends of words.
+    The distinct words of a slice of texts are split into the tokenizer's own pieces, which many words
+    share; only new pieces are encoded, all in one text, where each ends with the token that ends
+    a word. Exact for tokenizers that lower-case, drop white space, split so and mark ends of words.
     """
 
     def __init__(self, path: str):
@@ -166,8 +213,6 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.words = _Arena()
         self.pieces: dict[str, int] = {}
         self.parts = _Arena()
         self.pieces["\n"] = self.parts.add(np.zeros(0, np.uint32), np.array([0]))[0]
@@ -183,74 +228,95 @@ class WordTokenizer:
             return self._each(pieces)
         return ids, np.diff(last, prepend=-1)
 
-    def _add(self, words: list[bytes]) -> None:
-        """Learns words: plain ones by their pieces, odd ones by themselves."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        if ODD.search("\n".join(texts)):
-            odd = [bool(ODD.search(t)) for t in texts]
-            self.known.update(zip([w for w, o in zip(words, odd) if o], self.words.add(*self._each([t for t, o in zip(texts, odd) if o]))))
-            words, texts = [w for w, o in zip(words, odd) if not o], [t for t, o in zip(texts, odd) if not o]
-        if not words:
-            return
-        split = PIECES.findall("\n".join(texts).lower())
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each word's begin, how many it has): plain words by their pieces, odd ones by themselves."""
+        joined, odd = "\n".join(words), []
+        if ODD.search(joined):
+            odd = [i for i, w in enumerate(words) if ODD.search(w)]
+            plain = list(words)
+            for i in odd:
+                plain[i] = ""
+            joined = "\n".join(plain)
+        split = PIECES.findall(joined.lower())
+        if self.parts.n > CACHED_PIECES:
+            self.clear()
         new = list(set(split) - self.pieces.keys())
         if new:
             self.pieces.update(zip(new, self.parts.add(*self._encoded(new))))
         at = np.fromiter(map(self.pieces.__getitem__, split), np.int64, len(split))
         ids, size = self.parts.gather(at)
         per = np.bincount(np.cumsum(at == 0), weights=size, minlength=len(words)).astype(np.int64)
-        self.known.update(zip(words, self.words.add(ids, per)))
-
-    def encode_batch(self, texts: list[str], end: int) -> list[np.ndarray]:
-        """Each text's ids and the end id."""
-        split = [t.encode("utf-8", "replace").split() for t in texts]  # at ASCII white space
-        if self.words.n > CACHED_WORDS or self.parts.n > CACHED_WORDS:
-            self.clear()
-        new = set().union(*split) - self.known.keys()
-        if new:
-            self._add(list(new))
-        counts = [len(w) for w in split]
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
-        ids, size = self.words.gather(at)
-        cuts = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *counts])]
-        tail = np.array([end], np.uint32)
-        return [np.concatenate([ids[a:b], tail]) for a, b in zip(cuts[:-1], cuts[1:])]
+        begin = np.cumsum(per) - per
+        if odd:
+            own, sizes = self._each([words[i] for i in odd])
+            begin[odd], per[odd] = len(ids) + np.cumsum(sizes) - sizes, sizes
+            ids = np.concatenate([ids, own])
+        return ids, begin, per
+
+    def encode_batch(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by the end id; where each text begins)."""
+        texts = valid(texts).cast(pa.large_string()).fill_null("")
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        ids, begin, per = self._words(words.dictionary.to_pylist())
+        at = words.indices.to_numpy(zero_copy_only=False)
+        size = per[at]
+        total = np.concatenate([[0], np.cumsum(size)])
+        body = np.arange(int(total[-1])) + np.repeat(begin[at] - total[:-1], size)
+        bounds = np.asarray(lists.offsets)
+        cuts = total[bounds - bounds[0]]
+        length = np.diff(cuts)
+        out = np.full(int(cuts[-1]) + len(length), end, np.uint32)
+        out[np.arange(len(body)) + np.repeat(np.arange(len(length)), length)] = ids[body]
+        return out, np.concatenate([[0], np.cumsum(length + 1)])
 
     def encode(self, text: str, end: int) -> np.ndarray:
-        return self.encode_batch([text], end)[0]
+        return self.encode_batch(pa.array([text], pa.string()), end)[0]
 
 
 def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, group: int = GROUP) -> DataFrame:
     """One row for each piece; ``sequence_id`` is unique over the table, ``ids`` are the piece's tokens."""
 
+    def pieces(docs: pa.Array, ids: np.ndarray, offsets: np.ndarray, sequence: int) -> tuple[pa.RecordBatch, int]:
+        windows = plan(np.diff(offsets), capacity)
+        doc, start, length = (np.array(c, np.int64) for c in zip(*(x for w in windows for x in w)))
+        per = np.array([len(w) for w in windows])
+        first = np.repeat(np.cumsum(per) - per, per)
+        before = np.cumsum(length) - length
+        begin = offsets[doc] + start
+        texts = [ids[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + length).tolist())]
+        columns = [
+            docs.take(pa.array(doc)), start, length, [zlib.crc32(t) for t in texts], np.diff(offsets)[doc],
+            sequence + np.repeat(np.arange(len(windows)), per), before - before[first],
+        ]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(texts, pa.binary())], names), sequence + len(windows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(tokenizer_path)
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
-        docs, ids, total = [], [], 0
-
-        def flush():
-            nonlocal sequence
-            rows = []
-            for window in plan(np.array([len(x) for x in ids], np.int64), capacity):
-                offset = 0
-                for d, start, length in window:
-                    piece = ids[d][start : start + length].astype("<u4")
-                    rows.append((docs[d], start, length, zlib.crc32(piece.tobytes()), len(ids[d]), sequence, offset, piece.tobytes()))
-                    offset += length
-                sequence += 1
-            kinds = [pa.int64()] * 7 + [pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-        for part in (p for batch in batches for p in slices(batch)):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            for doc, x in zip(part.column("doc_id").to_pylist(), tokenizer.encode_batch(texts, end_id)):
-                docs.append(doc)
-                ids.append(x)
-                total += len(x)
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        total = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal sequence, held, total
+            docs = pa.concat_arrays([d for d, _, _ in held])
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, _, o in held]))])
+            out, sequence = pieces(docs, np.concatenate([i for _, i, _ in held]), offsets, sequence)
+            held, total = [], 0
+            return out
+
+        for part in (p for batch in batches for p in slices(batch, limit=SLICE)):
+            ids, offsets = tokenizer.encode_batch(part.column("text"), end_id)
+            docs, a = part.column("doc_id"), 0
+            while a < len(docs):
+                # up to the document that completes the group
+                b = min(len(docs), int(np.searchsorted(offsets, offsets[a] + group - total)))
+                held.append((docs.slice(a, b - a), ids[offsets[a] : offsets[b]].astype("<u4"), offsets[a : b + 1]))
+                total += int(offsets[b] - offsets[a])
+                a = b
                 if total >= group:
                     yield flush()
-                    docs, ids, total = [], [], 0
-        if ids:
+        if held:
             yield flush()
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]

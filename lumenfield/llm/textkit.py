@@ -39,6 +39,16 @@ def lowered(table: np.ndarray) -> np.ndarray:
     return out
 
 
+def valid(column: pa.Array) -> pa.Array:
+    """The texts themselves, or with replacement characters where bytes are no UTF-8."""
+    try:
+        column.validate(full=True)
+        return column
+    except pa.ArrowInvalid:
+        raw = column.cast(pa.large_binary()).to_pylist()
+        return pa.array([None if t is None else t.decode("utf-8", "replace") for t in raw], pa.large_string())
+
+
 def caseless(column: pa.Array) -> pa.Array:
     """Texts in lower case, whatever the script; bytes that are no UTF-8 become replacement characters."""
     try:
