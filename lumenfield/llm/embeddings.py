@@ -28,8 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .components import connected_components
-from .minhash import Forest
+from .components import connected_components, forest
 from .workspace import Workspace, ship
 
 SAMPLE, SUBSPACES, CODES, CENTRES = 16_384, 16, 256, 4096
@@ -171,19 +170,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, sigmas: floa
                 near = np.concatenate([np.einsum("ij,ij->i", xs[i[a : a + 65536]], xm[j[a : a + 65536]]) >= threshold for a in range(0, len(i), 65536)]) if len(i) else np.zeros(0, bool)
                 i, j = i[near], j[near]
                 links = np.bincount(i, copies[m[j]], minlength=len(s)).astype(np.int64)
-                ids = np.unique(rep)
-                forest = Forest(np.arange(len(ids)))
-                bounds = np.searchsorted(i, np.arange(len(s) + 1))
-                for k in np.flatnonzero(links).tolist():
-                    a = int(np.searchsorted(ids, rep[s[k]]))
-                    to = np.searchsorted(ids, rep[m[j[bounds[k] : bounds[k + 1]]]])
-                    new = to[forest.label[to] != forest.label[a]]
-                    if len(new):
-                        _, one = np.unique(forest.label[new], return_index=True)
-                        out["rep"] += [rep[s[k]]] * len(one)
-                        out["links"] += [0] * len(one)
-                        out["other"] += ids[new[one]].tolist()
-                        forest.join(a, new)
+                node, root = forest(rep[s[i]], rep[m[j]])
+                out["rep"] += node.tolist()
+                out["links"] += [0] * len(node)
+                out["other"] += root.tolist()
                 some = np.flatnonzero(links)
                 out["rep"] += rep[s[some]].tolist()
                 out["links"] += links[some].tolist()

@@ -13,7 +13,8 @@ import pyarrow as pa
 import pytest
 
 import public_tokenizers
-from lumenfield.llm import decontaminate, minhash, packing, quality, queries, secrets, substring
+from lumenfield.llm import components, decontaminate, minhash, packing, quality, queries, secrets, substring
+from lumenfield.llm.workspace import Workspace
 from lumenfield.llm.textkit import caseless
 
 SPACE = "[^\x20\x09-\x0D]+"
@@ -85,9 +86,40 @@ def test_region_edges_are_a_spanning_forest():
     base = rng.integers(0, 1 << 8, minhash.HASHES).astype(np.uint8)
     sig = np.repeat(base[None], 50, 0)
     sig[10:20] = rng.integers(0, 1 << 8, (10, minhash.HASHES))
-    pairs = minhash._region_edges(sig, 84)
+    pairs = minhash.spanning(np.arange(50), minhash._agreeing(sig, 84))
     joined = {i for p in pairs for i in p}
-    assert joined == set(range(50)) - set(range(10, 20)) and len(pairs) == 39
+    assert joined == set(range(50)) - set(range(10, 20)) and len(pairs[0]) == 39
+
+
+@pytest.mark.parametrize("limit", [3, 40, 10**6])
+def test_components_whatever_a_task_holds(spark, limit):
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(100), rng.randrange(100)) for _ in range(60)] + [(7, None), (None, None), (300, 300)]
+    parent = list(range(200))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    table = spark.createDataFrame(edges, "src long, dst long").repartition(3)
+    got = {r.node: r.component for r in components.connected_components(Workspace(spark, "test"), table, limit=limit).collect()}
+    assert got == {n: find(n) for n in {x for a, b in edges if a != b and None not in (a, b) for x in (a, b)}}
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_own_text(spark):
+    rng = random.Random(1)
+    one, two, three = (" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100)) for _ in range(3))
+    rows = [(1, one), (1, two), (1, two), (2, three), (3, two + " x"), (4, one + " x")]
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect())
+    assert got == [(1, 1)] * 3 + [(2, 2), (3, 1), (4, 1)]
+    # the smallest id of each text's own component counts
+    rows = [(9, one), (9, two), (3, two + " x"), (4, one + " x")]
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect())
+    assert got == [(3, 3), (4, 4), (9, 3), (9, 4)]
 
 
 def test_crowded_regions_are_cut_deeper_without_losing_links(spark, monkeypatch):
@@ -105,6 +137,13 @@ def test_crowded_regions_are_cut_deeper_without_losing_links(spark, monkeypatch)
     for region in (4, 20):
         monkeypatch.setattr(minhash, "REGION", region)
         assert whole == sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(table, 4).collect())
+    # all orders are crowded to the last value, so that blocks of regions meet
+    monkeypatch.setattr(minhash, "DEPTHS", (1, 1, 1))
+    monkeypatch.setattr(minhash, "_prefix", lambda depth: minhash.F.lit("all"))
+    links = [" ".join(f"v{j}" for j in range(k * 3, k * 3 + 60)) for k in range(40)]  # each near its neighbours only
+    chain = spark.createDataFrame([(100 + i, t) for i, t in enumerate(links)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table.unionByName(chain), 4).collect()}
+    assert got == {**dict(whole), **{100 + i: 100 for i in range(40)}}
 
 
 def test_many_blocks_give_the_same_components(spark, documents, monkeypatch):
