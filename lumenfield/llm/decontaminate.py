@@ -1,22 +1,24 @@
 """Benchmark decontamination by the CGK embedding, bit-sampling LSH and exact edit distance.
 
-Words are runs of ASCII letters and digits and of longer characters, in lower case. A text
-is contaminated by an item of m words if some stretch of it turns into the item with at most
+Words are runs of letters and digits in lower case; in scripts without spaces every letter is a word.
+A text is contaminated by an item of m words if some stretch of it turns into the item with at most
 floor((1 - similarity) * m) word edits.
 
-1. A lossless gate by the q-gram lemma (Ukkonen 1992): an occurrence with e edits keeps at least
-   (m - q + 1) - q * e of the item's q-grams on diagonals at most 2 e apart. It names item-sized
-   windows; everything else of the text cannot match.
-2. The walk of Chakraborty, Goldenberg and Koucky (2016) maps each window and each item to strings
-   whose Hamming distance follows their edit distance: at step j it writes the current word and
-   moves on if bit j of that word's random function says so. ``WALKS`` walks with ``SAMPLES``
-   samples of ``BITS`` places each are the tables of a bit-sampling LSH.
-3. Pairs that meet in a table are confirmed by the exact edit distance.
+1. The walk of Chakraborty, Goldenberg and Koucky (2016) maps each item, and each window of an item's
+   size in a text, to strings whose Hamming distance follows their edit distance: at step j it
+   writes the current word and moves on if bit j of that word's random function says so.
+2. ``WALKS`` walks with ``SAMPLES`` samples of ``BITS`` places each are the tables of a bit-sampling
+   LSH, one set for each size. Windows are looked up there; items of the entries found are candidates.
+3. Candidates are confirmed by the exact edit distance.
+
+Windows that hold too little of the whole benchmark to match any item of their size are not walked:
+by the q-gram lemma (Ukkonen 1992) e edits leave (m - q + 1) - q * e of an item's q-grams. This skips
+no window that could match, and names no item. Equal windows of a text are walked once.
 
 A null or empty text or item matches nothing, as does a row with a null id on either side.
 Repeated documents give repeated rows; items that repeat an item_id count as one, by the smallest
-distance. Extra columns are ignored. The benchmark is worked off in blocks of ``ITEMS`` items, so
-what is sent to executors is bounded whatever its size.
+distance. Bytes that are no UTF-8 count as replacement characters. Extra columns are ignored. The
+benchmark is worked off in blocks of ``ITEMS`` items, so what is sent to executors is bounded whatever its size.
 """
 
 from __future__ import annotations
@@ -28,32 +30,46 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textkit import BYTE_TABLES, PUNCTUATION, Words, caseless, rolling, slices
+from .textkit import BYTE_TABLES, PUNCTUATION, Words, caseless, mix, rolling, separated, slices
 from .workspace import ship
 
 ITEMS = 20_000
 WALKS, SAMPLES, BITS = 6, 24, 3
+#: Windows walked at once.
+WINDOWS = 4096
 _GATE = 1 << 22
+#: Base of the hash that tells equal windows, and its inverse modulo 2 ** 64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+@dataclass
+class Size:
+    """The tables of the items of one size."""
+
+    m: int
+    edits: int
+    gram: int
+    need: int  # grams that an occurrence keeps
+    keys: np.ndarray  # entries of all tables, sorted
+    items: np.ndarray  # the item of each entry
 
 
 @dataclass
 class ItemIndex:
     ids: np.ndarray  # item_id of each item
     words: list[np.ndarray]  # word hashes
-    edits: np.ndarray
-    gram: np.ndarray  # gram length
-    need: np.ndarray  # grams an occurrence keeps
-    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-    keys: list[np.ndarray]  # LSH keys
+    sizes: list[Size]
+    grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by length: values, place in sizes, bitmap
 
 
 def _walk_keys(words: np.ndarray, m: int) -> np.ndarray:
-    """LSH keys (rows, WALKS * SAMPLES) of windows (rows, m)."""
+    """LSH keys (rows, WALKS * SAMPLES) of windows (rows, m); keys of different tables differ."""
     rows = np.arange(len(words))
     padded = np.concatenate([words, np.zeros((len(words), 1), np.uint64)], 1)
     rng = np.random.Generator(np.random.PCG64(m))
     out = []
-    for _ in range(WALKS):
+    for walk in range(WALKS):
         steps = rng.integers(0, 1 << 63, 3 * m, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         at = np.zeros(len(words), np.int64)
         trace = np.empty((len(words), 3 * m), np.uint64)
@@ -63,82 +79,84 @@ def _walk_keys(words: np.ndarray, m: int) -> np.ndarray:
         # most walks are through the window after 2 m steps: later places say little
         places = rng.integers(0, max(1, 2 * m - 2), (SAMPLES, BITS))
         weights = rng.integers(0, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        out.append((trace[:, places] * weights).sum(2, dtype=np.uint64))
+        table = np.arange(walk * SAMPLES, (walk + 1) * SAMPLES, dtype=np.uint64)
+        out.append(mix((trace[:, places] * weights).sum(2, dtype=np.uint64) + table))
     return np.concatenate(out, 1)
 
 
 def index_items(ids: list[int], texts: list[str], similarity: float) -> ItemIndex:
-    found = Words(caseless(pa.array(texts, pa.string())), PUNCTUATION)
+    found = Words(separated(caseless(pa.array(texts, pa.string()))), PUNCTUATION)
     h = found.hashes(BYTE_TABLES[0])
     kept = [(i, h[a:b]) for i, a, b in zip(ids, found.bounds[:-1], found.bounds[1:]) if b > a]
     words = [w for _, w in kept]
-    m = np.array([len(w) for w in words], np.int64)
-    edits = np.floor((1 - similarity) * m + 1e-9).astype(np.int64)
-    gram = np.minimum(3, np.maximum(1, -(-(m - edits) // (edits + 1)))) if len(m) else m
-    need = np.maximum(1, (m - gram + 1) - gram * edits) if len(m) else m
-    tables = {}
-    for g in sorted(set(gram.tolist())):
-        own = np.flatnonzero(gram == g)
-        grams = [rolling(words[i], g) for i in own]
-        values = np.concatenate(grams)
-        item = np.repeat(own, [len(x) for x in grams])
-        offset = np.concatenate([np.arange(len(x)) for x in grams])
+    length = np.array([len(w) for w in words], np.int64)
+    sizes, held = [], {}
+    for m in np.unique(length).tolist():
+        own = np.flatnonzero(length == m)
+        e = int((1 - similarity) * m + 1e-9)
+        g = min(3, max(1, -(-(m - e) // (e + 1))))
+        keys = _walk_keys(np.stack([words[i] for i in own]), m)
+        order = np.argsort(keys.reshape(-1), kind="stable")
+        held.setdefault(g, []).append((np.unique(np.concatenate([rolling(words[i], g) for i in own])), len(sizes)))
+        sizes.append(Size(m, e, g, max(1, (m - g + 1) - g * e), keys.reshape(-1)[order], np.repeat(own, keys.shape[1])[order]))
+    grams = {}
+    for g, parts in held.items():
+        values = np.concatenate([v for v, _ in parts])
+        place = np.repeat([k for _, k in parts], [len(v) for v, _ in parts])
         order = np.argsort(values, kind="stable")
         gate = np.zeros(_GATE, bool)
         gate[values & np.uint64(_GATE - 1)] = True
-        tables[g] = (values[order], item[order], offset[order], gate)
-    return ItemIndex(np.array([i for i, _ in kept], np.int64), words, edits, gram, need, tables, [_walk_keys(w[None], len(w))[0] for w in words])
-
-
-def _windows(index: ItemIndex, h: np.ndarray, bounds: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(row, item, first, last): starts of the windows that pass the gate."""
-    out = []
-    for g, (values, item, offset, gate) in index.tables.items():
+        grams[g] = (values[order], place[order], gate)
+    return ItemIndex(np.array([i for i, _ in kept], np.int64), words, sizes, grams)
+
+
+def _starts(size: Size, pos: np.ndarray, bounds: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Starts of the windows of a size that may match: pos are the places of benchmark grams, row their texts."""
+    last = np.arange(len(pos)) + size.need - 1
+    ok = last < len(pos)
+    last = np.minimum(last, len(pos) - 1)
+    room = size.m + size.edits - size.gram
+    ok &= (row[last] == row) & (pos[last] - pos <= room + size.edits)
+    low = np.maximum(bounds[row], pos[last] - room)[ok]
+    n = np.maximum(np.minimum(pos + size.edits, bounds[row + 1] - 1)[ok] - low + 1, 0)
+    return np.unique(np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n))
+
+
+def _candidates(index: ItemIndex, h: np.ndarray, bounds: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, Size]]:
+    """(starts, items, size): windows and the items whose table entries they share."""
+    powers = np.full(len(h), _BASE, np.uint64)
+    back = np.full(len(h), _INVERSE, np.uint64)
+    if len(h):
+        powers[0] = back[0] = 1
+    before = np.concatenate([[np.uint64(0)], np.cumsum(h * np.multiply.accumulate(powers))])
+    back = np.multiply.accumulate(back)
+    for g, (values, place, gate) in index.grams.items():
         roll = rolling(h, g)
         pos = np.flatnonzero(gate[roll & np.uint64(_GATE - 1)])
         pos = pos[owner[pos] == owner[pos + g - 1]]
         lo, hi = np.searchsorted(values, roll[pos], "left"), np.searchsorted(values, roll[pos], "right")
         n = hi - lo
-        pos = np.repeat(pos, n)
-        if not len(pos):
-            continue
-        at = np.arange(len(pos)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        it, diag = item[at], pos - offset[at]
-        key = owner[pos] * len(index.ids) + it
-        order = np.lexsort((diag, key))
-        key, diag, it = key[order], diag[order], it[order]
-        last = np.arange(len(key)) + index.need[it] - 1
-        ok = last < len(key)
-        last = np.minimum(last, len(key) - 1)
-        ok &= (key[last] == key) & (diag[last] - diag <= 2 * index.edits[it])
-        for i in np.flatnonzero(ok).tolist():
-            row = int(key[i]) // len(index.ids)
-            a, b = int(diag[i]), int(diag[last[i]])
-            if out and out[-1][:2] == (row, int(it[i])) and a <= out[-1][3] + 1:
-                out[-1] = (*out[-1][:3], max(b, out[-1][3]))
-            else:
-                out.append((row, int(it[i]), a, b))
-    return out
-
-
-def _meets(index: ItemIndex, h: np.ndarray, bounds: np.ndarray, found: list[tuple[int, int, int, int]]) -> list[bool]:
-    """Whether a window of the range shares an LSH table entry with its item."""
-    out = [False] * len(found)
-    by_length: dict[int, list[int]] = {}
-    for k, (_, it, _, _) in enumerate(found):
-        by_length.setdefault(len(index.words[it]), []).append(k)
-    for m, ks in by_length.items():
-        for some in (ks[i : i + 200] for i in range(0, len(ks), 200)):
-            starts = [np.arange(found[k][2], found[k][3] + 1) for k in some]
-            who = np.repeat(some, [len(s) for s in starts])
-            places = np.concatenate(starts)[:, None] + np.arange(m)
-            rows = np.array([found[k][0] for k in who])
-            inside = (places >= bounds[rows][:, None]) & (places < bounds[rows + 1][:, None])
-            window = np.where(inside, h[np.clip(places, 0, len(h) - 1)], np.uint64(0))
-            same = (_walk_keys(window, m) == np.stack([index.keys[found[k][1]] for k in who])).any(1)
-            for k in who[same].tolist():
-                out[k] = True
-    return out
+        at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+        pos, which = np.repeat(pos, n), place[at]
+        for k in np.unique(which).tolist():
+            size, own = index.sizes[k], pos[which == k]
+            start = _starts(size, own, bounds, owner[own])
+            if not len(start):
+                continue
+            end = np.minimum(start + size.m, bounds[owner[start] + 1])
+            name = mix((before[end] - before[start]) * back[start] + (end - start).astype(np.uint64)) ^ mix(owner[start].astype(np.uint64))
+            start = np.sort(start[np.unique(name, return_index=True)[1]])
+            for some in (start[a : a + WINDOWS] for a in range(0, len(start), WINDOWS)):
+                places = some[:, None] + np.arange(size.m)
+                inside = places < bounds[owner[some] + 1][:, None]
+                keys = _walk_keys(np.where(inside, h[np.minimum(places, len(h) - 1)], np.uint64(0)), size.m).reshape(-1)
+                a, b = np.searchsorted(size.keys, keys, "left"), np.searchsorted(size.keys, keys, "right")
+                met = np.flatnonzero(b > a)
+                c = (b - a)[met]
+                entry = np.arange(int(c.sum())) + np.repeat(a[met] - (np.cumsum(c) - c), c)
+                pairs = np.unique(np.stack([size.items[entry], some[np.repeat(met, c) // (WALKS * SAMPLES)]], 1), axis=0)
+                if len(pairs):
+                    yield pairs[:, 1], pairs[:, 0], size
 
 
 def edit_distance_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -156,20 +174,22 @@ def edit_distance_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 def _matches(index: ItemIndex, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item_id, edits, item's words, end word)."""
-    found = Words(caseless(column), PUNCTUATION)
-    h, bounds = found.hashes(BYTE_TABLES[0]), found.bounds
-    windows = _windows(index, h, bounds, found.owner())
+    found = Words(separated(caseless(column)), PUNCTUATION)
+    h, bounds, owner = found.hashes(BYTE_TABLES[0]), found.bounds, found.owner()
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for (row, it, first, last), meets in zip(windows, _meets(index, h, bounds, windows)):
-        if not meets:
-            continue
-        item, e = index.words[it], int(index.edits[it])
-        a, b = max(int(bounds[row]), first - e), min(int(bounds[row + 1]), last + len(item) + e)
-        edits, end = edit_distance_within(item, h[a:b])
-        if edits <= e:
-            key, value = (row, int(index.ids[it])), (edits, a + end - int(bounds[row]), len(item))
-            if key not in best or value < best[key]:
-                best[key] = value
+    for starts, items, size in _candidates(index, h, bounds, owner):
+        rows = owner[starts]
+        a = np.maximum(bounds[rows], starts - size.edits)
+        b = np.minimum(bounds[rows + 1], starts + size.m + size.edits)
+        # windows of one text and item that overlap are judged together
+        apart = np.flatnonzero((np.diff(items) != 0) | (np.diff(rows) != 0) | (a[1:] > b[:-1])) + 1
+        for i, j in zip([0, *apart.tolist()], [*apart.tolist(), len(items)]):
+            low, high, item, row = int(a[i]), int(b[j - 1]), int(items[i]), int(rows[i])
+            edits, end = edit_distance_within(index.words[item], h[low:high])
+            if edits <= size.edits:
+                key, value = (row, int(index.ids[item])), (edits, low + end - int(bounds[row]), size.m)
+                if key not in best or value < best[key]:
+                    best[key] = value
     for (row, item_id), (edits, end, m) in sorted(best.items()):
         yield row, item_id, edits, m, end
 

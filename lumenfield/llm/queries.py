@@ -58,10 +58,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of pages: the toxic mark of the labels table for the page's id, and the seed words of hosts."""
+    """A page is labelled by the toxic mark of the document that the number in its url's path names."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    marks = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("toxic").alias("bad"))
-    return urls.judge(pages, urls.seeded(pages, marks))
+    named = pages.select("page_id", urls.document_number(F.col("url")).alias("doc_id")).where("doc_id is not null")
+    marks = named.join(_table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id").select("page_id", F.col("toxic").alias("bad"))
+    return urls.judge(pages, marks)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -109,6 +110,40 @@ def _secrets_sql() -> str:
 SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in secrets.KINDS)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM d LEFT JOIN found USING (doc_id)"""
 
 
+def _urls_sql() -> str:
+    """Rules are enumerated: every combination of up to ITEMS tokens of a labelled page is counted."""
+    order = sorted(urls.RULES, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[0] != "block"))
+    fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{{}}'".format(v) for v, h, p in order)
+    named = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for v, h, p in order)
+    fold = lambda x: f"list_transform({x}, lambda w: regexp_replace(w, '[0-9]+', '0', 'g'))"
+    some = lambda kind, x: f"list_transform(list_filter({x}, lambda w: w <> ''), lambda w: '{kind}:' || w)"
+    words = fold("flatten(list_transform(ls[1:greatest(len(ls) - 2, 0)], lambda x: string_split_regex(x, '[-_]')))")
+    parts = [some("domain", "[array_to_string(ls[greatest(len(ls) - 1, 1):], '.')]"), some("word", words), some("step", fold("string_split(path, '/')")), some("query", "list_transform(string_split(q, '&'), lambda x: string_split(x, '=')[1])")]
+    every = parts[0]
+    for part in parts[1:]:
+        every = f"list_concat({every}, {part})"
+    combos = []
+    for n in range(1, urls.ITEMS + 1):
+        names = [f"t{k}" for k in range(n)]
+        tables = "terms t0 " + " ".join(f"JOIN terms {b} ON {b}.page_id = t0.page_id AND {b}.token > {a}.token" for a, b in zip(names, names[1:]))
+        combos.append(f"SELECT [{', '.join(f'{t}.token' for t in names)}] AS a, t0.page_id, t0.bad FROM {tables}")
+    return rf"""WITH u AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  s AS (SELECT page_id, url, translate(regexp_extract(coalesce(rest, ''), '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(rest, ''), '(?s)^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(url, ''), '(?s)\?([^#]*)', 1) AS q FROM u),
+  p AS MATERIALIZED (SELECT *, CASE WHEN host <> '' THEN list_sort(list_distinct({every})) ELSE []::VARCHAR[] END AS items FROM (SELECT *, string_split(host, '.') AS ls FROM s)),
+  known AS MATERIALIZED (SELECT page_id, max(toxic) AS bad FROM p JOIN labels ON doc_id = try_cast(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT) WHERE toxic IN (0, 1) GROUP BY page_id),
+  every AS (SELECT page_id, bad, unnest(items) AS token FROM p JOIN known USING (page_id)),
+  twins AS (SELECT min(token) AS token FROM (SELECT token, list_sort(array_agg(page_id)) AS held FROM every GROUP BY token) GROUP BY held),
+  terms AS MATERIALIZED (SELECT * FROM every SEMI JOIN (SELECT token FROM every SEMI JOIN twins USING (token) GROUP BY token HAVING sum(bad) >= {urls.LEAST_COUNT}) x USING (token)),
+  combos AS (SELECT a, count(*) AS n, sum(bad) AS b FROM ({" UNION ALL ".join(combos)}) GROUP BY a),
+  rules AS MATERIALIZED (SELECT a, b / n AS confidence FROM combos, (SELECT count(*) AS total, sum(bad) AS bads FROM known)
+    WHERE b >= {urls.LEAST_COUNT} AND b / n >= {urls.CONFIDENCE} AND b / n * total / bads >= {urls.LIFT}),
+  pruned AS (SELECT * FROM rules r WHERE NOT EXISTS (SELECT 1 FROM rules o WHERE len(o.a) < len(r.a) AND list_has_all(r.a, o.a) AND o.confidence >= r.confidence)),
+  hit AS (SELECT page_id, max(struct_pack(c := confidence, m := array_to_string(a, ' & '))).m AS mined FROM p JOIN pruned ON list_has_all(items, a) GROUP BY page_id),
+  fixed AS (SELECT page_id, host, path, CASE {named} END AS rule, CASE {fits} END AS v FROM p)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN mined IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN rule IS NULL THEN mined END AS mined FROM fixed LEFT JOIN hit USING (page_id)"""
+
+
 #: DuckDB SQL where it can express the operator on whole tables.
 ORACLES: dict[str, str] = {
     "op1_warc": """
@@ -138,4 +173,5 @@ WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[
   kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
   cut AS (SELECT doc_id, count(*) AS c FROM gone GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(c, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)""",
+    "op10_url_filter": _urls_sql(),
 }

@@ -58,6 +58,22 @@ def caseless(column: pa.Array) -> pa.Array:
         return pa.array([None if t is None else t.decode("utf-8", "replace").lower() for t in raw], pa.large_string())
 
 
+#: Letters of scripts that write no spaces, and all that separates words beyond ASCII.
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+_SEPARATOR = r"[\p{P}\p{S}\p{Z}\p{C}]+"
+_PLAIN = r"^[\x00-\x7f\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]*$"
+
+
+def separated(column: pa.Array) -> pa.Array:
+    """Texts whose words stand apart: spaces for separators in any script, and around letters of scripts without spaces."""
+    column = column.cast(pa.large_string())
+    plain = pc.fill_null(pc.match_substring_regex(column, _PLAIN), True)
+    if pc.all(plain).as_py() is not False:
+        return column
+    other = pc.replace_substring_regex(pc.filter(column, pc.invert(plain)), _SEPARATOR, " ")
+    return pc.replace_with_mask(column, pc.invert(plain), pc.replace_substring_regex(other, _UNSPACED, r" \1 "))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser in the manner of the public-domain splitmix generator."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -1,18 +1,21 @@
 """URL filter: fixed host and path rules first, association rules mined by FP-growth for the rest.
 
 A url's tokens are its host's last two labels, the words of the labels before them, the path's
-segments with digits folded, and the names of its query's parameters. Pages labelled bad give transactions of
-tokens; FP-growth finds the combinations that a fixed small number of them share, so that a rare host gives
-a rule in a table of any size. Rules stay if their confidence and lift over all labelled pages suffice and no
-shorter rule of at least the same confidence is contained in them. They are matched through an inverted index: each rule hangs from its rarest
-token, a url's tokens look up that index, and a rule fires when all its tokens are there.
+segments with digits folded, and the names of its query's parameters. Labels say of some pages whether
+they are bad. FP-growth sees the bad ones and finds the combinations that a fixed small number of
+them share, so that a rare host gives a rule in a table of any size. Rules stay if their confidence
+and lift over all labelled pages suffice and no shorter rule of at least the same confidence is
+contained in them. They are matched through an inverted index: each rule hangs from the token that
+fewest urls hold, a url's tokens look up that index, and a rule fires when all its tokens are there.
 
-Tokens that every tenth of the labelled pages holds at least say nothing alone; the lift sees to it.
-A rule has four items at most; the number of rules grows with the number of bad hosts and paths.
+Tokens that the same labelled pages hold count as one, the first in the alphabet: a long path that many
+bad pages repeat gives one item instead of a power of two of combinations. A rule has ``ITEMS``
+items at most; the number of rules grows with the number of bad hosts and paths.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule and the verdict
-allow. Labels other than 0 and 1 and null ids do not teach. Without labels of both kinds no rule is
-mined. Repeated rows get equal verdicts. Extra columns are ignored.
+allow. Labels other than 0 and 1 and null ids do not teach; of contradicting labels the higher counts.
+Without labels of both kinds, or with fewer than ``LEAST_COUNT`` bad pages, no rule is mined. Of rules
+of one confidence the last in the alphabet is named. Repeated rows get equal verdicts. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +34,6 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 LEAST_COUNT, CONFIDENCE, LIFT, ITEMS = 5, 0.8, 1.5, 4
-#: Words in a host that make a page a labelled bad one, whatever else is known of it.
-SEED_WORDS = ("adult", "bets", "casino", "pills", "porn", "spam", "track", "warez")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -58,22 +59,27 @@ def tokens(url: Column) -> Column:
     host, path = split_url(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    domain = F.array(F.concat(F.lit("domain:"), F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), F.lit(2)), ".")))
+    some = lambda kind, parts: F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.concat(F.lit(kind + ":"), x))
+    folded = lambda x: F.regexp_replace(x, "[0-9]+", "0")
+    domain = F.array(F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), F.lit(2)), "."))
     inner = F.slice(labels, F.lit(1), F.greatest(n - 2, F.lit(0)))
-    words = F.transform(F.flatten(F.transform(inner, lambda x: F.split(x, "[-_]"))), lambda x: F.concat(F.lit("word:"), F.regexp_replace(x, "[0-9]+", "0")))
-    steps = F.transform(F.split(path, "/"), lambda x: F.concat(F.lit("step:"), F.regexp_replace(x, "[0-9]+", "0")))
-    query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
-    names = F.transform(F.split(query, "&"), lambda x: F.concat(F.lit("query:"), F.split(x, "=")[0]))
-    every = F.concat(domain, words, steps, names)
-    found = F.array_sort(F.array_distinct(F.filter(every, lambda x: ~F.substring_index(x, ":", -1).isin("") & ~x.startswith("="))))
-    return F.when(host != "", found).otherwise(F.array().cast("array<string>"))
+    words = F.transform(F.flatten(F.transform(inner, lambda x: F.split(x, "[-_]"))), folded)
+    steps = F.transform(F.split(path, "/"), folded)
+    names = F.transform(F.split(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), "&"), lambda x: F.split(x, "=")[0])
+    every = F.concat(some("domain", domain), some("word", words), some("step", steps), some("query", names))
+    return F.when(host != "", F.array_sort(F.array_distinct(every))).otherwise(F.array().cast("array<string>"))
 
 
-def seeded(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(page_id, bad): the given labels, and bad for every page whose host has a seed word."""
-    words = F.split(split_url(F.col("url"))[0], "[-._]")
-    seeds = pages.where(F.arrays_overlap(words, F.array(*map(F.lit, SEED_WORDS)))).select("page_id", F.lit(1).alias("bad"))
-    return labels.select("page_id", F.col("bad").cast("int").alias("bad")).unionByName(seeds)
+def document_number(url: Column) -> Column:
+    """The number that the first path segment with leading digits starts with; null without one."""
+    return F.regexp_extract(split_url(url)[1], "/([0-9]+)", 1).try_cast("long")
+
+
+def distinct_in(sets: DataFrame) -> DataFrame:
+    """(token) of sets (items, pages): of tokens that lie in the same sets, only the first in the alphabet."""
+    terms = sets.select(F.explode("items").alias("token"), *[F.xxhash64("items", F.lit(salt)).alias(f"h{salt}") for salt in (1, 2)])
+    where = terms.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"))
+    return where.groupBy("n", "h1", "h2").agg(F.min("token").alias("token")).select("token")
 
 
 def counted(sets: DataFrame, wanted: DataFrame, items: int) -> DataFrame:
@@ -101,12 +107,14 @@ def mine(pages: DataFrame, labels: DataFrame, count: int = LEAST_COUNT, confiden
     known = labels.where("page_id is not null and bad in (0, 1)").groupBy("page_id").agg(F.max("bad").alias("bad"))
     work = Workspace(pages.sparkSession, "urls")
     sets = pages.join(known, "page_id").groupBy(tokens(F.col("url")).alias("items")).agg(F.count("*").alias("pages"), F.sum("bad").alias("bad"))
-    sets = work.save(sets, "sets")
+    sets = work.save(sets.withColumn("set", F.monotonically_increasing_id()), "sets")
     total, bad = sets.agg(F.sum("pages"), F.sum("bad")).first()
     # a combination seen on a few pages only says nothing, however small the table
     if (bad or 0) < count:
         return pages.sparkSession.createDataFrame([], "rule_id string, antecedent array<string>, confidence double, lift double, support double")
-    deals = sets.where("bad > 0").select("items", F.explode(F.sequence(F.lit(1), F.col("bad"))).alias("_")).select("items")
+    terms = sets.where("bad > 0").select("set", "bad", F.explode("items").alias("token"))
+    deals = terms.join(distinct_in(sets), "token", "left_semi").groupBy("set", "bad").agg(F.collect_list("token").alias("items"))
+    deals = work.save(deals.select("items", F.explode(F.sequence(F.lit(1), F.col("bad"))).alias("_")).select("items"), "deals")
     # half a page less, so that no rounding of the quotient asks for one more
     model = FPGrowth(itemsCol="items", minSupport=(count - 0.5) / bad).fit(deals)
     common = model.freqItemsets.where(F.size("items") <= items).select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("bad"))
@@ -131,17 +139,20 @@ def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
     The url is judged once for each distinct set of tokens; the index maps a rule's rarest token to the rule.
     """
     sets = pages.select(tokens(F.col("url")).alias("items")).distinct()
-    postings = sets.select(F.explode("items").alias("token"), "items")
     terms = rules.select("rule_id", "antecedent", "confidence", F.explode("antecedent").alias("token"))
-    # the rarest token by the number of rules that hold it is the one looked up
-    often = terms.groupBy("token").agg(F.count("*").alias("often"))
+    postings = sets.select(F.explode("items").alias("token"), "items").join(terms.select("token").distinct(), "token", "left_semi")
+    # of a rule's tokens the one that fewest urls hold is looked up; one that none holds cannot fire
+    often = postings.groupBy("token").agg(F.count("*").alias("often"))
     key = terms.join(often, "token").groupBy("rule_id").agg(F.min(F.struct("often", "token"))["token"].alias("token"), F.first("antecedent").alias("antecedent"), F.first("confidence").alias("confidence"))
     hits = postings.join(key, "token").where(F.size(F.array_except("antecedent", "items")) == 0)
     return hits.groupBy("items").agg(F.max(F.struct("confidence", F.array_join("antecedent", " & ").alias("mined")))["mined"].alias("mined"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, fixed=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, mined (the association rule that blocks, else null)."""
+    """page_id, host, path, rule, verdict, mined (the association rule that blocks, else null).
+
+    labels: (page_id, bad), bad 1 for pages to block, 0 for others.
+    """
     rows = pages.select("page_id", "url")
     known = labels.where("page_id is not null")
     found = matched(rows, mine(rows, known)).withColumnRenamed("items", "_items")
