@@ -97,14 +97,14 @@ def _secrets_sql() -> str:
     kinds = [_sql_matches(kind, kind, rank, p, group) for rank, (kind, (p, group, _)) in enumerate(secrets.KINDS.items())]
     base = " UNION ALL ".join(f"SELECT * FROM {kind} WHERE length(v) >= {least}" for kind, (_, _, least) in secrets.KINDS.items())
     allowed = " OR ".join(f"regexp_matches(w, '{p}')" for p in secrets.ALLOWED)
-    limits, n = secrets.THRESHOLDS, secrets.WINDOW
+    n, limits = secrets.WINDOW, " ".join(f"WHEN regexp_matches(w, '{p}') THEN {least}" for p, least in secrets.CLASSES.values())
     counts = ", ".join(f"count_if(kind = '{kind}')::BIGINT AS n_{kind}" for kind in secrets.KINDS)
     joined = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank)"
     return f"""WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents), {", ".join(kinds)},
   base AS MATERIALIZED ({base}), {_sql_matches("tried", "entropy", len(kinds), secrets.CANDIDATE, 0)},
   left_over AS (SELECT * FROM tried x WHERE NOT ({allowed}) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.s <= x.s AND x.e <= b.e)),
   extra AS (SELECT * FROM left_over WHERE list_max(list_transform(range(1, length(w) - {n - 2}), lambda i: list_entropy(string_split(w[i:i + {n - 1}], '')))) >=
-    CASE WHEN regexp_matches(w, '^([0-9a-f]+|[0-9A-F]+)$') THEN {limits["hex"]} WHEN regexp_matches(w, '^[A-Za-z0-9]+$') THEN {limits["alnum"]} ELSE {limits["base64"]} END),
+    CASE {limits} END),
   every AS (SELECT * FROM base UNION ALL SELECT * FROM extra),
   found AS (SELECT doc_id, {counts}, {joined} FILTER (kind <> 'entropy') AS b, {joined} AS a FROM every GROUP BY doc_id)
 SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in secrets.KINDS)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM d LEFT JOIN found USING (doc_id)"""

@@ -1,10 +1,10 @@
 """Secret scan with DataFrame functions only.
 
 Base kinds come from fixed patterns. Further spans of kind ``entropy`` come from candidate strings
-(runs of key characters): a window of ``WINDOW`` characters slides over the candidate, the sum of
-c * log2(c) over its character counts changes only by the counts of the character that leaves and
-the one that enters, and the largest Shannon entropy is held against the threshold of the
-candidate's character class. The allow-list suppresses what only looks random.
+(runs of key characters): a window of ``WINDOW`` characters slides over the candidate. Its character
+counts change by one for the character that leaves and the one that enters, the sum of
+c * log2(c) over them by these two counts, and the largest Shannon entropy is held against the threshold of
+the candidate's character class. The allow-list suppresses what only looks random.
 
 Spans are in code points with an exclusive end. Null texts count as empty and have no spans. Rows
 are judged one by one, so repeated rows, ties and null ids need no care; extra columns stay.
@@ -24,14 +24,13 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 WINDOW = 20
 #: Long candidates are worked off in pieces that overlap by a window less one character.
 PIECE = 108
-#: Least entropy in bits of a window for candidates of hexadecimal digits, of letters and digits, and of others.
-THRESHOLDS = {"hex": 3.1, "alnum": 3.8, "base64": 3.9}
-#: Strings that are no secrets: letters alone, digits alone, UUIDs, slugs and paths of words.
+#: Character classes in the order in which they are tried, and the least entropy in bits of a window of each.
+CLASSES = {"hex": ("^([0-9a-f]+|[0-9A-F]+)$", 3.1), "letters": ("^[A-Za-z]+$", 3.95), "alnum": ("^[A-Za-z0-9]+$", 3.8), "base64": ("^", 3.9)}
+#: Strings that are no secrets: digits alone, UUIDs, slugs and paths of words and short numbers.
 ALLOWED = [
-    r"^[A-Za-z+/_-]+$",
     r"^[0-9+/_-]+$",
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
-    r"^([A-Za-z]{2,}|[0-9]{1,4})([-_/+]([A-Za-z]{2,}|[0-9]{1,4}))+$",
+    r"^[-_/+]*([A-Za-z]{1,19}|[0-9]{1,4})([-_/+]+([A-Za-z]{1,19}|[0-9]{1,4}))+[-_/+]*$",
 ]
 
 
@@ -56,18 +55,23 @@ def _located(text: str, pattern: str, group: int) -> Column:
 
 
 def _entropy(c: str) -> str:
-    """SQL for the largest window entropy of string ``c``, which is at most PIECE + WINDOW - 1 long."""
-    term = lambda n: f"if({n} > 1, ({n}) * log2({n}), 0D)"
-    count = lambda w, x: f"(char_length({w}) - char_length(replace({w}, {x}, '')))"
+    """SQL for the largest window entropy of string ``c``, which is at most PIECE + WINDOW - 1 long.
+
+    z.at: for each character its place among the distinct ones; acc.n: how many of each the window holds.
+    """
+    term = lambda n: f"if({n} > 1, {n} * log2({n}), 0D)"
     w = WINDOW
-    # s: sum of c log2 c of the last w characters; gone: the sum after the oldest one has left
-    out_n = count(f"substring({c}, i - {w}, {w})", f"substring({c}, i - {w}, 1)")
-    in_n = count(f"substring({c}, greatest(1, i - {w - 1}), least(i - 1, {w - 1}))", f"substring({c}, i, 1)")
-    step = f"acc.s + if(i > {w}, {term(f'{out_n} - 1')} - {term(out_n)}, 0D) + {term(f'{in_n} + 1')} - {term(in_n)}"
-    return (
-        f"aggregate(sequence(1, char_length({c})), struct(0D as s, 0D as best), "
-        f"(acc, i) -> transform(array({step}), s -> struct(s as s, if(i >= {w}, greatest(acc.best, log2({w}D) - s / {w}D), acc.best) as best))[0], acc -> acc.best)"
-    )
+    # x: the counts after the character that leaves (o, or -1), then the one that enters (a)
+    left = "if(o < 0, acc.n, transform(acc.n, (v, k) -> if(k = o, v - 1, v)))"
+    gone = f"if(o < 0, 0D, {term('(acc.n[o] - 1)')} - {term('acc.n[o]')})"
+    step = f"struct(transform(x.n, (v, k) -> if(k = a, v + 1, v)) as n, x.s + {term('(x.n[a] + 1)')} - {term('x.n[a]')} as s, acc.best as best)"
+    scored = f"struct(y.n as n, y.s as s, if(i >= {w}, greatest(y.best, log2({w}D) - y.s / {w}D), y.best) as best)"
+    bound = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
+    move = bound("x", f"struct({left} as n, acc.s + {gone} as s)", bound("y", step, scored))
+    move = bound("a", "z.at[i - 1]", bound("o", f"if(i > {w}, z.at[greatest(0, i - {w + 1})], -1)", move))
+    chars = f"split({c}, '')"
+    places = f"struct(transform({chars}, x -> cast(array_position(array_distinct({chars}), x) - 1 as int)) as at, array_repeat(0, size(array_distinct({chars}))) as zero)"
+    return bound("z", places, f"aggregate(sequence(1, size(z.at)), struct(z.zero as n, 0D as s, 0D as best), (acc, i) -> {move}, acc -> acc.best)")
 
 
 def scan(documents: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:
@@ -85,10 +89,7 @@ def scan(documents: DataFrame, text: str = "text", name: str = "spans") -> DataF
     inside = "exists(__secret_base, b -> b.start <= x.start and x.end <= b.end)"
     out = out.withColumn("__secret_tried", _located(t, CANDIDATE, 0))
     out = out.withColumn("__secret_tried", F.expr(f"filter(__secret_tried, x -> not ({allowed}) and not {inside})"))
-    limit = (
-        f"case when x.value rlike '^([0-9a-f]+|[0-9A-F]+)$' then {THRESHOLDS['hex']}D "
-        f"when x.value rlike '^[A-Za-z0-9]+$' then {THRESHOLDS['alnum']}D else {THRESHOLDS['base64']}D end"
-    )
+    limit = "case " + " ".join(f"when x.value rlike '{p}' then {least}D" for p, least in CLASSES.values()) + " end"
     pieces = f"transform(sequence(0, greatest(0, (char_length(x.value) - {WINDOW}) div {PIECE})), k -> substring(x.value, cast(k * {PIECE} + 1 as int), {PIECE + WINDOW - 1}))"
     random = f"exists({pieces}, p -> {_entropy('p')} >= {limit})"
     out = out.withColumn("__secret_extra", F.expr(span("entropy", len(KINDS), "__secret_tried", random)))

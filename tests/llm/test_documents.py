@@ -196,7 +196,8 @@ def spans(text):
         v = m[0]
         if any(re.search(p, v) for p in secrets.ALLOWED) or any(b[0] <= m.start() and m.end() <= b[2] for b in base):
             continue
-        limit = secrets.THRESHOLDS["hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", v) else "alnum" if re.fullmatch("[A-Za-z0-9]+", v) else "base64"]
+        kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", v) else "letters" if re.fullmatch("[A-Za-z]+", v) else "alnum" if re.fullmatch("[A-Za-z0-9]+", v) else "base64"
+        limit = secrets.CLASSES[kind][1]
         windows = (collections.Counter(v[k : k + 20]) for k in range(len(v) - 19))
         if max(-sum(c / 20 * math.log2(c / 20) for c in w.values()) for w in windows) >= limit - 1e-12:
             out.append((m.start(), 3, m.end(), "entropy"))
@@ -210,6 +211,7 @@ def secret_texts():
         None, "", "\u00e9\U0001f600 token=\"" + "ab12" * 3 + "\" x", "token=secret: abcdefghij password : \U0001f600 api_key= 'zzzzzzzz9", "AKIA" + "A" * 12 + " AKIAAKIA1", "x" * 3000, "".join(rng.choices(key, k=3000)),
         " ".join("".join(rng.choices(key, k=rng.randint(18, 300))) for _ in range(50)), " ".join("%032x" % rng.getrandbits(128) for _ in range(300)), "550e8400-e29b-41d4-a716-446655440000",
         "SECRET => 'x' Passwd:\"0123456789abcdef0123456789abcdef01\"", "clean words only " * 2000,
+        " ".join("".join(rng.choices(key[:52], k=40)) for _ in range(20)), "getElementByIdAndReturnValue /usr/local/share/dictionaries/words_of/1999 Donaudampfschifffahrtsgesellschaft MAXIMUM_NUMBER_OF_RETRIES",
     ]
 
 
@@ -225,6 +227,12 @@ def test_secret_scan(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_keys_of_letters_are_found_and_words_are_not(spark):
+    texts = secret_texts()[-2:]
+    keys, words = (r.found for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", F_spans()).orderBy("doc_id").collect())
+    assert len(keys) >= 19 and not words
+
+
 def F_spans():
     from pyspark.sql import functions as F
 
