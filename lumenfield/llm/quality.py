@@ -5,8 +5,11 @@ rectified and max-pooled over overlapping chunks that cover the whole text. A li
 over these and the chunk's length gives each chunk a logit; a second, tiny logistic layer combines the mean, largest and
 smallest chunk logit and the log of the length into one probability.
 
+It is fitted on whole texts of at most ``PER_CLASS`` labelled rows of each class.
+
 Null and empty texts are scored as one chunk of zero bytes. Rows whose doc_id is null are
-scored like any other. Repeated rows get equal scores, up to the rounding of float sums. Extra columns do not matter.
+scored like any other. Scores are rounded to ``DIGITS`` places, so that equal texts get equal scores
+wherever they lie in a batch. Extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ from .textkit import slices, text_buffer
 WIDTH, STRIDE, DIM, FILTERS = 8, 4, 8, 32
 #: Chunk of 512 bytes, started every 480, so neighbours share 32 bytes.
 CHUNK, STEP = 512, 480
-#: The labelled sample's bound: rows of each class, and chunks of one text used for fitting.
-PER_CLASS, CHUNKS_A_TEXT = 1500, 8
+#: The labelled sample's bound: rows of each class.
+PER_CLASS = 1500
+#: Places of a score: sums of floats differ in the last ones with the batch.
+DIGITS = 5
 #: Gradient steps do not depend on the data's size.
 ROUNDS, BATCH, RATE = 700, 48, 4e-3
 #: Share of the training chunks that are cut short, so that short texts are known too.
@@ -54,7 +59,7 @@ class QualityModel:
         feats = _features(
             np.add.reduceat(logits, first) / counts, np.maximum.reduceat(logits, first), np.minimum.reduceat(logits, first), length
         )
-        return 1 / (1 + np.exp(-np.clip(feats @ self.combine, -50, 50)))
+        return np.round(1 / (1 + np.exp(-np.clip(feats @ self.combine, -50, 50))), DIGITS)
 
 
 def _features(mean, most, least, length) -> np.ndarray:
@@ -123,11 +128,14 @@ def fit(chunks: list[bytes], group: np.ndarray, labels: np.ndarray, lengths: np.
     }
     P = {k: v.astype(np.float32) for k, v in P.items()}
     m1, m2 = ({k: np.zeros_like(v) for k, v in P.items()} for _ in range(2))
-    by_class = [np.flatnonzero(y == c) for c in (0, 1)]
+    # a text of each class first, then one of its chunks: long texts do not outweigh the others
+    by_class = [np.flatnonzero(labels == c) for c in (0, 1)]
+    first, chunks_of = np.searchsorted(group, np.arange(len(labels))), np.bincount(group, minlength=len(labels))
     slots = CHUNK // STRIDE
     at = (np.arange(slots) * STRIDE)[:, None] + np.arange(WIDTH)
     for t in range(1, ROUNDS + 1):
-        rows = np.concatenate([rng.choice(c, BATCH // 2) for c in by_class])
+        texts = np.concatenate([rng.choice(c, BATCH // 2) for c in by_class])
+        rows = first[texts] + (rng.random(len(texts)) * chunks_of[texts]).astype(np.int64)
         tokens = x[rows][:, at]  # rows, slots, WIDTH
         e = P["embed"][tokens].reshape(len(rows) * slots, WIDTH * DIM)
         z = (e @ P["kernel"] + P["bias"]).reshape(len(rows), slots, FILTERS)
@@ -155,9 +163,7 @@ def fit(chunks: list[bytes], group: np.ndarray, labels: np.ndarray, lengths: np.
     padded, begin, length = _aligned(pa.array(chunks, pa.binary()))
     pooled, owner = _pooled_all(model, padded, begin, length)
     logits = (pooled @ model.out + model.out_bias)[np.searchsorted(owner, np.arange(len(chunks)))]
-    first = np.searchsorted(group, np.arange(len(labels)))
-    counts = np.bincount(group, minlength=len(labels))
-    feats = _features(np.add.reduceat(logits, first) / counts, np.maximum.reduceat(logits, first), np.minimum.reduceat(logits, first), lengths)
+    feats = _features(np.add.reduceat(logits, first) / chunks_of, np.maximum.reduceat(logits, first), np.minimum.reduceat(logits, first), lengths)
     weight = np.where(labels == 1, prior / max(labels.mean(), 1e-9), (1 - prior) / max(1 - labels.mean(), 1e-9))
     w = np.zeros(feats.shape[1])
     for _ in range(40):  # weighted Newton steps with a small ridge
@@ -173,12 +179,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chunks_a_text: int = CHUNKS_A_TEXT) -> QualityModel:
+def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
     """Fits on at most ``per_class`` labelled rows of each class, chosen by a hash of the id.
 
-    Of each chosen text at most ``chunks_a_text`` chunks, spread evenly over its whole length,
-    come to the driver, so the driver holds at most 2 * per_class * chunks_a_text * 520 bytes.
-    Labels other than 0 and 1 and null ids are ignored; of contradicting labels the lower counts.
+    These texts come to the driver whole, in chunks, and nothing else of the corpus does. Labels other than 0 and 1 and null ids are ignored; of contradicting labels the lower counts.
     """
     ours = labels.select("doc_id", F.col("quality").alias("y")).where("doc_id is not null and y in (0, 1)")
     ours = ours.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("y").alias("y"))
@@ -192,8 +196,7 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, c
             for doc, y, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "y", "text"))):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 n = max(1, -(-max(len(raw) - CHUNK, 0) // STEP) + 1)
-                for k in sorted({(j * n) // min(n, chunks_a_text) for j in range(min(n, chunks_a_text))}):
-                    rows.append((doc, y, len(raw), raw[k * STEP : k * STEP + CHUNK]))
+                rows += [(doc, y, len(raw), raw[k * STEP : k * STEP + CHUNK]) for k in range(n)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["doc_id", "y", "n", "chunk"])
 
     # the sample's size is bounded by its parameter, so it may be broadcast
