@@ -4,13 +4,14 @@ Four kinds of evidence are added as log odds: character n-gram likelihoods of th
 the language that the markup declares, the address suffix (country domains and language folders),
 and a host prior. The host prior is smoothed hierarchically: counts of languages by text, by
 host, shrink towards those of the registrable domain, and these towards all pages; all three are
-grouped aggregations, so a host that holds a third of all pages is pre-aggregated like any other.
+grouped aggregations, so a host that holds a third of all pages is pre-aggregated like any other. A
+page's own text takes no part in the prior it gets.
 
 How far declaration and suffix can be trusted is counted too: for every declared language the
 share of pages whose text agrees, smoothed with a uniform prior.
 
-The text model is fitted on at most ``PER_LANGUAGE`` labelled documents of each language, chosen by
-a hash of the id; of each at most ``SAMPLE_BYTES`` bytes from the middle come to the driver.
+The text model is fitted on the whole texts of at most ``PER_LANGUAGE`` labelled documents of each
+language, chosen by a hash of the id. Pages are read whole, in pieces of ``PIECE`` bytes.
 
 Defined results: a page with null or empty html has no text evidence; a null url gives no suffix and
 host evidence; without any evidence the pages' most frequent language wins, ties going to the
@@ -31,7 +32,8 @@ from .textkit import mix
 from .urls import split_url
 from .workspace import Workspace, ship
 
-PER_LANGUAGE, SAMPLE_BYTES = 400, 8192
+PER_LANGUAGE = 400
+PIECE = 1 << 20
 #: Lengths of n-grams in bytes, and slots of each hashed table.
 GRAMS, SLOTS = (1, 2, 3, 4), 1 << 15
 #: The text's log likelihood counts for at most so many independent grams: neighbours overlap.
@@ -41,12 +43,21 @@ PRIOR_HOST, PRIOR_DOMAIN, PRIOR_CLAIM = 8.0, 20.0, 4.0
 #: Country domains with one main language.
 SUFFIX_LANGUAGE = {"at": "de", "br": "pt", "ch": "de", "cn": "zh", "de": "de", "es": "es", "fr": "fr", "ie": "en", "it": "it", "jp": "ja", "mx": "es", "nl": "nl", "pl": "pl", "pt": "pt", "ru": "ru", "uk": "en", "us": "en"}
 
-_INVISIBLE = re.compile(rb"(?is)<!--.*?-->|<(script|style|nav|title|aside|footer)\b.*?</\1\s*>|<div\b[^>]*class=.?(?:ad|ads|banner)\b.*?</div\s*>|<[^>]*>|&[a-z#0-9]+;")
+#: What is not running text, by the end that closes it. Behind its last end an opening tag has none, so that nothing is searched twice.
+_HIDDEN = [(re.compile(rb"<!--.*?-->", re.S), re.compile(rb"-->"))]
+for _tag in (b"script", b"style", b"nav", b"title", b"aside", b"footer"):
+    _HIDDEN.append((re.compile(rb"<" + _tag + rb"\b.*?</" + _tag + rb"\s*>", re.S), re.compile(rb"</" + _tag + rb"\s{0,64}>")))
+_HIDDEN.append((re.compile(rb"<div\b[^<>]*class=.?(?:ad|ads|banner)\b.*?</div\s*>", re.S), re.compile(rb"</div\s{0,64}>")))
+_MARKUP = re.compile(rb"<[^<>]*>|&[a-z#0-9]{1,32};")
 
 
 def visible(html: bytes) -> bytes:
     """Running text, lower-cased; navigation, advertisements and footers are often in another language."""
-    return b" ".join(_INVISIBLE.sub(b" ", html).lower().split())
+    text = html.lower()
+    for hidden, end in _HIDDEN:
+        last = max((m.end() for m in end.finditer(text)), default=0)
+        text = hidden.sub(b" ", text[:last]) + text[last:]
+    return b" ".join(_MARKUP.sub(b" ", text).split())
 
 
 def _gram_slots(data: np.ndarray, n: int) -> np.ndarray:
@@ -56,16 +67,23 @@ def _gram_slots(data: np.ndarray, n: int) -> np.ndarray:
     return (mix(h) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
+def _pieces(data: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """Pieces that share n - 1 bytes, so that every n-gram lies in one."""
+    for a in range(0, max(1, len(data) - n + 1), PIECE):
+        yield data[a : a + PIECE + n - 1]
+
+
 class TextModel:
     """Naive Bayes over hashed byte n-grams."""
 
     def __init__(self, texts: list[bytes], languages: list[str]):
         self.languages = sorted(set(languages))
         self.tables = {}
-        for n in GRAMS:
+        for n in GRAMS if self.languages else ():
             counts = np.full((SLOTS, len(self.languages)), 0.02)
             for text, lang in zip(texts, languages):
-                np.add.at(counts[:, self.languages.index(lang)], _gram_slots(np.frombuffer(text, np.uint8), n), 1)
+                for piece in _pieces(np.frombuffer(text, np.uint8), n):
+                    counts[:, self.languages.index(lang)] += np.bincount(_gram_slots(piece, n), minlength=SLOTS)
             log = np.log(counts / counts.sum(0))
             self.tables[n] = (log - log.mean(1, keepdims=True)).astype(np.float32)
 
@@ -73,22 +91,22 @@ class TextModel:
         data = np.frombuffer(text, np.uint8)
         total, seen = np.zeros(len(self.languages)), 0
         for n in GRAMS:
-            slots = _gram_slots(data, n)
-            total += self.tables[n][slots].sum(0)
-            seen += len(slots)
+            for piece in _pieces(data, n):
+                slots = _gram_slots(piece, n)
+                total += self.tables[n][slots].sum(0)
+                seen += len(slots)
         return total * (min(seen, INDEPENDENT) / seen) if seen else total
 
 
-def train(documents: DataFrame, per_language: int = PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES) -> TextModel:
+def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> TextModel:
     """documents: doc_id, text, lang. Null or empty texts and null languages do not teach."""
     known = documents.where("lang is not null and doc_id is not null").select("doc_id", "lang")
     order = F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "doc_id"))
     # first the smallest hashes within parts of a language, then within the language: no task sees all of it
     cut = known.withColumns({"h": F.xxhash64("doc_id", F.lit("language-sample")), "part": F.pmod(F.xxhash64("doc_id"), F.lit(64))}).withColumn("r", order).where(F.col("r") <= per_language)
     picked = cut.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= per_language).select("doc_id", "lang")
-    middle = F.expr(f"substring(text, greatest(1, (char_length(text) - {sample_bytes}) div 2), {sample_bytes})")
     # at most per_language rows of each language
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "lang", middle.alias("text")).where("text != ''").distinct().orderBy("doc_id", "lang", "text").collect()
+    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "lang", "text").where("text != ''").distinct().orderBy("doc_id", "lang", "text").collect()
     return TextModel([b" ".join(r.text.encode("utf-8", "replace").lower().split()) for r in rows], [r.lang for r in rows])
 
 
@@ -106,8 +124,9 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared()
         for batch in batches:
-            odds = [m.log_odds(visible((h.as_py() or "").encode("utf-8", "replace"))) for h in batch.column("html")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "head")), pa.array([o.tolist() for o in odds], pa.list_(pa.float64()))], ["page_id", "url", "head", "odds"])
+            html = batch.column("html").cast(pa.large_binary())
+            odds = [m.log_odds(visible(h.as_py() or b"")).tolist() for h in html]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "head")), pa.array(odds, pa.list_(pa.float64()))], ["page_id", "url", "head", "odds"])
 
     # the declaration stands in the html element, wherever that starts
     head = F.regexp_extract("html", r"(?is)<html\b([^>]*)>", 1).alias("head")
@@ -126,18 +145,21 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
     seen = told.select("page_id", "odds", claim.alias("declared"), suffix.alias("suffix"), F.when(~silent, top).alias("text_language"), host.alias("host"))
     seen = ws.save(seen.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)), "seen")
 
-    votes = seen.where("text_language is not null").groupBy("host", "domain").agg(*[F.sum((F.col("text_language") == x).cast("double")).alias(x) for x in langs])
-    votes = ws.save(votes, "votes")
-    domains = votes.groupBy("domain").agg(*[F.sum(x).alias(f"d_{x}") for x in langs])
+    vote = lambda x: F.coalesce((F.col("text_language") == x).cast("double"), F.lit(0.0))
+    votes = ws.save(seen.groupBy("host", "domain").agg(*[F.sum(vote(x)).alias(x) for x in langs]), "votes")
+    domains = votes.groupBy("domain").agg(F.array(*[F.sum(x) for x in langs]).alias("by_domain"))
     every = votes.agg(*[F.coalesce(F.sum(x), F.lit(0.0)).alias(x) for x in langs]).first()
     total = sum(every[x] for x in langs)
     base = {x: (every[x] + 1) / (total + len(langs)) for x in langs}
-    add = lambda cols: sum(cols[1:], cols[0])
-    d_all = add([F.col(f"d_{x}") for x in langs])
-    priors = votes.join(domains, "domain")
-    priors = priors.select("host", *langs, *[((F.col(f"d_{x}") + PRIOR_DOMAIN * base[x]) / (d_all + PRIOR_DOMAIN)).alias(f"p_{x}") for x in langs])
-    h_all = add([F.col(x) for x in langs])
-    priors = priors.select("host", F.array(*[F.log((F.col(x) + PRIOR_HOST * F.col(f"p_{x}")) / (h_all + PRIOR_HOST)) for x in langs]).alias("prior"))
+    counts = votes.where("host != ''").join(domains, "domain").select("host", F.array(*langs).alias("by_host"), "by_domain")
+    # a page's own vote does not count for itself
+    own = F.array(*[vote(x) for x in langs])
+    less = lambda c: F.zip_with(c, own, lambda n, o: n - o)
+    summed = lambda c: F.aggregate(c, F.lit(0.0), lambda a, n: a + n)
+    shrunk = lambda c, parent, strength: F.zip_with(c, parent, lambda n, p: (n + strength * p) / (summed(c) + strength))
+    flat = F.array(*[F.lit(float(base[x])) for x in langs])
+    by_domain = shrunk(less("by_domain"), flat, PRIOR_DOMAIN)
+    by_host = shrunk(less("by_host"), by_domain, PRIOR_HOST)
 
     def trust(column: str) -> dict[str, list[float]]:
         """log P(claim | language) for each claim, at most one row for each pair of languages."""
@@ -153,8 +175,7 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
             cases = F.when(F.col(column) == claim_, F.array(*map(F.lit, logs))).otherwise(cases)
         return cases
 
-    flat = F.array(*[F.lit(float(np.log(base[x]))) for x in langs])
-    fused = seen.join(priors, "host", "left").withColumns({"a": evidence("declared"), "b": evidence("suffix"), "prior": F.coalesce("prior", flat)})
-    fused = fused.withColumn("score", F.expr("transform(odds, (x, i) -> x + a[i] + b[i] + prior[i])")).withColumn("most", F.array_max("score"))
+    fused = seen.join(counts, "host", "left").withColumns({"a": evidence("declared"), "b": evidence("suffix"), "prior": F.coalesce(by_host, flat)})
+    fused = fused.withColumn("score", F.expr("transform(odds, (x, i) -> x + a[i] + b[i] + ln(prior[i]))")).withColumn("most", F.array_max("score"))
     confidence = 1 / F.expr("aggregate(score, 0D, (s, x) -> s + exp(x - most))")
     return fused.select("page_id", F.element_at(ours, F.array_position("score", F.col("most")).cast("int")).alias("language"), confidence.alias("confidence"), "text_language", "declared", "suffix")
