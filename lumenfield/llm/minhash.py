@@ -294,7 +294,11 @@ def _across(ws: Workspace, names: DataFrame, payload: DataFrame, links: DataFram
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of ``documents``."""
+    """doc_id, n_shingles, component_id, kept, text_hash, first: one row for each row of ``documents``.
+
+    ``first`` marks one id and text of each component, the smallest id with one of its texts; where ids do
+    not repeat it is ``kept``. ``text_hash`` is Spark's xxhash64 of the text, to tell the texts of an id.
+    """
     ws = Workspace(documents.sparkSession, "minhash")
     numerator = round(100 * threshold)
     match = threshold + (1 - threshold) / 256  # marks have 8 bits
@@ -324,11 +328,12 @@ def near_duplicates(documents: DataFrame, width: int = 5, threshold: float = 0.8
     if not large.isEmpty():
         links = _across(ws, large.select("group", "node"), large.select("node", "payload"), links, _similar(numerator), BLOCK)
     linked = connected_components(ws, links)
-    least_id = linked.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least_id"))
-    # every row takes the smallest id of its set's component
-    by_class = classes.select("node", "c1", "c2", "doc_id").join(linked.join(least_id, "component"), "node", "left")
-    by_class = by_class.select("c1", "c2", F.coalesce("least_id", "doc_id").alias("component"))
+    leasts = linked.join(classes.select("node", "doc_id", "t"), "node").groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("least"))
+    # every row takes the smallest id and text of its set's component
+    by_class = classes.select("node", "c1", "c2", "doc_id", "t").join(linked.join(leasts, "component"), "node", "left")
+    by_class = by_class.select("c1", "c2", F.coalesce("least", F.struct("doc_id", "t")).alias("least"))
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    out = signed.drop("sig", "t").join(by_class, ["c1", "c2"], "left")
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = signed.drop("sig").join(by_class, ["c1", "c2"], "left")
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), F.col("t").alias("text_hash"), (alone | (kept & (F.col("t") == F.col("least.t")))).alias("first"))

@@ -32,7 +32,7 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, threshold=0.8)
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, threshold=0.8).drop("text_hash", "first")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

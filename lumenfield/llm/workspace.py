@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset and driver and tasks share a machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="lumenfield-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -24,13 +26,24 @@ def shared_root(spark: SparkSession) -> str:
 class Workspace:
     """Names a fresh directory; ``save`` cuts lineage through Parquet, ``drop`` frees a table.
 
-    Tables survive the loss of any executor, unlike a local checkpoint.
+    Tables survive the loss of any executor, unlike a local checkpoint. An operator's result still reads
+    its tables; whoever has written that result frees them by ``free_since``.
     """
 
+    made: list[Workspace] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        Workspace.made.append(self)
+
+    @classmethod
+    def free_since(cls, mark: int) -> None:
+        """Deletes all workspaces but the first ``mark`` made; take ``len(Workspace.made)`` as the mark before."""
+        while len(cls.made) > mark:
+            last = cls.made.pop()
+            last._delete(last.root)
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -49,8 +62,11 @@ class Workspace:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_workspace_path", None)
         if path:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def release(self) -> None:
         """Lets Spark's cleaner remove the shuffle files of finished jobs."""

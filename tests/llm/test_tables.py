@@ -5,6 +5,7 @@ import hashlib
 import io
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -248,6 +249,51 @@ def test_language(spark):
     assert {r.language for r in language.identify(df, docs.limit(0)).collect()} == {None}
 
 
+def test_languages_of_the_given_pages(spark):
+    """The document that a url's number names tells the page's language: all evidence, and the text alone."""
+    d = "/root/testdata/sf0.01"
+    pages, documents = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("pages", "documents"))
+    # taught by the documents that no page is made of
+    named = pages.select("page_id", urls.document_number(F.col("url")).alias("doc_id"))
+    got = language.identify(pages, documents.join(named, "doc_id", "left_anti")).join(named, "page_id").join(documents.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) == pages.count()
+    assert np.mean([r.language == r.lang for r in got]) >= 0.99
+    assert np.mean([r.text_language == r.lang for r in got]) >= 0.95
+
+
+def test_host_prior_leaves_the_page_out(spark):
+    """Scores equal a computation by hand from the same text evidence."""
+    rng = random.Random(4)
+    words = {"en": ["the", "and", "that"], "fr": ["les", "dans", "pour"]}
+    say = lambda x, n: " ".join(rng.choices(words[x], k=n))
+    docs = spark.createDataFrame([(k, say(x, 40), x) for k, x in enumerate(["en", "fr"] * 20)], "doc_id long, text string, lang string")
+    rows = [(k, f"http://h{k % 3}.a{k % 2}.org/p", f"<p>{say('en' if k % 3 else 'fr', 20)}" if k % 7 else "") for k in range(30)]
+    model = language.train(docs)
+    odds = [model.log_odds(language.visible(h.encode())) for _, _, h in rows]
+    told = [None if not o.any() else model.languages[int(o.argmax())] for o in odds]
+    got = {r.page_id: r for r in language.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()}
+    base = np.array([told.count(x) for x in model.languages], float)
+    base = (base + 1) / (base.sum() + 2)
+    count = lambda k, same: np.array([sum(t == x and same(j) for j, t in enumerate(told) if j != k) for x in model.languages], float)
+    for k in range(30):
+        domain, host = count(k, lambda j: j % 2 == k % 2), count(k, lambda j: j % 2 == k % 2 and j % 3 == k % 3)
+        p = (domain + language.PRIOR_DOMAIN * base) / (domain.sum() + language.PRIOR_DOMAIN)
+        p = (host + language.PRIOR_HOST * p) / (host.sum() + language.PRIOR_HOST)
+        score = odds[k] + np.log(p)
+        assert got[k].language == model.languages[int(score.argmax())]
+        assert got[k].confidence == pytest.approx(1 / np.exp(score - score.max()).sum())
+
+
+def test_markup_that_never_closes_takes_linear_time():
+    for part in (b"<script>", b"<div class=ad", b"<", b"<!--", b"&a", b"<nav </nav "):
+        began = time.process_time()
+        language.visible(part * 300_000 + b"the end")
+        assert time.process_time() - began < 5, part
+    assert language.visible(b"<p>A<script>x</script>b<SCRIPT>c <!-- d --> <div class='ad'>e</div>f</p>") == b"a b c f"
+    long = np.frombuffer(b"the and " * 400_000, np.uint8)
+    assert sum(len(p) - 3 for p in language._pieces(long, 4)) == len(long) - 3
+
+
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
