@@ -69,26 +69,28 @@ def _is_star_forest(edges: DataFrame) -> bool:
 def connected_components(ws: Workspace, edges: DataFrame, a: str = "src", b: str = "dst", limit: int = EDGES_A_TASK) -> DataFrame:
     """(node, component) for every node of at least one edge; component is the smallest node.
 
-    Tasks contract the edges that they hold to stars. What is left is finished by one more task if that can
-    hold it, as ``limit`` edges fit whatever the input; more edges alternate the large-star and small-star
-    steps of Kiveris et al. (2014) with contraction until all are stars. Each such round is aggregations and
-    joins on node ids only; joins on a hub are split by adaptive execution. Edges with a null end and
-    loops count as no edges.
+    Edges that one task can hold, as ``limit`` do whatever the input, are contracted to stars by one. More
+    are contracted where they lie, and then the large-star and small-star steps of Kiveris et al. (2014)
+    alternate with contraction until all are stars or one task can hold them. Each such round is aggregations
+    and joins on node ids only; joins on a hub are split by adaptive execution. Edges with a null end
+    and loops count as no edges.
     """
     edges = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
-    contract = lambda df: df.mapInArrow(_contracted(limit), "u long, v long")
-    edges = ws.save(contract(edges), "edges")
+    contract = lambda df: ws.save(df.mapInArrow(_contracted(limit), "u long, v long"), "edges")
+    edges = ws.save(edges, "edges")  # so that no task runs the edges' own Python and the contraction at once
+    if edges.count() > limit:
+        edges = contract(edges)
     while (n := edges.count()) > limit and not _is_star_forest(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        later = ws.save(contract(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()), "edges")
+        later = contract(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         ws.drop(edges)
         edges = later
     if n <= limit:
-        edges = ws.save(contract(edges.coalesce(1)), "edges")
+        edges = contract(edges.coalesce(1))
     edges = edges.distinct() if n > limit else edges  # one star may lie in several tasks' shares
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -320,7 +320,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, threshold: float = 0.8
     # the candidates are a share of the corpus: one plan for every size, never a broadcast
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").hint("merge").join(placed, ["doc_id", "t"])
     # of rows that repeat an id and its text one is enough
-    texts = texts.groupBy("doc_id", "t", "node", "group", "blocks", "block").agg(F.first("text").alias("text"))
+    if not ours.groupBy("doc_id", "t").count().where("count > 1").isEmpty():
+        texts = texts.groupBy("doc_id", "t", "node", "group", "blocks", "block").agg(F.first("text").alias("text"))
     held = ws.save(texts.mapInArrow(sets, "group long, node long, blocks int, block int, payload binary"), "sets")
     met = held.select("group", "block", "node", F.col("node").alias("part"), "payload")
     links = ws.save(met.groupBy("group", "block").applyInArrow(_similar(numerator), "src long, dst long"), "links")
