@@ -42,9 +42,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     stand_in = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)
     keys = {"__id": F.coalesce(F.col("doc_id").cast("long"), stand_in), "__hash": _text_hash()}
     judged = minhash.near_duplicates(docs.select(keys["__id"].alias("doc_id"), "text"), width=5, threshold=0.8)
-    stay = judged.where("first").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    stay = judged.where("first").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("__rows"))
+    stay = Workspace(spark, "stay").save(stay, "stay")
     # as many ids as a share of the corpus: one plan for every size, never a broadcast
-    return docs.withColumns(keys).hint("merge").join(stay, list(keys), "left_semi").dropDuplicates(list(keys)).select(docs.columns)
+    kept = lambda which: docs.withColumns(keys).hint("merge").join(stay.where(which), list(keys), "left_semi")
+    if stay.where("__rows > 1").isEmpty():
+        return kept("__rows = 1").select(docs.columns)
+    return kept("__rows = 1").unionByName(kept("__rows > 1").dropDuplicates(list(keys))).select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
