@@ -7,8 +7,10 @@ rounded to six places, as sums of doubles depend on their order.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lumenfield.functions import columns as fx
@@ -17,7 +19,7 @@ from lumenfield.operators import extrema, graph, logit, meanshift, measures, met
 from lumenfield.oracles import sql
 from lumenfield.plans import fit as plans
 from lumenfield.plans import pipelines
-from lumenfield.sources import tables
+from lumenfield.sources import synthetic, tables
 
 K = 5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,7 +82,12 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.table(spark, sf_dir, "events").select("event_id", "user_id", F.col("value").cast("double").alias("value")).where("value > 0")
+    return tables.table(spark, sf_dir, "events").select("event_id", "user_id", F.col("value").cast("double").alias("value"))
+
+
+def positive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of which logarithms and powers exist."""
+    return values(spark, sf_dir).where("value > 0")
 
 
 # -- sources, projections and column transforms
@@ -142,17 +149,17 @@ def relative_fit(spark, sf_dir):
     return orders.winsorize(v, "value", 0.025, "w").select("event_id", r6(F.col("value") / mean, "relative"), r6(F.col("w") / mean, "winsorized"))
 
 
-@query(sql("SELECT event_id, round(ln(value), 6) AS log, round((pow(value, 0.5) - 1) / 0.5, 6) AS half, round((pow(value, -1.0) - 1) / -1.0, 6) AS inverse FROM vals"))
+@query(sql("SELECT event_id, round(ln(value), 6) AS log, round((pow(value, 0.5) - 1) / 0.5, 6) AS half, round((pow(value, -1.0) - 1) / -1.0, 6) AS inverse FROM positive"))
 def boxcox_transform(spark, sf_dir):
     v = F.col("value")
-    return values(spark, sf_dir).select("event_id", r6(fx.box_cox(v, 0.0), "log"), r6(fx.box_cox(v, 0.5), "half"), r6(fx.box_cox(v, -1.0), "inverse"))
+    return positive(spark, sf_dir).select("event_id", r6(fx.box_cox(v, 0.0), "log"), r6(fx.box_cox(v, 0.5), "half"), r6(fx.box_cox(v, -1.0), "inverse"))
 
 
 @query(sql("""SELECT lam, round(-n / 2.0 * ln(rss / n) + (lam - 1) * sl, 3) AS loglik FROM (
     SELECT lam, count(*) AS n, sum(ln(value)) AS sl, var_pop(CASE WHEN abs(lam) < 1e-8 THEN ln(value) ELSE (pow(value, lam) - 1) / lam END) * count(*) AS rss
-    FROM vals, (SELECT t / 10.0::DOUBLE AS lam FROM range(-20, 21) r(t)) GROUP BY lam)"""))
+    FROM positive, (SELECT t / 10.0::DOUBLE AS lam FROM range(-20, 21) r(t)) GROUP BY lam)"""))
 def boxcox_loglik(spark, sf_dir):
-    grid = pipelines.box_cox_grid(values(spark, sf_dir), "value", [t / 10 for t in range(-20, 21)])
+    grid = pipelines.box_cox_grid(positive(spark, sf_dir), "value", [t / 10 for t in range(-20, 21)])
     return grid.select(F.col("lambda").alias("lam"), F.round("loglik", 3).alias("loglik"))
 
 
@@ -177,7 +184,12 @@ def kernel_eval(spark, sf_dir):
     return v.select("event_id", *[r6(fx.kernel(k, F.col("t")), k) for k in fx.KERNELS])
 
 
-@query()
+_U = "('0x' || substr(md5({}), 1, 13))::BIGINT::DOUBLE / pow(2, 52)"
+
+
+@query(sql("""SELECT vertex, y + CASE WHEN n = 1 THEN 0 WHEN y = lo AND vertex = head THEN 0 WHEN y = lo THEN size * (u + 0.5) WHEN y = hi AND vertex = head THEN 0 WHEN y = hi THEN -size * (u + 0.5) ELSE size * (u - mean) END AS y FROM grp""",
+           tied=f"SELECT event_id AS vertex, round(value, 1) AS y, {_U.format("'123:' || event_id")} AS u FROM vals",
+           grp="SELECT *, count(*) OVER (PARTITION BY y) AS n, min(vertex) OVER (PARTITION BY y) AS head, avg(u) OVER (PARTITION BY y) AS mean, min(y) OVER () AS lo, max(y) OVER () AS hi, 1e-10::DOUBLE * greatest(1, max(y) OVER () - min(y) OVER ()) AS size FROM tied"))
 def break_ties(spark, sf_dir):
     """Values made distinct by noise within tied groups only."""
     return pipelines.break_ties(values(spark, sf_dir).select(F.col("event_id").alias("vertex"), F.round("value", 1).alias("y")))
@@ -307,12 +319,19 @@ def connected_tail(spark, sf_dir):
     return pipelines.connected_tail(v)
 
 
-@query()
+@query(sql("""SELECT i, j, round(length, 6) AS length FROM edges e WHERE NOT EXISTS (SELECT 1 FROM way w WHERE w.i = e.i AND w.j = e.j AND w.at_ = e.j)""", recursive=True,
+           way="SELECT i, j, length, i AS at_, 0.0::DOUBLE AS way FROM edges UNION SELECT w.i, w.j, w.length, a.nbr, w.way + a.length FROM way w JOIN adj a ON a.vertex = w.at_ WHERE w.at_ <> w.j AND a.nbr <> w.i AND NOT (w.at_ = w.i AND a.nbr = w.j) AND (w.way + a.length) / w.length - 1 < 0.1").replace("way AS MATERIALIZED", "way AS"))
 def geom_prune(spark, sf_dir):
     return graph.prune_long_ways(Base(spark, sf_dir).edges(), 0.1).select("i", "j", r6("length"))
 
 
-@query()
+@query(sql("""SELECT i, j, round(length, 6) AS length FROM ord WHERE length <= cut OR EXISTS (SELECT 1 FROM bridge b WHERE b.o = ord.o AND NOT EXISTS (SELECT 1 FROM met m WHERE m.o = b.o AND m.v = b.j))""", recursive=True,
+           ord="SELECT i, j, length, row_number() OVER (ORDER BY length, i, j) AS o, quantile_cont(length, 0.8) OVER () AS cut FROM edges",
+           oadj="SELECT i AS v, j AS w, o, length <= cut AS short FROM ord UNION ALL SELECT j, i, o, length <= cut FROM ord",
+           near="SELECT vertex AS v, vertex AS seen FROM points UNION SELECT n.v, a.w FROM near n JOIN oadj a ON a.v = n.seen AND a.short",
+           lab="SELECT v, min(seen) AS c FROM near GROUP BY v",
+           bridge="SELECT o, i, j FROM ord JOIN lab a ON a.v = i JOIN lab b ON b.v = j WHERE length > cut AND a.c <> b.c",
+           met="SELECT o, i AS v FROM bridge UNION SELECT m.o, a.w FROM met m JOIN oadj a ON a.v = m.v AND a.o < m.o").replace("near AS MATERIALIZED", "near AS").replace("met AS MATERIALIZED", "met AS"))
 def quantile_prune(spark, sf_dir):
     b = Base(spark, sf_dir)
     return graph.prune_longest(b.vertices, b.edges(), 0.2).select("i", "j", r6("length"))
@@ -336,9 +355,9 @@ def reference_measure_dk(spark, sf_dir):
     return measures.distance_measure(spectral._checkpointed(dk), clamp=1.05).select("vertex", r6("w"), "outside")
 
 
-@query(sql("SELECT event_id, round(CASE WHEN hi / lo > 20 THEN pow(value, ln(20) / ln(hi / lo)) ELSE value END, 6) AS w FROM vals, (SELECT min(value) AS lo, max(value) AS hi FROM vals)"))
+@query(sql("SELECT event_id, round(CASE WHEN hi / lo > 20 THEN pow(value, ln(20) / ln(hi / lo)) ELSE value END, 6) AS w FROM positive, (SELECT min(value) AS lo, max(value) AS hi FROM positive)"))
 def weight_compress(spark, sf_dir):
-    return measures.compress(values(spark, sf_dir).withColumnRenamed("value", "w"), "w", 20.0).select("event_id", r6("w"))
+    return measures.compress(positive(spark, sf_dir).withColumnRenamed("value", "w"), "w", 20.0).select("event_id", r6("w"))
 
 
 @query(sql("SELECT vertex, round(rho, 6) AS rho FROM rho0"))
@@ -378,9 +397,10 @@ def boundary(spark, sf_dir):
     return measures.boundary(graph.edge_list(Base(spark, sf_dir).edges()))
 
 
-@query(sql("SELECT i, j, round(1 / greatest(rho, 1e-10), 6) AS c FROM rho1 WHERE rho > 1e-6"))
+@query(sql("SELECT i, j, round(1 / greatest(rho, 1e-10) / 1000, 4) AS c FROM rho1"))
 def conductance(spark, sf_dir):
-    return measures.conductance(Base(spark, sf_dir).geometry()[3].where("rho > 1e-6")).select("i", "j", r6("c"))
+    """In thousands."""
+    return measures.conductance(Base(spark, sf_dir).geometry()[3]).select("i", "j", F.round(F.col("c") / 1000, 4).alias("c"))
 
 
 _LAP = """SELECT vertex AS i, nbr AS j, -conductance / sqrt(greatest(a.rho, 1e-8) * greatest(b.rho, 1e-8)) AS val FROM weights w JOIN rho0 a USING (vertex) JOIN rho0 b ON b.vertex = w.nbr
@@ -800,7 +820,22 @@ def ulogit(spark, sf_dir):
 
 @query()
 def eigen_ulogit(spark, sf_dir):
-    return logit.iwls(_logit_rows(spark, sf_dir), "g", quadratic=True)
+    """One fit over all rows, each of its steps an aggregation."""
+    return logit.iwls_table(_logit_rows(spark, sf_dir), quadratic=True)[0].select("doc_id", "x", "y", "prediction", "loo_brier", "loo_deviance")
+
+
+@query(sql("SELECT count(*) AS n, round(sum(y), 2) AS total, round(sum(y * x), 2) AS first, round(sum(y * x * x), 2) AS second FROM lx", lx=_LX))
+def eigen_ulogit_moments(spark, sf_dir):
+    """At the fit predictions have the moments of the response, which the SQL takes."""
+    rows = logit.iwls_table(_logit_rows(spark, sf_dir), quadratic=True)[0]
+    m = lambda k: F.round(F.sum(F.col("prediction") * F.pow("x", F.lit(float(k)))), 2)
+    return rows.agg(F.count("*").alias("n"), m(0).alias("total"), m(1).alias("first"), m(2).alias("second"))
+
+
+@query(sql("SELECT doc_id, round(0.7 - 0.3 * (x - 0.1) + 0.05 * pow(x - 0.1, 2), 6) AS link, round(1 / (1 + exp(-(0.7 - 0.3 * (x - 0.1) + 0.05 * pow(x - 0.1, 2)))), 6) AS response FROM lx", lx=_LX))
+def eigen_ulogit_predict(spark, sf_dir):
+    at = lambda link: logit.predict_quadratic(F.col("x"), [0.7, -0.3, 0.05], 0.1, link)
+    return _logit_rows(spark, sf_dir).select("doc_id", r6(at(True), "link"), r6(at(False), "response"))
 
 
 # -- evaluation
@@ -853,10 +888,31 @@ def one_se_select(spark, sf_dir):
     return metrics.one_se_rule(m).select("k", "n_eigenpairs", r6("mean"))
 
 
-@query(sql("SELECT round(1 - sum(pow(y - y_hat, 2)) / (var_pop(y) * count(*)), 6) AS r_squared, round(sqrt(avg(pow(y - y_hat, 2))), 6) AS rmse, round(avg(abs(y - y_hat)), 6) AS mae, count(*) AS n FROM rec", rec=_REC))
+@query(sql("SELECT r2 AS r_squared, round(1 - (1 - raw) * (n - 1) / (n - 6), 6) AS adj_r_squared, rmse, mae, n, sigma FROM (SELECT 1 - sum(pow(y - y_hat, 2)) / (var_pop(y) * count(*)) AS raw, round(raw, 6) AS r2, round(sqrt(avg(pow(y - y_hat, 2))), 6) AS rmse, round(avg(abs(y - y_hat)), 6) AS mae, count(*) AS n, round(stddev_samp(y - y_hat), 6) AS sigma FROM rec)", rec=_REC))
 def fit_summary(spark, sf_dir):
     v = values(spark, sf_dir).select(F.col("value").alias("y"), (F.col("value") * 0.8 + F.col("user_id") / 100.0).alias("y_hat"))
-    return plans.summary(v).select(r6("r_squared"), r6("rmse"), r6("mae"), "n")
+    return plans.summary(v, 5).select(r6("r_squared"), r6("adj_r_squared"), r6("rmse"), r6("mae"), "n", r6("sigma"))
+
+
+@query(sql("SELECT user_id AS col, count(*) AS n, round(sqrt(avg(r * r)), 6) AS rmse, round(avg(abs(r)), 6) AS mae, round(max(abs(r)), 6) AS max_abs FROM (SELECT user_id, value - 50 AS r FROM vals WHERE event_id % 7 <> 0) GROUP BY user_id"))
+def refit_summary(spark, sf_dir):
+    v = values(spark, sf_dir).select(F.col("user_id").alias("col"), F.when(F.col("event_id") % 7 != 0, F.col("value") - 50).alias("residual"))
+    return plans.refit_summary(v).select("col", "n", r6("rmse"), r6("mae"), r6("max_abs"))
+
+
+_LS = "SELECT p_value, least(1, 2 * p_value) AS p_adjusted, p_value - 0.5 AS effect FROM pv"
+
+
+@query(sql("SELECT count(*) AS n_tested, count_if(p_adjusted < 0.05) AS n_05, count_if(p_adjusted < 0.01) AS n_01, count_if(p_adjusted < 0.001) AS n_001, " + ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {c}_q{int(100 * q)}" for c in ("p_value", "p_adjusted", "effect") for q in (0.25, 0.5, 0.75)) + " FROM ls", pv=_P, ls=_LS))
+def lslope_summary(spark, sf_dir):
+    v = values(spark, sf_dir).select(((((F.col("event_id") * 7919) % 10007) + 1) / 10008.0).alias("p_value"))
+    out = pipelines.lslope_summary(v.select("p_value", F.least(F.lit(1.0), 2 * F.col("p_value")).alias("p_adjusted"), (F.col("p_value") - 0.5).alias("effect")))
+    return out.select(*[c if c.startswith("n_") else r6(c) for c in out.columns])
+
+
+@query()
+def fit_report(spark, sf_dir):
+    return plans.report(Base(spark, sf_dir).fit())
 
 
 # -- compound plans
@@ -880,10 +936,10 @@ def lp_graphs(spark, sf_dir):
     return pipelines.lp_graphs(f, y, [0.25, 0.5, 1.0], [6, 8])
 
 
-@query()
+@query(sql("SELECT vertex, p, round(list_sum(list_transform(x, lambda v: pow(v, p))), 6) AS total FROM feat, (SELECT unnest([0.25, 1.0]::DOUBLE[]) AS p)"))
 def lp_load(spark, sf_dir):
     """Writes results by p, then reads two of the partitions."""
-    return pipelines.lp_round_trip(features(spark, sf_dir), [0.25, 0.5, 1.0], [0.25, 1.0])
+    return pipelines.lp_round_trip(features(spark, sf_dir), [0.25, 0.5, 1.0], [0.25, 1.0]).select("vertex", "p", r6("total"))
 
 
 @query()
@@ -896,3 +952,259 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectral_smooth(spark, sf_dir)
 
 
+
+# -- sources and sinks
+
+
+@query(sql("SELECT vertex, rank::BIGINT AS rank, nbr, round(dist, 6) AS dist FROM knn6"))
+def knn_cache(spark, sf_dir):
+    """Neighbours by way of the cache: written once, read the second time."""
+    path = f"{tables.shared_folder(spark)}/knn-{uuid.uuid4().hex}"
+    make = lambda: graph.knn(Base(spark, sf_dir).points, K + 1)
+    tables.cached(spark, path, "readwrite", make)
+    return tables.cached(spark, path, "read", make).select("vertex", F.col("rank").cast("long").alias("rank"), "nbr", r6("dist"))
+
+
+@query(sql("SELECT event_id, user_id, value FROM vals"))
+def csv_append(spark, sf_dir):
+    """Two appends to one CSV folder, read back."""
+    path = f"{tables.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    v = values(spark, sf_dir)
+    for part in (0, 1):
+        tables.csv_append(v.where(F.col("event_id") % 2 == part), path)
+    return tables.csv_read(spark, path, "event_id long, user_id long, value double")
+
+
+@query(sql("SELECT vertex, round(y, 6) AS y FROM points"))
+def save_object(spark, sf_dir):
+    """An artifact under a path of its own, read back."""
+    return spark.read.parquet(tables.save_object(Base(spark, sf_dir).y, tables.shared_folder(spark), "response"))
+
+
+@query(sql("SELECT unnest([0.5, 2.0]::DOUBLE[]) AS p"))
+def lp_missing(spark, sf_dir):
+    """Of four wanted p two are written already and can be skipped."""
+    path = f"{tables.shared_folder(spark)}/lp-{uuid.uuid4().hex}"
+    tables.lp_save(features(spark, sf_dir).select("vertex").crossJoin(spark.createDataFrame([(0.25,), (1.0,)], "p double")), path)
+    return spark.createDataFrame([(p,) for p in tables.lp_missing(spark, path, [0.25, 0.5, 1.0, 2.0])], "p double")
+
+
+_CIRCLE = f"""SELECT vertex, theta, exp(-0.5 * pow((theta - 1.5) / 0.5, 2)) - exp(-0.5 * pow((theta - 4.0) / 0.7, 2)) AS y_true,
+    sqrt(-2 * ln(1 - {_U.format("'7:' || vertex || ':x0r'")})) * cos(2 * pi() * {_U.format("'7:' || vertex || ':x0a'")}) AS z0, sqrt(-2 * ln(1 - {_U.format("'7:' || vertex || ':yr'")})) * cos(2 * pi() * {_U.format("'7:' || vertex || ':ya'")}) AS zy
+    FROM (SELECT range AS vertex, 2 * pi() * 0.8 * {_U.format("'7:' || range || ':theta'")} AS theta FROM range(500))"""
+
+
+@query(sql("SELECT vertex, round(cos(theta) + 0.05 * z0, 6) AS x0, round(y_true, 6) AS y_true, round(y_true + 0.1 * zy, 6) AS y FROM cir", cir=_CIRCLE))
+def synthetic_circle(spark, sf_dir):
+    c = synthetic.circle(spark, 500, gap=0.2, seed=7)
+    return c.select("vertex", r6(F.col("x")[0], "x0"), r6("y_true"), r6("y"))
+
+
+@query(sql("SELECT vertex, round(t, 6) AS x0, round(exp(-0.5 * pow((t - 0.2) / 0.06, 2)) - 0.8 * exp(-0.5 * pow((t - 0.5) / 0.08, 2)) + 1.2 * exp(-0.5 * pow((t - 0.8) / 0.05, 2)), 6) AS y_true FROM (SELECT range AS vertex, range / 119.0 AS t FROM range(120))"))
+def synthetic_mixture(spark, sf_dir):
+    return synthetic.mixture(spark, 120).select("vertex", r6(F.col("x")[0], "x0"), r6("y_true"))
+
+
+@query(sql(f"SELECT vertex, vertex % 3 AS arm, round(CASE vertex % 3 WHEN 1 THEN t WHEN 2 THEN -t ELSE 0 END, 6) AS y_true FROM (SELECT range AS vertex, {_U.format("'1:' || range || ':t'")} AS t FROM range(150))"))
+def synthetic_branches(spark, sf_dir):
+    return synthetic.branches(spark, 150).select("vertex", (F.col("vertex") % 3).alias("arm"), r6("y_true"))
+
+
+# -- further graphs, operators and pieces of the tests
+
+
+@query(sql("SELECT least(vertex, w) AS i, greatest(vertex, w) AS j, 1.0::DOUBLE AS length FROM (SELECT vertex, lead(vertex) OVER (ORDER BY vertex) AS w FROM points) WHERE w IS NOT NULL"))
+def path_graph(spark, sf_dir):
+    return graph.path(Base(spark, sf_dir).vertices)
+
+
+@query(sql("SELECT i, j, round(min(length), 6) AS length FROM (SELECT i, j, length FROM edges UNION ALL SELECT vertex, w, 0.5 FROM (SELECT vertex, lead(vertex) OVER (ORDER BY vertex) AS w FROM points) WHERE w IS NOT NULL) GROUP BY i, j"))
+def planted_edges(spark, sf_dir):
+    """A path of short edges planted in the neighbour graph."""
+    b = Base(spark, sf_dir)
+    return graph.planted(b.edges(), graph.path(b.vertices).withColumn("length", F.lit(0.5))).select("i", "j", r6("length"))
+
+
+_B2 = "SELECT v0 AS i, v1 AS j, v0, v1, v2, 1 AS sign FROM tri UNION ALL SELECT v0, v2, v0, v1, v2, -1 FROM tri UNION ALL SELECT v1, v2, v0, v1, v2, 1 FROM tri"
+
+
+@query(sql("SELECT i, j, v0, v1, v2, sign FROM b2", b2=_B2))
+def boundary2(spark, sf_dir):
+    edges, sets, _, _ = Base(spark, sf_dir).geometry()
+    return measures.boundary2(graph.triangles(edges, sets))
+
+
+@query(sql("""SELECT i, j, i2, j2, round(sum(val) / 1000, 3) AS val FROM (
+    SELECT a.i, a.j, b.i AS i2, b.j AS j2, a.s * b.s * greatest(r.rho, 1e-8) / greatest(m.rho, 1e-15) AS val FROM inc a JOIN inc b USING (vertex) JOIN rho0 r USING (vertex) JOIN rho1 m ON m.i = a.i AND m.j = a.j
+    UNION ALL SELECT a.i, a.j, b.i, b.j, a.sign * b.sign / greatest(tm.val, 1e-15) * greatest(m.rho, 1e-15) FROM b2 a JOIN b2 b USING (v0, v1, v2) JOIN tm USING (v0, v1, v2) JOIN rho1 m ON m.i = b.i AND m.j = b.j) GROUP BY i, j, i2, j2""",
+    b2=_B2, inc="SELECT i, j, i AS vertex, -1 AS s FROM edges UNION ALL SELECT i, j, j, 1 FROM edges",
+    tm="SELECT t.v0, t.v1, t.v2, sum(r.rho) AS val FROM tri t JOIN sets a ON a.vertex = t.v0 JOIN sets b ON b.vertex = t.v1 AND b.member = a.member JOIN sets c ON c.vertex = t.v2 AND c.member = a.member JOIN rho0 r ON r.vertex = a.member GROUP BY ALL"))
+def hodge_l1(spark, sf_dir):
+    """Down and up terms, in thousands."""
+    edges, sets, rho0, rho1 = Base(spark, sf_dir).geometry()
+    mass = spectral._checkpointed(measures.triangle_mass(graph.triangles(edges, sets), sets, rho0))
+    return measures.hodge_l1(rho0, rho1, mass).select("i", "j", "i2", "j2", F.round(F.col("val") / 1000, 3).alias("val"))
+
+
+@query(sql("SELECT user_id, round(coalesce(list_sum(list_transform(list_filter(x, lambda t: t / 40 < 1), lambda t: 1 - pow(t / 40, 2))), 0), 6) AS total, len(list_filter(x, lambda t: t / 40 < 1)) - 1 AS stop FROM (SELECT user_id, list_sort(list(value)) AS x FROM positive GROUP BY user_id)"))
+def kernel_stop(spark, sf_dir):
+    """Epanechnikov weights of ascending distances, up to where they vanish."""
+    x = positive(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list("value")).alias("x"))
+    k = x.select("user_id", fx.kernel_with_stop("epanechnikov", F.col("x"), 40.0).alias("k"))
+    total = F.aggregate(F.slice("k.w", 1, F.col("k.stop") + 1), F.lit(0.0), lambda a, w: a + w)
+    return k.select("user_id", r6(total, "total"), F.col("k.stop").cast("long").alias("stop"))
+
+
+@query(sql("SELECT p, arg_min(k, struct_pack(a := gcv, b := k)) AS opt_k, round(min(gcv), 6) AS gcv, count(*) AS n_connected_k FROM (SELECT (user_id % 7) / 10.0::DOUBLE AS p, event_id AS k, value AS gcv FROM vals WHERE event_id % 3 <> 0) GROUP BY p"))
+def lp_summary(spark, sf_dir):
+    rows = values(spark, sf_dir).select((F.col("user_id") % 7 / 10.0).alias("p"), F.col("event_id").alias("k"), F.when(F.col("event_id") % 3 != 0, "success").otherwise("skipped").alias("status"), F.col("value").alias("gcv"))
+    return pipelines.lp_summary(rows).select("p", "opt_k", r6("gcv"), "n_connected_k")
+
+
+@query(sql(f"SELECT vertex, floor(5 * {_U.format("'1:' || vertex")})::INT AS fold FROM points"))
+def cv_folds(spark, sf_dir):
+    return pipelines.dealt_folds(Base(spark, sf_dir).vertices, 5)
+
+
+@query()
+def cross_validate(spark, sf_dir):
+    """Masked refits of the first four features."""
+    b = Base(spark, sf_dir)
+    return pipelines.cross_validate(b.fit(), b.points.select("vertex", F.posexplode(F.slice("x", 1, 4)).alias("col", "y")))
+
+
+_DRAW = f"SELECT b, vertex, row_number() OVER (PARTITION BY b ORDER BY {_U.format("'1:' || b || ':' || vertex")}, vertex) AS r FROM points, range(1, 20) t(b)"
+
+
+@query(sql("SELECT p.vertex, round((1 + count_if(abs(q.y - m) >= abs(p.y - m))) / 20.0, 6) AS p_value FROM points p JOIN dr ON dr.vertex = p.vertex JOIN (SELECT y, row_number() OVER (ORDER BY vertex) AS r FROM points) q ON q.r = dr.r, (SELECT avg(y) AS m FROM points) GROUP BY p.vertex", dr=_DRAW))
+def perm_p_values(spark, sf_dir):
+    """p values of the response itself among its permutations."""
+    y = Base(spark, sf_dir).y
+    own = y.select("vertex", F.col("y").alias("y_hat"))
+    draws = resample.permuted(y, 19, 1).select("vertex", "col", F.col("y").alias("y_hat"))
+    return resample.p_values(own, draws, y.agg(F.avg("y")).first()[0], 19).select("vertex", r6("p_value"))
+
+
+@query(sql("""SELECT vertex, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper, round(stddev_samp(v), 6) AS sd, round(avg((v > m)::INT), 6) AS p_above, round(least(1, 2 * least(avg((v > m)::INT), 1 - avg((v > m)::INT))), 6) AS pseudo_p
+    FROM (SELECT vertex, b, count(*) OVER (PARTITION BY b) * e / sum(e) OVER (PARTITION BY b) * y AS v FROM ex), (SELECT avg(y) AS m FROM points) GROUP BY vertex""",
+    ex=f"SELECT b, vertex, y, -ln(1 - {_U.format("'1:' || b || ':' || vertex")}) AS e FROM points, range(1, 20) t(b)"))
+def dirichlet_intervals(spark, sf_dir):
+    """Intervals of the response itself under Dirichlet weights."""
+    y = Base(spark, sf_dir).y
+    draws = resample.dirichlet(y, 19, 1).select("vertex", "col", F.col("y").alias("y_hat"))
+    return resample.intervals(draws, y.agg(F.avg("y")).first()[0]).select("vertex", *[r6(c) for c in ("lower", "upper", "sd", "p_above", "pseudo_p")])
+
+
+@query(sql("SELECT user_id AS vertex, round(s[floor(0.025 * (len(s) - 1))::INT + 1], 6) AS lower, round(s[floor(0.975 * (len(s) - 1))::INT + 1], 6) AS upper, round(sd, 6) AS sd FROM (SELECT user_id, list_sort(list(value)) AS s, stddev_samp(value) AS sd FROM vals GROUP BY user_id HAVING count(*) > 1)"))
+def credible_intervals(spark, sf_dir):
+    """Order statistics and deviations of arrays of draws: here a user's values."""
+    s = values(spark, sf_dir).groupBy(F.col("user_id").alias("vertex"), F.lit(0).alias("col")).agg(F.collect_list("value").alias("s")).where(F.size("s") > 1)
+    return plans.credible(s, 0.95).select("vertex", r6("lower"), r6("upper"), r6("sd"))
+
+
+@query(sql("SELECT user_id AS col, arg_min(eta, struct_pack(a := g, b := eta)) AS eta, round(min(g), 6) AS gcv FROM (SELECT user_id, eta, greatest(yy - list_sum(list_transform(range(1, 6), lambda k: (2 / (1 + eta * (k - 1)) - pow(1 / (1 + eta * (k - 1)), 2)) * pow(a[k], 2))), 0) / pow(n - list_sum(list_transform(range(0, 5), lambda k: 1 / (1 + eta * k))), 2) AS g FROM ua, (SELECT unnest([0.1, 1.0, 10.0]::DOUBLE[]) AS eta)) GROUP BY user_id",
+           ua="SELECT user_id, list(value ORDER BY event_id)[1:5] AS a, sum(value * value) AS yy, count(*) AS n FROM vals GROUP BY user_id HAVING count(*) > 5"))
+def gcv_score(spark, sf_dir):
+    """The score itself: a user's first five values stand for coefficients of five modes."""
+    rows = values(spark, sf_dir).groupBy(F.col("user_id").alias("col")).agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("v"), F.sum(F.col("value") * F.col("value")).alias("yy"), F.count("*").alias("n")).where("n > 5")
+    coef = rows.select("col", F.expr("transform(slice(v, 1, 5), e -> e.value)").alias("a"), "yy", "n")
+    return spectral.gcv_by_column(coef, np.arange(5.0), "tikhonov", [0.1, 1.0, 10.0], ["col"]).select("col", "eta", r6("gcv"))
+
+
+@query(sql("SELECT count(DISTINCT component) AS zero_modes FROM comp"))
+def zero_modes(spark, sf_dir):
+    """A graph has as many modes of eigenvalue zero as components."""
+    b = Base(spark, sf_dir)
+    edges = b.sparse()
+    _, rho0, rho1 = plans.geometry(b.vertices, edges, K)
+    low = spectral.spectrum(spectral._checkpointed(measures.laplacian(rho0, rho1)), b.vertices.count())
+    return spark.createDataFrame([(int((np.abs(low.values) <= 1e-10 * np.abs(low.values).max()).sum()),)], "zero_modes long")
+
+
+@query(sql("SELECT vertex, y AS b, 0.0::DOUBLE AS residual FROM points"))
+def tikhonov_residual(spark, sf_dir):
+    """What (I + eta L) x leaves of the right side, by a product that takes no part in the solution."""
+    b = Base(spark, sf_dir)
+    _, _, rho0, rho1 = b.geometry()
+    lap = spectral._checkpointed(measures.laplacian(rho0, rho1))
+    x = spectral._checkpointed(walks.tikhonov(lap, b.y.withColumnRenamed("y", "x"), 0.5))
+    product = spectral.multiply(lap, x).withColumnRenamed("x", "lx")
+    r = F.col("x") + 0.5 * F.coalesce("lx", F.lit(0.0)) - F.col("y")
+    return b.y.join(x, "vertex").join(product, "vertex", "left").select("vertex", F.col("y").alias("b"), F.abs(F.round(r, 3)).alias("residual"))
+
+
+@query(sql("SELECT k AS mode, 0.0::DOUBLE AS residual, 1.0::DOUBLE AS norm FROM range(10) t(k)"))
+def spectrum_residual(spark, sf_dir):
+    """Residuals of the fit's eigenpairs relative to the operator's largest entry, and their norms."""
+    model = Base(spark, sf_dir).fit()
+    size = model.laplacian.agg(F.max(F.abs("val"))).first()[0]
+    off = spectral.residuals(model.laplacian, model.spectrum.vectors, model.spectrum.values) / size
+    norms = model.spectrum.vectors.agg(*[F.sqrt(F.sum(F.col("v")[k] * F.col("v")[k])) for k in range(len(off))]).first()
+    return spark.createDataFrame([(k, abs(round(float(r), 6)), round(n, 6)) for k, (r, n) in enumerate(zip(off, norms))], "mode long, residual double, norm double")
+
+
+@query(sql("SELECT round(sum(c * c) / pow(sum(c) FILTER (i = j), 2), 6) AS share_squares FROM (SELECT a.c AS i, b.c AS j, covar_samp(a.v, b.v) AS c FROM cells a JOIN cells b USING (vertex) GROUP BY ALL)", cells=_MS["cells"]))
+def pca_spread(spark, sf_dir):
+    """The sum of squared variance shares is the covariance's squared norm over its squared trace."""
+    _, share = metrics.pca(Base(spark, sf_dir).points)
+    parts = np.diff(np.concatenate([[0.0], share]))
+    return spark.createDataFrame([(round(float((parts**2).sum()), 6),)], "share_squares double")
+
+
+@query(sql("""SELECT p.vertex, CASE WHEN p.y = (SELECT max(y) FROM points) THEN -1 WHEN s.source IS NULL THEN 0 ELSE coalesce(r.radius, 0) END::INT AS radius FROM points p LEFT JOIN src s ON s.source = p.vertex LEFT JOIN rad r ON r.source = p.vertex""", recursive=True,
+    src="SELECT p.vertex AS source, any_value(p.y) AS fs FROM points p LEFT JOIN adj a ON a.vertex = p.vertex LEFT JOIN points q ON q.vertex = a.nbr GROUP BY p.vertex HAVING (max(q.y) IS NULL OR any_value(p.y) > max(q.y)) AND any_value(p.y) < (SELECT max(y) FROM points)",
+    bfs="SELECT source, source AS vertex, 0 AS hop FROM src UNION SELECT b.source, a.nbr, b.hop + 1 FROM bfs b JOIN adj a ON a.vertex = b.vertex WHERE b.hop < 12",
+    first="SELECT source, vertex, min(hop) AS hop FROM bfs GROUP BY ALL HAVING min(hop) > 0",
+    ring="SELECT source, hop, sum(rho) AS t, sum(CASE WHEN fs > p.y THEN rho ELSE 0 END) AS g FROM first JOIN src USING (source) JOIN points p USING (vertex) JOIN rho0 USING (vertex) GROUP BY source, hop",
+    cum="SELECT source, hop, sum(t) OVER (PARTITION BY source ORDER BY hop) AS t, sum(g) OVER (PARTITION BY source ORDER BY hop) AS g, max(hop) OVER (PARTITION BY source) AS far FROM ring",
+    rad="SELECT source, CASE WHEN min(hop) FILTER (g / t < 0.87) IS NULL THEN least(12, any_value(far) + 1) ELSE min(hop) FILTER (g / t < 0.87) - 1 END AS radius FROM cum GROUP BY source").replace("bfs AS MATERIALIZED", "bfs AS"))
+def hop_radius_of_labels(spark, sf_dir):
+    """Hops up to which the strict maxima of the response itself stay above at least 87 % of the density."""
+    b = Base(spark, sf_dir)
+    edges, _, rho0, _ = b.geometry()
+    return extrema.hop_radius(b.y, edges, rho0, 0.87, max_hop=12)
+
+
+# -- further ways to fit
+
+
+@query()
+def pca_fit(spark, sf_dir):
+    """Features projected to at most ten components before the graph is built."""
+    return Base(spark, sf_dir).fit(pca_dim=10, variance_explained=0.8).fitted
+
+
+@query()
+def coherence_fit(spark, sf_dir):
+    """Edge masses lowered where the fitted response changes."""
+    return Base(spark, sf_dir).fit(gamma=0.5, max_iterations=2).fitted
+
+
+@query()
+def refit_labeled(spark, sf_dir):
+    """The first four features, taught by two thirds of the vertices."""
+    b = Base(spark, sf_dir)
+    responses = b.points.select("vertex", F.posexplode(F.slice("x", 1, 4)).alias("col", "y"))
+    return plans.refit(b.fit(), responses, labeled=b.vertices.where("vertex % 3 != 0"))[0]
+
+
+@query()
+def refit_posterior(spark, sf_dir):
+    b = Base(spark, sf_dir)
+    responses = b.points.select("vertex", F.posexplode(F.slice("x", 1, 4)).alias("col", "y"))
+    return plans.credible(plans.refit_samples(b.fit(), responses, 50))
+
+
+@query()
+def lcor_posterior(spark, sf_dir):
+    b = Base(spark, sf_dir)
+    return resample.lcor_posterior(b.fit(), b.points.select("vertex", F.posexplode(F.slice("x", 1, 2)).alias("col", "y")), 20)
+
+
+@query()
+def coboundary_full(spark, sf_dir):
+    """With edge masses off the diagonal too."""
+    b = Base(spark, sf_dir)
+    edges, sets, rho0, rho1 = b.geometry()
+    mass = spectral._checkpointed(measures.edge_mass(edges, graph.triangles(edges, sets), rho1, rho0, sets))
+    return extrema.coboundary_full(b.y, rho0, mass)

@@ -37,6 +37,17 @@ def kernel(name: str, t: Column, scale: float = 1.0) -> Column:
     return F.when(F.abs(t / scale) >= 1, 0.0).otherwise(value) if compact else value
 
 
+def kernel_with_stop(name: str, x: Column, bandwidth: float) -> Column:
+    """struct<w, stop> for an ascending array: weights up to the first that vanishes, and the place of the last that does not.
+
+    For compact kernels; stop is -1 if the first weight vanishes, and the last place if none does.
+    """
+    inside = F.filter(x, lambda t: F.abs(t / bandwidth) < 1)
+    # the array ascends from zero, so that what lies inside comes first
+    w = F.transform(x, lambda t: kernel(name, F.abs(t), bandwidth))
+    return F.struct(w.alias("w"), (F.size(inside) - 1).alias("stop"))
+
+
 def spectral_filter(name: str, lam: Column, eta: Column) -> Column:
     return FILTERS[name](lam, eta)
 

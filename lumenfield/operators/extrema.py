@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lumenfield.sources.tables import checkpointed
+
 from .graph import directed, numbered
 
 
@@ -35,9 +37,8 @@ def hop_radius(y: DataFrame, edges: DataFrame, rho: DataFrame, p: float = 0.95,
     Global extrema get -1, other vertices 0. The frontier of all extrema grows together, a hop a
     round; an anti-join keeps it from places that were reached, and it ends where no share holds.
     """
-    spark = y.sparkSession
     sign = 1.0 if maxima else -1.0
-    f = y.select("vertex", (F.col("y") * sign).alias("f")).join(rho, "vertex").checkpoint() if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) else y.select("vertex", (F.col("y") * sign).alias("f")).join(rho, "vertex")
+    f = checkpointed(y.select("vertex", (F.col("y") * sign).alias("f")).join(rho, "vertex"))
     best, low = f.agg(F.max("f"), F.min("f")).first()
     eps = 1e-14 * max(abs(best), abs(low))
     d = directed(edges)
@@ -73,6 +74,21 @@ def coboundary(y: DataFrame, vertex_rho: DataFrame, edge_rho: DataFrame) -> Data
     return e.select("i", "j", "rho", ((F.col("fj") - F.col("fi")) / F.greatest("rho", F.lit(1e-15))).alias("delta"))
 
 
+def coboundary_full(y: DataFrame, vertex_rho: DataFrame, mass: DataFrame, ridge: float = 1e-10) -> DataFrame:
+    """(i, j, delta) with (M1 + ridge I) delta = B1' M0 y for edge masses (i, j, i2, j2, val), off the diagonal too."""
+    from .spectral import solve
+
+    edges = numbered(mass.where("i = i2 and j = j2").select("i", "j"), ["i", "j"], "e")
+    edges = checkpointed(edges)
+    f = y.join(vertex_rho, "vertex").select("vertex", (F.greatest("rho", F.lit(1e-15)) * F.col("y")).alias("mf"))
+    right = edges.join(f.select(F.col("vertex").alias("i"), F.col("mf").alias("fi")), "i").join(f.select(F.col("vertex").alias("j"), F.col("mf").alias("fj")), "j")
+    right = right.select(F.col("e").alias("vertex"), (F.col("fj") - F.col("fi")).alias("x"))
+    second = edges.select(F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("e").alias("e2"))
+    matrix = mass.join(edges, ["i", "j"]).join(second, ["i2", "j2"]).groupBy(F.col("e").alias("i"), F.col("e2").alias("j")).agg(F.sum("val").alias("val"))
+    found = solve(checkpointed(matrix), checkpointed(right), ridge, 1.0)
+    return edges.join(found.withColumnRenamed("vertex", "e"), "e").select("i", "j", F.col("x").alias("delta"))
+
+
 def extremality(y: DataFrame, vertex_rho: DataFrame, edge_rho: DataFrame) -> DataFrame:
     """(vertex, score) in [-1, 1]; null where a vertex is isolated or nothing changes around it."""
     d = coboundary(y, vertex_rho, edge_rho).withColumn("m", F.greatest("rho", F.lit(1e-15)))

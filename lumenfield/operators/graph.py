@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lumenfield.sources.tables import checkpointed
+
 #: Rows of a block: a task compares two blocks and keeps k rows for each vertex of the first.
 BLOCK = 2048
 #: Pairs whose differences a task holds at once.
@@ -70,7 +72,7 @@ def iknn(neighbours: DataFrame) -> DataFrame:
     return a.join(b, "nbr").where("i < j").groupBy("i", "j").agg(F.count("*").alias("isize"), F.min(F.col("di") + F.col("dj")).alias("length"))
 
 
-def directed(edges: DataFrame, *columns: str) -> DataFrame:
+def directed(edges: DataFrame, *columns) -> DataFrame:
     """Both directions (vertex, nbr, ...) of an undirected edge table."""
     ahead = edges.select(F.col("i").alias("vertex"), F.col("j").alias("nbr"), *columns)
     return ahead.unionByName(edges.select(F.col("j").alias("vertex"), F.col("i").alias("nbr"), *columns))
@@ -102,19 +104,15 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
     Each round is an aggregation over edges; rounds are cut by checkpoint() in the shared folder.
     """
-    spark = vertices.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumenfield-"))
-    both = directed(edges).checkpoint()
-    labels = vertices.select("vertex", F.col("vertex").alias("component")).checkpoint()
+    both = checkpointed(directed(edges))
+    labels = checkpointed(vertices.select("vertex", F.col("vertex").alias("component")))
     while True:
         seen = both.join(labels.select(F.col("vertex").alias("nbr"), "component"), "nbr").groupBy("vertex").agg(F.min("component").alias("m"))
         hooked = labels.join(seen, "vertex", "left").select("vertex", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
         # shortcut: a component takes the smallest label that any of its members saw
         roots = hooked.groupBy("old").agg(F.min("component").alias("root"))
-        later = hooked.join(roots, "old").select("vertex", F.least("component", "root").alias("component"), (F.least("component", "root") != F.col("old")).alias("moved")).checkpoint()
+        later = hooked.join(roots, "old").select("vertex", F.least("component", "root").alias("component"), (F.least("component", "root") != F.col("old")).alias("moved"))
+        later = checkpointed(later)
         if later.where("moved").isEmpty():
             return later.select("vertex", "component")
         labels = later.select("vertex", "component")
@@ -212,57 +210,74 @@ def degree_divergence(a: DataFrame, b: DataFrame) -> DataFrame:
     return js.crossJoin(only.agg(F.count("*").alias("edit_distance")))
 
 
-def prune_long_ways(edges: DataFrame, delta: float = 0.1, percentile: float = 0.0, hops: int = 3) -> DataFrame:
-    """Drops an edge when a way of at most ``hops`` edges around it is at most (1 + delta) times as long.
+def prune_long_ways(edges: DataFrame, delta: float = 0.1, percentile: float = 0.0) -> DataFrame:
+    """Drops an edge when some other way between its ends is less than (1 + delta) times as long.
 
-    Only edges longer than the quantile are considered; delta 0 drops none. Ways of two and three
-    edges come from equi-joins on shared ends, so the search is local in the graph.
+    Only edges longer than the quantile are considered; delta 0 drops none. Ways of any number of edges count:
+    from one end of each edge a frontier of shortest distances grows, an edge a round and never
+    beyond the bound, until it reaches the other end or has nowhere to go.
     """
     if delta <= 0:
         return edges
-    cut = edges.agg(F.percentile("length", percentile)).scalar()
-    long = edges.where(F.col("length") > cut) if percentile > 0 else edges
-    d = directed(edges, "length")
-    first = long.select("i", "j", "length").join(d.select(F.col("vertex").alias("i"), F.col("nbr").alias("u"), F.col("length").alias("l1")), "i").where("u != j and l1 < length * (1 + %r)" % delta)
-    two = first.join(d.select(F.col("vertex").alias("u"), F.col("nbr").alias("j"), F.col("length").alias("l2")), ["u", "j"]).select("i", "j", (F.col("l1") + F.col("l2")).alias("way"), "length")
-    ways = two
-    if hops > 2:
-        second = first.join(d.select(F.col("vertex").alias("u"), F.col("nbr").alias("v"), F.col("length").alias("l2")), "u").where("v != i and v != j").where(F.col("l1") + F.col("l2") < F.col("length") * (1 + delta))
-        three = second.join(d.select(F.col("vertex").alias("v"), F.col("nbr").alias("j"), F.col("length").alias("l3")), ["v", "j"]).select("i", "j", (F.col("l1") + F.col("l2") + F.col("l3")).alias("way"), "length")
-        ways = ways.unionByName(three)
-    gone = ways.where(F.col("way") / F.col("length") - 1 < delta).select("i", "j").distinct()
-    return edges.join(gone, ["i", "j"], "left_anti")
+    long = edges
+    if percentile > 0:
+        long = edges.where(F.col("length") > edges.agg(F.percentile("length", percentile)).scalar())
+    d = checkpointed(directed(edges, F.col("length").alias("step")).withColumnRenamed("vertex", "at"))
+    best = checkpointed(long.select("i", "j", "length", F.col("i").alias("at"), F.lit(0.0).alias("way")))
+    frontier, gone = best, None
+    while not frontier.isEmpty():
+        moved = frontier.join(d, "at").where("nbr != i and not (at = i and nbr = j)").select("i", "j", "length", F.col("nbr").alias("at"), (F.col("way") + F.col("step")).alias("way"))
+        moved = checkpointed(moved.where(F.col("way") / F.col("length") - 1 < delta).groupBy("i", "j", "length", "at").agg(F.min("way").alias("way")))
+        reached = moved.where("at = j").select("i", "j")
+        gone = checkpointed(reached if gone is None else gone.unionByName(reached))
+        before = best.select("i", "j", "at", F.col("way").alias("old"))
+        frontier = moved.join(gone, ["i", "j"], "left_anti").join(before, ["i", "j", "at"], "left").where("old is null or way < old").drop("old")
+        frontier = checkpointed(frontier.select("i", "j", "length", "at", "way"))
+        best = checkpointed(best.unionByName(frontier).groupBy("i", "j", "length", "at").agg(F.min("way").alias("way")))
+    return edges.join(gone, ["i", "j"], "left_anti") if gone is not None else edges
 
 
 def prune_longest(vertices: DataFrame, edges: DataFrame, share: float) -> DataFrame:
     """Removes the longest ``share`` of the edges where that leaves the graph's components as they are.
 
-    Long edges are dealt in order of length by union-find on component labels of the short graph:
-    only edges between different components of it can matter, and they are few.
+    Of the long edges those stay that a smallest spanning forest over the short graph's components needs.
+    It grows as Boruvka's: in each round every component takes its shortest edge to another one, ties by
+    (i, j), and what these join becomes one component.
     """
     if not 0 <= share <= 0.5:
         raise ValueError("share must lie in [0, 0.5]")
     cut = edges.agg(F.percentile("length", 1 - share)).scalar()
     short, long = edges.where(F.col("length") <= cut), edges.where(F.col("length") > cut)
     labels = components(vertices, short)
-    li = labels.select(F.col("vertex").alias("i"), F.col("component").alias("ci"))
-    lj = labels.select(F.col("vertex").alias("j"), F.col("component").alias("cj"))
-    across = long.join(li, "i").join(lj, "j").where("ci != cj")
-    w = Window.partitionBy(F.least("ci", "cj"), F.greatest("ci", "cj")).orderBy("length", "i", "j")
-    bridges = across.withColumn("r", F.row_number().over(w)).where("r = 1")
-    parent: dict[int, int] = {}
-
-    def find(v: int) -> int:
-        while parent.setdefault(v, v) != v:
-            v = parent[v]
-        return v
-
-    keep = []
-    for r in bridges.orderBy("length", "i", "j").toLocalIterator():
-        a, b = find(r.ci), find(r.cj)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            keep.append((r.i, r.j))
-    spark = edges.sparkSession
-    kept = spark.createDataFrame(keep, "i long, j long")
-    return short.unionByName(long.join(kept, ["i", "j"], "left_semi"))
+    place = lambda of, end, name: of.select(F.col("vertex").alias(end), F.col("component").alias(name))
+    across = long.join(place(labels, "i", "ci"), "i").join(place(labels, "j", "cj"), "j").where("ci != cj")
+    pair = [F.least("ci", "cj").alias("ci"), F.greatest("ci", "cj").alias("cj")]
+    shortest = lambda rows: rows.groupBy(*pair).agg(F.min(F.struct("length", "i", "j")).alias("e"))
+    bridges, kept = checkpointed(shortest(across)), []
+    while not bridges.isEmpty():
+        both = bridges.select(F.col("ci").alias("c"), "ci", "cj", "e").unionByName(bridges.select(F.col("cj").alias("c"), "ci", "cj", "e"))
+        taken = both.groupBy("c").agg(F.min_by(F.struct("ci", "cj", "e"), "e").alias("b")).select("b.ci", "b.cj", "b.e").distinct()
+        taken = checkpointed(taken)
+        kept.append(taken.select("e.i", "e.j"))
+        joined = components(both.select(F.col("c").alias("vertex")).distinct(), taken.select(F.col("ci").alias("i"), F.col("cj").alias("j")))
+        moved = bridges.join(place(joined, "ci", "a"), "ci").join(place(joined, "cj", "b"), "cj").where("a != b")
+        bridges = checkpointed(moved.groupBy(F.least("a", "b").alias("ci"), F.greatest("a", "b").alias("cj")).agg(F.min("e").alias("e")))
+    if not kept:
+        return short
+    needed = kept[0]
+    for more in kept[1:]:
+        needed = needed.unionByName(more)
+    return short.unionByName(long.join(needed, ["i", "j"], "left_semi"))
+
+
+def path(vertices: DataFrame, key: str = "vertex") -> DataFrame:
+    """Edges (i, j, length) of unit length between vertices that follow each other in the order of ``key``."""
+    n = numbered(vertices.select("vertex", *([key] if key != "vertex" else [])), [key] if key == "vertex" else [key, "vertex"], "r").select("vertex", "r")
+    pairs = n.join(n.select(F.col("vertex").alias("w"), (F.col("r") - 1).alias("r")), "r")
+    return pairs.select(F.least("vertex", "w").alias("i"), F.greatest("vertex", "w").alias("j"), F.lit(1.0).alias("length"))
+
+
+def planted(edges: DataFrame, more: DataFrame) -> DataFrame:
+    """edges (i, j, length) with those of ``more`` added; of an edge that comes more than once the shortest stays."""
+    both = edges.select("i", "j", "length").unionByName(more.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "length"))
+    return both.where("i != j").groupBy("i", "j").agg(F.min("length").alias("length"))

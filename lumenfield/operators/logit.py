@@ -194,3 +194,66 @@ def iwls(rows: DataFrame, by: str, quadratic: bool = False, ridge: float = 0.0)
 
     kind = rows.schema[by].dataType.simpleString()
     return rows.select(by, F.col("x").cast("double"), F.col("y").cast("double"), F.col("w").cast("double")).groupBy(by).applyInPandas(run, f"{by} {kind}, x double, y double, prediction double, loo_brier double, loo_deviance double")
+
+
+def iwls_table(rows: DataFrame, quadratic: bool = False, ridge: float = 0.0) -> tuple[DataFrame, np.ndarray]:
+    """(rows with prediction, loo_brier and loo_deviance; coefficients at the centred x) for one fit over a table of any size.
+
+    The same fit as ``iwls``: each look at the deviance, its gradient and its Hessian is one aggregation,
+    and left-out fits follow from the hat matrix row by row.
+    """
+    n, sw, swx, swy = rows.agg(F.count("*"), F.sum("w"), F.sum(F.col("w") * F.col("x")), F.sum(F.col("w") * F.col("y"))).first()
+    c = F.col("x") - swx / sw
+    design = [F.lit(1.0), c, *([c * c] if quadratic else [])]
+    d, w, y = len(design), F.col("w") * (n / sw), F.col("y")
+    bound = max(1e-15, 0.1 / n)
+
+    def linear(b: np.ndarray) -> Column:
+        out = F.lit(float(b[0]))
+        for v, x in zip(b[1:], design[1:]):
+            out = out + float(v) * x
+        return out
+
+    def prob(eta: Column) -> Column:
+        return F.least(F.greatest(1 / (1 + F.exp(-F.least(F.greatest(eta, F.lit(-700.0)), F.lit(700.0)))), F.lit(bound)), F.lit(1 - bound))
+
+    def look(b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        p = prob(linear(b))
+        pairs = [(i, j) for i in range(d) for j in range(i, d)]
+        got = rows.agg(F.sum(-2 * w * (y * F.log(p) + (1 - y) * F.log(1 - p))), *[F.sum(w * (y - p) * x) for x in design], *[F.sum(w * p * (1 - p) * design[i] * design[j]) for i, j in pairs]).first()
+        h = np.zeros((d, d))
+        for (i, j), v in zip(pairs, got[1 + d :]):
+            h[i, j] = h[j, i] = v
+        return got[0], np.array(got[1 : 1 + d]), h
+
+    m = float(np.clip(swy / sw, bound, 1 - bound))
+    b = np.zeros(d)
+    b[0] = math.log(m / (1 - m))
+    last, g, h = look(b)
+    for _ in range(ROUNDS):
+        move, size = np.linalg.solve(h + 1e-12 * np.eye(d), g), 1.0
+        now = look(b + move)
+        while size > 1e-6 and now[0] > last + 1e-12:
+            size /= 2
+            now = look(b + size * move)
+        b, before = b + size * move, last
+        last, g, h = now
+        if abs(before - last) < 1e-8:
+            break
+    inverse = np.linalg.inv(h + (ridge + 1e-12) * np.eye(d))
+    p = F.col("prediction")
+    v = w * p * (1 - p)
+    hat = F.lit(0.0)
+    for i in range(d):
+        for j in range(d):
+            hat = hat + float(inverse[i, j]) * design[i] * design[j]
+    q = prob(linear(b) - v * hat * (y - p) / F.greatest(1 - v * hat, F.lit(1e-10)) / F.greatest(p * (1 - p), F.lit(1e-10)))
+    out = rows.withColumn("prediction", prob(linear(b)))
+    return out.withColumns({"loo_brier": F.pow(y - q, F.lit(2.0)), "loo_deviance": -(y * F.log(q) + (1 - y) * F.log(1 - q))}), b
+
+
+def predict_quadratic(x: Column, b: list[float], xbar: float, link: bool = False) -> Column:
+    """Prediction of a fit with coefficients b at the centred x, on the scale of the response or of its logit."""
+    c = x - xbar
+    eta = sum((float(v) * F.pow(c, F.lit(float(k))) for k, v in enumerate(b)), F.lit(0.0))
+    return eta if link else 1 / (1 + F.exp(-eta))

@@ -126,10 +126,7 @@ def edge_mass(edges: DataFrame, tri: DataFrame, edge_rho: DataFrame, vertex_rho:
     own = edge_rho.select("i", "j", F.col("i").alias("i2"), F.col("j").alias("j2"), F.greatest("rho", F.lit(1e-15)).alias("val"))
     if policy == "never" or (policy == "auto" and edges.count() > limit):
         return own
-    member = tri.select("v0", "v1", "v2")
-    for v in ("v0", "v1", "v2"):
-        member = member.join(sets.select(F.col("vertex").alias(v), "member"), [v] if v == "v0" else [v, "member"])
-    mass = member.join(vertex_rho.select(F.col("vertex").alias("member"), "rho"), "member").groupBy("v0", "v1", "v2").agg(F.sum("rho").alias("val"))
+    mass = triangle_mass(tri, sets, vertex_rho).withColumnRenamed("mass", "val")
     out = own
     ab, ac, bc = ("v0", "v1"), ("v0", "v2"), ("v1", "v2")
     for x, y in ((ab, ac), (ab, bc), (ac, bc)):
@@ -144,6 +141,39 @@ def boundary(edges_with_id: DataFrame) -> DataFrame:
     return tail.unionByName(edges_with_id.select(F.col("j").alias("vertex"), "edge_id", F.lit(1).alias("sign")))
 
 
+def boundary2(tri: DataFrame) -> DataFrame:
+    """(i, j, v0, v1, v2, sign): edges of each triangle, +1 for (v0, v1) and (v1, v2), -1 for (v0, v2)."""
+    ends = [("v0", "v1", 1), ("v0", "v2", -1), ("v1", "v2", 1)]
+    edge = F.explode(F.array(*[F.struct(F.col(a).alias("i"), F.col(b).alias("j"), F.lit(sign).alias("sign")) for a, b, sign in ends])).alias("e")
+    return tri.select("v0", "v1", "v2", edge).select("e.i", "e.j", "v0", "v1", "v2", "e.sign")
+
+
+def triangle_mass(tri: DataFrame, sets: DataFrame, vertex_rho: DataFrame) -> DataFrame:
+    """(v0, v1, v2, mass): density of the members that all three vertices' sets have in common."""
+    member = tri.select("v0", "v1", "v2")
+    for v in ("v0", "v1", "v2"):
+        member = member.join(sets.select(F.col("vertex").alias(v), "member"), [v] if v == "v0" else [v, "member"])
+    return member.join(vertex_rho.select(F.col("vertex").alias("member"), "rho"), "member").groupBy("v0", "v1", "v2").agg(F.sum("rho").alias("mass"))
+
+
+def hodge_l1(vertex_rho: DataFrame, edge_rho: DataFrame, tri_mass: DataFrame | None = None) -> DataFrame:
+    """(i, j, i2, j2, val) of M1^-1 B1' M0 B1, and with triangles (v0, v1, v2, mass) also B2 M2^-1 B2' M1; diagonal masses.
+
+    Entries come from equi-joins on shared vertices and triangles, at any number of edges.
+    """
+    mass = edge_rho.select("i", "j", F.greatest("rho", F.lit(1e-15)).alias("m"))
+    ends = edge_rho.select("i", "j", F.explode(F.array(F.struct(F.col("i").alias("vertex"), F.lit(-1).alias("s")), F.struct(F.col("j").alias("vertex"), F.lit(1).alias("s")))).alias("e")).select("i", "j", "e.vertex", "e.s")
+    other = ends.select(F.col("i").alias("i2"), F.col("j").alias("j2"), "vertex", F.col("s").alias("s2"))
+    down = ends.join(other, "vertex").join(vertex_rho.select("vertex", F.greatest("rho", F.lit(LEAST_DENSITY)).alias("m0")), "vertex").join(mass, ["i", "j"])
+    parts = down.select("i", "j", "i2", "j2", (F.col("s") * F.col("s2") * F.col("m0") / F.col("m")).alias("val"))
+    if tri_mass is not None:
+        b2 = boundary2(tri_mass)
+        again = b2.select(F.col("i").alias("i2"), F.col("j").alias("j2"), "v0", "v1", "v2", F.col("sign").alias("sign2"))
+        up = b2.join(again, ["v0", "v1", "v2"]).join(tri_mass, ["v0", "v1", "v2"]).join(mass.select(F.col("i").alias("i2"), F.col("j").alias("j2"), "m"), ["i2", "j2"])
+        parts = parts.unionByName(up.select("i", "j", "i2", "j2", (F.col("sign") * F.col("sign2") / F.greatest("mass", F.lit(1e-15)) * F.col("m")).alias("val")))
+    return parts.groupBy("i", "j", "i2", "j2").agg(F.sum("val").alias("val"))
+
+
 def neighbour_weights(vertex_rho: DataFrame, edge_rho: DataFrame) -> DataFrame:
     """(vertex, nbr, conductance, mass_sym) for both directions of each edge."""
     mass = vertex_rho.select("vertex", F.greatest("rho", F.lit(1e-15)).alias("m"))

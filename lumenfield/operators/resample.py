@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lumenfield.functions.columns import clip_open, uniform
 from lumenfield.plans.fit import Fit, refit
@@ -35,8 +35,10 @@ def permuted(y: DataFrame, b: int, seed: int = 1, subjects: DataFrame | None = N
     from .graph import numbered
 
     ranked = numbered(units, ["unit"], "r")
+    n = units.count()
     draws = units.select("unit").crossJoin(F.broadcast(draw_index(b, spark))).withColumn("u", uniform(F.lit(seed), F.col("b"), F.col("unit")))
-    draws = draws.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("u", "unit")).cast("long")).join(ranked.select("r", "y"), "r")
+    # one range sort numbers all draws, so that no task holds a whole one
+    draws = numbered(draws, ["b", "u", "unit"], "r").withColumn("r", F.col("r") - (F.col("b") - 1) * n).join(ranked.select("r", "y"), "r")
     draws = draws.select("unit", F.col("b").alias("col"), "y")
     if subjects is None:
         return draws.withColumnRenamed("unit", "vertex")
@@ -55,6 +57,12 @@ def global_statistics(fitted: DataFrame, mean: float, n: int, by: list[str]) ->
     return fitted.groupBy(*by).agg(F.sqrt(F.sum(d * d)).alias("l2"), F.sum(d).alias("l1"), F.max(d).alias("max"), F.sum(log).alias("log"), F.sum(logit).alias("logit"))
 
 
+def p_values(own: DataFrame, draws: DataFrame, mean: float, b: int) -> DataFrame:
+    """(vertex, p_value): share of the draws (vertex, col, y_hat) at least as far from the mean as own (vertex, y_hat)."""
+    far = draws.join(own.select("vertex", F.col("y_hat").alias("own")), "vertex")
+    return far.groupBy("vertex").agg(((1 + F.count_if(F.abs(F.col("y_hat") - mean) >= F.abs(F.col("own") - mean))) / (b + 1)).alias("p_value"))
+
+
 def permutation_test(model: Fit, y: DataFrame, b: int = 99, seed: int = 1, subjects: DataFrame | None = None, per_column: bool = True) -> tuple[DataFrame, DataFrame]:
     """(global, vertices): p values (1 + draws at least as far) / (b + 1), overall and by vertex with BH adjustment."""
     n, mean = y.agg(F.count("*"), F.avg("y")).first()
@@ -62,25 +70,31 @@ def permutation_test(model: Fit, y: DataFrame, b: int = 99, seed: int = 1, subje
     draws = global_statistics(fitted, mean, n, ["col"])
     seen = global_statistics(model.fitted.withColumn("one", F.lit(1)), mean, n, ["one"]).first()
     overall = draws.agg(*[((1 + F.count_if(F.col(s) >= float(seen[s]))) / (b + 1)).alias(s) for s in STATISTICS])
-    far = fitted.join(model.fitted.select("vertex", F.col("y_hat").alias("own")), "vertex")
-    per = far.groupBy("vertex").agg(((1 + F.count_if(F.abs(F.col("y_hat") - mean) >= F.abs(F.col("own") - mean))) / (b + 1)).alias("p_value"))
-    return overall, bh_adjust(per)
+    return overall, bh_adjust(p_values(model.fitted, fitted, mean, b))
 
 
-def bootstrap(model: Fit, y: DataFrame, b: int = 99, seed: int = 1, level: float = 0.95, per_column: bool = False) -> DataFrame:
-    """(vertex, lower, upper, sd, p_above, pseudo_p) under Dirichlet weights: responses n w y are refitted."""
-    n, mean = y.agg(F.count("*"), F.avg("y")).first()
+def dirichlet(y: DataFrame, b: int, seed: int = 1) -> DataFrame:
+    """(vertex, col, y): responses n w y under b draws of Dirichlet weights."""
+    n = y.count()
     draws = y.crossJoin(F.broadcast(draw_index(b, y.sparkSession))).withColumn("e", -F.log(1 - uniform(F.lit(seed), F.col("b"), F.col("vertex"))))
     totals = draws.groupBy("b").agg(F.sum("e").alias("t"))
-    pseudo = draws.join(F.broadcast(totals), "b").select("vertex", F.col("b").alias("col"), (n * F.col("e") / F.col("t") * F.col("y")).alias("y"))
-    fitted, _ = refit(model, pseudo, per_column)
+    return draws.join(F.broadcast(totals), "b").select("vertex", F.col("b").alias("col"), (n * F.col("e") / F.col("t") * F.col("y")).alias("y"))
+
+
+def intervals(draws: DataFrame, mean: float, level: float = 0.95) -> DataFrame:
+    """(vertex, lower, upper, sd, p_above, pseudo_p) of draws (vertex, col, y_hat)."""
     tail = (1 - level) / 2
     above = F.avg((F.col("y_hat") > mean).cast("double"))
-    return fitted.groupBy("vertex").agg(
+    return draws.groupBy("vertex").agg(
         F.percentile("y_hat", tail).alias("lower"), F.percentile("y_hat", 1 - tail).alias("upper"), F.stddev_samp("y_hat").alias("sd"), above.alias("p_above"), F.least(F.lit(1.0), 2 * F.least(above, 1 - above)).alias("pseudo_p")
     )
 
 
+def bootstrap(model: Fit, y: DataFrame, b: int = 99, seed: int = 1, level: float = 0.95, per_column: bool = False) -> DataFrame:
+    """(vertex, lower, upper, sd, p_above, pseudo_p) under Dirichlet weights: responses n w y are refitted."""
+    return intervals(refit(model, dirichlet(y, b, seed), per_column)[0], y.agg(F.avg("y")).first()[0], level)
+
+
 def posterior(model: Fit, y: DataFrame, b: int = 200, seed: int = 1, level: float = 0.95) -> DataFrame:
     """(vertex, lower, upper, sd): modes are normal around f V'y with variance s^2 / (1 + eta lambda).
 
@@ -141,3 +155,28 @@ def local_correlation(y: DataFrame, z: DataFrame, edges: DataFrame, kind: str =
     w = 1 / (F.col("length") * F.col("length")) if kind == "derivative" else F.lit(1.0)
     low = F.sqrt(F.sum(w * dy * dy)) * F.sqrt(F.sum(w * dz * dz))
     return near.groupBy("vertex").agg(F.when(low > 1e-10, F.sum(w * dy * dz) / low).otherwise(0.0).alias("lcor"))
+
+
+def lcor_posterior(model: Fit, responses: DataFrame, b: int = 100, seed: int = 1, level: float = 0.95, kind: str = "derivative", per_column: bool = True) -> DataFrame:
+    """(vertex, col, lcor, lower, upper, sd): local correlation of the fitted values with each refitted response.
+
+    lcor is that with the refitted values themselves; the interval comes from ``b`` posterior samples of them.
+    """
+    from lumenfield.plans.fit import credible, refit_samples
+
+    from .graph import directed
+
+    rows = spectral._checkpointed(refit_samples(model, responses, b, seed, per_column))
+    base = model.fitted.select("vertex", F.col("y_hat").alias("f"))
+    d = directed(model.edges, "length").join(base, "vertex").join(base.select(F.col("vertex").alias("nbr"), F.col("f").alias("fn")), "nbr")
+    w = 1 / (F.col("length") * F.col("length")) if kind == "derivative" else F.lit(1.0)
+    sign = (lambda c: F.signum(c)) if kind == "sign" else (lambda c: c)
+    d = d.select("vertex", "nbr", w.alias("w"), sign(F.col("fn") - F.col("f")).alias("dy"))
+    # draw 0 is the fitted value itself
+    every = rows.select("vertex", "col", F.concat(F.array("y_hat"), F.coalesce("s", F.array().cast("array<double>"))).alias("z"))
+    near = d.join(every, "vertex").join(every.select(F.col("vertex").alias("nbr"), "col", F.col("z").alias("zn")), ["nbr", "col"])
+    near = near.select("vertex", "col", "w", "dy", F.posexplode(F.zip_with("zn", "z", lambda x, z: sign(x - z))).alias("draw", "dz"))
+    low = F.sqrt(F.sum(F.col("w") * F.col("dy") * F.col("dy"))) * F.sqrt(F.sum(F.col("w") * F.col("dz") * F.col("dz")))
+    per = near.groupBy("vertex", "col", "draw").agg(F.when(low > 1e-10, F.sum(F.col("w") * F.col("dy") * F.col("dz")) / low).otherwise(0.0).alias("c"))
+    one = per.groupBy("vertex", "col").agg(F.max(F.when(F.col("draw") == 0, F.col("c"))).alias("lcor"), F.collect_list(F.when(F.col("draw") > 0, F.col("c"))).alias("s"))
+    return one.select("vertex", "col", "lcor").join(credible(one.where(F.size("s") > 0), level), ["vertex", "col"], "left")

@@ -3,26 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumenfield.functions.columns import FILTERS
+from lumenfield.functions.columns import FILTERS, uniform
+from lumenfield.sources.tables import checkpointed as _checkpointed
 
-#: Up to so many vertices the operator is a dense matrix in one numpy kernel.
+#: Up to so many vertices the operator is a dense matrix in one numpy kernel; beyond, products are joins. Results agree.
 DENSE = 5000
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumenfield-"))
-    return df.checkpoint()
-
-
 @dataclass
 class Spectrum:
     """Ascending eigenvalues and (vertex, v): the components of each vertex in the eigenvectors."""
@@ -42,7 +36,7 @@ def dense(lap: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spectrum(lap: DataFrame, m: int, dense_limit: int = DENSE) -> Spectrum:
-    """The m smallest eigenpairs of a symmetric operator (i, j, val)."""
+    """The m smallest eigenpairs of a symmetric operator (i, j, val), repeated ones included, or RuntimeError."""
     n = lap.select("i").distinct().count()
     m = min(m, n)
     if n > dense_limit:
@@ -58,37 +52,144 @@ def multiply(lap: DataFrame, x: DataFrame) -> DataFrame:
     return lap.join(x.select(F.col("vertex").alias("j"), "x"), "j").groupBy(F.col("i").alias("vertex")).agg(F.sum(F.col("val") * F.col("x")).alias("x"))
 
 
-def lanczos(lap: DataFrame, m: int, steps: int | None = None) -> Spectrum:
-    """Lanczos with full reorthogonalisation; the basis is a table, products are joins.
-
-    The driver holds the tridiagonal matrix only.
+def _rows(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
+def _grams(both: DataFrame, minus: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(Q'X, X'X) of X = (W - Q minus) times for rows (q, w); each partition hands on one row of partial sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            q = _rows(batch.column("q"))
+            x = (_rows(batch.column("w")) - q @ minus) @ times
+            part = np.concatenate([(q.T @ x).ravel(), (x.T @ x).ravel()])
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["s"])
+
+    total = np.sum([r.s for r in both.select("q", "w").mapInArrow(run, "s array<double>").collect()], axis=0)
+    width = times.shape[1]
+    cut = len(minus) * width
+    return total[:cut].reshape(-1, width), total[cut:].reshape(width, width)
+
+
+def _orthonormal(both: DataFrame) -> tuple[DataFrame | None, np.ndarray, np.ndarray]:
+    """(basis, H, R): W = Q H + X R with X orthonormal and orthogonal to Q, appended to the basis; None if W lies in Q."""
+    cols, width = both.select(F.size("q"), F.size("w")).first()
+    minus, times, first, scale, factor = np.zeros((cols, width)), np.eye(width), None, 0.0, None
+    for turn in range(3):  # rounding leaves some of Q in X twice at most
+        h, g = _grams(both, minus, times)
+        if first is None:
+            first, scale = h, float(np.sqrt(max(np.trace(g), 0)))
+            minus = minus + h
+            continue
+        g = g - h.T @ h
+        values, u = np.linalg.eigh((g + g.T) / 2)
+        keep = values > ((1e-10 * scale) ** 2 if turn == 1 else 0.25)
+        if not keep.any():
+            return None, first, np.zeros((0, width))
+        if turn == 1:
+            factor = np.sqrt(values[keep])[:, None] * u[:, keep].T
+            minus, times = minus + h, u[:, keep] / np.sqrt(values[keep])
+        else:
+            # X times - Q h, made orthonormal
+            last = u[:, keep] / np.sqrt(values[keep])
+            add, factor, times_last = h @ last, np.linalg.pinv(last) @ factor, last
+    project, finish = minus, times
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = _rows(batch.column("q"))
+            x = (_rows(batch.column("w")) - q @ project) @ finish @ times_last - q @ add
+            out = np.hstack([q, x])
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("vertex"), flat], ["vertex", "q"])
+
+    return _checkpointed(both.select("vertex", "q", "w").mapInArrow(run, "vertex long, q array<double>")), first, factor
+
+
+def lanczos(lap: DataFrame, m: int, block: int = 4, tolerance: float = 1e-6, limit: int = 800) -> Spectrum:
+    """Block Lanczos with full reorthogonalisation; the basis is a table, products are joins.
+
+    It ends when all m pairs have residuals of at most ``tolerance`` (or of rounding at the operator's
+    norm), measured by a product. Then a fresh block, orthogonal to all before, grows as many
+    steps; only if it changes none of the m values are they final, so that eigenvalues repeated more often than
+    ``block`` are not missed. RuntimeError after ``limit`` columns. The driver holds the projected matrix only.
     """
-    ids = lap.select(F.col("i").alias("vertex")).distinct()
+    ids = _checkpointed(lap.select(F.col("i").alias("vertex")).distinct())
     n = ids.count()
-    steps = min(n, steps or max(4 * m + 20, 80))
-    start = ids.select("vertex", (F.rand(3) - 0.5).alias("x"))
-    start = _checkpointed(start)
-    norm = math.sqrt(start.agg(F.sum(F.col("x") * F.col("x"))).first()[0])
-    basis = _checkpointed(start.select("vertex", F.array(F.col("x") / norm).alias("q")))
-    alpha, beta = [], []
-    for s in range(steps):
-        w = multiply(lap, basis.select("vertex", F.element_at("q", -1).alias("x")))
-        both = basis.join(w, "vertex").select("vertex", "q", "x")
-        for _ in range(2):
-            dots = both.agg(*[F.sum(F.col("q")[k] * F.col("x")).alias(str(k)) for k in range(s + 1)]).first()
-            if _ == 0:
-                alpha.append(dots[s])
-            minus = F.aggregate(F.zip_with("q", F.array(*[F.lit(float(d)) for d in dots]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-            both = _checkpointed(both.select("vertex", "q", (F.col("x") - minus).alias("x")))
-        b = math.sqrt(both.agg(F.sum(F.col("x") * F.col("x"))).first()[0])
-        if b < 1e-12 or s == steps - 1:
-            break
-        beta.append(b)
-        basis = _checkpointed(both.select("vertex", F.concat("q", F.array(F.col("x") / b)).alias("q")))
-    t = np.diag(alpha) + np.diag(beta[: len(alpha) - 1], 1) + np.diag(beta[: len(alpha) - 1], -1)
-    values, y = np.linalg.eigh(t)
-    mix = [F.aggregate(F.zip_with("q", F.array(*map(F.lit, y[:, c].tolist())), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) for c in range(min(m, len(values)))]
-    return Spectrum(values[:m], basis.select("vertex", F.array(*mix).alias("v")))
+    m, fresh = min(m, n), 0
+
+    def random(basis: DataFrame) -> DataFrame:
+        nonlocal fresh
+        fresh += 1
+        return basis.withColumn("w", F.array(*[uniform(F.lit(f"start{fresh}"), F.lit(k), F.col("vertex")) - 0.5 for k in range(min(block, n))]))
+
+    basis, _, _ = _orthonormal(random(ids.withColumn("q", F.array().cast("array<double>"))))
+    t = np.zeros((0, 0))
+    loose: list[tuple[slice, np.ndarray]] = []  # residuals of chains that were left
+    done, steps, settled, rest = 0, 0, None, None
+    while True:
+        cols = basis.select(F.size("q")).first()[0]
+        new, width = slice(done, cols), cols - done
+        product = lap.join(basis.select(F.col("vertex").alias("j"), F.slice("q", done + 1, width).alias("x")), "j").groupBy(F.col("i").alias("vertex"))
+        product = product.agg(F.array(*[F.sum(F.col("val") * F.col("x")[k]) for k in range(width)]).alias("w"))
+        both = _checkpointed(basis.join(product, "vertex"))
+        later, h, r = _orthonormal(both)
+        grown = np.zeros((cols, cols))
+        grown[:done, :done] = t
+        grown[:, new], grown[new, :] = h, h.T
+        grown[new, new] = (h[new] + h[new].T) / 2
+        t, done, steps = grown, cols, steps + 1
+        values, y = np.linalg.eigh(t)
+        allowed = max(tolerance, 64 * np.finfo(float).eps * abs(values).max())
+        guess = np.sqrt(np.atleast_1d(np.sum([((parts @ y[at, :m]) ** 2).sum(0) for at, parts in [*loose, (new, r)]], axis=0))) if done >= m else np.array([np.inf])
+        full = done >= n
+        if full or guess.max() <= allowed:
+            if settled is None and not full:
+                settled, rest = values[:m].copy(), steps
+            elif not full and rest > 0:
+                rest -= 1
+            else:
+                same = full or np.allclose(values[:m], settled, rtol=1e-8, atol=allowed)
+                if same:
+                    out = _checkpointed(_mixed(basis, y[:, :m]))
+                    worst = residuals(lap, out, values[:m]).max()
+                    if worst <= 10 * allowed:
+                        return Spectrum(values[:m], out)
+                    if full:
+                        raise RuntimeError(f"eigenpairs have residuals up to {worst:.3g}")
+                settled, rest = values[:m].copy(), steps
+            if not full and rest == steps:  # a chain begins anew beside those before
+                loose.append((new, r))
+                later = None
+        if done >= limit:
+            raise RuntimeError(f"{m} eigenpairs have residuals up to {guess.max():.3g} after {done} columns")
+        while later is None and not full:
+            later, _, _ = _orthonormal(random(basis))
+        basis = later
+
+
+def _mixed(basis: DataFrame, y: np.ndarray) -> DataFrame:
+    """(vertex, v): combinations of the basis."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = _rows(batch.column("q")) @ y
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("vertex"), flat], ["vertex", "v"])
+
+    return basis.select("vertex", "q").mapInArrow(run, "vertex long, v array<double>")
+
+
+def residuals(lap: DataFrame, vectors: DataFrame, values: np.ndarray) -> np.ndarray:
+    """The norm of L v - lambda v for each eigenpair."""
+    m = len(values)
+    product = lap.join(vectors.withColumnRenamed("vertex", "j"), "j").groupBy(F.col("i").alias("vertex")).agg(*[F.sum(F.col("val") * F.col("v")[k]).alias(f"p{k}") for k in range(m)])
+    both = vectors.join(product, "vertex")
+    return np.sqrt([float(x or 0.0) for x in both.agg(*[F.sum(F.pow(F.col(f"p{k}") - float(values[k]) * F.col("v")[k], 2)) for k in range(m)]).first()])
 
 
 def coefficients(vectors: DataFrame, responses: DataFrame, m: int, by: list[str] | None = None) -> DataFrame:
@@ -143,7 +244,8 @@ def diffusion_parameters(gap: float, t_scale: float = 0.5, beta_scale: float = 0
 def solve(lap: DataFrame, b: DataFrame, a: float, t: float, tolerance: float = 1e-8, rounds: int = 2000) -> DataFrame:
     """(vertex, x) with (a I + t L) x = b for b (vertex, x).
 
-    A dense solve up to DENSE vertices, conjugate gradients with join products beyond.
+    A dense solve up to DENSE vertices, conjugate gradients with join products beyond; RuntimeError if these
+    do not bring the residual below ``tolerance`` of the right side.
     """
     if b.count() <= DENSE:
         got = b.toArrow()
@@ -169,6 +271,8 @@ def solve(lap: DataFrame, b: DataFrame, a: float, t: float, tolerance: float = 1
         new = both.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
         state = _checkpointed(both.withColumn("p", F.col("r") + (new / rr) * F.col("p")))
         rr = new
+    if rr > tolerance**2 * first:
+        raise RuntimeError(f"the residual is still {math.sqrt(rr / first):.3g} of the right side after {rounds} rounds")
     return state.select("vertex", F.col("z").alias("x"))
 
 

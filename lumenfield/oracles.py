@@ -42,7 +42,8 @@ CTE |= {
         JOIN sets s0 ON s0.vertex = a.i JOIN sets s1 ON s1.vertex = a.j AND s1.member = s0.member JOIN sets s2 ON s2.vertex = b.j AND s2.member = s0.member GROUP BY ALL""",
     "dk": "SELECT vertex, max(length) AS dk FROM adj GROUP BY vertex",
     "feat": "SELECT l_suppkey::BIGINT AS vertex, [sum(l_quantity)::DOUBLE, sum(l_extendedprice)::DOUBLE, sum(l_tax)::DOUBLE, sum(l_discount)::DOUBLE] AS x FROM lineitem GROUP BY l_suppkey",
-    "vals": "SELECT event_id, user_id, value::DOUBLE AS value FROM events WHERE value > 0",
+    "vals": "SELECT event_id, user_id, value::DOUBLE AS value FROM events",
+    "positive": "SELECT * FROM vals WHERE value > 0",
     "sparse": "SELECT a.vertex AS i, b.vertex AS j, min(a.dist + b.dist) AS length FROM knn a JOIN knn b ON a.nbr = b.nbr AND a.vertex < b.vertex AND a.rank < 2 AND b.rank < 2 GROUP BY ALL",
     "sadj": "SELECT i AS vertex, j AS nbr FROM sparse UNION ALL SELECT j, i FROM sparse",
     "reach": "SELECT vertex, vertex AS seen FROM points UNION SELECT r.vertex, s.nbr FROM reach r JOIN sadj s ON s.vertex = r.seen",

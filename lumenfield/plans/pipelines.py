@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from lumenfield.functions.columns import bounded_slope, box_cox, power, uniform
 from lumenfield.functions.orders import winsorize
 from lumenfield.operators import extrema, graph, measures, resample, spectral
+from lumenfield.operators import metrics
 from lumenfield.operators.metrics import pca
 from lumenfield.plans import fit as plans
 from lumenfield.sources import tables
@@ -98,18 +99,8 @@ def robust_z(rows: DataFrame, by: str, value: str, least: int = 5) -> DataFrame:
 
 
 def gamma_select(model: plans.Fit, grid: list[float] | None = None) -> DataFrame:
-    """(gamma, gcv): coherence modulation rebuilt for every gamma, so that scores can differ.
-
-    The operator's conductances come from the modulated edge masses.
-    """
-    rows = []
-    for gamma in grid or [0.05, 0.5, 1.0, 2.0]:
-        y = model.fitted.select("vertex", F.col("y_hat").alias("y"))
-        rho = spectral._checkpointed(measures.response_modulation(model.edge_rho, y, gamma))
-        low = spectral.spectrum(spectral._checkpointed(measures.laplacian(model.vertex_rho, rho)), model.params["n_eigenpairs"])
-        _, scores, _ = plans.smooth(low, model.fitted.select("vertex", "y"), model.filter)
-        rows.append((float(gamma), float(min(s for _, s in scores))))
-    return model.vertices.sparkSession.createDataFrame(rows, "gamma double, gcv double")
+    """(gamma, gcv): coherence modulation rebuilt for every gamma."""
+    return model.vertices.sparkSession.createDataFrame(plans.gamma_scores(model, tuple(grid or [0.05, 0.5, 1.0, 2.0])), "gamma double, gcv double")
 
 
 def pextrema(model: plans.Fit, share: float = 0.9, degree: float = 0.1, p: float = 0.9, max_hop: int = 30) -> DataFrame:
@@ -226,10 +217,14 @@ def lslope_test(model: plans.Fit, y: DataFrame, b: int = 49, seed: int = 1, sigm
     base = model.fitted.select("vertex", F.col("y_hat").alias("f"))
     d = graph.directed(model.edges).join(base, "vertex").join(base.select(F.col("vertex").alias("nbr"), F.col("f").alias("fn")), "nbr")
     up = d.groupBy("vertex").agg(F.max_by("nbr", F.struct(F.col("fn") - F.col("f"), -F.col("nbr"))).alias("nbr"), F.max(F.col("fn") - F.col("f")).alias("df")).where("df > 0")
-    s = up.join(fitted, "vertex").join(fitted.select(F.col("vertex").alias("nbr"), "col", F.col("z").alias("zn")), ["nbr", "col"])
-    s = s.select("vertex", F.floor(F.col("col") / 2).alias("b"), (F.col("col") % 2).alias("half"), bounded_slope(sigmoid, (F.col("zn") - F.col("z")) / F.col("df")).alias("s"))
+    s = fitted.join(up, "vertex", "left").join(fitted.select(F.col("vertex").alias("nbr"), "col", F.col("z").alias("zn")), ["nbr", "col"], "left")
+    # a vertex without a higher neighbour has slope 0
+    slope = F.coalesce(bounded_slope(sigmoid, (F.col("zn") - F.col("z")) / F.col("df")), F.lit(0.0))
+    s = s.select("vertex", F.floor(F.col("col") / 2).alias("b"), (F.col("col") % 2).alias("half"), slope.alias("s"))
     pair = s.groupBy("vertex", "b").agg(F.sum(F.when(F.col("half") == 0, F.col("s")).otherwise(-F.col("s"))).alias("d"))
-    t = pair.groupBy("vertex").agg(F.avg("d").alias("effect"), (F.avg("d") / (F.stddev_samp("d") / F.sqrt(F.count("*")))).alias("t"))
+    # without any spread there is nothing to test
+    spread = F.stddev_samp("d")
+    t = pair.groupBy("vertex").agg(F.avg("d").alias("effect"), F.when(spread > 0, F.avg("d") / spread * F.sqrt(F.count("*"))).alias("t"))
     # two-sided normal tail by the rational approximation 7.1.26 of Abramowitz and Stegun
     x = F.abs("t") / math.sqrt(2)
     k = 1 / (1 + 0.3275911 * x)
@@ -309,6 +304,41 @@ def lp_graphs(points: DataFrame, y: DataFrame, ps: list[float], ks: list[int], l
     return points.sparkSession.createDataFrame(rows, "p double, k int, n_ccomp long, status string, gcv double, r_squared double")
 
 
+def lp_summary(rows: DataFrame) -> DataFrame:
+    """(p, opt_k, gcv, n_connected_k): the best successful fit of each p, and for how many k there was one."""
+    ok = rows.where("status = 'success'").groupBy("p")
+    return ok.agg(F.min_by("k", F.struct("gcv", "k")).alias("opt_k"), F.min("gcv").alias("gcv"), F.count("*").alias("n_connected_k"))
+
+
+def lslope_summary(rows: DataFrame) -> DataFrame:
+    """One row: vertices tested and significant at three levels, quartiles of p values and effects."""
+    quartiles = [F.percentile(c, q).alias(f"{c}_q{int(100 * q)}") for c in ("p_value", "p_adjusted", "effect") for q in (0.25, 0.5, 0.75)]
+    return rows.agg(F.count("p_value").alias("n_tested"), *[F.count_if(F.col("p_adjusted") < a).alias(f"n_{str(a)[2:]}") for a in (0.05, 0.01, 0.001)], *quartiles)
+
+
+def dealt_folds(vertices: DataFrame, folds: int, seed: int = 1) -> DataFrame:
+    """(vertex, fold from 0)."""
+    return vertices.select("vertex", F.floor(folds * uniform(F.lit(seed), F.col("vertex"))).cast("int").alias("fold"))
+
+
+def cross_validate(model: plans.Fit, responses: DataFrame, folds: int = 5, seed: int = 1) -> DataFrame:
+    """(fold, scaled_mse, raw_mse, n_test): each fold of the vertices is predicted by a masked refit without it.
+
+    Folds are dealt by a hash of seed and vertex. Errors are scaled by the columns' scales on the training vertices.
+    """
+    dealt = spectral._checkpointed(dealt_folds(model.vertices, folds, seed))
+    out = None
+    for fold in range(folds):
+        train = dealt.where(F.col("fold") != fold)
+        fitted, _ = plans.refit(model, responses, labeled=train)
+        scale = metrics.column_scales(responses.join(train, "vertex", "left_semi"), "col", "y")
+        test = fitted.join(dealt.where(F.col("fold") == fold).select("vertex"), "vertex", "left_semi").join(scale, "col")
+        r = F.col("y") - F.col("y_hat")
+        row = test.agg(F.lit(fold).alias("fold"), F.avg(F.pow(r / F.col("scale"), 2)).alias("scaled_mse"), F.avg(r * r).alias("raw_mse"), F.count_distinct("vertex").alias("n_test"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def optimal_p(rows: DataFrame, wanted: float | None = None) -> DataFrame:
     """The successful row of the wanted p's nearest grid value, else that of the least score."""
     ok = rows.where("status = 'success'")
@@ -318,9 +348,7 @@ def optimal_p(rows: DataFrame, wanted: float | None = None) -> DataFrame:
 def lp_round_trip(points: DataFrame, ps: list[float], wanted: list[float]) -> DataFrame:
     """Transforms written by p, then only the wanted partitions read."""
     spark = points.sparkSession
-    spectral._checkpointed(points.limit(0))  # names a checkpoint folder where none is set
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{root}/lp-{uuid.uuid4().hex}"
+    path = f"{tables.shared_folder(spark)}/lp-{uuid.uuid4().hex}"
     out = None
     for p in ps:
         part = points.select("vertex", F.lit(p).alias("p"), F.aggregate(power(F.col("x"), p), F.lit(0.0), lambda a, b: a + b).alias("total"))

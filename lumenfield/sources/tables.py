@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import time
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -9,6 +14,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, or one of our own where that is unset and driver and tasks share a machine."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = tempfile.mkdtemp(prefix="lumenfield-")
+        sc.setCheckpointDir(root)
+    return (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()).rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def finite(x: Column) -> Column:
     return F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
 
@@ -62,7 +86,7 @@ def cached(spark: SparkSession, path: str, mode: str, make) -> DataFrame:
     if mode in ("read", "readwrite"):
         try:
             return spark.read.parquet(path)
-        except Exception:
+        except AnalysisException:  # not written yet
             if mode == "read":
                 raise
     out = make()
@@ -84,3 +108,23 @@ def lp_load(spark: SparkSession, path: str, p_values: list[float]) -> DataFrame:
 
 def csv_append(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
+
+
+def csv_read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
+def save_object(df: DataFrame, folder: str, name: str) -> str:
+    """Keeps a result under a path that tells its time; earlier ones stay. Returns the path."""
+    path = f"{folder}/{name}_{time.strftime('%Y%m%d_%H%M%S')}_{uuid.uuid4().hex[:8]}"
+    df.write.parquet(path)
+    return path
+
+
+def lp_missing(spark: SparkSession, path: str, p_values: list[float]) -> list[float]:
+    """The wanted p that no result has been written for yet; the others can be skipped."""
+    try:
+        have = {r.p for r in spark.read.parquet(path).select("p").distinct().collect()}
+    except AnalysisException:
+        return list(p_values)
+    return [p for p in p_values if p not in have]

@@ -43,7 +43,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_every_query_without_sql_is_listed_in_another_test():
-    tested = {"tikhonov_solve", "heat_apply", "rho_basins", "break_ties", "pca_variance", "pca_scores", "geom_prune", "quantile_prune", "density_diffusion", "smoothed_density", "spectrum", "spectral_gap", "gcv_curve", "spectral_smooth", "semi_smooth", "distance_measure_fit", "gamma_select", "refit_columns", "gcv_spline", "hop_extremp_radius", "pextrema", "hop_extremality", "k_diagnostics", "perm_test", "perm_audit", "cluster_pvalue", "bayes_bootstrap", "posterior", "lslope_test", "mean_shift", "ulogit", "eigen_ulogit", "componentwise_fit", "data_smoother", "lp_graphs", "lp_load", "iknn_response_pipeline"}
+    tested = {"pca_fit", "coherence_fit", "refit_labeled", "refit_posterior", "lcor_posterior", "coboundary_full", "cross_validate", "fit_report", "tikhonov_solve", "heat_apply", "rho_basins", "pca_variance", "pca_scores", "density_diffusion", "smoothed_density", "spectrum", "spectral_gap", "gcv_curve", "spectral_smooth", "semi_smooth", "distance_measure_fit", "gamma_select", "refit_columns", "gcv_spline", "hop_extremp_radius", "pextrema", "hop_extremality", "k_diagnostics", "perm_test", "perm_audit", "cluster_pvalue", "bayes_bootstrap", "posterior", "lslope_test", "mean_shift", "ulogit", "eigen_ulogit", "componentwise_fit", "data_smoother", "lp_graphs", "iknn_response_pipeline"}
     assert set(catalog.QUERIES) - set(catalog.ORACLES) == tested
 
 
@@ -170,8 +170,87 @@ def test_spectrum_and_lanczos(spark):
     if values[1] > 1e-6:
         assert abs(abs(v[:, 0] @ first) - 1) < 1e-8
     assert rho.sum() == pytest.approx(90)
-    low = spectral.lanczos(model.laplacian, 3, steps=60)
-    assert np.allclose(low.values[:2], values[:2], atol=1e-4 * values[-1])
+
+
+@pytest.mark.parametrize("edges, m", [([(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5)], 4), ([(3 * c + a, 3 * c + b) for c in range(8) for a, b in ((0, 1), (1, 2), (0, 2))], 11), ([(i, (i + k) % 40) for i in range(40) for k in (1, 2, 7)], 6)])
+def test_spectrum_without_a_dense_matrix(spark, edges, m):
+    """Two triangles, eight of them (zero is repeated more often than a block is wide), and a connected ring: joins alone give the same."""
+    n = 1 + max(map(max, edges))
+    a = np.zeros((n, n))
+    for i, j in edges:
+        a[[i, j], [j, i]] -= 1
+        a[[i, j], [i, j]] += 1
+    lap = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "i long, j long, val double")
+    low = spectral.spectrum(lap, m, dense_limit=0)
+    assert np.allclose(low.values, np.linalg.eigvalsh(a)[:m], atol=1e-8)
+    v = np.array([r.v for r in low.vectors.orderBy("vertex").collect()])
+    assert np.allclose(v.T @ v, np.eye(m), atol=1e-8) and spectral.residuals(lap, low.vectors, low.values).max() < 1e-6
+
+
+def test_solvers_that_do_not_converge_say_so(spark):
+    a, lap, _ = path_laplacian(spark, 40)
+    with pytest.raises(RuntimeError, match="residuals"):
+        spectral.lanczos(lap, 3, block=2, limit=8)
+    b = spark.createDataFrame([(i, float(i % 3)) for i in range(40)], "vertex long, x double")
+    spectral.DENSE, before = 2, spectral.DENSE
+    try:
+        with pytest.raises(RuntimeError, match="residual"):
+            spectral.solve(lap, b, 1e-3, 1.0, rounds=3)
+    finally:
+        spectral.DENSE = before
+
+
+def shortest(edges, i, j):
+    """Length of the shortest way that does not use the edge itself."""
+    best, todo = {i: 0.0}, [i]
+    while todo:
+        v = todo.pop(0)
+        for (a, b), length in edges.items():
+            for x, y in ((a, b), (b, a)):
+                if x == v and (a, b) != (i, j) and best[v] + length < best.get(y, math.inf):
+                    best[y] = best[v] + length
+                    todo.append(y)
+    return best.get(j, math.inf)
+
+
+def test_pruning_by_ways_of_any_number_of_edges(spark):
+    rng = random.Random(2)
+    ring = {(0, 4): 3.9, **{(k, k + 1): 1.0 for k in range(4)}}  # four edges around, 1.026 times as long
+    points = [(rng.random(), rng.random()) for _ in range(25)]
+    near = {(i, j): math.dist(points[i], points[j]) for i in range(25) for j in range(i + 1, 25) if math.dist(points[i], points[j]) < 0.45}
+    for edges, delta in ((ring, 0.1), (ring, 0.01), (near, 0.2), (near, 0.05)):
+        table = spark.createDataFrame([(i, j, length) for (i, j), length in edges.items()], "i long, j long, length double")
+        kept = {(r.i, r.j) for r in graph.prune_long_ways(table, delta).collect()}
+        assert kept == {e for e, length in edges.items() if not shortest(edges, *e) / length - 1 < delta}
+
+
+def test_longest_edges_that_stay_are_those_of_the_smallest_forest(spark):
+    rng = random.Random(3)
+    edges = {(i, j): float(rng.randint(1, 30)) for i in range(30) for j in range(i + 1, 30) if rng.random() < 0.12}
+    parent = list(range(31))
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    forest = set()
+    for (i, j), _ in sorted(edges.items(), key=lambda e: (e[1], e[0])):
+        if find(i) != find(j):
+            parent[find(i)] = find(j)
+            forest.add((i, j))
+    cut = np.quantile(list(edges.values()), 0.6)
+    table = spark.createDataFrame([(i, j, length) for (i, j), length in edges.items()], "i long, j long, length double")
+    kept = {(r.i, r.j) for r in graph.prune_longest(spark.range(31).withColumnRenamed("id", "vertex"), table, 0.4).collect()}
+    assert kept == {e for e, length in edges.items() if length <= cut or e in forest}
+
+
+def test_path_and_planted_edges(spark):
+    v = spark.createDataFrame([(5,), (2,), (9,)], "vertex long")
+    p = graph.path(v)
+    assert sorted(map(tuple, p.collect())) == [(2, 5, 1.0), (5, 9, 1.0)]
+    more = spark.createDataFrame([(9, 2, 3.0), (5, 2, 0.5), (4, 4, 1.0)], "i long, j long, length double")
+    assert sorted(map(tuple, graph.planted(p, more).collect())) == [(2, 5, 0.5), (2, 9, 3.0), (5, 9, 1.0)]
 
 
 def test_fit_refit_and_semi(spark):
@@ -459,3 +538,119 @@ def test_basins_by_hand(spark):
     low = sorted(map(tuple, walks.basins(y, edges, rho, spark.createDataFrame([(3,)], "source long"), maxima=False).collect()))
     assert [(r[1], r[2], r[4]) for r in low] == [(1, 2, 4.0), (2, 1, 2.0), (3, 0, 0.0), (4, 1, 3.0), (5, 2, 5.0)]
     assert walks.basins(y, edges, rho, sources.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    x, points = cloud(spark)
+    y = points.select("vertex", F.sin(F.col("x")[0]).alias("y"))
+    fit = plans.fit(points, y, 5, 8, check_connected=False)
+    order = [r.vertex for r in fit.spectrum.vectors.orderBy("vertex").collect()]
+    v = np.array([r.v for r in fit.spectrum.vectors.orderBy("vertex").collect()])
+    responses = points.select("vertex", F.posexplode(F.slice("x", 1, 2)).alias("col", "y"))
+    table = np.array([r.x[:2] for r in points.orderBy("vertex").collect()])
+    return fit, points, y, responses, order, v, table
+
+
+def test_pca_gate(spark, model):
+    _, points, y, *_ = model
+    wide = points.withColumn("x", F.concat("x", F.transform("x", lambda v: v * 0.01)))
+    n = wide.first().x
+    few = metrics.pca(wide, 0.8, 2)[0]
+    edges = lambda f: {(r.i, r.j) for r in f.edges.collect()}
+    gated = plans.fit(wide, y, 5, 6, check_connected=False, pca_dim=2, variance_explained=0.8)
+    assert edges(gated) == edges(plans.fit(few, y, 5, 6, check_connected=False))
+    assert edges(plans.fit(wide, y, 5, 6, check_connected=False, pca_dim=len(n))) == edges(plans.fit(wide, y, 5, 6, check_connected=False))
+
+
+def test_masked_refit_equals_dense_algebra(spark, model):
+    fit, points, _, responses, order, v, table = model
+    known = points.where("vertex % 3 != 0").select("vertex")
+    fitted, columns = plans.refit(fit, responses, labeled=known)
+    mask = np.array([i % 3 != 0 for i in order])
+    system = v[mask].T @ v[mask] + fit.eta * np.diag(np.maximum(fit.spectrum.values, 0))
+    want = v @ np.linalg.solve(system, v[mask].T @ table[mask])
+    got = {(r.vertex, r.col): r for r in fitted.collect()}
+    for k, i in enumerate(order):
+        for c in (0, 1):
+            assert got[i, c].y_hat == pytest.approx(want[k, c], abs=1e-7)
+            assert (got[i, c].residual is None) == (not mask[k])
+    assert {r.col for r in columns.collect()} == {0, 1}
+    folds = {r.fold: r for r in pipelines.cross_validate(fit, responses, 3).collect()}
+    dealt = {r.vertex: r.fold for r in pipelines.dealt_folds(fit.vertices, 3).collect()}
+    for fold, row in folds.items():
+        out = np.array([dealt[i] == fold for i in order])
+        system = v[~out].T @ v[~out] + fit.eta * np.diag(np.maximum(fit.spectrum.values, 0))
+        r = (table - v @ np.linalg.solve(system, v[~out].T @ table[~out]))[out]
+        assert row.n_test == out.sum() and row.raw_mse == pytest.approx((r**2).mean())
+    assert sum(r.n_test for r in folds.values()) == len(order)
+
+
+def test_posterior_of_refits(spark, model):
+    fit, _, _, responses, order, v, table = model
+    rows = {(r.vertex, r.col): r for r in plans.refit_samples(fit, responses, 400, per_column=False).collect()}
+    f, lam = fit.weights, np.maximum(fit.spectrum.values, 0)
+    a = v.T @ table
+    for c in (0, 1):
+        rss = (table[:, c] ** 2).sum() - ((2 * f - f**2) * a[:, c] ** 2).sum()
+        sd = np.sqrt((v**2) @ (rss / (len(order) - f.sum()) / (1 + fit.eta * lam)))
+        draws = np.array([rows[i, c].s for i in order])
+        assert np.allclose([rows[i, c].y_hat for i in order], v @ (f * a[:, c]), atol=1e-9)
+        assert np.allclose(draws.mean(1), v @ (f * a[:, c]), atol=5 * sd.max() / 20) and np.allclose(draws.std(1, ddof=1), sd, rtol=0.25)
+    table_of = spark.createDataFrame([(1, 0, [3.0, 1.0, 2.0, 5.0, 4.0])], "vertex long, col int, s array<double>")
+    r = plans.credible(table_of, 0.5).first()
+    assert (r.lower, r.upper, r.sd) == (2.0, 4.0, pytest.approx(np.std([1, 2, 3, 4, 5], ddof=1)))
+
+
+def test_local_correlation_with_its_posterior(spark, model):
+    fit, _, _, responses, *_ = model
+    one = responses.where("col = 1")
+    got = {r.vertex: r for r in resample.lcor_posterior(fit, one, 30, per_column=False).collect()}
+    z = plans.refit(fit, one, per_column=False)[0].select("vertex", F.col("y_hat").alias("y"))
+    base = fit.fitted.select("vertex", F.col("y_hat").alias("y"))
+    want = {r.vertex: r.lcor for r in resample.local_correlation(base, z, fit.edges, "derivative").collect()}
+    assert {i: r.lcor for i, r in got.items()} == pytest.approx(want, abs=1e-9)
+    assert all(-1 - 1e-9 <= r.lower <= r.upper <= 1 + 1e-9 for r in got.values())
+
+
+def test_full_coboundary_solves_its_equation(spark, model):
+    fit, _, y, *_ = model
+    mass = measures.edge_mass(fit.edges, graph.triangles(fit.edges, fit.sets), fit.edge_rho, fit.vertex_rho, fit.sets)
+    rows = mass.collect()
+    edges = sorted({(r.i, r.j) for r in rows})
+    at = {e: k for k, e in enumerate(edges)}
+    m1 = np.zeros((len(edges), len(edges)))
+    for r in rows:
+        m1[at[r.i, r.j], at[r.i2, r.j2]] += r.val
+    rho, f = ({r.vertex: r[1] for r in t.select("vertex", c).collect()} for t, c in ((fit.vertex_rho, "rho"), (y, "y")))
+    right = np.array([rho[j] * f[j] - rho[i] * f[i] for i, j in edges])
+    got = {(r.i, r.j): r.delta for r in extrema.coboundary_full(y, fit.vertex_rho, mass).collect()}
+    delta = np.array([got[e] for e in edges])
+    assert np.allclose((m1 + 1e-10 * np.eye(len(edges))) @ delta, right, atol=1e-6 * max(1, np.abs(right).max()))
+
+
+def test_coherence_path_and_report(spark, model, monkeypatch):
+    fit, points, y, *_ = model
+    plain = plans.report(fit).first()
+    assert (plain.n_iterations, plain.optimal_iteration, plain.gcv_gain_percent, plain.gamma) == (1, 1, 0.0, 0.0)
+    assert plain.n_edges == fit.edges.count() and plain.adj_r_squared < plain.r_squared
+    moved = plans.fit(points, y, 5, 8, check_connected=False, gamma=1.0, max_iterations=2, tolerance=0.0, patience=9, t=0.1, pull=0.01)
+    assert len(moved.history) == 3 and moved.params["t"] == 0.1 and moved.history[0]["gcv"] == pytest.approx(min(s for _, s in fit.gcv))
+    monkeypatch.setattr(plans, "GAMMAS", (0.2, 2.0))
+    monkeypatch.setattr(plans.gamma_scores, "__defaults__", ((0.2, 2.0),))
+    chosen = plans.fit(points, y, 5, 8, check_connected=False, gamma=-1.0, max_iterations=1)
+    assert chosen.params["gamma"] in (0.2, 2.0)
+    with pytest.raises(ValueError):
+        plans.fit(points, y, 5, 8, check_connected=False, gamma=0.5, labeled=points.select("vertex"))
+
+
+def test_one_logistic_fit_over_a_table_equals_the_grouped_one(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=300)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(0.3 + x - 0.4 * x * x)))).astype(float)
+    rows = spark.createDataFrame([(int(k), float(a), float(b), 1.0 + k % 2, 1) for k, (a, b) in enumerate(zip(x, y))], "id long, x double, y double, w double, g int")
+    for quadratic in (False, True):
+        one = logit.iwls_table(rows, quadratic)[0].orderBy("x").toPandas()
+        group = logit.iwls(rows, "g", quadratic).orderBy("x").toPandas()
+        for c in ("prediction", "loo_brier", "loo_deviance"):
+            assert np.allclose(one[c], group[c], atol=1e-5), c
