@@ -199,14 +199,17 @@ class WordTokenizer:
 
     The distinct words of a slice of texts are split into the tokenizer's own pieces, which many words
     share; only new pieces are encoded, all in one text, where each ends with the token that ends
-    a word. Exact for tokenizers that lower-case, drop white space, split so and mark ends of words.
+    a word. Exact for byte-level tokenizers that lower-case, drop white space, split so and mark ends of words.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model for pieces that are lower-case and split already
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -222,7 +225,7 @@ class WordTokenizer:
         return np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)
 
     def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        ids = np.array(self.model.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
         last = np.flatnonzero(self.ends[ids]) if not len(ids) or ids.max() < len(self.ends) else np.zeros(0, np.int64)
         if len(last) != len(pieces):
             return self._each(pieces)
