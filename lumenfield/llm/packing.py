@@ -40,7 +40,7 @@ GROUP = 1 << 20
 #: The share of a group that may be padding.
 PADDING = 0.01
 #: Pieces of words are kept with their ids, about so many at a time.
-CACHED_PIECES = 600_000
+CACHED_PIECES = 400_000
 #: Bytes of text that are tokenised at once.
 SLICE = 4 << 20
 
