@@ -824,12 +824,13 @@ def eigen_ulogit(spark, sf_dir):
     return logit.iwls_table(_logit_rows(spark, sf_dir), quadratic=True)[0].select("doc_id", "x", "y", "prediction", "loo_brier", "loo_deviance")
 
 
-@query(sql("SELECT count(*) AS n, round(sum(y), 2) AS total, round(sum(y * x), 2) AS first, round(sum(y * x * x), 2) AS second FROM lx", lx=_LX))
+@query(sql("SELECT count(*) AS n, round(sum(y), 2) AS total, round(sum(y * x), 2) AS first FROM bx", lx=_LX, bx="SELECT doc_id, x / (1 + abs(x)) AS x, y FROM lx"))
 def eigen_ulogit_moments(spark, sf_dir):
-    """At the fit predictions have the moments of the response, which the SQL takes."""
-    rows = logit.iwls_table(_logit_rows(spark, sf_dir), quadratic=True)[0]
+    """At the fit predictions have the moments of the response, which the SQL takes; x is bounded, so that no prediction is at its bound."""
+    bounded = _logit_rows(spark, sf_dir).withColumn("x", F.col("x") / (1 + F.abs("x")))
+    rows = logit.iwls_table(spectral._checkpointed(bounded))[0]
     m = lambda k: F.round(F.sum(F.col("prediction") * F.pow("x", F.lit(float(k)))), 2)
-    return rows.agg(F.count("*").alias("n"), m(0).alias("total"), m(1).alias("first"), m(2).alias("second"))
+    return rows.agg(F.count("*").alias("n"), m(0).alias("total"), m(1).alias("first"))
 
 
 @query(sql("SELECT doc_id, round(0.7 - 0.3 * (x - 0.1) + 0.05 * pow(x - 0.1, 2), 6) AS link, round(1 / (1 + exp(-(0.7 - 0.3 * (x - 0.1) + 0.05 * pow(x - 0.1, 2)))), 6) AS response FROM lx", lx=_LX))
