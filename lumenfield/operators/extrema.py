@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lumenfield.sources.tables import checkpointed
 
-from .graph import directed, numbered
+from .graph import carried, directed, numbered, ranged, running
 
 
 def local_extrema(y: DataFrame, edges: DataFrame) -> DataFrame:
@@ -125,20 +125,20 @@ def significant(rows: DataFrame, value: str = "p_adjusted", level: float = 0.05)
 
 
 def bh_adjust(rows: DataFrame, p: str = "p_value", name: str = "p_adjusted") -> DataFrame:
-    """Benjamini-Hochberg. Ranks come from a range sort; the running minimum from the end is taken over
-    distinct p values that are minima of their range partition first, so no task holds all rows."""
-    n = rows.count()
-    order = numbered(rows, [p], "_r")
-    at = order.groupBy(p).agg(F.max("_r").alias("_r")).withColumn("_q", F.least(F.lit(1.0), F.col(p) * n / F.col("_r")))
-    spread = at.repartitionByRange(p).withColumn("_p", F.spark_partition_id())
-    after = spread.groupBy("_p").agg(F.min("_q").alias("m")).collect()
-    low, later = 1.0, {}
-    for r in sorted(after, key=lambda r: -r[0]):
-        later[r[0]] = low
+    """Benjamini-Hochberg over the rows whose p value is not null; others get null.
+
+    Only distinct p values are sorted, by ranges, with the number of rows up to each; the running minimum from
+    the end is taken within ranges and over the least of the ranges after.
+    """
+    n = rows.where(F.col(p).isNotNull()).count()
+    at = running(rows.where(F.col(p).isNotNull()).groupBy(p).count(), [p], F.col("count"), "_r")
+    spread = ranged(at.select(p, F.least(F.lit(1.0), F.col(p) * n / F.col("_r")).alias("_q")), [p])
+    low, later = 1.0, []
+    for r in spread.groupBy("_p").agg(F.min("_q").alias("m")).orderBy(F.desc("_p")).collect():
+        later.append((r[0], low))
         low = min(low, r[1])
     if not later:
         return rows.withColumn(name, F.lit(None).cast("double"))
-    rest = F.create_map(*[F.lit(v) for pair in later.items() for v in pair])[F.col("_p")]
     w = Window.partitionBy("_p").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    done = spread.select(p, F.least(F.min("_q").over(w), rest).alias(name))
-    return rows.join(done, p)
+    done = carried(spread, later, "_later", "double").select(p, F.least(F.min("_q").over(w), "_later").alias(name))
+    return rows.join(done, p, "left")

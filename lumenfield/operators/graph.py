@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenfield.sources.tables import checkpointed
 
@@ -136,22 +136,39 @@ def induced(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return kept.select("i", "j", "new_i", "new_j", F.coalesce(good, least).alias("length"))
 
 
-def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Rows numbered from 1 in the order of their keys without one partition holding all.
+def ranged(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows, dealt by ranges of their keys into partitions named ``_p`` in the order of the keys.
+
+    Range bounds come from a sample that differs with every evaluation, so the dealt rows are written once
+    with the number of their partition, and everything after reads what was written.
+    """
+    return checkpointed(df.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()))
+
+
+def carried(spread: DataFrame, parts: list[tuple[int, float]], name: str, kind: str) -> DataFrame:
+    """``spread`` with a value of its partition beside each row; one small row for each partition of ``ranged``."""
+    return spread.join(F.broadcast(spread.sparkSession.createDataFrame(parts, f"_p int, {name} {kind}")), "_p")
 
-    A range partitioning sorts; counts of the partitions before give each its first number.
+
+def running(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """Rows with the sum of ``value``, a long, over themselves and all rows before them in the order of their keys.
+
+    No partition holds all rows: sums of the range partitions before give each its first total. Keys should be unique.
     """
-    spread = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id())
-    at = spread.groupBy("_p").count().collect()
-    before, total = {}, 0
-    for r in sorted(at, key=lambda r: r[0]):
-        before[r[0]] = total
+    spread = ranged(df.withColumn("_v", value.cast("long")), keys)
+    total, before = 0, []
+    for r in spread.groupBy("_p").agg(F.sum("_v").alias("s")).orderBy("_p").collect():
+        before.append((r[0], total))
         total += r[1]
     if not before:
         return df.withColumn(name, F.lit(0).cast("long"))
-    first = F.create_map(*[F.lit(v).cast("long") if k % 2 else F.lit(v) for pair in before.items() for k, v in enumerate(pair)])
-    w = Window.partitionBy("_p").orderBy(*keys)
-    return spread.withColumn(name, (F.row_number().over(w) + first[F.col("_p")]).cast("long")).drop("_p")
+    w = Window.partitionBy("_p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    return carried(spread, before, "_b", "long").withColumn(name, F.sum("_v").over(w) + F.col("_b")).drop("_p", "_b", "_v")
+
+
+def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Rows numbered from 1 in the order of their keys."""
+    return running(df, keys, F.lit(1), name)
 
 
 def edge_list(edges: DataFrame) -> DataFrame:
