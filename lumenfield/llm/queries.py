@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, embeddings, language, minhash, packing, quality, secrets, substring, urls, warc
+from . import decontaminate, divergence, embeddings, language, minhash, packing, quality, secrets, substring, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, marks)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_url_filter": op10_url_filter,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 _REACH = """reach AS (SELECT DISTINCT a AS id, a AS seen FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.seen),
@@ -144,6 +149,26 @@ def _urls_sql() -> str:
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN mined IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN rule IS NULL THEN mined END AS mined FROM fixed LEFT JOIN hit USING (page_id)"""
 
 
+def _divergence_sql() -> str:
+    """Every group meets every kept term of its language, and every other source of it."""
+    unit, top = divergence.UNIT, divergence.TOP_TERMS
+    ranked = "row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item))::INTEGER AS rank"
+    return rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+  w AS MATERIALIZED (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+  kept AS MATERIALIZED (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT rid) >= {divergence.LEAST_DOCUMENTS}),
+  c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+  g AS (SELECT DISTINCT lang, source FROM d),
+  dense AS MATERIALIZED (SELECT lang, source, term, n, (1 + {unit} * (n + 1) // sum(n + 1) OVER (PARTITION BY lang, source))::BIGINT AS p
+    FROM (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term)),
+  whole AS MATERIALIZED (SELECT lang, term, (1 + {unit} * (n + 1) // sum(n + 1) OVER (PARTITION BY lang))::BIGINT AS q FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL)),
+  pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+  every AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+  marks AS (SELECT dense.lang, source, dense.term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM dense JOIN whole ON whole.lang = dense.lang AND whole.term = dense.term WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, {ranked} FROM every
+UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, {ranked} FROM marks) WHERE rank <= {top}"""
+
+
 #: DuckDB SQL where it can express the operator on whole tables.
 ORACLES: dict[str, str] = {
     "op1_warc": """
@@ -174,4 +199,5 @@ WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[
   cut AS (SELECT doc_id, count(*) AS c FROM gone GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(c, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)""",
     "op10_url_filter": _urls_sql(),
+    "op11_source_divergence": _divergence_sql(),
 }
