@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, divergence, embeddings, language, minhash, packing, quality, secrets, substring, urls, warc
+from . import codes, decontaminate, divergence, embeddings, language, minhash, packing, quality, secrets, substring, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codes.compress(_table(spark, sf_dir, "embeddings"))
+    rows = codes.with_label_errors(found.vectors)
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(found.digest).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_url_filter": op10_url_filter,
     "op11_source_divergence": op11_source_divergence,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 _REACH = """reach AS (SELECT DISTINCT a AS id, a AS seen FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.seen),
@@ -149,6 +156,28 @@ def _urls_sql() -> str:
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN mined IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN rule IS NULL THEN mined END AS mined FROM fixed LEFT JOIN hit USING (page_id)"""
 
 
+def _codes_sql() -> str:
+    """Lloyd's rounds over all vectors' parts, one after the other."""
+    n = codes.PARTS
+    steps = []
+    for k in range(codes.ROUNDS + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT vec_id, p, part, min((d, e)) AS best FROM
+    (SELECT vec_id, p, part, e, list_sum(list_transform(list_zip(part, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts JOIN b{k} USING (p)) GROUP BY ALL)""")
+        if k < codes.ROUNDS:
+            steps.append(f"""b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(mean, entry) AS entry FROM b{k} LEFT JOIN
+    (SELECT p, e, list((s - ((s % m) + m) % m) // m ORDER BY i) AS mean FROM
+      (SELECT p, best[2] AS e, i, sum(part[i])::BIGINT AS s, count(*) AS m FROM (SELECT *, unnest(range(1, len(part) + 1)) AS i FROM a{k}) GROUP BY ALL) GROUP BY ALL) USING (p, e))""")
+    last = codes.ROUNDS
+    return f"""WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor({codes.SCALE} * x::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE len(embedding) > 0 AND len(embedding) % {n} = 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+  parts AS MATERIALIZED (SELECT vec_id, p, x[p * (len(x) // {n}) + 1:(p + 1) * (len(x) // {n})] AS part FROM (SELECT *, unnest(range({n})) AS p FROM v)),
+  b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, part AS entry FROM parts QUALIFY e < {codes.ENTRIES}),
+  {", ".join(steps)},
+  coded AS (SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM a{last} GROUP BY vec_id),
+  digest AS (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{last})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN v USING (vec_id), digest"""
+
+
 def _divergence_sql() -> str:
     """Every group meets every kept term of its language, and every other source of it."""
     unit, top = divergence.UNIT, divergence.TOP_TERMS
@@ -200,4 +229,5 @@ WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(c, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)""",
     "op10_url_filter": _urls_sql(),
     "op11_source_divergence": _divergence_sql(),
+    "op12_vector_codes": _codes_sql(),
 }
