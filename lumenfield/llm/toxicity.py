@@ -27,8 +27,9 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +44,10 @@ CELLS = 1 << 21
 #: Weight of the shorter context in each estimate.
 SHORTER = 3.0
 #: Distinct words and tokens that a task remembers at once.
-HELD = 200_000
+HELD = 400_000
 PIECE, OVERLAP = 64, 24
 #: Tokens that are decoded together.
-TOGETHER = 1024
+TOGETHER = 4096
 PER_CLASS = 4000
 #: Beginnings of words that count as evidence, in characters.
 BEGINNINGS = range(4, 9)
@@ -69,7 +70,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _REPEATED = re.compile(r"(.)\1")
 _EDGES = re.compile(r"^([\W_]*)(.*?)([\W_]*)$", re.S)
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]{1,3}\S){2,}(?!\S)")
-_UNSEEN = re.compile("[­̀-ͯ​-‏⁠﻿]")
+_UNSEEN = re.compile(r"[\u00ad\u0300-\u036f\u200b-\u200f\u2060\ufeff]")
 #: An arc of a lattice: code point (0: nothing, 32: end of a word) and cost.
 Arc = tuple[int, float]
 
@@ -110,18 +111,23 @@ class CharacterModel:
         return out
 
     def _decoded(self, lattices: list[list[tuple[Arc, ...]]]) -> list[str]:
+        # different sets of arcs, one after the other, and which set is where; the first moves nothing
+        index: dict[tuple[Arc, ...], int] = {((0, 0.0),): 0}
+        places = np.zeros((max(map(len, lattices)), len(lattices)), np.int64)
+        for k, lat in enumerate(lattices):
+            places[: len(lat), k] = [index.setdefault(arcs, len(index)) for arcs in lat]
+        sizes = np.array([len(arcs) for arcs in index])
+        starts = np.cumsum(sizes) - sizes
+        point = np.array([p for arcs in index for p, _ in arcs])
+        cost = np.array([c for arcs in index for _, c in arcs])
         token = np.arange(len(lattices))
         context, score = np.zeros(len(lattices), np.uint64), np.zeros(len(lattices))
         steps: list[tuple[np.ndarray, np.ndarray]] = []
-        for t in range(max(map(len, lattices))):
-            arcs = [lat[t] if t < len(lat) else ((0, 0.0),) for lat in lattices]
-            count = np.array([len(x) for x in arcs])
-            point = np.array([p for x in arcs for p, _ in x])
-            cost = np.array([c for x in arcs for _, c in x])
-            first = np.cumsum(count) - count
-            ways = count[token]
+        for at_step in places:
+            which = at_step[token]
+            ways = sizes[which]
             parent = np.repeat(np.arange(len(token)), ways)
-            arc = np.repeat(first[token], ways) + np.arange(len(parent)) - np.repeat(np.cumsum(ways) - ways, ways)
+            arc = np.repeat(starts[which], ways) + np.arange(len(parent)) - np.repeat(np.cumsum(ways) - ways, ways)
             p, before = point[arc], context[parent]
             code = _code(np.where(p == 32, 0, p)).astype(np.uint64)
             new = np.where(p == 0, before, np.where(p == 32, np.uint64(0), (before << np.uint64(8) | code) & np.uint64(0xFFFFFFFF)))
@@ -145,39 +151,42 @@ class CharacterModel:
         return ["".join(map(chr, row[row != 0].tolist())) for row in points]
 
 
+@lru_cache(maxsize=4096)
+def _readings(c: str, star: bool) -> tuple[Arc, ...] | None:
+    """What one character may stand for, None for a gap."""
+    if c.isalpha():
+        return ((ord(c), 0.0),)
+    if c in LOOKS_LIKE:
+        return (*((ord(x), DISGUISED) for x in LOOKS_LIKE[c]), (ord(c), 0.0) if c.isdigit() else (0, LEFT_OUT))
+    if c == "*" and star:
+        return (*((x, ANY_LETTER) for x in range(97, 123)), (0, JOINED))
+    return ((ord(c), 0.0),) if c.isdigit() else None
+
+
+_GAP, _SPACE = ((0, JOINED), (32, PARTED)), ((0, JOINED / 2), (32, PARTED))
+
+
 def lattice(token: str, spaced: bool = False) -> list[tuple[Arc, ...]]:
     """Positions with what each may stand for; between the characters of a spaced run lie gaps."""
-    stars = token.count("*") == 1
+    star = token.count("*") == 1
     out: list[tuple[Arc, ...]] = []
     n, k = len(token), 0
-    gap = ((0, JOINED), (32, PARTED))
     while k < n:
         c, run = token[k], 1
         while k + run < n and token[k + run] == c:
             run += 1
-        if c.isalpha():
-            one: tuple[Arc, ...] = ((ord(c), 0.0),)
-        elif c in LOOKS_LIKE:
-            one = (*((ord(x), DISGUISED) for x in LOOKS_LIKE[c]), (ord(c), 0.0) if c.isdigit() else (0, LEFT_OUT))
-        elif c == "*" and stars:
-            one = (*((x, ANY_LETTER) for x in range(97, 123)), (0, JOINED))
-        elif c.isdigit():
-            one = ((ord(c), 0.0),)
-        else:
-            out.append(gap)
-            k += run
-            continue
-        for again in range(run if spaced or not c.isalpha() else min(run, 2)):
-            if spaced and out:
-                out.append(((0, JOINED / 2), (32, PARTED)))
-            if again and c.isalpha() and not spaced:
-                keep, leave = (0.0, DOUBLED) if run == 2 else (DOUBLE_KEPT, DOUBLE_LEFT)
-                out.append(((ord(c), keep), (0, leave)))
-            elif again and spaced:
-                out.append((*one, (0, DOUBLED)))
-            else:
-                out.append(one)
         k += run
+        one = _readings(c, star)
+        if one is None:
+            out.append(_GAP)
+        elif spaced:
+            for again in range(run):
+                out += ([_SPACE] if out else []) + [(*one, (0, DOUBLED)) if again else one]
+        elif run > 1 and c.isalpha():
+            keep, leave = (0.0, DOUBLED) if run == 2 else (DOUBLE_KEPT, DOUBLE_LEFT)
+            out += [one, ((ord(c), keep), (0, leave))]
+        else:
+            out += [one] * run
     return out
 
 
@@ -202,29 +211,38 @@ class Restorer:
 
     model: CharacterModel
     known: dict[str, str] = field(default_factory=dict)
+    cores: dict[str, str] = field(default_factory=dict)
 
-    def learn(self, tokens: set[str]) -> None:
-        """Reads tokens; a spaced run is a token that begins with a space."""
+    def learn(self, tokens: set[str]) -> list[str]:
+        """Reads tokens that are new and returns their readings; a spaced run is a token that begins with a space."""
         if len(self.known) > HELD:
             self.known.clear()
-        waiting: list[tuple[str, int]] = []
-        lattices: list[list[tuple[Arc, ...]]] = []
-        for token in tokens:
-            if token in self.known:
+            self.cores.clear()
+        new = tokens.difference(self.known)
+        found, waiting = self.cores, {}
+        for token in new:
+            if token.isalpha() and not _REPEATED.search(token):
+                self.known[token] = token
                 continue
-            spaced = token[0] == " "
-            core = token[1:] if spaced else self.core(token)
-            if not spaced and (not any(c.isalpha() for c in core) or (core.isalpha() and not _REPEATED.search(core))):
-                self.known[token] = core if core.isalpha() else ""
+            core = token if token[0] == " " else self.core(token)
+            if core in found:
                 continue
-            parts = [lattice(p, spaced) for p in pieces(core)]
-            waiting.append((token, len(parts)))
-            lattices.extend(parts)
-        if lattices:
-            read, at = self.model.decode(lattices), 0
-            for token, n in waiting:
-                self.known[token] = " ".join(" ".join(read[at : at + n]).split())
-                at += n
+            if core[:1] == " " or not core.isalpha() or _REPEATED.search(core):
+                if any(map(str.isalpha, core)):
+                    waiting[core] = [lattice(p, core[0] == " ") for p in pieces(core.lstrip(" "))]
+                else:
+                    found[core] = ""
+            else:
+                found[core] = core
+        if waiting:
+            read, at = self.model.decode([p for parts in waiting.values() for p in parts]), 0
+            for core, parts in waiting.items():
+                found[core] = " ".join(" ".join(read[at : at + len(parts)]).split())
+                at += len(parts)
+        for token in new:
+            if token not in self.known:
+                self.known[token] = found[token if token[0] == " " else self.core(token)]
+        return [self.known[t] for t in new]
 
     @staticmethod
     def core(token: str) -> str:
@@ -253,6 +271,20 @@ class Restorer:
         self.learn(set().union(*parted) if parted else set())
         return [[self.known[t] for t in tokens] for tokens in parted]
 
+    def distinct(self, texts: list[str]) -> tuple[list[set[str]], set[str]]:
+        """(the different restored words of each text, those read for the first time)."""
+        parted = [set(self.tokens(folded(t))) for t in texts]
+        fresh = self.learn(set().union(*parted) if parted else set())
+        return [_words(map(self.known.__getitem__, tokens)) for tokens in parted], _words(fresh)
+
+
+def _words(readings: Iterable[str]) -> set[str]:
+    words = set(readings)
+    words.discard("")
+    several = [w for w in words if " " in w]
+    words.difference_update(several)
+    return words.union(*map(str.split, several))
+
 
 def _python_texts(column: pa.Array) -> list[str]:
     return [t or "" for t in valid(column).to_pylist()]
@@ -338,7 +370,7 @@ class ToxicityModel:
     weights: np.ndarray
     share: float = 0.5
     constant: float | None = None
-    _strength: dict[str, float] = field(default_factory=dict)
+    _strong: dict[str, float] = field(default_factory=dict)
 
     def evidence(self, feature: str, taught: int | None = None) -> float:
         """Logarithm of the odds that a feature adds at the least, without the document itself if it has taught."""
@@ -353,26 +385,23 @@ class ToxicityModel:
 
     def strength(self, word: str, taught: int | None = None) -> float:
         """The strongest evidence of a word, 0 if there is none."""
-        if taught is None and word in self._strength:
-            return self._strength[word]
-        value = max(0.0, *(self.evidence(f, taught) for f in features(word)))
-        if taught is None:
-            if len(self._strength) > HELD:
-                self._strength.clear()
-            self._strength[word] = value
-        return value
-
-    def inputs(self, restored: list[str], taught: int | None = None) -> tuple[float, ...]:
+        return max(0.0, *(self.evidence(f, taught) for f in features(word) if f in self.counts), 0.0)
+
+    def inputs(self, words: set[str], taught: int | None = None, strong: dict[str, float] | None = None) -> tuple[float, ...]:
         """1, the strongest words' evidence, and the logarithms of the numbers of words with evidence and of different words."""
-        words = {w for token in set(restored) for w in token.split()}
-        found = sorted((v for w in words if (v := self.strength(w, taught)) >= LEAST_EVIDENCE), reverse=True)
+        some = [strong[w] for w in words & strong.keys()] if strong is not None else [self.strength(w, taught) for w in words]
+        found = sorted((v for v in some if v >= LEAST_EVIDENCE), reverse=True)
         best = [*found[:STRONGEST], *[0.0] * (STRONGEST - len(found))]
         return (1.0, *best, float(np.log1p(len(found))), float(np.log1p(len(words)) / 10))
 
     def scores(self, reader: Restorer, texts: list[str]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        x = np.array([self.inputs(r) for r in reader.read(texts)]).reshape(len(texts), -1)
+        read, fresh = reader.distinct(texts)
+        for word in fresh:
+            if (value := self.strength(word)) >= LEAST_EVIDENCE:
+                self._strong[word] = value
+        x = np.array([self.inputs(words, strong=self._strong) for words in read]).reshape(len(texts), -1)
         least = np.where(x[:, 1] > 0, x[:, 1] + np.log(self.share / (1 - self.share)), -50)
         return np.round(1 / (1 + np.exp(-np.clip(np.maximum(x @ self.weights, least), -50, 50))), DIGITS)
 
@@ -428,8 +457,8 @@ def train(documents: DataFrame, labels: DataFrame, characters: CharacterModel |
         for batch in batches:
             for part in slices(batch):
                 held: tuple[Counter[str], Counter[str]] = Counter(), Counter()
-                for y, read in zip(part.column("y").to_pylist(), reader.read(_python_texts(part.column("text")))):
-                    held[y].update({f for token in set(read) for w in token.split() for f in features(w)})
+                for y, words in zip(part.column("y").to_pylist(), reader.distinct(_python_texts(part.column("text")))[0]):
+                    held[y].update({f for w in words for f in features(w)})
                 names = list(held[0] | held[1])
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([held[y][f] for f in names], pa.int64()) for y in (1, 0))], ["feature", "ours", "others"])
 
@@ -451,7 +480,7 @@ def train(documents: DataFrame, labels: DataFrame, characters: CharacterModel |
         for batch in batches:
             for some in slices(batch):
                 y = some.column("y").to_pylist()
-                x = [own.inputs(read, taught) for taught, read in zip(y, reader.read(_python_texts(some.column("text"))))]
+                x = [own.inputs(words, taught) for taught, words in zip(y, reader.distinct(_python_texts(some.column("text")))[0])]
                 yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
     got = texts.mapInArrow(see, "y int, x array<double>").toArrow().to_pydict()
