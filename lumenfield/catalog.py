@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lumenfield.functions import columns as fx
 from lumenfield.functions import orders
-from lumenfield.operators import extrema, graph, logit, meanshift, measures, metrics, resample, spectral, walks
+from lumenfield.operators import draws, extrema, graph, logit, meanshift, measures, metrics, resample, spectral, walks
 from lumenfield.oracles import sql
 from lumenfield.plans import fit as plans
 from lumenfield.plans import pipelines
@@ -508,10 +508,18 @@ def spectral_gap(spark, sf_dir):
     return spark.createDataFrame([(float(Base(spark, sf_dir).fit(n_eigenpairs=3).spectrum.values[1]),)], "gap double")
 
 
-@query(sql("SELECT v AS gap, round(t, 6) AS t, round(greatest(1e-4, 0.1 / t), 6) AS beta FROM (SELECT v, least(20, 0.5 / greatest(v, 0.01)) AS t FROM (SELECT unnest([0.001, 0.02, 0.1, 0.5, 2.0]::DOUBLE[]) AS v))"))
+_SPECTRA = "SELECT user_id, min(value) / 40 AS gap, max(value) / 40 AS top FROM positive GROUP BY user_id"
+
+
+def _spectra(spark, sf_dir) -> DataFrame:
+    """The least and largest value of each user stand for eigenvalues."""
+    return positive(spark, sf_dir).groupBy("user_id").agg((F.min("value") / 40).alias("gap"), (F.max("value") / 40).alias("top"))
+
+
+@query(sql("SELECT user_id, round(t, 6) AS t, round(greatest(1e-4, 0.1 / t), 6) AS beta FROM (SELECT user_id, least(20, 0.5 / greatest(gap, 0.01)) AS t FROM sp)", sp=_SPECTRA))
 def diffusion_params(spark, sf_dir):
-    gaps = [0.001, 0.02, 0.1, 0.5, 2.0]
-    return spark.createDataFrame([(g, *(round(x, 6) for x in spectral.diffusion_parameters(g))) for g in gaps], "gap double, t double, beta double")
+    t, beta = spectral.diffusion_columns(F.col("gap"))
+    return _spectra(spark, sf_dir).select("user_id", r6(t, "t"), r6(beta, "beta"))
 
 
 @query(sql("""SELECT event_id, round(exp(-2 * l), 6) AS heat_kernel, round(1 / (1 + 2 * l), 6) AS tikhonov, round(1 / (1 + 2 * l * l), 6) AS cubic_spline, round(exp(-2 * l * l), 6) AS gaussian,
@@ -521,14 +529,17 @@ def filter_weights(spark, sf_dir):
     return v.select("event_id", *[r6(fx.spectral_filter(k, F.col("l"), F.lit(2.0)), k) for k in fx.FILTERS])
 
 
-@query(sql("SELECT t AS pos, round(ln(1e-10) + (ln(-ln(1e-10) / 3.0) - ln(1e-10)) * t / 40, 6) AS log_eta FROM range(1, 41) r(t)"))
+@query(sql("SELECT user_id, t AS pos, round(ln(1e-10) + (ln(-ln(1e-10) / top) - ln(1e-10)) * t / 40, 6) AS log_eta FROM sp, range(1, 41) r(t)", sp=_SPECTRA))
 def eta_grid_fit(spark, sf_dir):
-    return spark.createDataFrame([(k + 1, round(math.log(v), 6)) for k, v in enumerate(fx.eta_grid_fit(3.0))], "pos long, log_eta double")
+    grid = _spectra(spark, sf_dir).select("user_id", F.posexplode(fx.eta_grid_fit_of(F.col("top"))).alias("pos", "eta"))
+    return grid.select("user_id", (F.col("pos") + 1).cast("long").alias("pos"), r6(F.log("eta"), "log_eta"))
 
 
-@query(sql("SELECT t AS pos, round(ln(1 / 3.0) + (ln(1 / 0.05) - ln(1 / 3.0)) * t / 39, 6) AS log_eta FROM range(0, 40) r(t)"))
+@query(sql("""SELECT user_id, t AS pos, round(CASE WHEN top <= gap THEN ln(1e-3 + (1 - 1e-3) * t / 39) ELSE lo + (ln(1 / gap) - lo) * t / 39 END, 6) AS log_eta
+    FROM (SELECT *, ln(greatest(1e-6, 1 / top)) AS lo FROM sp), range(0, 40) r(t)""", sp=_SPECTRA))
 def eta_grid_refit(spark, sf_dir):
-    return spark.createDataFrame([(k, round(math.log(v), 6)) for k, v in enumerate(fx.eta_grid_refit([0.0, 0.05, 1.0, 3.0]))], "pos long, log_eta double")
+    grid = _spectra(spark, sf_dir).select("user_id", F.posexplode(fx.eta_grid_refit_of(F.col("gap"), F.col("top"))).alias("pos", "eta"))
+    return grid.select("user_id", F.col("pos").cast("long").alias("pos"), r6(F.log("eta"), "log_eta"))
 
 
 @query()
@@ -720,7 +731,14 @@ def cluster_pvalue(spark, sf_dir):
 @query()
 def bayes_bootstrap(spark, sf_dir):
     b = Base(spark, sf_dir)
-    return resample.bootstrap(b.fit(), b.y, b=49)
+    return draws.bootstrap(b.fit(), b.y, b=49)
+
+
+@query()
+def bayes_bootstrap_global(spark, sf_dir):
+    """The distance of the fitted values from the mean response over the draws, on three scales."""
+    b = Base(spark, sf_dir)
+    return draws.bootstrap_global(b.fit(binary=True), b.y.select("vertex", (F.col("y") < 5).cast("double").alias("y")), b=49)
 
 
 @query()
@@ -729,10 +747,25 @@ def posterior(spark, sf_dir):
     return resample.posterior(b.fit(), b.y, b=100)
 
 
+def _slope_test(spark, sf_dir, **options) -> DataFrame:
+    b = Base(spark, sf_dir)
+    return draws.slope_test(b.fit(), b.y, _first_feature(b), b=99, **options)
+
+
 @query()
 def lslope_test(spark, sf_dir):
-    b = Base(spark, sf_dir)
-    return pipelines.lslope_test(b.fit(), b.y, b=19)
+    """Student's t on paired slopes, after a Box-Cox power where the differences are not normal."""
+    return _slope_test(spark, sf_dir)
+
+
+@query()
+def lslope_wilcoxon(spark, sf_dir):
+    return _slope_test(spark, sf_dir, test="wilcoxon", box_cox="never", slope="slope")
+
+
+@query()
+def lslope_weighted(spark, sf_dir):
+    return _slope_test(spark, sf_dir, test="weighted.pvalue", box_cox="always", ascending=False)
 
 
 _NEAR = "SELECT a.vertex, a.nbr, a.length, q.y - p.y AS dy, q.x[1] - p.x[1] AS dz FROM adj a JOIN points p ON p.vertex = a.vertex JOIN points q ON q.vertex = a.nbr"
@@ -824,13 +857,14 @@ def eigen_ulogit(spark, sf_dir):
     return logit.iwls_table(_logit_rows(spark, sf_dir), quadratic=True)[0].select("doc_id", "x", "y", "prediction", "loo_brier", "loo_deviance")
 
 
-@query(sql("SELECT count(*) AS n, round(sum(y), 2) AS total, round(sum(y * x), 2) AS first FROM bx", lx=_LX, bx="SELECT doc_id, x / (1 + abs(x)) AS x, y FROM lx"))
+@query(sql("SELECT count(*) AS n, round(sum(y), 2) AS total, round(sum(y * x), 2) AS first, round(sum(y * x * x), 2) AS second FROM lx", lx=_LX))
 def eigen_ulogit_moments(spark, sf_dir):
-    """At the fit predictions have the moments of the response, which the SQL takes; x is bounded, so that no prediction is at its bound."""
-    bounded = _logit_rows(spark, sf_dir).withColumn("x", F.col("x") / (1 + F.abs("x")))
-    rows = logit.iwls_table(spectral._checkpointed(bounded))[0]
-    m = lambda k: F.round(F.sum(F.col("prediction") * F.pow("x", F.lit(float(k)))), 2)
-    return rows.agg(F.count("*").alias("n"), m(0).alias("total"), m(1).alias("first"))
+    """At the fit its curve has the moments of the response, which the SQL takes."""
+    given = spectral._checkpointed(_logit_rows(spark, sf_dir))
+    rows, b = logit.iwls_table(given, quadratic=True)
+    curve = logit.predict_quadratic(F.col("x"), b.tolist(), given.agg(F.avg("x")).first()[0])
+    m = lambda k: F.round(F.sum(curve * F.pow("x", F.lit(float(k)))), 2)
+    return rows.agg(F.count("*").alias("n"), m(0).alias("total"), m(1).alias("first"), m(2).alias("second"))
 
 
 @query(sql("SELECT doc_id, round(0.7 - 0.3 * (x - 0.1) + 0.05 * pow(x - 0.1, 2), 6) AS link, round(1 / (1 + exp(-(0.7 - 0.3 * (x - 0.1) + 0.05 * pow(x - 0.1, 2)))), 6) AS response FROM lx", lx=_LX))
@@ -992,23 +1026,23 @@ def lp_missing(spark, sf_dir):
 
 _CIRCLE = f"""SELECT vertex, theta, exp(-0.5 * pow((theta - 1.5) / 0.5, 2)) - exp(-0.5 * pow((theta - 4.0) / 0.7, 2)) AS y_true,
     sqrt(-2 * ln(1 - {_U.format("'7:' || vertex || ':x0r'")})) * cos(2 * pi() * {_U.format("'7:' || vertex || ':x0a'")}) AS z0, sqrt(-2 * ln(1 - {_U.format("'7:' || vertex || ':yr'")})) * cos(2 * pi() * {_U.format("'7:' || vertex || ':ya'")}) AS zy
-    FROM (SELECT range AS vertex, 2 * pi() * 0.8 * {_U.format("'7:' || range || ':theta'")} AS theta FROM range(500))"""
+    FROM (SELECT vertex, 2 * pi() * 0.8 * {_U.format("'7:' || vertex || ':theta'")} AS theta FROM points)"""
 
 
 @query(sql("SELECT vertex, round(cos(theta) + 0.05 * z0, 6) AS x0, round(y_true, 6) AS y_true, round(y_true + 0.1 * zy, 6) AS y FROM cir", cir=_CIRCLE))
 def synthetic_circle(spark, sf_dir):
-    c = synthetic.circle(spark, 500, gap=0.2, seed=7)
+    c = synthetic.circle(Base(spark, sf_dir).vertices, gap=0.2, seed=7)
     return c.select("vertex", r6(F.col("x")[0], "x0"), r6("y_true"), r6("y"))
 
 
-@query(sql("SELECT vertex, round(t, 6) AS x0, round(exp(-0.5 * pow((t - 0.2) / 0.06, 2)) - 0.8 * exp(-0.5 * pow((t - 0.5) / 0.08, 2)) + 1.2 * exp(-0.5 * pow((t - 0.8) / 0.05, 2)), 6) AS y_true FROM (SELECT range AS vertex, range / 119.0 AS t FROM range(120))"))
+@query(sql("SELECT vertex, round(t, 6) AS x0, round(exp(-0.5 * pow((t - 0.2) / 0.06, 2)) - 0.8 * exp(-0.5 * pow((t - 0.5) / 0.08, 2)) + 1.2 * exp(-0.5 * pow((t - 0.8) / 0.05, 2)), 6) AS y_true FROM (SELECT vertex, vertex / (SELECT max(vertex)::DOUBLE FROM points) AS t FROM points)"))
 def synthetic_mixture(spark, sf_dir):
-    return synthetic.mixture(spark, 120).select("vertex", r6(F.col("x")[0], "x0"), r6("y_true"))
+    return synthetic.mixture(Base(spark, sf_dir).vertices).select("vertex", r6(F.col("x")[0], "x0"), r6("y_true"))
 
 
-@query(sql(f"SELECT vertex, vertex % 3 AS arm, round(CASE vertex % 3 WHEN 1 THEN t WHEN 2 THEN -t ELSE 0 END, 6) AS y_true FROM (SELECT range AS vertex, {_U.format("'1:' || range || ':t'")} AS t FROM range(150))"))
+@query(sql(f"SELECT vertex, vertex % 3 AS arm, round(CASE vertex % 3 WHEN 1 THEN t WHEN 2 THEN -t ELSE 0 END, 6) AS y_true FROM (SELECT vertex, {_U.format("'1:' || vertex || ':t'")} AS t FROM points)"))
 def synthetic_branches(spark, sf_dir):
-    return synthetic.branches(spark, 150).select("vertex", (F.col("vertex") % 3).alias("arm"), r6("y_true"))
+    return synthetic.branches(Base(spark, sf_dir).vertices).select("vertex", (F.col("vertex") % 3).alias("arm"), r6("y_true"))
 
 
 # -- further graphs, operators and pieces of the tests
@@ -1082,8 +1116,8 @@ def perm_p_values(spark, sf_dir):
     """p values of the response itself among its permutations."""
     y = Base(spark, sf_dir).y
     own = y.select("vertex", F.col("y").alias("y_hat"))
-    draws = resample.permuted(y, 19, 1).select("vertex", "col", F.col("y").alias("y_hat"))
-    return resample.p_values(own, draws, y.agg(F.avg("y")).first()[0], 19).select("vertex", r6("p_value"))
+    drawn = resample.permuted(y, 19, 1).select("vertex", "col", F.col("y").alias("y_hat"))
+    return resample.p_values(own, drawn, y.agg(F.avg("y")).first()[0], 19).select("vertex", r6("p_value"))
 
 
 @query(sql("""SELECT vertex, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper, round(stddev_samp(v), 6) AS sd, round(avg((v > m)::INT), 6) AS p_above, round(least(1, 2 * least(avg((v > m)::INT), 1 - avg((v > m)::INT))), 6) AS pseudo_p
@@ -1092,8 +1126,8 @@ def perm_p_values(spark, sf_dir):
 def dirichlet_intervals(spark, sf_dir):
     """Intervals of the response itself under Dirichlet weights."""
     y = Base(spark, sf_dir).y
-    draws = resample.dirichlet(y, 19, 1).select("vertex", "col", F.col("y").alias("y_hat"))
-    return resample.intervals(draws, y.agg(F.avg("y")).first()[0]).select("vertex", *[r6(c) for c in ("lower", "upper", "sd", "p_above", "pseudo_p")])
+    drawn = resample.dirichlet(y, 19, 1).select("vertex", "col", F.col("y").alias("y_hat"))
+    return resample.intervals(drawn, y.agg(F.avg("y")).first()[0]).select("vertex", *[r6(c) for c in ("lower", "upper", "sd", "p_above", "pseudo_p")])
 
 
 @query(sql("SELECT user_id AS vertex, round(s[floor(0.025 * (len(s) - 1))::INT + 1], 6) AS lower, round(s[floor(0.975 * (len(s) - 1))::INT + 1], 6) AS upper, round(sd, 6) AS sd FROM (SELECT user_id, list_sort(list(value)) AS s, stddev_samp(value) AS sd FROM vals GROUP BY user_id HAVING count(*) > 1)"))
@@ -1118,8 +1152,8 @@ def zero_modes(spark, sf_dir):
     b = Base(spark, sf_dir)
     edges = b.sparse()
     _, rho0, rho1 = plans.geometry(b.vertices, edges, K)
-    low = spectral.spectrum(spectral._checkpointed(measures.laplacian(rho0, rho1)), b.vertices.count())
-    return spark.createDataFrame([(int((np.abs(low.values) <= 1e-10 * np.abs(low.values).max()).sum()),)], "zero_modes long")
+    lap = spectral._checkpointed(measures.laplacian(rho0, rho1))
+    return spark.createDataFrame([(spectral.zero_modes(lap, rho0.select("vertex", F.sqrt("rho").alias("x"))),)], "zero_modes long")
 
 
 @query(sql("SELECT vertex, y AS b, 0.0::DOUBLE AS residual FROM points"))
@@ -1202,10 +1236,110 @@ def lcor_posterior(spark, sf_dir):
     return resample.lcor_posterior(b.fit(), b.points.select("vertex", F.posexplode(F.slice("x", 1, 2)).alias("col", "y")), 20)
 
 
+def _full(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    b = Base(spark, sf_dir)
+    edges, sets, rho0, rho1 = b.geometry()
+    mass = spectral._checkpointed(measures.edge_mass(edges, graph.triangles(edges, sets), rho1, rho0, sets))
+    return mass, extrema.coboundary_full(b.y, rho0, mass)
+
+
 @query()
 def coboundary_full(spark, sf_dir):
     """With edge masses off the diagonal too."""
+    return _full(spark, sf_dir)[1].select("i", "j", "delta")
+
+
+@query(sql("SELECT e.i, e.j, round(greatest(b.rho, 1e-15) * pb.y - greatest(a.rho, 1e-15) * pa.y, 3) AS product FROM rho1 e JOIN rho0 a ON a.vertex = e.i JOIN rho0 b ON b.vertex = e.j JOIN points pa ON pa.vertex = e.i JOIN points pb ON pb.vertex = e.j"))
+def coboundary_product(spark, sf_dir):
+    """The edge masses times the full coboundary give back the equation's right side, which the SQL takes from the vertices."""
+    mass, found = _full(spark, sf_dir)
+    found = spectral._checkpointed(found)
+    product = mass.join(found.select(F.col("i").alias("i2"), F.col("j").alias("j2"), "delta"), ["i2", "j2"]).groupBy("i", "j").agg(F.sum(F.col("val") * F.col("delta")).alias("p"))
+    # a hair above zero, so that no product of rounding rounds to -0
+    return product.select("i", "j", (F.round("p", 3) + 0.0).alias("product"))
+
+
+# -- modulation of triangles, one-sided tests and choices
+
+_TM = "SELECT t.v0, t.v1, t.v2, sum(r.rho) AS val FROM tri t JOIN sets a ON a.vertex = t.v0 JOIN sets b ON b.vertex = t.v1 AND b.member = a.member JOIN sets c ON c.vertex = t.v2 AND c.member = a.member JOIN rho0 r ON r.vertex = a.member GROUP BY ALL"
+_QUARTILES = "SELECT greatest(max(d) FILTER (r = 3 * n // 4 + 1) - max(d) FILTER (r = n // 4 + 1), 1e-10) AS s FROM (SELECT d, row_number() OVER (ORDER BY d) AS r, count(*) OVER () AS n FROM {})"
+
+
+@query(sql("SELECT i, j, i2, j2, round(val * (SELECT sum(old) FROM lowered) / (SELECT sum(val) FROM lowered), 6) AS val FROM lowered",
+           tm=_TM, ed="SELECT e.i, e.j, greatest(e.rho, 1e-15) AS old, abs(a.y - b.y) AS d FROM rho1 e JOIN points a ON a.vertex = e.i JOIN points b ON b.vertex = e.j",
+           td="SELECT tm.*, greatest(a.y, b.y, c.y) - least(a.y, b.y, c.y) AS d FROM tm JOIN points a ON a.vertex = v0 JOIN points b ON b.vertex = v1 JOIN points c ON c.vertex = v2",
+           s1=_QUARTILES.format("ed"), s2=_QUARTILES.format("td"),
+           sides="SELECT v0, v1, v2, val, d, unnest([[v0, v1], [v0, v2], [v1, v2]]) AS x FROM td",
+           pairs="SELECT a.x AS x, b.x AS y, a.val, a.d FROM sides a JOIN sides b USING (v0, v1, v2) WHERE a.x <> b.x",
+           most="SELECT x, y, max(d) AS d FROM pairs GROUP BY ALL",
+           lowered="""SELECT i, j, i AS i2, j AS j2, old, old * pow(1 + pow(d / (SELECT s FROM s1), 2), -0.5) AS val FROM ed
+             UNION ALL SELECT p.x[1], p.x[2], p.y[1], p.y[2], p.val, p.val * pow(1 + pow(m.d / (SELECT s FROM s2), 2), -0.5) FROM pairs p JOIN most m USING (x, y)"""))
+def triangle_modulation(spark, sf_dir):
+    """Edge masses lowered where the response changes, between the edges of a triangle too."""
     b = Base(spark, sf_dir)
     edges, sets, rho0, rho1 = b.geometry()
-    mass = spectral._checkpointed(measures.edge_mass(edges, graph.triangles(edges, sets), rho1, rho0, sets))
-    return extrema.coboundary_full(b.y, rho0, mass)
+    tri = spectral._checkpointed(graph.triangles(edges, sets))
+    mass = spectral._checkpointed(measures.edge_mass(edges, tri, rho1, rho0, sets))
+    return measures.triangle_modulation(mass, tri, b.y, 0.5).select("i", "j", "i2", "j2", r6("val"))
+
+
+@query(sql("SELECT p.vertex, round((1 + count_if(q.y >= p.y)) / 20.0, 6) AS p_value FROM points p JOIN dr ON dr.vertex = p.vertex JOIN (SELECT y, row_number() OVER (ORDER BY vertex) AS r FROM points) q ON q.r = dr.r GROUP BY p.vertex", dr=_DRAW))
+def perm_p_values_upper(spark, sf_dir):
+    """One-sided p values of the response itself among its permutations."""
+    y = Base(spark, sf_dir).y
+    own = y.select("vertex", F.col("y").alias("y_hat"))
+    drawn = resample.permuted(y, 19, 1).select("vertex", "col", F.col("y").alias("y_hat"))
+    return resample.p_values(own, drawn, y.agg(F.avg("y")).first()[0], 19, two_sided=False).select("vertex", r6("p_value"))
+
+
+@query(sql("""SELECT b AS col, round(sum(pow(d, 2)), 5) AS l2, round(sum(d), 5) AS l1, round(sum(pow(d, 3)), 4) AS lp, round(max(d), 6) AS max FROM
+    (SELECT b, abs(q.y * exp(-dr.r / 500.0) - m) AS d FROM dr JOIN (SELECT y, row_number() OVER (ORDER BY vertex) AS r FROM points) q ON q.r = dr.r, (SELECT avg(y) AS m FROM points)) GROUP BY b""",
+    dr=_DRAW))
+def perm_statistics(spark, sf_dir):
+    """Global statistics of permuted responses that are damped by rank."""
+    y = Base(spark, sf_dir).y
+    n, mean = y.agg(F.count("*"), F.avg("y")).first()
+    rank = graph.numbered(y, ["vertex"], "r").select(F.col("vertex").alias("home"), "r", "y")
+    drawn = resample.permuted(rank.select(F.col("home").alias("vertex"), F.col("r").cast("double").alias("y")), 19, 1)
+    rows = drawn.join(rank.select(F.col("r").cast("double").alias("r"), F.col("y").alias("v")), drawn.y == F.col("r")).select("col", (F.col("v") * F.exp(-F.col("r") / 500.0)).alias("y_hat"))
+    out = resample.global_statistics(rows, mean, n, ["col"], 3.0)
+    return out.select(F.col("col").cast("long").alias("col"), F.round("l2", 5).alias("l2"), F.round("l1", 5).alias("l1"), F.round("lp", 4).alias("lp"), r6("max"))
+
+
+@query()
+def mean_shift_denoised(spark, sf_dir):
+    """Points at the step whose median k-distance is least."""
+    out, step = meanshift.denoised(Base(spark, sf_dir).points, k=K, steps=3)
+    return out.withColumn("step", F.lit(step))
+
+
+@query(sql("SELECT (SELECT x FROM curve ORDER BY fit, x LIMIT 1) AS best, min(x) AS low, max(x) AS high FROM curve WHERE lower <= (SELECT upper FROM curve ORDER BY fit, x LIMIT 1)",
+           curve="SELECT user_id::DOUBLE AS x, avg(value) AS fit, avg(value) - stddev_samp(value) / sqrt(count(*)) AS lower, avg(value) + stddev_samp(value) / sqrt(count(*)) AS upper FROM vals GROUP BY user_id HAVING count(*) > 1"))
+def equivalence_range(spark, sf_dir):
+    """Users whose mean value, less its error, does not exceed the least mean with its error."""
+    error = F.stddev_samp("value") / F.sqrt(F.count("*"))
+    curve = values(spark, sf_dir).groupBy(F.col("user_id").cast("double").alias("x")).agg(F.avg("value").alias("fit"), (F.avg("value") - error).alias("lower"), (F.avg("value") + error).alias("upper"), F.count("*").alias("n"))
+    return pipelines.equivalent_range(spectral._checkpointed(curve.where("n > 1")))
+
+
+def _lcor_sql(dy: str, dz: str) -> str:
+    return sql(f"SELECT vertex, round(CASE WHEN sqrt(sum(pow({dy}, 2))) * sqrt(sum(pow({dz}, 2))) > 1e-10 THEN sum({dy} * {dz}) / (sqrt(sum(pow({dy}, 2))) * sqrt(sum(pow({dz}, 2)))) ELSE 0 END, 6) AS lcor FROM near GROUP BY vertex", near=_NEAR)
+
+
+@query(_lcor_sql("dy", "dz"))
+def lcor_unit(spark, sf_dir):
+    b = Base(spark, sf_dir)
+    return resample.local_correlation(b.y, _first_feature(b), b.edges(), "unit").select("vertex", r6("lcor"))
+
+
+@query(_lcor_sql("sign(dy)", "sign(dz)"))
+def lcor_sign(spark, sf_dir):
+    b = Base(spark, sf_dir)
+    return resample.local_correlation(b.y, _first_feature(b), b.edges(), "sign").select("vertex", r6("lcor"))
+
+
+@query(sql("SELECT event_id, round(tanh(value / 40 - 1), 6) AS tanh, round(2 / pi() * atan(value / 40 - 1), 6) AS arctan, round((value / 40 - 1) / sqrt(1 + pow(value / 40 - 1, 2)), 6) AS algebraic FROM vals"))
+def sigmoids(spark, sf_dir):
+    """Bounded slopes onto (-1, 1)."""
+    x = F.col("value") / 40 - 1
+    return values(spark, sf_dir).select("event_id", *[r6(fx.bounded_slope(k, x), k) for k in ("tanh", "arctan", "algebraic")])

@@ -86,6 +86,22 @@ def eta_grid_fit(largest: float, name: str = "heat_kernel", count: int = 40) ->
     return [math.exp(lo + (hi - lo) * (t + 1) / count) for t in range(count)]
 
 
+def eta_grid_fit_of(largest: Column, name: str = "heat_kernel", count: int = 40) -> Column:
+    """The same grid for a column of largest eigenvalues, as an array."""
+    top = -math.log(1e-10) / largest if name in ("heat_kernel", "gaussian", "exponential") else F.lit(1e10)
+    lo = F.lit(math.log(1e-10))
+    return F.transform(F.sequence(F.lit(1), F.lit(count)), lambda t: F.exp(lo + (F.log(top) - lo) * t / count))
+
+
+def eta_grid_refit_of(least: Column, largest: Column, count: int = 40) -> Column:
+    """The refit's grid for columns of the least positive and the largest eigenvalue, as an array."""
+    count = max(5, count)
+    lo, hi = F.log(F.greatest(F.lit(1e-6), 1 / largest)), F.log(1 / least)
+    flat = lambda t: 1e-3 + (1 - 1e-3) * t / (count - 1)
+    known = least.isNotNull() & (least > 1e-12) & (largest > least)
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda t: F.when(known, F.exp(lo + (hi - lo) * t / (count - 1))).otherwise(flat(t)))
+
+
 def eta_grid_refit(eigenvalues: list[float], count: int = 40) -> list[float]:
     """Log-spaced from 1 / largest to 1 / smallest positive eigenvalue."""
     positive = [v for v in eigenvalues if v > 1e-12]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lumenfield.sources.tables import checkpointed
 
+from . import bits
 from .graph import carried, directed, numbered, ranged, running
 
 
@@ -34,8 +37,8 @@ def extremp(y: DataFrame, edges: DataFrame, rho: DataFrame) -> DataFrame:
 def hop_radius(y: DataFrame, edges: DataFrame, rho: DataFrame, p: float = 0.95, max_hop: int = 30, maxima: bool = True) -> DataFrame:
     """(vertex, radius) of strict local extrema: hops up to which at least the share p of the density is beyond them.
 
-    Global extrema get -1, other vertices 0. The frontier of all extrema grows together, a hop a
-    round; an anti-join keeps it from places that were reached, and it ends where no share holds.
+    Global extrema get -1, other vertices 0. The frontiers of all extrema grow together, a hop a round, 64 to a word of bits:
+    a row for each vertex and word that was reached. A frontier ends where its share does not hold.
     """
     sign = 1.0 if maxima else -1.0
     f = checkpointed(y.select("vertex", (F.col("y") * sign).alias("f")).join(rho, "vertex"))
@@ -45,25 +48,34 @@ def hop_radius(y: DataFrame, edges: DataFrame, rho: DataFrame, p: float = 0.95,
     at = f.select(F.col("vertex").alias("nbr"), F.col("f").alias("fn"), F.col("rho").alias("rn"))
     high = d.join(at, "nbr").groupBy("vertex").agg(F.max("fn").alias("hi"))
     kind = f.join(high, "vertex", "left").select("vertex", "f", F.when(F.abs(F.col("f") - best) <= eps, "global").when(F.col("hi").isNull() | (F.col("f") > F.col("hi")), "strict").otherwise("none").alias("kind"))
-    active = kind.where("kind = 'strict'").select(F.col("vertex").alias("source"), F.col("f").alias("fs"))
-    reached = active.select("source", F.col("source").alias("vertex"))
-    frontier, totals = reached, active.select("source", F.lit(0.0).alias("total"), F.lit(0.0).alias("good"))
-    radius = active.select("source", F.lit(0).alias("radius"))
+    kind = checkpointed(kind)
+    source = bits.placed(kind.where("kind = 'strict'").select(F.col("vertex").alias("source"), F.col("f").alias("fs")))
+    # the heights of a word's sources by bit
+    heights = checkpointed(source.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("bit", "fs"))).alias("m")))
+    heights = heights.select("word", F.transform(F.sequence(F.lit(0), F.lit(bits.WIDTH - 1)), lambda k: F.element_at("m", k)).alias("fs"))
+    reached = frontier = bits.started(source)
+    totals = source.select("word", "bit", F.lit(0.0).alias("total"), F.lit(0.0).alias("good"))
+    radius, active = source.select("source", "word", "bit", F.lit(0).alias("radius")), source
     for hop in range(1, max_hop + 1):
-        new = frontier.join(d, "vertex").select("source", F.col("nbr").alias("vertex")).distinct().join(reached, ["source", "vertex"], "left_anti")
-        gain = new.join(f, "vertex").join(active, "source").groupBy("source").agg(F.sum("rho").alias("t"), F.sum(F.when(F.col("fs") > F.col("f"), F.col("rho")).otherwise(0.0)).alias("g"), F.count("*").alias("n"))
+        held = reached.select("vertex", "word", F.col("bits").alias("held"))
+        new = bits.spread(frontier, d).join(held, ["vertex", "word"], "left")
+        new = checkpointed(new.select("vertex", "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("held", F.lit(0).cast("long")))).alias("bits")).where("bits != 0"))
+        seen = new.join(f.select("vertex", F.col("f").alias("limit"), "rho"), "vertex").join(heights, "word")
+        gain = bits.sums(seen, {"t": F.col("rho"), "g": (F.col("rho"), F.col("fs"))}).withColumn("n", F.lit(True))
         # a source whose frontier is used up keeps its share and stops after one more hop that the last share passes
-        state = totals.join(gain, "source", "left").select("source", (F.col("total") + F.coalesce("t", F.lit(0.0))).alias("total"), (F.col("good") + F.coalesce("g", F.lit(0.0))).alias("good"), F.coalesce("n", F.lit(0)).alias("n"))
-        state = state.withColumn("ok", (F.col("total") >= 2.220446049250313e-16) & (F.col("good") / F.col("total") >= p)).checkpoint()
-        radius = radius.join(state.where("ok").select("source", F.lit(hop).alias("now")), "source", "left").select("source", F.coalesce("now", "radius").alias("radius"))
-        go = state.where("ok and n > 0").select("source")
-        if go.isEmpty():
+        state = totals.join(active.select("word", "bit"), ["word", "bit"]).join(gain, ["word", "bit"], "left")
+        state = state.select("word", "bit", (F.col("total") + F.coalesce("t", F.lit(0.0))).alias("total"), (F.col("good") + F.coalesce("g", F.lit(0.0))).alias("good"), F.coalesce("n", F.lit(False)).alias("n"))
+        state = checkpointed(state.withColumn("ok", (F.col("total") >= 2.220446049250313e-16) & (F.col("good") / F.col("total") >= p)))
+        radius = checkpointed(radius.join(state.where("ok").select("word", "bit", F.lit(hop).alias("now")), ["word", "bit"], "left").select("source", "word", "bit", F.coalesce("now", "radius").alias("radius")))
+        active = state.where("ok and n").select("word", "bit")
+        if active.isEmpty():
             break
-        new = new.join(go, "source", "left_semi").checkpoint()
-        reached = reached.join(go, "source", "left_semi").unionByName(new).checkpoint()
-        frontier, totals = new, state.join(go, "source", "left_semi").select("source", "total", "good")
-        active = active.join(go, "source", "left_semi")
-    out = kind.join(radius.withColumnRenamed("source", "vertex"), "vertex", "left")
+        mask = bits.masks(active)
+        only = lambda rows: rows.join(mask, "word").select("vertex", "word", F.col("bits").bitwiseAND(F.col("mask")).alias("bits")).where("bits != 0")
+        frontier = only(new)
+        reached = checkpointed(only(reached.unionByName(new)).groupBy("vertex", "word").agg(F.bit_or("bits").alias("bits")))
+        totals = state.select("word", "bit", "total", "good")
+    out = kind.join(radius.select(F.col("source").alias("vertex"), "radius"), "vertex", "left")
     return out.select("vertex", F.when(F.col("kind") == "global", -1).otherwise(F.coalesce("radius", F.lit(0))).alias("radius"))
 
 
@@ -74,19 +86,24 @@ def coboundary(y: DataFrame, vertex_rho: DataFrame, edge_rho: DataFrame) -> Data
     return e.select("i", "j", "rho", ((F.col("fj") - F.col("fi")) / F.greatest("rho", F.lit(1e-15))).alias("delta"))
 
 
-def coboundary_full(y: DataFrame, vertex_rho: DataFrame, mass: DataFrame, ridge: float = 1e-10) -> DataFrame:
-    """(i, j, delta) with (M1 + ridge I) delta = B1' M0 y for edge masses (i, j, i2, j2, val), off the diagonal too."""
-    from .spectral import solve
+def coboundary_full(y: DataFrame, vertex_rho: DataFrame, mass: DataFrame, ridge: float = 1e-10, rounds: int = 60) -> DataFrame:
+    """(i, j, right, delta) with (M1 + ridge I) delta = right = B1' M0 y for edge masses (i, j, i2, j2, val), off the diagonal too.
+
+    Masses between edges need not make a definite matrix: in neighbour graphs they often exceed the diagonal. A warning tells the
+    residual where the solution is not exact.
+    """
+    from .spectral import least_residual
 
-    edges = numbered(mass.where("i = i2 and j = j2").select("i", "j"), ["i", "j"], "e")
-    edges = checkpointed(edges)
+    edges = checkpointed(numbered(mass.where("i = i2 and j = j2").select("i", "j"), ["i", "j"], "e"))
     f = y.join(vertex_rho, "vertex").select("vertex", (F.greatest("rho", F.lit(1e-15)) * F.col("y")).alias("mf"))
     right = edges.join(f.select(F.col("vertex").alias("i"), F.col("mf").alias("fi")), "i").join(f.select(F.col("vertex").alias("j"), F.col("mf").alias("fj")), "j")
-    right = right.select(F.col("e").alias("vertex"), (F.col("fj") - F.col("fi")).alias("x"))
+    right = checkpointed(right.select("i", "j", F.col("e").alias("vertex"), (F.col("fj") - F.col("fi")).alias("x")))
     second = edges.select(F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("e").alias("e2"))
     matrix = mass.join(edges, ["i", "j"]).join(second, ["i2", "j2"]).groupBy(F.col("e").alias("i"), F.col("e2").alias("j")).agg(F.sum("val").alias("val"))
-    found = solve(checkpointed(matrix), checkpointed(right), ridge, 1.0)
-    return edges.join(found.withColumnRenamed("vertex", "e"), "e").select("i", "j", F.col("x").alias("delta"))
+    found, residual = least_residual(checkpointed(matrix), right.select("vertex", "x"), ridge, rounds=rounds)
+    if residual > 1e-6:
+        warnings.warn(f"the coboundary's equation has a residual of {residual:.3g} of its right side")
+    return right.withColumnRenamed("x", "right").join(found.withColumnRenamed("x", "delta"), "vertex").select("i", "j", "right", "delta")
 
 
 def extremality(y: DataFrame, vertex_rho: DataFrame, edge_rho: DataFrame) -> DataFrame:

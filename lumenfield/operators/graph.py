@@ -2,74 +2,188 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lumenfield.functions import orders
 from lumenfield.sources.tables import checkpointed
 
 #: Rows of a block: a task compares two blocks and keeps k rows for each vertex of the first.
 BLOCK = 2048
 #: Pairs whose differences a task holds at once.
 PAIRS = 1 << 16
+#: Most pivots; they are shipped to every task.
+PIVOTS = 1024
+#: Rows of a list that meet in one task; a vertex near more others than that deals them to blocks.
+LIST = 1024
+
+
+def _vectors(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+    return np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(n, -1)
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All distances, to within rounding."""
+    square = (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T
+    return np.sqrt(np.maximum(square, 0))
+
+
+def _near(ids: np.ndarray, x: np.ndarray, q: np.ndarray, t: np.ndarray, k: int, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vertex, nbr, dist): for each row of ``q`` its k nearest among the rows ``t``, at most ``reach`` away, ties by vertex."""
+    t = t[np.argsort(ids[t], kind="stable")]
+    out_v, out_n, out_d = [], [], []
+    if len(q) and len(t):
+        square = (x[t] ** 2).sum(1)
+        take = min(k, len(t))
+        # no rounding of rough differs by more from the exact square
+        slack = 16 * (x.shape[1] + 8) * np.finfo(np.float64).eps
+        for a in range(0, len(q), 512):
+            some = q[a : a + 512]
+            rough = square - 2 * x[some] @ x[t].T
+            near = np.argpartition(rough, take - 1, axis=1)[:, :take]
+            own = (x[some] ** 2).sum(1)
+            # any k points bound the k-th distance; all points within the bound stay, so no tie is lost
+            bound = ((x[some][:, None] - x[t[near]]) ** 2).sum(2).max(1) - own + slack * (own + square.max())
+            if reach is not None:
+                bound = np.minimum(bound, reach[a : a + 512] ** 2 * (1 + slack) - own + slack * (own + square.max()))
+            row, col = np.nonzero(~(rough > bound[:, None]))
+            if not len(row):
+                continue
+            d = np.concatenate([np.sqrt(((x[some[row[c : c + PAIRS]]] - x[t[col[c : c + PAIRS]]]) ** 2).sum(1)) for c in range(0, len(row), PAIRS)])
+            order = np.lexsort((col, d, row))
+            first = np.searchsorted(row, np.arange(len(some)))
+            keep = np.arange(len(row)) - first[row] < k
+            if reach is not None:
+                keep &= d[order] <= reach[a : a + 512][row[order]]
+            order = order[keep]
+            out_v.append(ids[some[row[order]]])
+            out_n.append(ids[t[col[order]]])
+            out_d.append(d[order])
+    cat = lambda v, kind: np.concatenate(v) if v else np.zeros(0, kind)
+    return cat(out_v, np.int64), cat(out_n, np.int64), cat(out_d, np.float64)
+
+
+def _ranked(near: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("vertex").orderBy("dist", "nbr")
+    return near.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select("vertex", "rank", "nbr", "dist")
 
 
 def knn(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """The k nearest points by Euclidean distance, ties by vertex; itself at rank 0 unless an equal point has a smaller vertex.
 
-    Exact: blocks of points meet pairwise in numpy and hand on k partial neighbours for each
-    vertex, so no pair leaves a task; a window picks the final k. All points as near as the k-th within
-    rounding are compared by sums of squared differences in double precision, however many are equal.
+    Exact, with metric pruning. Points go to the nearest of some pivots, and each pivot's points are cut into blocks by
+    their distance from it. A first pass bounds every point's k-th distance within its own block; by the triangle inequality two
+    blocks meet only if some point of the first may reach into the second's shell, and in a task only the rows that may.
+    Partial neighbours beyond a point's bound never leave a task. All points as near as the k-th within rounding are
+    compared by sums of squared differences in double precision, however many are equal.
     """
-    n = points.count()
-    blocks = max(1, -(-n // block))
-    held = points.select("vertex", "x", F.pmod(F.xxhash64("vertex"), F.lit(blocks)).cast("int").alias("b"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = held.select("vertex", "x", F.col("b").alias("q"), every.alias("t"), F.lit(True).alias("asks"))
-    right = held.select("vertex", "x", every.alias("q"), F.col("b").alias("t"), F.lit(False).alias("asks"))
+    held, shells, pivots = _shells(points.select("vertex", "x"), block)
+    if shells == 1:
+
+        def alone(table: pa.Table) -> pa.Table:
+            ids = table.column("vertex").to_numpy()
+            every = np.arange(len(ids))
+            return pa.table(dict(zip(("vertex", "nbr", "dist"), _near(ids, _vectors(table.column("x"), len(ids)), every, every, k))))
+
+        return _ranked(held.groupBy("b").applyInArrow(alone, "vertex long, nbr long, dist double"), k)
+
+    def bound(table: pa.Table) -> pa.Table:
+        """Each point with the k-th distance within its block, infinite where the block holds fewer."""
+        ids = table.column("vertex").to_numpy()
+        x, every = _vectors(table.column("x"), len(ids)), np.arange(len(ids))
+        v, _, d = _near(ids, x, every, every, k)
+        order = np.lexsort((d, v))
+        sizes = np.unique(v, return_counts=True)[1]
+        last = d[order][np.cumsum(sizes) - 1] if len(ids) >= k else np.full(len(ids), np.inf)
+        at = np.searchsorted(np.sort(ids), ids)
+        return table.append_column("reach", pa.array(last[at]))
+
+    schema = "vertex long, x array<double>, cell int, off double, b long"
+    held = checkpointed(held.select("vertex", "x", "cell", "off", "b").groupBy("b").applyInArrow(bound, schema + ", reach double"))
+    meta = held.groupBy("b", "cell").agg(F.min("off").alias("lo"), F.max("off").alias("hi"), F.max("reach").alias("reach"))
+    meta = checkpointed(meta)
+    between = _distances(pivots, pivots)
+    scale = float(np.abs(pivots).max()) * math.sqrt(pivots.shape[1]) + float(meta.agg(F.max("hi")).first()[0]) if len(pivots) else 0.0
+    slack = 1e-7 * scale
+    cells = meta.groupBy("cell").agg(F.max("hi").alias("hi"), F.max("reach").alias("reach")).collect()  # at most PIVOTS rows
+    meet = [(c.cell, e.cell, float(between[c.cell, e.cell])) for c in cells for e in cells if between[c.cell, e.cell] - c.hi - e.hi <= c.reach + slack]
+    pairs = meta.sparkSession.createDataFrame(meet, "cell int, other int, d double")
+    theirs = meta.select(F.col("cell").alias("other"), F.col("b").alias("t"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = meta.join(pairs, "cell").join(theirs, "other")
+    # a point of the first block lies between d - hi and d + hi from the second's pivot, and the other way round
+    least = F.greatest(F.col("d") - F.col("hi") - F.col("hi2"), F.col("lo2") - F.col("d") - F.col("hi"), F.col("lo") - F.col("d") - F.col("hi2"))
+    pairs = checkpointed(pairs.where(least <= F.col("reach") + slack).select(F.col("b").alias("q"), "t", F.col("other").alias("cell2"), "lo2", "hi2"))
+    left = pairs.join(held.select(F.col("b").alias("q"), "vertex", "x", "off", "reach"), "q").select("q", "t", "cell2", "lo2", "hi2", "vertex", "x", "reach", F.lit(True).alias("asks"))
+    right = pairs.join(held.select(F.col("b").alias("t"), "vertex", "x", "reach"), "t").select("q", "t", "cell2", "lo2", "hi2", "vertex", "x", "reach", F.lit(False).alias("asks"))
 
     def compare(table: pa.Table) -> pa.Table:
         ask = table.column("asks").to_numpy(zero_copy_only=False)
         ids = table.column("vertex").to_numpy()
-        x = np.array(table.column("x").to_pylist(), np.float64).reshape(len(ids), -1)
+        x = _vectors(table.column("x"), len(ids))
         q, t = np.flatnonzero(ask), np.flatnonzero(~ask)
-        t = t[np.argsort(ids[t], kind="stable")]
-        out_v, out_n, out_d = [], [], []
-        if len(q) and len(t):
-            square = (x[t] ** 2).sum(1)
-            take = min(k, len(t))
-            # no rounding of rough differs by more from the exact square
-            slack = 16 * (x.shape[1] + 8) * np.finfo(np.float64).eps
-            for a in range(0, len(q), 512):
-                some = q[a : a + 512]
-                rough = square - 2 * x[some] @ x[t].T
-                near = np.argpartition(rough, take - 1, axis=1)[:, :take]
-                own = (x[some] ** 2).sum(1)
-                # any k points bound the k-th distance; all points within the bound stay, so no tie is lost
-                bound = ((x[some][:, None] - x[t[near]]) ** 2).sum(2).max(1) - own + slack * (own + square.max())
-                row, col = np.nonzero(~(rough > bound[:, None]))
-                d = np.concatenate([np.sqrt(((x[some[row[c : c + PAIRS]]] - x[t[col[c : c + PAIRS]]]) ** 2).sum(1)) for c in range(0, len(row), PAIRS)])
-                order = np.lexsort((col, d, row))
-                first = np.searchsorted(row, np.arange(len(some)))
-                order = order[np.arange(len(row)) - first[row] < k]
-                out_v.append(ids[some[row[order]]])
-                out_n.append(ids[t[col[order]]])
-                out_d.append(d[order])
-        cat = lambda v, kind: np.concatenate(v) if v else np.zeros(0, kind)
-        return pa.table({"vertex": pa.array(cat(out_v, np.int64)), "nbr": pa.array(cat(out_n, np.int64)), "dist": pa.array(cat(out_d, np.float64))})
+        reach = table.column("reach").to_numpy()[q]
+        if len(q):
+            cell, lo, hi = (table.column(c)[0].as_py() for c in ("cell2", "lo2", "hi2"))
+            far = _distances(x[q], pivots[cell : cell + 1])[:, 0]
+            may = np.maximum(far - hi, lo - far) <= reach + slack
+            q, reach = q[may], reach[may]
+        return pa.table(dict(zip(("vertex", "nbr", "dist"), _near(ids, x, q, t, k, reach))))
 
     near = left.unionByName(right).groupBy("q", "t").applyInArrow(compare, "vertex long, nbr long, dist double")
-    w = Window.partitionBy("vertex").orderBy("dist", "nbr")
-    return near.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select("vertex", "rank", "nbr", "dist")
+    return _ranked(near, k)
 
 
-def iknn(neighbours: DataFrame) -> DataFrame:
+def _shells(points: DataFrame, block: int) -> tuple[DataFrame, int, np.ndarray]:
+    """(points with cell, off and b; number of blocks; pivots): blocks of at most ``block`` points between two distances from a pivot."""
+    n = points.count()
+    if n <= block:
+        return points.select("vertex", "x", F.lit(0).cast("long").alias("b")), 1, np.zeros((0, 0))
+    chosen = points.orderBy(F.xxhash64("vertex", F.lit("pivot")), "vertex").limit(min(PIVOTS, -(-n // block))).select("x").collect()
+    pivots = np.unique(np.array([r.x for r in chosen], np.float64), axis=0)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = _distances(_vectors(batch.column("x"), batch.num_rows), pivots)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1))], ["vertex", "x", "cell", "off"])
+
+    placed = checkpointed(points.mapInArrow(assign, "vertex long, x array<double>, cell int, off double"))
+    order = numbered(placed.select("vertex", "cell", "off"), ["cell", "off", "vertex"], "r")
+    order = checkpointed(order)
+    cells = order.groupBy("cell").agg(F.min("r").alias("first"), F.count("*").alias("m"))  # at most PIVOTS rows
+    # shells of equal numbers of points, so that none is too small to bound a distance
+    shells = F.ceil(F.col("m") / block)
+    shell = F.floor((F.col("r") - F.col("first")) * shells / F.col("m")).cast("long")
+    b = order.join(F.broadcast(cells), "cell").select("vertex", (F.col("cell") * F.lit(1 << 40) + shell).alias("b"))
+    out = checkpointed(placed.join(b, "vertex"))
+    return out, 2, pivots
+
+
+def iknn(neighbours: DataFrame, size: int = LIST) -> DataFrame:
     """Shared-neighbour graph: isize common neighbours, length of the shortest way through one."""
-    a = neighbours.select(F.col("vertex").alias("i"), "nbr", F.col("dist").alias("di"))
-    b = neighbours.select(F.col("vertex").alias("j"), "nbr", F.col("dist").alias("dj"))
-    return a.join(b, "nbr").where("i < j").groupBy("i", "j").agg(F.count("*").alias("isize"), F.min(F.col("di") + F.col("dj")).alias("length"))
+    return shared(neighbours.select("vertex", "nbr", "dist"), [], size)
+
+
+def shared(rows: DataFrame, by: list[str], size: int = LIST) -> DataFrame:
+    """(by..., i, j, isize, length) of vertices that have neighbours in common, for rows (by..., vertex, nbr, dist).
+
+    The list of those that a vertex is near to meets itself. A longer list than ``size`` is dealt to blocks, and any two of its
+    blocks meet in a task of their own, so no task holds more than two blocks however near a vertex is to all.
+    """
+    key = [*by, "nbr"]
+    long = rows.groupBy(*key).agg(F.count("*").alias("m")).where(F.col("m") > size).select(*key, F.ceil(F.col("m") / size).cast("int").alias("blocks"))
+    dealt = rows.join(long, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    place = [F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")]
+    a = dealt.select(*key, *place, F.col("vertex").alias("i"), F.col("dist").alias("di"), F.col("own").alias("oi"))
+    b = dealt.select(*key, *place, F.col("vertex").alias("j"), F.col("dist").alias("dj"), F.col("own").alias("oj"))
+    # rows of one block meet where it meets itself, rows of two where these meet
+    pairs = a.join(b, [*key, "p", "q"]).where("i < j and (oi != oj or p = q)")
+    return pairs.groupBy(*by, "i", "j").agg(F.count("*").alias("isize"), F.min(F.col("di") + F.col("dj")).alias("length"))
 
 
 def directed(edges: DataFrame, *columns) -> DataFrame:
@@ -177,10 +291,18 @@ def edge_list(edges: DataFrame) -> DataFrame:
 
 
 def triangles(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """(v0, v1, v2, isize): mutually adjacent vertices whose neighbour sets have a common member."""
-    e = edges.select("i", "j")
-    three = e.select(F.col("i").alias("v0"), F.col("j").alias("v1")).join(e.select(F.col("i").alias("v1"), F.col("j").alias("v2")), "v1")
-    three = three.join(e.select(F.col("i").alias("v0"), F.col("j").alias("v2")), ["v0", "v2"])
+    """(v0, v1, v2, isize): mutually adjacent vertices whose neighbour sets have a common member.
+
+    Edges point from the end of smaller degree to the other, so that a vertex has at most as many ways out as the square
+    root of twice the edges; pairs of ways out of one vertex are closed by a third edge.
+    """
+    degree = directed(edges).groupBy("vertex").agg(F.count("*").alias("d"))
+    ends = edges.select("i", "j").join(degree.select(F.col("vertex").alias("i"), F.col("d").alias("di")), "i").join(degree.select(F.col("vertex").alias("j"), F.col("d").alias("dj")), "j")
+    ahead = (F.col("di") < F.col("dj")) | ((F.col("di") == F.col("dj")) & (F.col("i") < F.col("j")))
+    out = ends.select(F.when(ahead, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(ahead, F.col("j")).otherwise(F.col("i")).alias("b"))
+    wedges = out.join(out.select("a", F.col("b").alias("c")), "a").where("b < c")
+    three = wedges.join(edges.select(F.col("i").alias("b"), F.col("j").alias("c")), ["b", "c"])
+    three = three.select(F.array_sort(F.array("a", "b", "c")).alias("v")).select(*[F.col("v")[k].alias(f"v{k}") for k in range(3)])
     for v in ("v0", "v1", "v2"):
         three = three.join(sets.select(F.col("vertex").alias(v), "member"), [v] if v == "v0" else [v, "member"])
     return three.groupBy("v0", "v1", "v2").agg(F.count("*").alias("isize"))
@@ -238,7 +360,7 @@ def prune_long_ways(edges: DataFrame, delta: float = 0.1, percentile: float = 0.
         return edges
     long = edges
     if percentile > 0:
-        long = edges.where(F.col("length") > edges.agg(F.percentile("length", percentile)).scalar())
+        long = edges.where(F.col("length") > orders.quantiles(edges, "length", [percentile])[0])
     d = checkpointed(directed(edges, F.col("length").alias("step")).withColumnRenamed("vertex", "at"))
     best = checkpointed(long.select("i", "j", "length", F.col("i").alias("at"), F.lit(0.0).alias("way")))
     frontier, gone = best, None
@@ -263,7 +385,7 @@ def prune_longest(vertices: DataFrame, edges: DataFrame, share: float) -> DataFr
     """
     if not 0 <= share <= 0.5:
         raise ValueError("share must lie in [0, 0.5]")
-    cut = edges.agg(F.percentile("length", 1 - share)).scalar()
+    cut = F.lit(orders.quantiles(edges, "length", [1 - share])[0]).cast("double")
     short, long = edges.where(F.col("length") <= cut), edges.where(F.col("length") > cut)
     labels = components(vertices, short)
     place = lambda of, end, name: of.select(F.col("vertex").alias(end), F.col("component").alias(name))

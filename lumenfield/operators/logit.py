@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 RIDGE, TOLERANCE, ROUNDS, BOUND = 0.002, 1e-8, 100, 100.0
+#: Half the decrease in deviance that a further step would bring, for fits that have settled.
+SETTLED = 1e-12
 
 
 def newton_step(rows: DataFrame, b0: float, b1: float, ridge: float = RIDGE) -> DataFrame:
@@ -169,22 +172,24 @@ def iwls(rows: DataFrame, by: str, quadratic: bool = False, ridge: float = 0.0)
         b = np.zeros(design.shape[1])
         m = np.clip((w * y).sum() / w.sum(), bound, 1 - bound)
         b[0] = np.log(m / (1 - m))
-        prob = lambda b: np.clip(1 / (1 + np.exp(-np.clip(design @ b, -700, 700))), bound, 1 - bound)
-        deviance = lambda p: float(-2 * (w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
-        p = prob(b)
-        last = deviance(p)
-        eye = 1e-12 * np.eye(len(b))
+        curve = lambda b: 1 / (1 + np.exp(-np.clip(design @ b, -700, 700)))
+        deviance = lambda b: float(2 * (w * (np.logaddexp(0, design @ b) - y * (design @ b))).sum())
+        last, settled = deviance(b), False
         for _ in range(ROUNDS):
-            v = w * p * (1 - p)
-            move = np.linalg.solve((design * v[:, None]).T @ design + eye, design.T @ (w * (y - p)))
+            p = curve(b)
+            g = design.T @ (w * (y - p))
+            move = np.linalg.solve((design * (w * p * (1 - p))[:, None]).T @ design + 1e-12 * np.eye(len(b)), g)
+            if g @ move < SETTLED:
+                settled = True
+                break
             size = 1.0
-            while size > 1e-6 and deviance(prob(b + size * move)) > last + 1e-12:
+            while size > 1e-6 and deviance(b + size * move) > last + 1e-12:
                 size /= 2
-            b, p = b + size * move, prob(b + size * move)
-            now = deviance(p)
-            if abs(last - now) < 1e-8:
-                break
-            last = now
+            b = b + size * move
+            last = deviance(b)
+        if not settled:
+            warnings.warn(f"a fit has not settled after {ROUNDS} rounds")
+        p = np.clip(curve(b), bound, 1 - bound)
         v = w * p * (1 - p)
         inverse = np.linalg.inv((design * v[:, None]).T @ design + (ridge + 1e-12) * np.eye(len(b)))
         hat = v * np.einsum("ij,jk,ik->i", design, inverse, design)
@@ -200,7 +205,8 @@ def iwls_table(rows: DataFrame, quadratic: bool = False, ridge: float = 0.0) ->
     """(rows with prediction, loo_brier and loo_deviance; coefficients at the centred x) for one fit over a table of any size.
 
     The same fit as ``iwls``: each look at the deviance, its gradient and its Hessian is one aggregation,
-    and left-out fits follow from the hat matrix row by row.
+    and left-out fits follow from the hat matrix row by row. Predictions are kept off 0 and 1 by their bound, the fit's
+    equations are not; a fit that does not settle within ROUNDS, as one of separated responses, warns.
     """
     n, sw, swx, swy = rows.agg(F.count("*"), F.sum("w"), F.sum(F.col("w") * F.col("x")), F.sum(F.col("w") * F.col("y"))).first()
     c = F.col("x") - swx / sw
@@ -218,9 +224,12 @@ def iwls_table(rows: DataFrame, quadratic: bool = False, ridge: float = 0.0) ->
         return F.least(F.greatest(1 / (1 + F.exp(-F.least(F.greatest(eta, F.lit(-700.0)), F.lit(700.0)))), F.lit(bound)), F.lit(1 - bound))
 
     def look(b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        p = prob(linear(b))
+        """Deviance, gradient and Hessian with probabilities as they are: bounds would bend the equations of the fit."""
+        eta = linear(b)
+        p = 1 / (1 + F.exp(-F.least(F.greatest(eta, F.lit(-700.0)), F.lit(700.0))))
+        deviance = 2 * w * (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta))) - y * eta)
         pairs = [(i, j) for i in range(d) for j in range(i, d)]
-        got = rows.agg(F.sum(-2 * w * (y * F.log(p) + (1 - y) * F.log(1 - p))), *[F.sum(w * (y - p) * x) for x in design], *[F.sum(w * p * (1 - p) * design[i] * design[j]) for i, j in pairs]).first()
+        got = rows.agg(F.sum(deviance), *[F.sum(w * (y - p) * x) for x in design], *[F.sum(w * p * (1 - p) * design[i] * design[j]) for i, j in pairs]).first()
         h = np.zeros((d, d))
         for (i, j), v in zip(pairs, got[1 + d :]):
             h[i, j] = h[j, i] = v
@@ -232,14 +241,15 @@ def iwls_table(rows: DataFrame, quadratic: bool = False, ridge: float = 0.0) ->
     last, g, h = look(b)
     for _ in range(ROUNDS):
         move, size = np.linalg.solve(h + 1e-12 * np.eye(d), g), 1.0
+        if g @ move < SETTLED:
+            break
         now = look(b + move)
         while size > 1e-6 and now[0] > last + 1e-12:
             size /= 2
             now = look(b + size * move)
-        b, before = b + size * move, last
-        last, g, h = now
-        if abs(before - last) < 1e-8:
-            break
+        b, (last, g, h) = b + size * move, now
+    else:
+        warnings.warn(f"the fit has not settled after {ROUNDS} rounds")
     inverse = np.linalg.inv(h + (ridge + 1e-12) * np.eye(d))
     p = F.col("prediction")
     v = w * p * (1 - p)

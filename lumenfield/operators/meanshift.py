@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lumenfield.functions import orders
 from lumenfield.functions.columns import kernel
 
 from . import graph
@@ -73,7 +74,7 @@ def step(points: DataFrame, weights: DataFrame, size: float = 0.1, average: bool
 
 def median_kdistance(points: DataFrame, k: int) -> float:
     """Median distance to the k-th neighbour, the point itself counting as the first."""
-    return graph.knn(points, k).where(F.col("rank") == k - 1).agg(F.median("dist")).first()[0]
+    return orders.median(graph.knn(points, k).where(F.col("rank") == k - 1), "dist")
 
 
 def smooth(
@@ -107,3 +108,15 @@ def smooth(
         out = out.unionByName(now.withColumn("step", F.lit(t)))
         medians.append(median_kdistance(now, density_k))
     return out, medians
+
+
+def chosen_step(medians: list[float]) -> int:
+    """The step whose median k-distance is least, the start left out; the first on ties, and the start if there is no other."""
+    return min(range(1, len(medians)), key=lambda t: (medians[t], t)) if len(medians) > 1 else 0
+
+
+def denoised(points: DataFrame, **options) -> tuple[DataFrame, int]:
+    """(points (vertex, x) at the chosen step, that step) of a trajectory by ``smooth``."""
+    path, medians = smooth(points, **options)
+    step = chosen_step(medians)
+    return path.where(F.col("step") == step).select("vertex", "x"), step

@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from lumenfield.functions.orders import order_statistic
+from lumenfield.functions.orders import at_ranks, order_statistic
+from lumenfield.sources.tables import checkpointed
 
 from .graph import directed, intersection
 
@@ -191,6 +192,37 @@ def response_modulation(edge_rho: DataFrame, y: DataFrame, gamma: float) -> Data
     return d.select("i", "j", (F.col("raw") * ((t[0] / t[1]) if t[1] else 1.0)).alias("rho"))
 
 
+def triangle_modulation(mass: DataFrame, tri: DataFrame, y: DataFrame, gamma: float) -> DataFrame:
+    """(i, j, i2, j2, val): edge masses lowered where the response changes, on the diagonal and off it, total kept.
+
+    The diagonal is scaled by (1 + (dy / s1)^2)^-gamma of the edge's change, and an entry between two edges by the same of the
+    largest change within a triangle that holds both, over s2. Each s is the quartile range, by order statistics, of all
+    edges' or all triangles' changes, at least 1e-10. For masses (i, j, i2, j2, val) and triangles (v0, v1, v2).
+    """
+    at = lambda v, name: y.select(F.col("vertex").alias(v), F.col("y").alias(name))
+
+    def spread(rows: DataFrame) -> float:
+        q1, q3 = at_ranks(rows, "d", lambda n: [n // 4, 3 * n // 4])
+        return max(q3 - q1, 1e-10) if q1 is not None else 1e-10
+
+    own = mass.where("i = i2 and j = j2").join(at("i", "yi"), "i").join(at("j", "yj"), "j").select("i", "j", "i2", "j2", "val", F.abs(F.col("yi") - F.col("yj")).alias("d"))
+    own = checkpointed(own)
+    three = tri.select("v0", "v1", "v2").join(at("v0", "y0"), "v0").join(at("v1", "y1"), "v1").join(at("v2", "y2"), "v2")
+    three = checkpointed(three.select("v0", "v1", "v2", (F.greatest("y0", "y1", "y2") - F.least("y0", "y1", "y2")).alias("d")))
+    s1, s2 = spread(own), spread(three)
+    edge = lambda a, b: F.struct(F.col(a).alias("i"), F.col(b).alias("j"))
+    ab, ac, bc = edge("v0", "v1"), edge("v0", "v2"), edge("v1", "v2")
+    pairs = F.explode(F.array(*[F.struct(p.alias("p"), q.alias("q")) for p, q in ((ab, ac), (ab, bc), (ac, bc), (ac, ab), (bc, ab), (bc, ac))])).alias("e")
+    most = three.select("d", pairs).select(F.col("e.p.i").alias("i"), F.col("e.p.j").alias("j"), F.col("e.q.i").alias("i2"), F.col("e.q.j").alias("j2"), "d").groupBy("i", "j", "i2", "j2").agg(F.max("d").alias("d"))
+    lowered = lambda s: F.pow(1 + F.pow(F.col("d") / F.lit(s), 2), F.lit(-float(gamma)))
+    off = mass.where("i != i2 or j != j2").join(most, ["i", "j", "i2", "j2"], "left").select("i", "j", "i2", "j2", F.col("val").alias("old"), (F.col("val") * F.coalesce(lowered(s2), F.lit(1.0))).alias("val"))
+    rows = checkpointed(own.select("i", "j", "i2", "j2", F.col("val").alias("old"), (F.col("val") * lowered(s1)).alias("val")).unionByName(off))
+    before, after = rows.agg(F.sum("old"), F.sum("val")).first()
+    if after is not None and not after > 1e-15:
+        raise ValueError(f"gamma {gamma} leaves no mass: choose a smaller one")
+    return rows.select("i", "j", "i2", "j2", (F.col("val") * ((before / after) if after else 1.0)).alias("val"))
+
+
 def least_length_density(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(vertex, y): one over the shortest incident edge; an isolated vertex is an error."""
     near = directed(edges.where("length > 0"), "length").groupBy("vertex").agg(F.min("length").alias("l"))

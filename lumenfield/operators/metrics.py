@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from lumenfield.functions import orders
+
 TINY = 2.220446049250313e-16
 
 
@@ -22,8 +24,9 @@ def recovery(rows: DataFrame) -> DataFrame:
 
 def column_scales(rows: DataFrame, column: str, value: str) -> DataFrame:
     """(column, scale): 1.4826 MAD, or the standard deviation where that vanishes, or 1."""
-    med = rows.groupBy(column).agg(F.median(value).alias("m"), F.stddev_samp(value).alias("sd"))
-    mad = rows.join(med, column).groupBy(column).agg((1.4826 * F.median(F.abs(F.col(value) - F.col("m")))).alias("mad"), F.first("sd").alias("sd"))
+    med = orders.by_group(rows, column, value, 0.5, "m").join(rows.groupBy(column).agg(F.stddev_samp(value).alias("sd")), column)
+    far = rows.join(med, column).withColumn("far", F.abs(F.col(value) - F.col("m")))
+    mad = orders.by_group(far, column, "far", 0.5, "mad").select(column, (1.4826 * F.col("mad")).alias("mad")).join(med.select(column, "sd"), column)
     small = float(np.sqrt(TINY))
     return mad.select(column, F.when(F.col("mad") > small, F.col("mad")).when(F.col("sd") > small, F.col("sd")).otherwise(1.0).alias("scale"))
 

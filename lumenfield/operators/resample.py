@@ -45,32 +45,42 @@ def permuted(y: DataFrame, b: int, seed: int = 1, subjects: DataFrame | None = N
     return subjects.join(draws, subjects.subject == draws.unit).select("vertex", "col", "y")
 
 
-STATISTICS = ("l2", "l1", "max", "log", "logit")
+STATISTICS = ("l2", "l1", "lp", "max", "log", "logit")
 
 
-def global_statistics(fitted: DataFrame, mean: float, n: int, by: list[str]) -> DataFrame:
-    """Distances of fitted values from the mean response, for each draw."""
+def global_statistics(fitted: DataFrame, mean: float, n: int, by: list[str], exponent: float = 2.0) -> DataFrame:
+    """Distances of fitted values from the mean response, for each draw: sums of squares, of absolute values and of their
+    powers, the largest, and sums of squares on the scales of logarithms and logits."""
     d = F.abs(F.col("y_hat") - mean)
     p, q = clip_open(F.col("y_hat"), n), clip_open(F.lit(mean), n)
-    log = F.abs(F.log(p) - F.log(q))
-    logit = F.abs(F.log(p / (1 - p)) - F.log(q / (1 - q)))
-    return fitted.groupBy(*by).agg(F.sqrt(F.sum(d * d)).alias("l2"), F.sum(d).alias("l1"), F.max(d).alias("max"), F.sum(log).alias("log"), F.sum(logit).alias("logit"))
+    log = F.log(p) - F.log(q)
+    logit = F.log(p / (1 - p)) - F.log(q / (1 - q))
+    sums = {"l2": F.sum(d * d), "l1": F.sum(d), "lp": F.sum(F.pow(d, F.lit(float(exponent)))), "max": F.max(d), "log": F.sum(log * log), "logit": F.sum(logit * logit)}
+    return fitted.groupBy(*by).agg(*[v.alias(k) for k, v in sums.items()])
 
 
-def p_values(own: DataFrame, draws: DataFrame, mean: float, b: int) -> DataFrame:
-    """(vertex, p_value): share of the draws (vertex, col, y_hat) at least as far from the mean as own (vertex, y_hat)."""
+def p_values(own: DataFrame, draws: DataFrame, mean: float, b: int, two_sided: bool = True) -> DataFrame:
+    """(vertex, p_value): share of the draws (vertex, col, y_hat) at least as far from the mean as own (vertex, y_hat), or at least as high."""
     far = draws.join(own.select("vertex", F.col("y_hat").alias("own")), "vertex")
-    return far.groupBy("vertex").agg(((1 + F.count_if(F.abs(F.col("y_hat") - mean) >= F.abs(F.col("own") - mean))) / (b + 1)).alias("p_value"))
+    size = (lambda c: F.abs(F.col(c) - mean)) if two_sided else (lambda c: F.col(c))
+    return far.groupBy("vertex").agg(((1 + F.count_if(size("y_hat") >= size("own"))) / (b + 1)).alias("p_value"))
 
 
-def permutation_test(model: Fit, y: DataFrame, b: int = 99, seed: int = 1, subjects: DataFrame | None = None, per_column: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(global, vertices): p values (1 + draws at least as far) / (b + 1), overall and by vertex with BH adjustment."""
+def permutation_test(
+    model: Fit, y: DataFrame, b: int = 99, seed: int = 1, subjects: DataFrame | None = None, per_column: bool = True, two_sided: bool = True, exponent: float = 2.0
+) -> tuple[DataFrame, DataFrame]:
+    """(global, vertices): p values (1 + draws at least as far) / (b + 1), overall and by vertex with BH adjustment.
+
+    One-sided p values of vertices are of the upper tail. ``exponent`` is the power of the statistic lp.
+    """
+    if exponent <= 0:
+        raise ValueError("the exponent must be positive")
     n, mean = y.agg(F.count("*"), F.avg("y")).first()
     fitted, _ = refit(model, permuted(y, b, seed, subjects), per_column)
-    draws = global_statistics(fitted, mean, n, ["col"])
-    seen = global_statistics(model.fitted.withColumn("one", F.lit(1)), mean, n, ["one"]).first()
+    draws = global_statistics(fitted, mean, n, ["col"], exponent)
+    seen = global_statistics(model.fitted.withColumn("one", F.lit(1)), mean, n, ["one"], exponent).first()
     overall = draws.agg(*[((1 + F.count_if(F.col(s) >= float(seen[s]))) / (b + 1)).alias(s) for s in STATISTICS])
-    return overall, bh_adjust(p_values(model.fitted, fitted, mean, b))
+    return overall, bh_adjust(p_values(model.fitted, fitted, mean, b, two_sided))
 
 
 def dirichlet(y: DataFrame, b: int, seed: int = 1) -> DataFrame:
@@ -90,11 +100,6 @@ def intervals(draws: DataFrame, mean: float, level: float = 0.95) -> DataFrame:
     )
 
 
-def bootstrap(model: Fit, y: DataFrame, b: int = 99, seed: int = 1, level: float = 0.95, per_column: bool = False) -> DataFrame:
-    """(vertex, lower, upper, sd, p_above, pseudo_p) under Dirichlet weights: responses n w y are refitted."""
-    return intervals(refit(model, dirichlet(y, b, seed), per_column)[0], y.agg(F.avg("y")).first()[0], level)
-
-
 def posterior(model: Fit, y: DataFrame, b: int = 200, seed: int = 1, level: float = 0.95) -> DataFrame:
     """(vertex, lower, upper, sd): modes are normal around f V'y with variance s^2 / (1 + eta lambda).
 

@@ -241,6 +241,28 @@ def diffusion_parameters(gap: float, t_scale: float = 0.5, beta_scale: float = 0
     return t, max(1e-4, beta_scale / t)
 
 
+def diffusion_columns(gap: Column, t_scale: float = 0.5, beta_scale: float = 0.1) -> tuple[Column, Column]:
+    """(t, beta) of a column of spectral gaps."""
+    t = F.least(F.lit(20.0), t_scale / F.greatest(gap, F.lit(0.01)))
+    return t, F.greatest(F.lit(1e-4), beta_scale / t)
+
+
+def zero_modes(lap: DataFrame, root: DataFrame, tolerance: float = 1e-10) -> int:
+    """How often zero is an eigenvalue of a mass-symmetrised Laplacian, for the square roots (vertex, x) of its masses.
+
+    The root of the masses, on one connected component and zero elsewhere, is a null vector; components are found by their
+    labels, and a product says for each whether the operator really takes it to zero. Others add no null vector.
+    """
+    from .graph import components
+
+    vertices = lap.select(F.col("i").alias("vertex")).distinct()
+    labels = _checkpointed(components(vertices, lap.where("i < j and val != 0").select("i", "j")))
+    size = lap.agg(F.max(F.abs("val"))).first()[0] or 0.0
+    off = multiply(lap, root).join(labels, "vertex").join(root.withColumnRenamed("x", "own"), "vertex")
+    per = off.groupBy("component").agg(F.sqrt(F.sum(F.col("x") * F.col("x")) / F.sum(F.col("own") * F.col("own"))).alias("r"))
+    return per.where(F.col("r") <= tolerance * max(size, 1.0)).count()
+
+
 def solve(lap: DataFrame, b: DataFrame, a: float, t: float, tolerance: float = 1e-8, rounds: int = 2000) -> DataFrame:
     """(vertex, x) with (a I + t L) x = b for b (vertex, x).
 
@@ -276,6 +298,51 @@ def solve(lap: DataFrame, b: DataFrame, a: float, t: float, tolerance: float = 1
     return state.select("vertex", F.col("z").alias("x"))
 
 
+#: Up to so many unknowns a symmetric system that need not be definite is solved by elimination.
+ELIMINATED = 8192
+
+
+def least_residual(lap: DataFrame, b: DataFrame, a: float, tolerance: float = 1e-8, rounds: int = 60) -> tuple[DataFrame, float]:
+    """((vertex, x), relative residual) for (a I + L) x = b with L symmetric, definite or not.
+
+    Elimination up to ELIMINATED unknowns. Beyond, Lanczos steps by join products keep the x of least residual among all that
+    so many steps reach; the residual tells how far that is, as indefinite systems may need as many steps as unknowns.
+    """
+    if b.count() <= ELIMINATED:
+        got = b.toArrow()
+        at, right = (got.column(c).to_numpy() for c in ("vertex", "x"))
+        order = np.argsort(at)
+        ids, matrix = dense(lap)
+        full = a * np.eye(len(at))
+        spot = np.searchsorted(at[order], ids)
+        full[np.ix_(spot, spot)] += matrix
+        x = np.linalg.solve(full, right[order])
+        size = float(np.linalg.norm(right)) or 1.0
+        return b.sparkSession.createDataFrame([(int(i), float(v)) for i, v in zip(at[order], x)], "vertex long, x double"), float(np.linalg.norm(full @ x - right[order])) / size
+    size = math.sqrt(b.agg(F.sum(F.col("x") * F.col("x"))).first()[0] or 0.0)
+    nought = F.lit(0.0)
+    state = _checkpointed(b.select("vertex", (F.col("x") / (size or 1.0)).alias("v"), nought.alias("v0"), nought.alias("w"), nought.alias("w0"), nought.alias("z")))
+    if not size:
+        return state.select("vertex", F.col("z").alias("x")), 0.0
+    eta, beta, c, c0, s, s0 = size, 0.0, 1.0, 1.0, 0.0, 0.0
+    for _ in range(rounds):
+        product = multiply(lap, state.select("vertex", F.col("v").alias("x")))
+        both = _checkpointed(state.join(product, "vertex", "left").withColumn("p", a * F.col("v") + F.coalesce("x", nought) - beta * F.col("v0")).drop("x"))
+        alpha, pp = both.agg(F.sum(F.col("p") * F.col("v")), F.sum(F.col("p") * F.col("p"))).first()
+        after = math.sqrt(max(pp - alpha * alpha, 0.0))
+        # rotations make the projected matrix triangular
+        d = c * alpha - c0 * s * beta
+        r1, r2, r3 = math.hypot(d, after), s * alpha + c0 * c * beta, s0 * beta
+        c0, s0, c, s = c, s, d / r1, after / r1
+        w = (F.col("v") - r3 * F.col("w0") - r2 * F.col("w")) / r1
+        moved = both.withColumn("now", w)
+        state = moved.select("vertex", ((F.col("p") - alpha * F.col("v")) / (after or 1.0)).alias("v"), F.col("v").alias("v0"), F.col("now").alias("w"), F.col("w").alias("w0"), (F.col("z") + c * eta * F.col("now")).alias("z"))
+        eta, beta = -s * eta, after
+        if abs(eta) <= tolerance * size or not after:
+            break
+    return _checkpointed(state.select("vertex", F.col("z").alias("x"))), abs(eta) / size
+
+
 def diffuse(lap: DataFrame, rho: DataFrame, t: float, beta: float) -> DataFrame:
     """(vertex, rho) with ((1 + t beta) I + t L) rho' = rho + t beta, clipped, scaled to n and floored."""
     from .measures import normalised

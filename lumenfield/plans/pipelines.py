@@ -7,9 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from lumenfield.functions.columns import bounded_slope, box_cox, power, uniform
+from lumenfield.functions.columns import box_cox, power, uniform
+from lumenfield.functions import orders
 from lumenfield.functions.orders import winsorize
-from lumenfield.operators import extrema, graph, measures, resample, spectral
+from lumenfield.operators import bits, extrema, graph, measures, resample, spectral
 from lumenfield.operators import metrics
 from lumenfield.operators.metrics import pca
 from lumenfield.plans import fit as plans
@@ -19,9 +20,7 @@ from lumenfield.sources import tables
 def k_sweep_edges(neighbours: DataFrame, ks: list[int]) -> DataFrame:
     """(k, i, j, isize, length): the graph of every k from one neighbour table; k others and the vertex itself."""
     near = neighbours.select(F.explode(F.array(*map(F.lit, ks))).alias("k"), "vertex", "rank", "nbr", "dist").where("rank <= k")
-    a = near.select("k", F.col("vertex").alias("i"), "nbr", F.col("dist").alias("di"))
-    b = near.select("k", F.col("vertex").alias("j"), "nbr", F.col("dist").alias("dj"))
-    return a.join(b, ["k", "nbr"]).where("i < j").groupBy("k", "i", "j").agg(F.count("*").alias("isize"), F.min(F.col("di") + F.col("dj")).alias("length"))
+    return graph.shared(near.select("k", "vertex", "nbr", "dist"), ["k"])
 
 
 def select_k(rows: DataFrame, wanted: int | None = None, candidates: list[int] | None = None) -> DataFrame:
@@ -92,10 +91,10 @@ def break_ties(y: DataFrame, scale: float = 1e-10, seed: int = 123) -> DataFrame
 
 def robust_z(rows: DataFrame, by: str, value: str, least: int = 5) -> DataFrame:
     """rows with z: distance from the group's median in units of 1.4826 MAD; groups without spread go."""
-    med = rows.groupBy(by).agg(F.median(value).alias("_m"), F.count("*").alias("_c"))
-    near = rows.join(med.where(F.col("_c") >= least), by)
-    mad = near.groupBy(by).agg((1.4826 * F.median(F.abs(F.col(value) - F.col("_m")))).alias("_d")).where("_d > 0")
-    return near.join(mad, by).withColumn("z", (F.col(value) - F.col("_m")) / F.col("_d")).drop("_m", "_c", "_d")
+    med = orders.by_group(rows, by, value, 0.5, "_m").join(rows.groupBy(by).agg(F.count("*").alias("_c")), by)
+    near = rows.join(med.where(F.col("_c") >= least), by).withColumn("_a", F.abs(F.col(value) - F.col("_m")))
+    mad = orders.by_group(near, by, "_a", 0.5, "_d").select(by, (1.4826 * F.col("_d")).alias("_d")).where("_d > 0")
+    return near.join(mad, by).withColumn("z", (F.col(value) - F.col("_m")) / F.col("_d")).drop("_m", "_c", "_d", "_a")
 
 
 def gamma_select(model: plans.Fit, grid: list[float] | None = None) -> DataFrame:
@@ -109,10 +108,10 @@ def pextrema(model: plans.Fit, share: float = 0.9, degree: float = 0.1, p: float
     y = model.fitted.select("vertex", F.col("y_hat").alias("y"))
     s = extrema.extremp(y, model.edges, model.vertex_rho).join(measures.effective_degree(model.edge_rho), "vertex").join(y, "vertex")
     s = spectral._checkpointed(s)
-    least = s.agg(F.percentile("effective_degree", degree)).scalar()
+    least = F.lit(orders.quantiles(s, "effective_degree", [degree])[0])
     out = None
     for kind, col, maxima in (("max", "maxp", True), ("min", "minp", False)):
-        cut = s.agg(F.percentile(col, share)).scalar()
+        cut = F.lit(orders.quantiles(s, col, [share])[0])
         found = s.where((F.col(col) >= cut) & (F.col("effective_degree") >= least)).select("vertex", F.lit(kind).alias("type"), F.col("y").alias("value"), F.col(col).alias("share"))
         found = found.join(extrema.hop_radius(y, model.edges, model.vertex_rho, p, max_hop, maxima), "vertex")
         found = graph.numbered(found.withColumn("_o", F.col("value") * (-1 if maxima else 1)), ["_o", "vertex"], "_r")
@@ -124,34 +123,35 @@ def pextrema(model: plans.Fit, share: float = 0.9, degree: float = 0.1, p: float
 def hop_extremality(model: plans.Fit, p: float = 0.9, max_hop: int = 30) -> DataFrame:
     """(vertex, score, radius, size): hops over which the set around a vertex stays extreme with its sign.
 
-    A set's score compares the mass-weighted values of the members with those just outside.
+    A set's score compares the mass-weighted values of the members with those just outside. Sets grow together, 64 sources to a
+    word of bits: a row for each vertex and word that a set has reached.
     """
     y = model.fitted.select("vertex", F.col("y_hat").alias("y"))
-    scores = extrema.extremality(y, model.vertex_rho, model.edge_rho)
-    f = y.join(model.vertex_rho, "vertex").select("vertex", (F.col("rho") * F.col("y")).alias("m"))
-    f = spectral._checkpointed(f)
+    scores = spectral._checkpointed(extrema.extremality(y, model.vertex_rho, model.edge_rho))
+    f = spectral._checkpointed(y.join(model.vertex_rho, "vertex").select("vertex", (F.col("rho") * F.col("y")).alias("m")))
     lo, hi = y.agg(F.min("y"), F.max("y")).first()
-    d = graph.directed(model.edges)
-    source = scores.where(F.abs("score") >= p).select(F.col("vertex").alias("source"), F.signum("score").alias("sign"))
-    source = spectral._checkpointed(source)
-    inside = source.select("source", F.col("source").alias("vertex"))
-    radius = source.select("source", F.lit(0).alias("radius"), F.lit(1).cast("long").alias("size"))
+    d = graph.directed(model.edges).join(f, "vertex").join(f.select(F.col("vertex").alias("nbr"), F.col("m").alias("mn")), "nbr")
+    d = spectral._checkpointed(d.select("vertex", "nbr", (F.col("m") - F.col("mn")).alias("change")))
+    source = bits.placed(scores.where(F.abs("score") >= p).select(F.col("vertex").alias("source"), F.signum("score").alias("sign")))
+    inside = bits.started(source)
+    radius = source.select("source", "word", "bit", F.lit(0).alias("radius"), F.lit(1).cast("long").alias("size"))
     alive = source
     for hop in range(1, max_hop + 1):
-        edge = inside.join(d, "vertex").select("source", "vertex", "nbr")
-        out = edge.join(inside.select("source", F.col("vertex").alias("nbr")), ["source", "nbr"], "left_anti")
-        change = out.join(f, "vertex").join(f.select(F.col("vertex").alias("nbr"), F.col("m").alias("mn")), "nbr")
-        state = change.groupBy("source").agg(F.sum(F.col("m") - F.col("mn")).alias("s"), F.sum(F.abs(F.col("m") - F.col("mn"))).alias("a"))
-        state = state.join(alive, "source").where((F.col("a") > 1e-15) & (F.abs(F.col("s") / F.col("a")) >= p) & (F.signum("s") == F.col("sign")))
-        go = spectral._checkpointed(state.select("source", "sign"))
-        if go.isEmpty():
+        there = inside.select(F.col("vertex").alias("nbr"), "word", F.col("bits").alias("held"))
+        out = inside.join(d, "vertex").join(there, ["nbr", "word"], "left")
+        out = spectral._checkpointed(out.select("word", "nbr", "change", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("held", F.lit(0).cast("long")))).alias("bits")).where("bits != 0"))
+        change = bits.sums(out, {"s": F.col("change"), "a": F.abs("change")})
+        state = change.join(alive, ["word", "bit"]).where((F.col("a") > 1e-15) & (F.abs(F.col("s") / F.col("a")) >= p) & (F.signum("s") == F.col("sign")))
+        alive = spectral._checkpointed(state.select("source", "word", "bit", "sign"))
+        if alive.isEmpty():
             break
-        new = out.join(go, "source", "left_semi").select("source", F.col("nbr").alias("vertex")).distinct()
-        inside = spectral._checkpointed(inside.join(go, "source", "left_semi").unionByName(new))
-        sizes = inside.groupBy("source").agg(F.count("*").alias("n"))
-        radius = spectral._checkpointed(radius.join(sizes, "source", "left").select("source", F.when(F.col("n").isNotNull(), hop).otherwise(F.col("radius")).alias("radius"), F.coalesce("n", "size").alias("size")))
-        alive = go
-    out = scores.join(y, "vertex").join(radius.withColumnRenamed("source", "vertex"), "vertex", "left")
+        mask = bits.masks(alive)
+        grown = out.select(F.col("nbr").alias("vertex"), "word", "bits").unionByName(inside).join(mask, "word").select("vertex", "word", F.col("bits").bitwiseAND(F.col("mask")).alias("bits"))
+        inside = spectral._checkpointed(grown.where("bits != 0").groupBy("vertex", "word").agg(F.bit_or("bits").alias("bits")))
+        sizes = bits.sums(inside, {"n": F.lit(1.0)}).join(alive.select("word", "bit"), ["word", "bit"])
+        radius = radius.join(sizes, ["word", "bit"], "left")
+        radius = spectral._checkpointed(radius.select("source", "word", "bit", F.when(F.col("n").isNotNull(), hop).otherwise(F.col("radius")).alias("radius"), F.coalesce(F.col("n").cast("long"), "size").alias("size")))
+    out = scores.join(y, "vertex").join(radius.select(F.col("source").alias("vertex"), "radius", "size"), "vertex", "left")
     best = (F.col("y") == lo) | (F.col("y") == hi)
     return out.select("vertex", "score", F.when(best, -1).otherwise(F.coalesce("radius", F.lit(0))).alias("radius"), F.coalesce("size", F.lit(0)).alias("size"))
 
@@ -181,7 +181,7 @@ def cluster_pvalues(model: plans.Fit, y: DataFrame, b: int = 19, seed: int = 1,
     n, mean = y.agg(F.count("*"), F.avg("y")).first()
     fitted, _ = plans.refit(model, resample.permuted(y, b, seed))
     stat = spectral._checkpointed(fitted.select("vertex", "col", F.abs(F.col("y_hat") - mean).alias("stat")))
-    cut = stat.agg(F.percentile("stat", level)).first()[0]
+    cut = orders.quantiles(stat, "stat", [level])[0]
     own = model.fitted.select("vertex", F.lit(0).alias("col"), F.abs(F.col("y_hat") - mean).alias("stat"))
     # draws are kept apart by pairing them with vertices into one number, so one search serves all
     both = stat.unionByName(own).where(F.col("stat") >= cut).select((F.col("col") * F.lit(1 << 40) + F.col("vertex")).alias("vertex"), "col", "stat")
@@ -200,38 +200,6 @@ def cluster_pvalues(model: plans.Fit, y: DataFrame, b: int = 19, seed: int = 1,
     )
 
 
-def lslope_test(model: plans.Fit, y: DataFrame, b: int = 49, seed: int = 1, sigmoid: str = "tanh") -> DataFrame:
-    """(vertex, effect, t, p_value, p_adjusted): paired bootstrap of slopes against those of a permuted response.
-
-    In each draw the response and a permutation of it get the same Dirichlet weights; the difference of
-    the bounded slopes along the first feature's refit is tested by a paired t with a normal tail.
-    """
-    n = y.count()
-    w = y.crossJoin(F.broadcast(resample.draw_index(b, y.sparkSession))).select("vertex", "b", (-F.log(1 - uniform(F.lit(seed), F.col("b"), F.col("vertex")))).alias("e"))
-    w = w.join(F.broadcast(w.groupBy("b").agg(F.sum("e").alias("t"))), "b").select("vertex", "b", (n * F.col("e") / F.col("t")).alias("w"))
-    w = spectral._checkpointed(w)
-    null = resample.permuted(y, b, seed + 1).withColumnRenamed("col", "b")
-    real = w.join(y, "vertex").select("vertex", (F.col("b") * 2).alias("col"), (F.col("w") * F.col("y")).alias("y"))
-    fake = w.join(null, ["vertex", "b"]).select("vertex", (F.col("b") * 2 + 1).alias("col"), (F.col("w") * F.col("y")).alias("y"))
-    fitted = spectral._checkpointed(plans.refit(model, real.unionByName(fake), per_column=False)[0].select("vertex", "col", F.col("y_hat").alias("z")))
-    base = model.fitted.select("vertex", F.col("y_hat").alias("f"))
-    d = graph.directed(model.edges).join(base, "vertex").join(base.select(F.col("vertex").alias("nbr"), F.col("f").alias("fn")), "nbr")
-    up = d.groupBy("vertex").agg(F.max_by("nbr", F.struct(F.col("fn") - F.col("f"), -F.col("nbr"))).alias("nbr"), F.max(F.col("fn") - F.col("f")).alias("df")).where("df > 0")
-    s = fitted.join(up, "vertex", "left").join(fitted.select(F.col("vertex").alias("nbr"), "col", F.col("z").alias("zn")), ["nbr", "col"], "left")
-    # a vertex without a higher neighbour has slope 0
-    slope = F.coalesce(bounded_slope(sigmoid, (F.col("zn") - F.col("z")) / F.col("df")), F.lit(0.0))
-    s = s.select("vertex", F.floor(F.col("col") / 2).alias("b"), (F.col("col") % 2).alias("half"), slope.alias("s"))
-    pair = s.groupBy("vertex", "b").agg(F.sum(F.when(F.col("half") == 0, F.col("s")).otherwise(-F.col("s"))).alias("d"))
-    # without any spread there is nothing to test
-    spread = F.stddev_samp("d")
-    t = pair.groupBy("vertex").agg(F.avg("d").alias("effect"), F.when(spread > 0, F.avg("d") / spread * F.sqrt(F.count("*"))).alias("t"))
-    # two-sided normal tail by the rational approximation 7.1.26 of Abramowitz and Stegun
-    x = F.abs("t") / math.sqrt(2)
-    k = 1 / (1 + 0.3275911 * x)
-    tail = k * (0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.453152027 + k * 1.061405429)))) * F.exp(-x * x)
-    return extrema.bh_adjust(spectral._checkpointed(t.withColumn("p_value", F.coalesce(tail, F.lit(1.0)))))
-
-
 def componentwise_fit(points: DataFrame, y: DataFrame, k: int, least: int = 10) -> DataFrame:
     """(vertex, component, y, y_hat): a fit on every component of at least ``least`` vertices; others keep their mean."""
     _, edges = plans.neighbourhood(points, k)
@@ -312,8 +280,9 @@ def lp_summary(rows: DataFrame) -> DataFrame:
 
 def lslope_summary(rows: DataFrame) -> DataFrame:
     """One row: vertices tested and significant at three levels, quartiles of p values and effects."""
-    quartiles = [F.percentile(c, q).alias(f"{c}_q{int(100 * q)}") for c in ("p_value", "p_adjusted", "effect") for q in (0.25, 0.5, 0.75)]
-    return rows.agg(F.count("p_value").alias("n_tested"), *[F.count_if(F.col("p_adjusted") < a).alias(f"n_{str(a)[2:]}") for a in (0.05, 0.01, 0.001)], *quartiles)
+    shares = (0.25, 0.5, 0.75)
+    quartiles = [F.lit(v).cast("double").alias(f"{c}_q{int(100 * q)}") for c in ("p_value", "p_adjusted", "effect") for q, v in zip(shares, orders.quantiles(rows, c, list(shares)))]
+    return rows.agg(F.count("p_value").alias("n_tested"), *[F.count_if(F.col("p_adjusted") < a).alias(f"n_{str(a)[2:]}") for a in (0.05, 0.01, 0.001)]).select("*", *quartiles)
 
 
 def dealt_folds(vertices: DataFrame, folds: int, seed: int = 1) -> DataFrame:
@@ -345,6 +314,15 @@ def optimal_p(rows: DataFrame, wanted: float | None = None) -> DataFrame:
     return nearest(ok, "p", wanted) if wanted is not None else ok.orderBy("gcv", "p", "k").limit(1)
 
 
+def equivalent_range(curve: DataFrame) -> DataFrame:
+    """One row (best, low, high) of a fitted curve (x, fit, lower, upper): the x of its least value, the first on ties, and the
+    range of x whose lower bounds do not exceed the upper bound there."""
+    best = curve.agg(F.min_by(F.struct("x", "upper"), F.struct("fit", "x")).alias("b")).select("b.x", "b.upper").first()
+    if best is None or best.x is None:
+        return curve.select(F.lit(None).cast("double").alias("best"), F.col("x").alias("low"), F.col("x").alias("high")).limit(0)
+    return curve.where(F.col("lower") <= best.upper).agg(F.lit(best.x).alias("best"), F.min("x").alias("low"), F.max("x").alias("high"))
+
+
 def lp_round_trip(points: DataFrame, ps: list[float], wanted: list[float]) -> DataFrame:
     """Transforms written by p, then only the wanted partitions read."""
     spark = points.sparkSession
