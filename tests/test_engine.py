@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumenfield import catalog
 from lumenfield.functions import columns as fx
 from lumenfield.functions import orders
-from lumenfield.operators import draws, extrema, graph, logit, meanshift, measures, metrics, resample, spectral, walks
+from lumenfield.operators import draws as arrays, extrema, graph, logit, meanshift, measures, metrics, resample, spectral, walks
 from lumenfield.plans import fit as plans
 from lumenfield.plans import pipelines
 from lumenfield.sources import tables
@@ -318,13 +318,13 @@ def test_resampling(spark):
     subjects = y.select("vertex", F.concat(F.col("vertex") % 6, F.lit("s")).alias("subject"))
     with pytest.raises(ValueError):
         resample.permuted(y, 2, 1, subjects)
-    b = draws.bootstrap(model, y, 19).toPandas()
+    b = arrays.bootstrap(model, y, 19).toPandas()
     assert (b.lower <= b.upper).all() and b.pseudo_p.between(0, 1).all()
     post = resample.posterior(model, y, 50).join(model.fitted, "vertex").toPandas()
     assert (post.lower <= post.upper).all() and ((post.lower <= post.y_hat) & (post.y_hat <= post.upper)).mean() > 0.8
     c = pipelines.cluster_pvalues(model, y, 5).first()
     assert 1 / 6 <= c.p_size <= 1 and c.threshold > 0
-    t = draws.slope_test(model, y, points.select("vertex", F.col("x")[1].alias("y")), 19).where("p_value is not null").toPandas()
+    t = arrays.slope_test(model, y, points.select("vertex", F.col("x")[1].alias("y")), 19).where("p_value is not null").toPandas()
     assert len(t) and t.p_value.between(0, 1).all() and (t.p_adjusted >= t.p_value - 1e-12).all()
 
 
