@@ -17,7 +17,8 @@ no window that could match, and names no item. Equal windows of a text are walke
 
 A null or empty text or item matches nothing, as does a row with a null id on either side.
 Repeated documents give repeated rows; items that repeat an item_id count as one, by the smallest
-distance. Bytes that are no UTF-8 count as replacement characters. Extra columns are ignored. The
+distance. Of stretches with equally few edits the first is named. Very long texts are searched whole; an empty table of
+documents or items gives no rows. Bytes that are no UTF-8 count as replacement characters. Extra columns are ignored, whatever their names. The
 benchmark is worked off in blocks of ``ITEMS`` items, so what is sent to executors is bounded whatever its size.
 """
 

@@ -20,7 +20,8 @@ of a length that it lacks are all compared, in blocks.
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing; vectors of different lengths do not link. Rows with a null vec_id are returned with no links, a
 null component and ``kept`` true. Rows that repeat a vec_id link like other copies if their vectors
-agree, but are one component. Extra columns are ignored.
+agree, but are one component. A cosine of exactly the threshold links; of equally near centres the first one's list is taken.
+An empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

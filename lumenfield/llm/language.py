@@ -16,7 +16,8 @@ language, chosen by a hash of the id. Pages are read whole, in pieces of ``PIECE
 Defined results: a page with null or empty html has no text evidence; a null url gives no suffix and
 host evidence; without any evidence the pages' most frequent language wins, ties going to the
 first in the alphabet. Null ids and repeated rows are judged like others. Without labelled
-documents the language is null. Extra columns are ignored.
+documents the language is null. An empty table of pages gives no rows. Very long pages are read whole, piece by piece.
+Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

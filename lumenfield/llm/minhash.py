@@ -19,7 +19,8 @@ largest part meet each other and that part, in pairs of blocks.
 Defined results: null or empty texts have empty sets and link with nothing. Rows with a null
 doc_id are returned with a null component and ``kept`` true, and link nothing. Rows that repeat a
 doc_id are each judged by their own text, and ``component_id`` is the smallest doc_id that the row's
-text reaches. Extra columns are ignored.
+text reaches. A similarity of exactly the threshold links. Very long texts are shingled whole. An empty table gives no rows.
+Extra columns are ignored, whatever their names.
 
 A pair at exactly the threshold of 0.8 shares a prefix of 3 values in some tree with a
 probability above 0.9999. Where every region is crowded this is 0.9999 for prefixes of 5 values

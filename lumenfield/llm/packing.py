@@ -15,8 +15,9 @@ a task's memory is bounded. In a group:
    taken from the largest pieces and cut into sequences of a power of two, which need no padding.
 
 Defined results: null and empty texts are the end id alone. Rows are packed even if they repeat or
-have a null doc_id. Bytes that are no UTF-8 count as replacement characters. An empty table gives no
-rows. Extra columns are ignored.
+have a null doc_id. Bytes that are no UTF-8 count as replacement characters. Of pieces of equal length
+the earlier row's is dealt first. Very long texts are tokenised whole. An empty table gives no rows. Extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

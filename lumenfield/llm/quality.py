@@ -9,7 +9,8 @@ It is fitted on whole texts of at most ``PER_CLASS`` labelled rows of each class
 
 Null and empty texts are scored as one chunk of zero bytes. Rows whose doc_id is null are
 scored like any other. Scores are rounded to ``DIGITS`` places, so that equal texts get equal scores
-wherever they lie in a batch. Extra columns do not matter.
+wherever they lie in a batch. Very long texts are scored whole, chunk by chunk. An empty table gives no rows. Extra columns stay
+as they are, but for those named like the results, which are replaced.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ c * log2(c) over them by these two counts, and the largest Shannon entropy is he
 the candidate's character class. The allow-list suppresses what only looks random.
 
 Spans are in code points with an exclusive end. Null texts count as empty and have no spans. Rows
-are judged one by one, so repeated rows, ties and null ids need no care; extra columns stay.
+are judged one by one, so repeated rows, ties and null ids need no care; extra columns stay. An empty table gives no
+rows, and very long texts are searched whole.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ items at most; the number of rules grows with the number of bad hosts and paths.
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule and the verdict
 allow. Labels other than 0 and 1 and null ids do not teach; of contradicting labels the higher counts.
 Without labels of both kinds, or with fewer than ``LEAST_COUNT`` bad pages, no rule is mined. Of rules
-of one confidence the last in the alphabet is named. Repeated rows get equal verdicts. Extra columns are ignored.
+of one confidence the last in the alphabet is named. Repeated rows get equal verdicts. An empty table of pages gives
+no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

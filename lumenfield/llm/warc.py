@@ -16,7 +16,8 @@ Files are reached through pyarrow's file systems: local and shared folders, hdfs
 
 Reader columns: uri, record_type, record_id, date, page_id, refers_to, payload_digest,
 payload_bytes, payload. Defined results: a header that is missing is null; a record without a
-payload has an empty one; an empty folder has no rows; a truncated last record raises an error.
+payload has an empty one; an empty folder has no rows; a truncated last record raises an error. Of equal payloads the smallest
+page_id's is the response; extra columns of a table that is written are ignored, whatever their names.
 """
 
 from __future__ import annotations

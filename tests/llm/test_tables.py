@@ -284,6 +284,46 @@ def test_host_prior_leaves_the_page_out(spark):
         assert got[k].confidence == pytest.approx(1 / np.exp(score - score.max()).sum())
 
 
+def test_declarations_and_suffixes_are_trusted_as_counted(spark):
+    """Declared language, suffix and host prior fused by hand; text evidence comes from the same model."""
+    rng = random.Random(6)
+    words = {"de": ["der", "und", "nicht"], "en": ["the", "and", "that"], "fr": ["les", "dans", "pour"]}
+    say = lambda x, n: " ".join(rng.choices(words[x], k=n))
+    docs = spark.createDataFrame([(k, say(x, 40), x) for k, x in enumerate(["de", "en", "fr"] * 20)], "doc_id long, text string, lang string")
+    rows = []
+    for k in range(60):
+        text = rng.choice(["de", "en", "fr"])
+        claim = rng.choice([text, text, "en", "it", None])
+        place = rng.choice([("h.example.de", "/x"), ("h.example.org", f"/{text}/x"), ("h.example.uk", "/fr/y"), ("h.example.org", "/x")])
+        rows.append((k, f"http://{place[0]}{place[1]}", f"<html{f' lang={claim}' if claim else ''}><p>{say(text, rng.randrange(1, 4)) if k % 5 else ''}", claim, place))
+    model = language.train(docs)
+    langs = model.languages
+    odds = [model.log_odds(language.visible(r[2].encode())) for r in rows]
+    told = [None if not o.any() else langs[int(o.argmax())] for o in odds]
+    declared = [r[3] if r[3] in langs else None for r in rows]
+    folder = [p[1].split("/")[1] for *_, p in rows]
+    suffix = [f if f in langs else {"de": "de", "uk": "en"}.get(p[0].rsplit(".", 1)[1]) for f, (*_, p) in zip(folder, rows)]
+
+    def trust(claims):
+        both = [(c, t) for c, t in zip(claims, told) if c and t]
+        share = lambda c, x: (both.count((c, x)) + language.PRIOR_CLAIM * (0.7 if c == x else 0.3 / 2)) / (sum(t == x for _, t in both) + language.PRIOR_CLAIM)
+        return {c: np.log([share(c, x) for x in langs]) for c in langs} | {None: np.zeros(3)}
+
+    by_claim, by_suffix = trust(declared), trust(suffix)
+    base = np.array([told.count(x) + 1 for x in langs], float)
+    base /= base.sum()
+    got = {r.page_id: r for r in language.identify(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string"), docs).collect()}
+    for k, row in enumerate(rows):
+        count = lambda same: np.array([sum(t == x and same(rows[j][4][0]) for j, t in enumerate(told) if j != k) for x in langs], float)  # noqa: E731,B023
+        tail = lambda h: h.split(".", 1)[1]
+        domain, host = count(lambda h: tail(h) == tail(row[4][0])), count(lambda h: h == row[4][0])  # noqa: B023
+        p = (domain + language.PRIOR_DOMAIN * base) / (domain.sum() + language.PRIOR_DOMAIN)
+        p = (host + language.PRIOR_HOST * p) / (host.sum() + language.PRIOR_HOST)
+        score = odds[k] + by_claim[declared[k]] + by_suffix[suffix[k]] + np.log(p)
+        assert (got[k].declared, got[k].suffix, got[k].text_language) == (declared[k], suffix[k], told[k])
+        assert got[k].language == langs[int(score.argmax())] and got[k].confidence == pytest.approx(1 / np.exp(score - score.max()).sum())
+
+
 def test_markup_that_never_closes_takes_linear_time():
     for part in (b"<script>", b"<div class=ad", b"<", b"<!--", b"&a", b"<nav </nav "):
         began = time.process_time()
@@ -295,7 +335,7 @@ def test_markup_that_never_closes_takes_linear_time():
 
 
 def test_queries_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark):
