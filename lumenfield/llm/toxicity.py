@@ -29,7 +29,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -151,7 +150,6 @@ class CharacterModel:
         return ["".join(map(chr, row[row != 0].tolist())) for row in points]
 
 
-@lru_cache(maxsize=4096)
 def _readings(c: str, star: bool) -> tuple[Arc, ...] | None:
     """What one character may stand for, None for a gap."""
     if c.isalpha():
@@ -166,9 +164,9 @@ def _readings(c: str, star: bool) -> tuple[Arc, ...] | None:
 _GAP, _SPACE = ((0, JOINED), (32, PARTED)), ((0, JOINED / 2), (32, PARTED))
 
 
-def lattice(token: str, spaced: bool = False) -> list[tuple[Arc, ...]]:
-    """Positions with what each may stand for; between the characters of a spaced run lie gaps."""
-    star = token.count("*") == 1
+def lattice(token: str, spaced: bool = False, known: dict[tuple[str, bool], tuple[Arc, ...] | None] | None = None) -> list[tuple[Arc, ...]]:
+    """Positions with what each may stand for; between the characters of a spaced run lie gaps. ``known`` keeps what was read before."""
+    star, known = token.count("*") == 1, {} if known is None else known
     out: list[tuple[Arc, ...]] = []
     n, k = len(token), 0
     while k < n:
@@ -176,7 +174,9 @@ def lattice(token: str, spaced: bool = False) -> list[tuple[Arc, ...]]:
         while k + run < n and token[k + run] == c:
             run += 1
         k += run
-        one = _readings(c, star)
+        if (c, star) not in known:
+            known[c, star] = _readings(c, star)
+        one = known[c, star]
         if one is None:
             out.append(_GAP)
         elif spaced:
@@ -212,12 +212,13 @@ class Restorer:
     model: CharacterModel
     known: dict[str, str] = field(default_factory=dict)
     cores: dict[str, str] = field(default_factory=dict)
+    characters: dict = field(default_factory=dict)
 
     def learn(self, tokens: set[str]) -> list[str]:
         """Reads tokens that are new and returns their readings; a spaced run is a token that begins with a space."""
         if len(self.known) > HELD:
-            self.known.clear()
-            self.cores.clear()
+            for held in (self.known, self.cores, self.characters):
+                held.clear()
         new = tokens.difference(self.known)
         found, waiting = self.cores, {}
         for token in new:
@@ -229,7 +230,7 @@ class Restorer:
                 continue
             if core[:1] == " " or not core.isalpha() or _REPEATED.search(core):
                 if any(map(str.isalpha, core)):
-                    waiting[core] = [lattice(p, core[0] == " ") for p in pieces(core.lstrip(" "))]
+                    waiting[core] = [lattice(p, core[0] == " ", self.characters) for p in pieces(core.lstrip(" "))]
                 else:
                     found[core] = ""
             else:
