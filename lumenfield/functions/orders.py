@@ -33,40 +33,37 @@ def at_ranks(df: DataFrame, value: str, ranks: list[int] | Callable[[int], list[
     Ranks beyond the ends are the ends; without values every result is None.
     """
     column = checkpointed(df.select(F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)"))
-    n = column.count()
+    x, bounds = F.col("x"), [F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")]
+
+    def inside(cells: list, left: int) -> tuple[int, float, float]:
+        """(rank within, least, greatest) of the cell that holds a rank; cells (digit, n, lo, hi)."""
+        for _, m, lo, hi in sorted(cells):
+            if left < m:
+                return left, lo, hi
+            left -= m
+        raise AssertionError
+
+    first = [tuple(r) for r in column.groupBy(_exponent(x).alias("d")).agg(*bounds).collect()]  # one row an exponent
+    n = sum(c[1] for c in first)
     wanted = [min(max(int(r), 0), n - 1) for r in (ranks(n) if callable(ranks) else ranks)]
     if not n:
         return [None] * len(wanted)
-    found: dict[int, float] = {}
-    x = F.col("x")
-    # (rank within the interval, least, greatest) of each rank that is still open
-    state: dict[int, tuple[int, float | None, float | None]] = {r: (r, None, None) for r in set(wanted)}
+    state = {r: inside(first, r) for r in set(wanted)}
+    found = {r: lo for r, (_, lo, hi) in state.items() if lo == hi}
+    state = {r: v for r, v in state.items() if r not in found}
     while state:
         cells = []
         for r, (_, lo, hi) in state.items():
-            if lo is None:
-                digit, inside = _exponent(x), F.lit(True)
-            else:
-                # halves, as the difference of two doubles may overflow
-                place = F.floor((x / 2 - lo / 2) / (hi / 2 - lo / 2) * DIGITS)
-                digit, inside = F.least(place, F.lit(DIGITS - 1)).cast("int"), (x >= lo) & (x <= hi)
-            cells.append(F.when(inside, F.struct(F.lit(r).cast("long").alias("r"), digit.alias("d"))))
+            # halves, as the difference of two doubles may overflow
+            place = F.floor((x / 2 - lo / 2) / (hi / 2 - lo / 2) * DIGITS)
+            cells.append(F.when((x >= lo) & (x <= hi), F.struct(F.lit(r).cast("long").alias("r"), F.least(place, F.lit(DIGITS - 1)).cast("int").alias("d"))))
         rows = column.select("x", F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy("c.r", "c.d")
         counts: dict[int, list] = {}
-        for row in rows.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():  # DIGITS rows a rank
+        for row in rows.agg(*bounds).collect():  # DIGITS rows a rank
             counts.setdefault(row.r, []).append((row.d, row.n, row.lo, row.hi))
-        later = {}
-        for r, held in counts.items():
-            left = state[r][0]
-            for _, m, lo, hi in sorted(held):
-                if left < m:
-                    if lo == hi:
-                        found[r] = lo
-                    else:
-                        later[r] = (left, lo, hi)
-                    break
-                left -= m
-        state = later
+        state = {r: inside(held, state[r][0]) for r, held in counts.items()}
+        found |= {r: lo for r, (_, lo, hi) in state.items() if lo == hi}
+        state = {r: v for r, v in state.items() if r not in found}
     return [found[r] for r in wanted]
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -68,7 +67,6 @@ def _poly(c: tuple[float, ...], x: float) -> float:
     return sum(v * x**k for k, v in enumerate(c))
 
 
-@lru_cache(maxsize=64)
 def _shapiro_weights(n: int) -> np.ndarray:
     """Weights of the ordered sample, antisymmetric."""
     if n == 3:
@@ -110,7 +108,6 @@ def shapiro_wilk(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w, np.where(np.isnan(w), np.nan, normal_upper(np.nan_to_num(z, nan=0.0, posinf=40.0, neginf=-40.0)))
 
 
-@lru_cache(maxsize=64)
 def _signed_rank_shares(n: int) -> np.ndarray:
     """P(V <= v) of the signed-rank sum of n numbers: subsets of the ranks are counted by their sums."""
     ways = np.zeros(n * (n + 1) // 2 + 1)
@@ -124,6 +121,7 @@ def wilcoxon(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(V, two-sided p) of the signed ranks of each row: exact for fewer than 50 numbers without zeros and ties,
     else by the normal distribution with corrections for ties and continuity. Zeros are left out; nan if all are."""
     stat, p = np.full(len(rows), np.nan), np.full(len(rows), np.nan)
+    exact: dict[int, np.ndarray] = {}
     for k, row in enumerate(rows):
         x = row[row != 0]
         n = len(x)
@@ -134,7 +132,7 @@ def wilcoxon(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         v = stat[k] = float(rank[x > 0].sum())
         middle = n * (n + 1) / 4
         if n < 50 and len(count) == n and n == len(row):
-            below = _signed_rank_shares(n)
+            below = exact.setdefault(n, exact[n] if n in exact else _signed_rank_shares(n))
             one = 1 - below[int(v) - 1] if v > middle else below[int(v)]
             p[k] = min(2 * one, 1.0)
         else:

@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lumenfield.functions import tails
 from lumenfield.functions.columns import eta_grid_refit
+from lumenfield.functions.tails import box_cox_rows, normal_upper, shapiro_wilk, t_test, wilcoxon
 from lumenfield.plans.fit import Fit
 
 from . import spectral
@@ -160,15 +160,15 @@ def tested(signal: np.ndarray, null: np.ndarray, test: str, box_cox: str, alpha:
     diff = signal - null
     vary = diff.std(1, ddof=1) > np.finfo(float).eps
     shapiro, lam, p = (np.full(len(diff), np.nan) for _ in range(3))
-    shapiro[vary] = tails.shapiro_wilk(diff[vary])[1]
+    shapiro[vary] = shapiro_wilk(diff[vary])[1]
     moved = vary & ((box_cox == "always") | ((box_cox == "auto") & (np.nan_to_num(shapiro, nan=1.0) < alpha)))
     used = diff.copy()
     if moved.any():
-        used[moved], lam[moved], _ = tails.box_cox_rows(diff[moved])
+        used[moved], lam[moved], _ = box_cox_rows(diff[moved])
     if test == "paired.t":
-        p[vary] = tails.t_test(used[vary])[1]
+        p[vary] = t_test(used[vary])[1]
     elif test == "wilcoxon":
-        p[vary] = tails.wilcoxon(diff[vary])[1]
+        p[vary] = wilcoxon(diff[vary])[1]
     else:
         one, other = signal.copy(), null.copy()
         if moved.any():
@@ -180,7 +180,7 @@ def tested(signal: np.ndarray, null: np.ndarray, test: str, box_cox: str, alpha:
                 one[moved], other[moved] = change(signal[moved]), change(null[moved])
         with np.errstate(invalid="ignore", divide="ignore"):
             z = np.abs(one - other.mean(1, keepdims=True)) / other.std(1, ddof=1, keepdims=True)
-            p[vary] = np.nanmean(2 * tails.normal_upper(z[vary]), 1) if vary.any() else p[vary]
+            p[vary] = np.nanmean(2 * normal_upper(z[vary]), 1) if vary.any() else p[vary]
     return {"shapiro_p": shapiro, "boxcox_lambda": lam, "p_value": p}
 
 

@@ -77,6 +77,20 @@ def normalised(df: DataFrame, raw: str, name: str = "rho") -> DataFrame:
     return rows.withColumn(name, F.col(name) * (n / rows.agg(F.sum(name)).first()[0]))
 
 
+def normalised_by(df: DataFrame, by: str, raw: str, name: str = "rho") -> DataFrame:
+    """``normalised`` within each group of ``by``; groups' totals are aggregates that join back."""
+    low, up = F.col(name) < LEAST_DENSITY, F.col(name) > LEAST_DENSITY
+    per = df.groupBy(by).agg(F.count("*").alias("_n"), F.sum(raw).alias("_t"))
+    rows = df.join(per, by).withColumn(name, F.when(F.col("_t") > 1e-15, F.col(raw) * F.col("_n") / F.col("_t")).otherwise(1.0))
+    nought = F.lit(0.0)
+    ends = rows.groupBy(by).agg(F.count_if(low).alias("_c"), F.coalesce(F.sum(F.when(low, LEAST_DENSITY - F.col(name))), nought).alias("_a"), F.coalesce(F.sum(F.when(up, F.col(name) - LEAST_DENSITY)), nought).alias("_r"))
+    lifted = F.greatest(F.col(name), F.lit(LEAST_DENSITY))
+    moved = F.when(F.col("_r") > F.col("_a") * 1.01, F.lit(LEAST_DENSITY) + (lifted - LEAST_DENSITY) * ((F.col("_r") - F.col("_a")) / F.col("_r"))).otherwise(0.7 * lifted + 0.3)
+    rows = checkpointed(rows.join(ends, by).withColumn(name, F.when((F.col("_a") > 1e-10) & (F.col("_c") < F.col("_n")), moved).otherwise(lifted)).drop("_t", "_c", "_a", "_r"))
+    total = rows.groupBy(by).agg(F.sum(name).alias("_s"))
+    return rows.join(total, by).withColumn(name, F.col(name) * F.col("_n") / F.col("_s")).drop("_n", "_s")
+
+
 def vertex_density(sets: DataFrame, measure: DataFrame) -> DataFrame:
     """(vertex, rho): measure of each vertex's neighbour set."""
     raw = sets.join(measure.select(F.col("vertex").alias("member"), "w"), "member").groupBy("vertex").agg(F.sum("w").alias("raw"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lumenfield.functions.columns import box_cox, power, uniform
+from lumenfield.functions.columns import box_cox, eta_grid_fit, power, uniform
 from lumenfield.functions import orders
 from lumenfield.functions.orders import winsorize
 from lumenfield.operators import bits, extrema, graph, measures, resample, spectral
@@ -200,19 +202,71 @@ def cluster_pvalues(model: plans.Fit, y: DataFrame, b: int = 19, seed: int = 1,
     )
 
 
-def componentwise_fit(points: DataFrame, y: DataFrame, k: int, least: int = 10) -> DataFrame:
-    """(vertex, component, y, y_hat): a fit on every component of at least ``least`` vertices; others keep their mean."""
+#: Components of at most so many vertices have their spectra in a task, many components at once; larger ones are fitted one by one.
+DENSE_COMPONENT = 2048
+#: Rows of operators that a task is dealt at about.
+DEALT_ENTRIES = 200_000
+
+
+def componentwise_fit(points: DataFrame, y: DataFrame, k: int, least: int = 10, n_eigenpairs: int = 10, filter: str = "heat_kernel") -> DataFrame:
+    """(vertex, component, y, y_hat): a fit on every component of at least ``least`` vertices; others keep their mean.
+
+    Sets, densities and operators of all components are made at once, scaled within each, and the blocks of the block-diagonal
+    operator are dealt to tasks that find spectra, filters and fits of many; the number of jobs does not depend on the components.
+    """
     _, edges = plans.neighbourhood(points, k)
-    labels = graph.components(points.select("vertex"), edges)
+    vertices = points.select("vertex")
+    labels = spectral._checkpointed(graph.components(vertices, edges))
     sizes = labels.groupBy("component").count()
-    out = labels.join(y, "vertex").join(sizes, "component")
+    out = spectral._checkpointed(labels.join(y, "vertex").join(sizes, "component"))
     small = out.where(F.col("count") < least)
     done = small.join(small.groupBy("component").agg(F.avg("y").alias("y_hat")), "component").select("vertex", "component", "y", "y_hat")
-    for r in sizes.where(F.col("count") >= least).orderBy("component").toLocalIterator():
-        own = labels.where(F.col("component") == r.component).select("vertex")
-        inside = edges.join(own.withColumnRenamed("vertex", "i"), "i", "left_semi")
-        model = plans.fit(None, y.join(own, "vertex", "left_semi"), k, edges=inside, check_connected=False)
-        done = done.unionByName(model.fitted.select("vertex", F.lit(r.component).alias("component"), "y", "y_hat"))
+    large = out.where(F.col("count") >= least)
+    kept = large.select("vertex", "component", "count")
+    inside = edges.join(kept.select(F.col("vertex").alias("i"), "component"), "i")
+    sets = spectral._checkpointed(graph.neighbour_sets(kept, inside, k + 1))
+    raw = sets.groupBy("vertex").agg(F.count("*").cast("double").alias("raw")).join(kept.select("vertex", "component"), "vertex")
+    vertex_rho = spectral._checkpointed(measures.normalised_by(raw, "component", "raw").select("vertex", "rho"))
+    mass = graph.intersection(inside.select("i", "j"), sets).join(inside.select("i", "j", "component"), ["i", "j"])
+    edge_rho = spectral._checkpointed(measures.normalised_by(mass, "component", "mass").select("i", "j", "rho"))
+    lap = measures.laplacian(vertex_rho, edge_rho).join(kept.select(F.col("vertex").alias("i"), "component", "count"), "i")
+    lap = spectral._checkpointed(lap)
+    bins = max(1, -(-lap.count() // DEALT_ENTRIES))
+    # the response travels as entries without a second vertex
+    rows = lap.select("component", "count", "i", "j", "val").unionByName(large.select("component", "count", F.col("vertex").alias("i"), F.lit(None).cast("long").alias("j"), F.col("y").cast("double").alias("val")))
+    rows = rows.where(F.col("count") <= DENSE_COMPONENT).withColumn("bin", F.pmod(F.xxhash64("component"), F.lit(bins)).cast("int"))
+
+    filters, scores = spectral.filter_matrix, spectral.gcv_scores
+
+    def run(table: pa.Table) -> pa.Table:
+        component, i, val = (table.column(c).to_numpy() for c in ("component", "i", "val"))
+        j = table.column("j").to_numpy(zero_copy_only=False).astype(float)
+        order = np.argsort(component, kind="stable")
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in np.split(order, np.flatnonzero(np.diff(component[order])) + 1) if len(order) else ():
+            own = at[np.isnan(j[at])]
+            own = own[np.argsort(i[own])]
+            ids, entries = i[own], at[~np.isnan(j[at])]
+            a = np.zeros((len(ids), len(ids)))
+            a[np.searchsorted(ids, i[entries]), np.searchsorted(ids, j[entries].astype(np.int64))] = val[entries]
+            values, vectors = np.linalg.eigh((a + a.T) / 2)
+            m = min(n_eigenpairs, len(ids))
+            values, vectors, response = values[:m], vectors[:, :m], val[own]
+            coef = vectors.T @ response
+            grid = filters(filter, values, eta_grid_fit(max(float(values[-1]), 1e-12), filter))
+            best = grid[int(scores(grid, coef, float(response @ response), len(ids)).argmin())]
+            found.append((ids, vectors @ (best * coef)))
+        ids, hat = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"vertex": ids, "y_hat": hat})
+
+    fitted = rows.groupBy("bin").applyInArrow(run, "vertex long, y_hat double")
+    done = done.unionByName(large.join(fitted, "vertex").select("vertex", "component", "y", "y_hat"))
+    # at most one component in DENSE_COMPONENT vertices is as large
+    for r in sizes.where(F.col("count") > max(DENSE_COMPONENT, least - 1)).orderBy("component").toLocalIterator():
+        low = spectral.spectrum(spectral._checkpointed(lap.where(F.col("component") == r.component).select("i", "j", "val")), n_eigenpairs)
+        own = large.where(F.col("component") == r.component)
+        hat = plans.smooth(low, own.select("vertex", "y"), filter)[2]
+        done = done.unionByName(hat.select("vertex", F.lit(r.component).alias("component"), "y", "y_hat"))
     return done
 
 

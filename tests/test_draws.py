@@ -210,3 +210,31 @@ def test_chosen_step_and_modulated_triangles(spark, model):
     assert total(moved) == pytest.approx(total(mass)) and moved.count() == mass.count()
     flat = measures.triangle_modulation(mass, tri, y.withColumn("y", F.lit(1.0)), 1.0).join(mass.withColumnRenamed("val", "old"), ["i", "j", "i2", "j2"])
     assert flat.where("abs(val - old) > 1e-9").isEmpty()
+
+
+def test_fits_of_many_components_equal_single_fits(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    sizes = [12, 15, 3, 30, 1, 11, 40]
+    rows, truth, n = [], {}, 0
+    for c, size in enumerate(sizes):
+        for v in rng.normal(size=(size, 2)):
+            rows.append((n, [float(100 * c + v[0]), float(v[1])], float(np.sin(v[0]) + c)))
+            n += 1
+    df = spectral._checkpointed(spark.createDataFrame(rows, "vertex long, x array<double>, y double").repartition(3))
+    points, y = df.select("vertex", "x"), df.select("vertex", "y")
+    _, edges = plans.neighbourhood(points, 4)
+    labels = {r.vertex: r.component for r in graph.components(points.select("vertex"), edges).collect()}
+    for c in set(labels.values()):
+        own = [v for v, l in labels.items() if l == c]
+        mine = y.where(F.col("vertex").isin(own))
+        if len(own) < 10:
+            mean = mine.agg(F.avg("y")).first()[0]
+            truth |= {v: mean for v in own}
+        else:
+            fit = plans.fit(None, mine, 4, edges=edges.where(F.col("i").isin(own)), check_connected=False)
+            truth |= {r.vertex: r.y_hat for r in fit.fitted.collect()}
+    for limit in (2048, 35):
+        monkeypatch.setattr(pipelines, "DENSE_COMPONENT", limit)
+        got = {r.vertex: r for r in pipelines.componentwise_fit(points, y, 4).collect()}
+        assert len(got) == n and all(got[v].component == labels[v] for v in got)
+        assert {v: got[v].y_hat for v in got} == pytest.approx(truth, abs=1e-8)
