@@ -995,9 +995,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_cache(spark, sf_dir):
     """Neighbours by way of the cache: written once, read the second time."""
     path = f"{tables.shared_folder(spark)}/knn-{uuid.uuid4().hex}"
-    make = lambda: graph.knn(Base(spark, sf_dir).points, K + 1)
-    tables.cached(spark, path, "readwrite", make)
-    return tables.cached(spark, path, "read", make).select("vertex", F.col("rank").cast("long").alias("rank"), "nbr", r6("dist"))
+    points = Base(spark, sf_dir).points
+    make = lambda: graph.knn(points, K + 1)
+    tables.cached(spark, path, "readwrite", make, points)
+    return tables.cached(spark, path, "read", make, points).select("vertex", F.col("rank").cast("long").alias("rank"), "nbr", r6("dist"))
 
 
 @query(sql("SELECT event_id, user_id, value FROM vals"))
@@ -1343,3 +1344,26 @@ def sigmoids(spark, sf_dir):
     """Bounded slopes onto (-1, 1)."""
     x = F.col("value") / 40 - 1
     return values(spark, sf_dir).select("event_id", *[r6(fx.bounded_slope(k, x), k) for k in ("tanh", "arctan", "algebraic")])
+
+
+@query(sql("SELECT p.vertex, round(CASE WHEN coalesce(sum(e.dy * e.dy), 0) > 1e-15 THEN sum(e.dy * e.dz) / sum(e.dy * e.dy) ELSE 0 END, 6) AS slope FROM points p LEFT JOIN near e ON e.vertex = p.vertex GROUP BY p.vertex", near=_NEAR))
+def lslope_neighborhood(spark, sf_dir):
+    """Changes of the first feature regressed on those of the response around each vertex."""
+    b = Base(spark, sf_dir)
+    return resample.local_slope(b.y, _first_feature(b), b.edges(), "neighborhood").select("vertex", r6("slope"))
+
+
+@query(sql("SELECT round(sqrt(avg(pow(0.1 * zy, 2))), 6) AS boundary_rmse FROM cir WHERE theta <= 0.25 OR theta >= 2 * pi() - 0.25", cir=_CIRCLE))
+def boundary_rmse(spark, sf_dir):
+    """The error of the noisy response of a circle with a gap, near the gap."""
+    vertices = Base(spark, sf_dir).vertices
+    theta = 2 * math.pi * 0.8 * fx.uniform(F.lit(7), F.col("vertex"), F.lit("theta"))
+    rows = synthetic.circle(vertices, gap=0.2, seed=7).withColumn("theta", theta).withColumnRenamed("y", "y_hat")
+    return metrics.boundary_rmse(rows, "circle", "theta").select(r6("boundary_rmse"))
+
+
+@query()
+def fit_with_posterior(spark, sf_dir):
+    """Fitted values with their intervals, extremality and hop radii from one fit."""
+    model = Base(spark, sf_dir).fit(n_eigenpairs=30, with_posterior=100, compute_extremality=True, max_hop=5)
+    return model.fitted.join(model.posterior, "vertex").join(model.extremality, "vertex")

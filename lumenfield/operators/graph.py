@@ -93,20 +93,19 @@ def knn(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
         return _ranked(held.groupBy("b").applyInArrow(alone, "vertex long, nbr long, dist double"), k)
 
     def bound(table: pa.Table) -> pa.Table:
-        """Each point with the k-th distance within its block, infinite where the block holds fewer."""
+        """A block as one row: its points, and for each the k-th distance within it, infinite where it holds fewer."""
         ids = table.column("vertex").to_numpy()
         x, every = _vectors(table.column("x"), len(ids)), np.arange(len(ids))
         v, _, d = _near(ids, x, every, every, k)
         order = np.lexsort((d, v))
         sizes = np.unique(v, return_counts=True)[1]
         last = d[order][np.cumsum(sizes) - 1] if len(ids) >= k else np.full(len(ids), np.inf)
-        at = np.searchsorted(np.sort(ids), ids)
-        return table.append_column("reach", pa.array(last[at]))
+        reach, off = last[np.searchsorted(np.sort(ids), ids)], table.column("off").to_numpy()
+        one = {"b": table.column("b")[0].as_py(), "cell": table.column("cell")[0].as_py(), "lo": off.min(), "hi": off.max(), "far": reach.max(), "ids": ids.tolist(), "x": x.ravel().tolist(), "reach": reach.tolist()}
+        return pa.table({c: pa.array([w], t) for (c, w), t in zip(one.items(), (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())))})
 
-    schema = "vertex long, x array<double>, cell int, off double, b long"
-    held = checkpointed(held.select("vertex", "x", "cell", "off", "b").groupBy("b").applyInArrow(bound, schema + ", reach double"))
-    meta = held.groupBy("b", "cell").agg(F.min("off").alias("lo"), F.max("off").alias("hi"), F.max("reach").alias("reach"))
-    meta = checkpointed(meta)
+    held = checkpointed(held.groupBy("b").applyInArrow(bound, "b long, cell int, lo double, hi double, far double, ids array<long>, x array<double>, reach array<double>"))
+    meta = held.select("b", "cell", "lo", "hi", F.col("far").alias("reach"))
     between = _distances(pivots, pivots)
     scale = float(np.abs(pivots).max()) * math.sqrt(pivots.shape[1]) + float(meta.agg(F.max("hi")).first()[0]) if len(pivots) else 0.0
     slack = 1e-7 * scale
@@ -118,15 +117,16 @@ def knn(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     # a point of the first block lies between d - hi and d + hi from the second's pivot, and the other way round
     least = F.greatest(F.col("d") - F.col("hi") - F.col("hi2"), F.col("lo2") - F.col("d") - F.col("hi"), F.col("lo") - F.col("d") - F.col("hi2"))
     pairs = checkpointed(pairs.where(least <= F.col("reach") + slack).select(F.col("b").alias("q"), "t", F.col("other").alias("cell2"), "lo2", "hi2"))
-    left = pairs.join(held.select(F.col("b").alias("q"), "vertex", "x", "off", "reach"), "q").select("q", "t", "cell2", "lo2", "hi2", "vertex", "x", "reach", F.lit(True).alias("asks"))
-    right = pairs.join(held.select(F.col("b").alias("t"), "vertex", "x", "reach"), "t").select("q", "t", "cell2", "lo2", "hi2", "vertex", "x", "reach", F.lit(False).alias("asks"))
+    side = lambda key, asks: pairs.join(held.select(F.col("b").alias(key), "ids", "x", "reach"), key).select("q", "t", "cell2", "lo2", "hi2", "ids", "x", "reach", F.lit(asks).alias("asks"))
+    both = side("q", True).unionByName(side("t", False))
 
     def compare(table: pa.Table) -> pa.Table:
-        ask = table.column("asks").to_numpy(zero_copy_only=False)
-        ids = table.column("vertex").to_numpy()
+        sizes = [len(i) for i in table.column("ids")]
+        ask = np.repeat(table.column("asks").to_numpy(zero_copy_only=False).astype(bool), sizes)
+        ids = table.column("ids").combine_chunks().flatten().to_numpy()
         x = _vectors(table.column("x"), len(ids))
         q, t = np.flatnonzero(ask), np.flatnonzero(~ask)
-        reach = table.column("reach").to_numpy()[q]
+        reach = table.column("reach").combine_chunks().flatten().to_numpy()[q]
         if len(q):
             cell, lo, hi = (table.column(c)[0].as_py() for c in ("cell2", "lo2", "hi2"))
             far = _distances(x[q], pivots[cell : cell + 1])[:, 0]
@@ -134,7 +134,7 @@ def knn(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
             q, reach = q[may], reach[may]
         return pa.table(dict(zip(("vertex", "nbr", "dist"), _near(ids, x, q, t, k, reach))))
 
-    near = left.unionByName(right).groupBy("q", "t").applyInArrow(compare, "vertex long, nbr long, dist double")
+    near = both.groupBy("q", "t").applyInArrow(compare, "vertex long, nbr long, dist double")
     return _ranked(near, k)
 
 

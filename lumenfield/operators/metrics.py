@@ -22,6 +22,24 @@ def recovery(rows: DataFrame) -> DataFrame:
     )
 
 
+def boundary_rmse(rows: DataFrame, kind: str, coordinate: str, width: float | None = None) -> DataFrame:
+    """One row (boundary_rmse) of (y_true, y_hat) near the ends: on a circle within ``width`` (0.25) of angle 0, on a line within the
+    share ``width`` (0.1) of its range from either end; null where there is no such row or no range."""
+    if kind == "circle":
+        at = F.pmod(F.col(coordinate), F.lit(2 * np.pi))
+        near = (at <= (width or 0.25)) | (at >= 2 * np.pi - (width or 0.25))
+    elif kind == "line":
+        lo, hi = rows.agg(F.min(coordinate), F.max(coordinate)).first()
+        if lo is None or hi - lo <= np.sqrt(TINY):
+            return rows.agg(F.lit(None).cast("double").alias("boundary_rmse"))
+        margin = (width or 0.1) * (hi - lo)
+        near = (F.col(coordinate) <= lo + margin) | (F.col(coordinate) >= hi - margin)
+    else:
+        raise ValueError("kind must be circle or line")
+    r = F.col("y_hat") - F.col("y_true")
+    return rows.where(near).agg(F.sqrt(F.avg(r * r)).alias("boundary_rmse"))
+
+
 def column_scales(rows: DataFrame, column: str, value: str) -> DataFrame:
     """(column, scale): 1.4826 MAD, or the standard deviation where that vanishes, or 1."""
     med = orders.by_group(rows, column, value, 0.5, "m").join(rows.groupBy(column).agg(F.stddev_samp(value).alias("sd")), column)

@@ -137,15 +137,31 @@ def cluster_max(stat: DataFrame, edges: DataFrame, threshold: float, vertices: D
     return per.agg(F.coalesce(F.max("n"), F.lit(0)).alias("max_size"), F.coalesce(F.max("mass"), F.lit(0.0)).alias("max_mass"))
 
 
-def local_slope(y: DataFrame, z: DataFrame, edges: DataFrame) -> DataFrame:
-    """(vertex, slope): dz / dy along the edge of steepest ascent of y; 0 where no neighbour is higher."""
+SLOPES = ("gradient", "normalized", "sign", "neighborhood")
+
+
+def local_slope(y: DataFrame, z: DataFrame, edges: DataFrame, kind: str = "gradient", by_length: bool = False) -> DataFrame:
+    """(vertex, slope): dz / dy along the edge of steepest ascent of y, bounded by tanh, or its sign; 0 where no neighbour is higher.
+
+    Kind neighborhood regresses the changes of z on those of y over all edges, weighed by 1 / length^2 with ``by_length``; 0 where y
+    does not change.
+    """
     from .graph import directed
 
+    if kind not in SLOPES:
+        raise ValueError(f"kind must be in {SLOPES}")
     near = directed(edges, "length").join(y.select("vertex", "y"), "vertex").join(z.select("vertex", F.col("y").alias("z")), "vertex")
     near = near.join(y.select(F.col("vertex").alias("nbr"), F.col("y").alias("yn")), "nbr").join(z.select(F.col("vertex").alias("nbr"), F.col("y").alias("zn")), "nbr")
-    near = near.select("vertex", "nbr", (F.col("yn") - F.col("y")).alias("dy"), (F.col("zn") - F.col("z")).alias("dz"))
+    w = 1 / (F.col("length") * F.col("length")) if by_length else F.lit(1.0)
+    near = near.select("vertex", "nbr", (F.col("yn") - F.col("y")).alias("dy"), (F.col("zn") - F.col("z")).alias("dz"), w.alias("w"))
+    if kind == "neighborhood":
+        square = F.sum(F.col("w") * F.col("dy") * F.col("dy"))
+        found = near.groupBy("vertex").agg(F.when(square > 1e-15, F.sum(F.col("w") * F.col("dy") * F.col("dz")) / square).alias("slope"))
+        return y.select("vertex").join(found, "vertex", "left").fillna(0.0, ["slope"])
     best = near.groupBy("vertex").agg(F.max_by(F.struct("dy", "dz"), F.struct("dy", -F.col("nbr"))).alias("e"))
-    return y.select("vertex").join(best, "vertex", "left").select("vertex", F.when(F.col("e.dy") > 0, F.col("e.dz") / F.col("e.dy")).otherwise(0.0).alias("slope"))
+    ratio = F.col("e.dz") / F.col("e.dy")
+    slope = F.signum("e.dz") if kind == "sign" else F.tanh(ratio) if kind == "normalized" else ratio
+    return y.select("vertex").join(best, "vertex", "left").select("vertex", F.when(F.col("e.dy") > 0, slope).otherwise(0.0).alias("slope"))
 
 
 def local_correlation(y: DataFrame, z: DataFrame, edges: DataFrame, kind: str = "unit") -> DataFrame:

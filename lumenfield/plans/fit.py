@@ -27,6 +27,8 @@ class Fit:
     fitted: DataFrame  # vertex, y, y_hat, residual
     params: dict = field(default_factory=dict)
     history: list[dict] = field(default_factory=list)
+    posterior: DataFrame | None = None  # vertex, lower, upper, sd
+    extremality: DataFrame | None = None  # vertex, score, radius, size
 
     @property
     def weights(self) -> np.ndarray:
@@ -50,6 +52,7 @@ def fit(
     points: DataFrame | None, y: DataFrame, k: int = 5, n_eigenpairs: int = 10, filter: str = "heat_kernel", labeled: DataFrame | None = None, edges: DataFrame | None = None, measure: str = "counting",
     alpha: float = 1.5, max_iterations: int = 10, tolerance: float = 1e-4, patience: int = 4, check_connected: bool = True, pca_dim: int | None = None, variance_explained: float = 0.95,
     gamma: float = 0.0, t: float | None = None, pull: float | None = None, t_scale: float = 0.5, beta_scale: float = 0.1, update_t: bool = False,
+    with_posterior: int = 0, credible_level: float = 0.95, seed: int = 1, compute_extremality: bool = False, extremality_share: float = 0.9, max_hop: int = 30,
 ) -> Fit:
     """Graph, densities, operator, low spectrum, and the filter whose GCV is least.
 
@@ -60,6 +63,9 @@ def fit(
     diffuse (for time ``t``, pulled to uniform by ``pull``; from the spectral gap where these are None, and again in each
     round with ``update_t``) until the fitted values settle or GCV has not improved ``patience`` times. gamma above 0
     lowers the edge masses across which the fitted response changes; a negative one is chosen from a grid by GCV.
+
+    The fit carries intervals from ``with_posterior`` samples, and each vertex's extremality with the hops over which at least
+    ``extremality_share`` of it holds, when asked for.
     """
     if labeled is not None and gamma:
         raise ValueError("with labelled vertices gamma must be 0")
@@ -117,6 +123,14 @@ def fit(
         if not moving or iteration > max_iterations or change is not None and change < tolerance or worse >= patience:
             break
     best.history = history
+    if with_posterior:
+        from lumenfield.operators import resample
+
+        best.posterior = resample.posterior(best, y if labeled is None else y.join(labeled.select("vertex").distinct(), "vertex", "left_semi"), with_posterior, seed, credible_level)
+    if compute_extremality:
+        from lumenfield.plans import pipelines
+
+        best.extremality = pipelines.hop_extremality(best, extremality_share, max_hop)
     return best
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
+import warnings
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -79,19 +80,35 @@ def validated_graph(directed: DataFrame) -> DataFrame:
     return directed.where("vertex < nbr").select(F.col("vertex").alias("i"), F.col("nbr").alias("j"), "length")
 
 
-def cached(spark: SparkSession, path: str, mode: str, make) -> DataFrame:
-    """A table kept as Parquet; mode is none, read, write or readwrite."""
+def fingerprint(df: DataFrame) -> int:
+    """A number that tells a table's rows from others', whatever their order."""
+    n, a, b = df.select(F.xxhash64(*df.columns).alias("a"), F.xxhash64(F.lit("second"), *df.columns).alias("b")).agg(F.count("*"), F.bit_xor("a"), F.sum(F.col("b") % (1 << 31))).first()
+    return hash((n, a or 0, b or 0)) & ((1 << 62) - 1)
+
+
+def cached(spark: SparkSession, path: str, mode: str, make, of: DataFrame | None = None) -> DataFrame:
+    """A table kept as Parquet; mode is none, read, write or readwrite.
+
+    With ``of``, the table that it is made from, a fingerprint lies beside it: a cache of another table is made anew, or, in
+    mode read, a ValueError.
+    """
     if mode not in ("none", "read", "write", "readwrite"):
         raise ValueError(f"unknown cache mode {mode}")
+    mark = fingerprint(of) if of is not None and mode != "none" else None
     if mode in ("read", "readwrite"):
         try:
-            return spark.read.parquet(path)
+            if mark is None or [r.mark for r in spark.read.parquet(f"{path}.fingerprint").collect()] == [mark]:
+                return spark.read.parquet(path)
+            if mode == "read":
+                raise ValueError("the cache was made from another table")
         except AnalysisException:  # not written yet
             if mode == "read":
                 raise
     out = make()
     if mode in ("write", "readwrite"):
         out.write.mode("overwrite").parquet(path)
+        if mark is not None:
+            spark.createDataFrame([(mark,)], "mark long").write.mode("overwrite").parquet(f"{path}.fingerprint")
         return spark.read.parquet(path)
     return out
 
@@ -102,7 +119,10 @@ def lp_save(results: DataFrame, path: str) -> None:
 
 
 def lp_load(spark: SparkSession, path: str, p_values: list[float]) -> DataFrame:
-    """Only the partitions of the wanted p are read."""
+    """Only the partitions of the wanted p are read; a warning names those that are not there."""
+    missing = lp_missing(spark, path, p_values)
+    if missing:
+        warnings.warn(f"there are no results for p = {', '.join(map(str, missing))}")
     return spark.read.parquet(path).where(F.col("p").isin(p_values))
 
 

@@ -238,3 +238,47 @@ def test_fits_of_many_components_equal_single_fits(spark, monkeypatch):
         got = {r.vertex: r for r in pipelines.componentwise_fit(points, y, 4).collect()}
         assert len(got) == n and all(got[v].component == labels[v] for v in got)
         assert {v: got[v].y_hat for v in got} == pytest.approx(truth, abs=1e-8)
+
+
+def test_fits_carry_intervals_and_extremality(spark, model):
+    from lumenfield.operators import resample
+
+    fit, y, _ = model
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(np.random.default_rng(7).normal(size=(80, 3)))], "vertex long, x array<double>")
+    got = plans.fit(points, y, 5, 8, check_connected=False, with_posterior=40, seed=3, compute_extremality=True, extremality_share=0.6, max_hop=2)
+    assert np.allclose(got.posterior.orderBy("vertex").toPandas(), resample.posterior(fit, y, 40, 3).orderBy("vertex").toPandas())
+    assert np.allclose(got.extremality.orderBy("vertex").toPandas(), pipelines.hop_extremality(fit, 0.6, 2).orderBy("vertex").toPandas(), equal_nan=True)
+    assert fit.posterior is None and fit.extremality is None
+
+
+def test_caches_of_other_tables_and_missing_results_are_told(spark, tmp_path):
+    from lumenfield.sources import tables
+
+    a, b = spark.range(5), spark.range(1, 6)
+    assert tables.fingerprint(a) == tables.fingerprint(a.repartition(3)) != tables.fingerprint(b)
+    path = str(tmp_path / "kept")
+    make = lambda df: lambda: df.select((F.col("id") * 2).alias("x"))
+    assert tables.cached(spark, path, "readwrite", make(a), a).agg(F.sum("x")).first()[0] == 20
+    with pytest.raises(ValueError, match="another table"):
+        tables.cached(spark, path, "read", make(b), b)
+    assert tables.cached(spark, path, "readwrite", make(b), b).agg(F.sum("x")).first()[0] == 30
+    assert tables.cached(spark, path, "read", make(b), b).count() == 5
+    tables.lp_save(spark.createDataFrame([(1, 0.5)], "v int, p double"), str(tmp_path / "lp"))
+    with pytest.warns(UserWarning, match="0.75"):
+        assert tables.lp_load(spark, str(tmp_path / "lp"), [0.5, 0.75]).count() == 1
+
+
+def test_slopes_and_errors_near_the_ends(spark, model):
+    from lumenfield.operators import metrics, resample
+
+    edges = spark.createDataFrame([(0, 1, 2.0), (1, 2, 1.0), (3, 4, 1.0)], "i long, j long, length double")
+    y = spark.createDataFrame([(0, 1.0), (1, 3.0), (2, 6.0), (3, 1.0), (4, 1.0), (5, 0.0)], "vertex long, y double")
+    z = spark.createDataFrame([(0, 1.0), (1, 0.0), (2, 9.0), (3, 1.0), (4, 5.0), (5, 0.0)], "vertex long, y double")
+    at = lambda *a: [r.slope for r in resample.local_slope(y, z, edges, *a).orderBy("vertex").collect()]
+    assert at() == [-0.5, 3.0, 0, 0, 0, 0] and at("sign") == [-1, 1, 0, 0, 0, 0] and at("normalized")[1] == pytest.approx(np.tanh(3))
+    assert at("neighborhood") == pytest.approx([-0.5, 25 / 13, 3.0, 0, 0, 0])
+    assert at("neighborhood", True)[1] == pytest.approx(((-2) * 1 / 4 + 27) / (4 / 4 + 9))
+    line = spark.createDataFrame([(float(k), 0.0, float(k)) for k in range(11)], "c double, y_true double, y_hat double")
+    assert metrics.boundary_rmse(line, "line", "c").first()[0] == pytest.approx(np.sqrt((0 + 1 + 81 + 100) / 4))
+    assert metrics.boundary_rmse(line.where("c = 1"), "line", "c").first()[0] is None
+    assert metrics.boundary_rmse(line, "circle", "c", 0.5).first()[0] == pytest.approx(np.sqrt((0 + 36) / 2))
