@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lumenfield.functions import columns as fx
 from lumenfield.functions import orders
-from lumenfield.operators import draws, extrema, graph, logit, meanshift, measures, metrics, resample, spectral, walks
+from lumenfield.operators import draws, extrema, graph, logit, meanshift, measures, metrics, resample, spectral, splines, walks
 from lumenfield.oracles import sql
 from lumenfield.plans import fit as plans
 from lumenfield.plans import pipelines
@@ -580,7 +580,7 @@ def refit_columns(spark, sf_dir):
 @query()
 def gcv_spline(spark, sf_dir):
     by_user = values(spark, sf_dir).groupBy(F.col("user_id").cast("double").alias("x")).agg(F.avg("value").alias("y"))
-    return spark.createDataFrame(metrics.spline(by_user), "x double, fit double, lower double, upper double")
+    return splines.spline(by_user)
 
 
 @query(sql("SELECT k, round(score, 6) AS score FROM (SELECT user_id::BIGINT AS k, avg(value) AS score FROM vals GROUP BY user_id) ORDER BY abs(k - 77), k LIMIT 1"))

@@ -133,38 +133,3 @@ def pca(points: DataFrame, variance: float = 0.95, limit: int = 50) -> tuple[Dat
     centre = F.array(*map(F.lit, mean.tolist()))
     score = lambda v: F.aggregate(F.zip_with(F.zip_with("x", centre, lambda a, b: a - b), F.array(*map(F.lit, v.tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     return points.select("vertex", F.array(*[score(vectors[:, c]) for c in range(q)]).alias("x")), share.tolist()
-
-
-def spline(rows: DataFrame, penalty: float | None = None) -> list[tuple[float, float, float, float]]:
-    """(x, fit, lower, upper) on a grid: a penalised natural cubic spline of the mean y by distinct x, its penalty by GCV.
-
-    For curves with few distinct x, such as a score by parameter value; at least four are needed.
-    """
-    got = rows.groupBy("x").agg(F.avg("y").alias("y"), F.count("*").alias("w")).orderBy("x").limit(5001).collect()
-    if len(got) < 4 or len(got) > 5000:
-        raise ValueError("between 4 and 5000 distinct x are needed")
-    x, y, w = (np.array([r[c] for r in got], float) for c in ("x", "y", "w"))
-    h = np.diff(x)
-    n = len(x)
-    q, r = np.zeros((n, n - 2)), np.zeros((n - 2, n - 2))
-    for j in range(n - 2):
-        q[j, j], q[j + 1, j], q[j + 2, j] = 1 / h[j], -1 / h[j] - 1 / h[j + 1], 1 / h[j + 1]
-        r[j, j] = (h[j] + h[j + 1]) / 3
-        if j:
-            r[j, j - 1] = r[j - 1, j] = h[j] / 6
-    rough = q @ np.linalg.solve(r, q.T)
-    best = None
-    for lam in [penalty] if penalty is not None else np.geomspace(1e-8, 1e4, 49) * (x[-1] - x[0]) ** 3:
-        s = np.linalg.solve(np.diag(w) + lam * rough, np.diag(w))
-        fit = s @ y
-        score = (w * (y - fit) ** 2).sum() / max(n - np.trace(s), 1e-10) ** 2
-        if best is None or score < best[0]:
-            best = (score, fit)
-    fit = best[1]
-    m = np.concatenate([[0], np.linalg.solve(r, q.T @ fit), [0]])
-    grid = np.linspace(x[0], x[-1], max(200, 5 * n))
-    k = np.clip(np.searchsorted(x, grid) - 1, 0, n - 2)
-    a, b = (x[k + 1] - grid) / h[k], (grid - x[k]) / h[k]
-    value = a * fit[k] + b * fit[k + 1] + ((a**3 - a) * m[k] + (b**3 - b) * m[k + 1]) * h[k] ** 2 / 6
-    band = 1.96 * float(np.sqrt(np.mean((y - fit) ** 2)))
-    return [(float(g), float(v), float(v - band), float(v + band)) for g, v in zip(grid, value)]

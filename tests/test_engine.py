@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumenfield import catalog
 from lumenfield.functions import columns as fx
 from lumenfield.functions import orders
-from lumenfield.operators import draws as arrays, extrema, graph, logit, meanshift, measures, metrics, resample, spectral, walks
+from lumenfield.operators import draws as arrays, extrema, graph, logit, meanshift, measures, metrics, resample, spectral, splines, walks
 from lumenfield.plans import fit as plans
 from lumenfield.plans import pipelines
 from lumenfield.sources import tables
@@ -368,9 +368,9 @@ def test_ties_pca_spline(spark):
     got = np.array([r.x for r in scores.orderBy("vertex").collect()])
     assert np.allclose((got**2).sum(0), s[: got.shape[1]]) and np.cumsum(s)[got.shape[1] - 1] / s.sum() >= 0.8
     line = spark.createDataFrame([(float(k), 2.0 * k + 1) for k in range(10)], "x double, y double")
-    assert all(v == pytest.approx(2 * g + 1, abs=1e-6) for g, v, _, _ in metrics.spline(line))
+    assert all(v == pytest.approx(2 * g + 1, abs=1e-6) for g, v, _, _ in splines.spline(line).collect())
     with pytest.raises(ValueError):
-        metrics.spline(line.limit(3))
+        splines.spline(line.limit(3))
 
 
 @pytest.mark.parametrize("method", sorted(meanshift.METHODS))
