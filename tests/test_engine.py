@@ -514,6 +514,27 @@ def test_implicit_steps_equal_dense_algebra(spark, monkeypatch, limit):
     assert sorted(map(tuple, walks.heat(lap, table, 0.0).collect())) == sorted(map(tuple, table.collect()))
 
 
+@pytest.mark.parametrize("spread", [0.0, 8.0])
+def test_solves_by_products_equal_dense_algebra(spark, monkeypatch, spread):
+    rng = np.random.default_rng(5)
+    n = 400
+    c = np.zeros((n, n))
+    for i, j in [(i, i + 1) for i in range(n - 1)] + [tuple(sorted(p)) for p in rng.integers(0, n, (300, 2)) if p[0] != p[1]]:
+        c[i, j] = c[j, i] = rng.uniform(0.5, 2)
+    mass = 10 ** rng.uniform(-spread, 0, n)  # as of densities at their floor
+    a = (np.diag(c.sum(1)) - c) / np.sqrt(np.outer(mass, mass))
+    b = rng.normal(size=n)
+    lap = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "i long, j long, val double")
+    table = spark.createDataFrame([(i, float(v)) for i, v in enumerate(b)], "vertex long, x double")
+    monkeypatch.setattr(spectral, "DENSE", 0)
+    got = np.array([r.x for r in spectral.solve(lap, table, 1.0, 3.0, rounds=60).orderBy("vertex").collect()])
+    full = np.eye(n) + 3 * a
+    assert np.linalg.norm(full @ got - b) <= 2e-8 * np.linalg.norm(b)
+    assert np.allclose(got, np.linalg.solve(full, b), atol=1e-6)
+    with pytest.raises(RuntimeError, match="residual"):
+        spectral.solve(lap, table, 1.0, 3.0, rounds=1)
+
+
 def test_lazy_walk_by_hand(spark):
     _, _, edges = path_laplacian(spark, 3)
     rho = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 0.0), (9, 1.0)], "vertex long, rho double")
