@@ -40,7 +40,7 @@ def spectrum(lap: DataFrame, m: int, dense_limit: int = DENSE) -> Spectrum:
     n = lap.select("i").distinct().count()
     m = min(m, n)
     if n > dense_limit:
-        return lanczos(lap, m)
+        return lowest(lap, m) if n > 5 * (m + 4) else lanczos(lap, m)
     ids, a = dense(lap)
     values, vectors = np.linalg.eigh((a + a.T) / 2)
     table = lap.sparkSession.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors[:, :m])], "vertex long, v array<double>")
@@ -172,6 +172,119 @@ def lanczos(lap: DataFrame, m: int, block: int = 4, tolerance: float = 1e-6, lim
         basis = later
 
 
+def _blocks(matrix: DataFrame, state: DataFrame, carried: list[str], x: str, name: str, width: int) -> DataFrame:
+    """The product of the matrix with the array column ``x``; its diagonal, which must be whole, carries other array columns."""
+    rows = matrix.join(state.withColumnRenamed("vertex", "j"), "j")
+    own = [F.array(*[F.sum(F.when(F.col("i") == F.col("j"), F.col(c)[k])) for k in range(width)]).alias(c) for c in carried]
+    return rows.groupBy(F.col("i").alias("vertex")).agg(*own, F.array(*[F.sum(F.col("val") * F.col(x)[k]) for k in range(width)]).alias(name))
+
+
+def _each(f, *columns: str) -> Column:
+    """A function of the elements of two array columns."""
+    return F.zip_with(*columns, f)
+
+
+def _pairs_of(bases: list[str], lam: np.ndarray):
+    """A kernel for mapInArrow: B'B, B'AB and the squared norms of A X - X lam, one row of partial sums a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            b = np.hstack([_rows(batch.column(c)) for c in bases])
+            ab = np.hstack([_rows(batch.column("a" + c)) for c in bases])
+            rest = ab[:, : len(lam)] - b[:, : len(lam)] * lam
+            part = np.concatenate([(b.T @ b).ravel(), (b.T @ ab).ravel(), (rest * rest).sum(0)])
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["s"])
+
+    return run
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(x).ravel()))
+
+
+def _turned(bases: list[str], mix: np.ndarray, lam: np.ndarray):
+    """A kernel for mapInArrow: the block X of the mixed bases, the direction P that it moved by, their products, and what is left of A X."""
+    width = len(lam)
+    way = mix.copy()
+    way[:width] = 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            b = np.hstack([_rows(batch.column(c)) for c in bases])
+            ab = np.hstack([_rows(batch.column("a" + c)) for c in bases])
+            x, ax, d = b @ mix, ab @ mix, batch.column("d").to_numpy()
+            out = [_lists(v) for v in (x, ax, b @ way, ab @ way, (ax - x * lam) / d[:, None])]
+            yield pa.RecordBatch.from_arrays([batch.column("vertex"), batch.column("d"), *out], ["vertex", "d", "x", "ax", "p", "ap", "r"])
+
+    return run
+
+
+def lowest(lap: DataFrame, m: int, tolerance: float = 1e-6, rounds: int = 100, guard: int = 4) -> Spectrum:
+    """The m smallest eigenpairs of a positive semidefinite operator, by locally optimal blocks with a preconditioner.
+
+    A block of m + guard vectors moves to the best of what it, its preconditioned residuals and its last step span. The
+    preconditioner is the polynomial of ``solve`` on the operator scaled to a unit diagonal, so that densities at their floor do no
+    harm. A round is PRODUCTS products in one job, one table and one aggregation; the driver holds matrices of three
+    times the block's width. It ends when m residuals are at most ``tolerance`` (or rounding at the operator's
+    norm), measured by a product; RuntimeError after ``rounds``.
+    """
+    ids = lap.select(F.col("i").alias("vertex")).distinct()
+    matrix, size, top = scaled(lap, ids, 0.0)
+    norm = lap.groupBy("i").agg(F.sum(F.abs("val")).alias("s")).agg(F.max("s")).first()[0]
+    allowed, width = max(tolerance, 64 * np.finfo(float).eps * norm), m + guard
+    middle, half = _span(top)
+
+    def with_product(block: DataFrame) -> DataFrame:
+        """(vertex, d, x, ax) for (vertex, d, x)."""
+        u = block.select("vertex", F.transform("x", lambda v: v * F.col("d")).alias("u"))
+        got = _blocks(matrix, u, [], "u", "ax", width)
+        return _checkpointed(block.join(got, "vertex").select("vertex", "d", "x", F.transform("ax", lambda v: v * F.col("d")).alias("ax")))
+
+    start = size.withColumn("x", F.array(*[uniform(F.lit("block"), F.lit(k), F.col("vertex")) - 0.5 for k in range(width)]))
+    state, bases, lam, worst = with_product(start), ["x"], np.zeros(width), np.inf
+    for _ in range(rounds):
+        kernel = _pairs_of(bases, lam)
+        n = width * len(bases)
+        sums = np.sum([r.s for r in state.select(*bases, *["a" + b for b in bases]).mapInArrow(kernel, "s array<double>").collect()], axis=0)
+        g, h, left = sums[: n * n].reshape(n, n), sums[n * n : 2 * n * n].reshape(n, n), np.sqrt(sums[2 * n * n :])
+        if len(bases) > 1 and left[:m].max() <= allowed:
+            out = _checkpointed(state.select("vertex", F.slice("x", 1, m).alias("v")))
+            worst = residuals(lap, out, lam[:m]).max()
+            if worst <= 10 * allowed:
+                return Spectrum(lam[:m], out)
+            state, bases = with_product(state.select("vertex", "d", "x")), ["x"]  # products drifted: begin anew from here
+            continue
+        worst = left[:m].max()
+        scale = 1 / np.sqrt(np.maximum(np.diag(g), np.finfo(float).tiny))
+        values, u = np.linalg.eigh(g * np.outer(scale, scale))
+        keep = values > 1e-12 * values.max()
+        z = scale[:, None] * u[:, keep] / np.sqrt(values[keep])
+        lam, y = np.linalg.eigh(z.T @ (h + h.T) @ z / 2)
+        lam, mix = lam[:width], z @ y[:, :width]
+        moved = state.mapInArrow(_turned(bases, mix, lam), "vertex long, d double, x array<double>, ax array<double>, p array<double>, ap array<double>, r array<double>")
+        first = len(bases) == 1
+        now = moved.select("vertex", "r", F.transform("r", lambda v: v / middle).alias("u")).withColumn("c", F.col("u"))
+        turn = half / middle
+        for _ in range(PRODUCTS - 1):
+            after = 1 / (2 * middle / half - turn)
+            now = _blocks(matrix, now, ["r", "u", "c"], "u", "au", width).withColumn("e", _each(lambda a, b: 2 * after / half * (a - b), "r", "au"))  # noqa: B023
+            now = now.withColumn("c", _each(lambda a, b: after * turn * a + b, "c", "e")).withColumn("u", _each(lambda a, b: a + b, "u", "c")).select("vertex", "r", "u", "c")  # noqa: B023
+            turn = after
+        now = _blocks(matrix, now, ["u"], "u", "au", width)
+        kept = ["x", "ax"] if first else ["x", "ax", "p", "ap"]
+        both = moved.select("vertex", "d", *kept).join(now, "vertex")
+        state = _checkpointed(both.select("vertex", "d", *kept, F.transform("u", lambda v: v / F.col("d")).alias("w"), F.transform("au", lambda v: v * F.col("d")).alias("aw")))
+        bases = ["x", "w"] if first else ["x", "w", "p"]
+    raise RuntimeError(f"{m} eigenpairs have residuals up to {worst:.3g} after {rounds} rounds")
+
+
 def _mixed(basis: DataFrame, y: np.ndarray) -> DataFrame:
     """(vertex, v): combinations of the basis."""
 
@@ -267,6 +380,24 @@ def zero_modes(lap: DataFrame, root: DataFrame, tolerance: float = 1e-10) -> int
 PRODUCTS = 4
 
 
+def scaled(lap: DataFrame, vertices: DataFrame, a: float) -> tuple[DataFrame, DataFrame, float]:
+    """(D^-1/2 (a I + L) D^-1/2 with a whole diagonal, (vertex, d) with the roots of its diagonal D, a bound of its eigenvalues).
+
+    A vertex whose diagonal is zero keeps d = 1. Badly scaled operators, as of densities at their floor, become tame by it.
+    """
+    unit = vertices.select(F.col("vertex").alias("i"), F.col("vertex").alias("j"), F.lit(float(a)).alias("val"))
+    rows = _checkpointed(lap.select("i", "j", "val").unionByName(unit).groupBy("i", "j").agg(F.sum("val").alias("val")))
+    size = rows.where("i = j").select(F.col("i").alias("vertex"), F.sqrt(F.when(F.col("val") > 0, F.col("val")).otherwise(1.0)).alias("d"))
+    ends = rows.join(size.select(F.col("vertex").alias("i"), F.col("d").alias("di")), "i").join(size.select(F.col("vertex").alias("j"), F.col("d").alias("dj")), "j")
+    matrix = _checkpointed(ends.select("i", "j", (F.col("val") / F.col("di") / F.col("dj")).alias("val")))
+    return matrix, size, matrix.groupBy("i").agg(F.sum(F.abs("val")).alias("s")).agg(F.max("s")).first()[0]
+
+
+def _span(top: float) -> tuple[float, float]:
+    """Middle and half width of the part of (0, top] on which the polynomials are small."""
+    return top * (1 + 1 / 30) / 2, top * (1 - 1 / 30) / 2
+
+
 def _beside(matrix: DataFrame, state: DataFrame, x: str, name: str) -> DataFrame:
     """``state`` with the product of the matrix and its column ``x``; the diagonal, which must be whole, carries the other columns,
     so that a product stays one join and one aggregation however many follow each other."""
@@ -293,17 +424,11 @@ def solve(lap: DataFrame, b: DataFrame, a: float, t: float, tolerance: float = 1
         full[np.ix_(spot, spot)] += t * matrix
         x = np.linalg.solve(full, right[order])
         return b.sparkSession.createDataFrame([(int(i), float(v)) for i, v in zip(at[order], x)], "vertex long, x double")
-    unit = b.select(F.col("vertex").alias("i"), F.col("vertex").alias("j"), F.lit(float(a)).alias("val"))
-    rows = lap.select("i", "j", (t * F.col("val")).alias("val")).unionByName(unit).groupBy("i", "j").agg(F.sum("val").alias("val"))
-    rows = _checkpointed(rows)
-    size = rows.where("i = j").select(F.col("i").alias("vertex"), F.sqrt("val").alias("d"))
-    ends = rows.join(size.select(F.col("vertex").alias("i"), F.col("d").alias("di")), "i").join(size.select(F.col("vertex").alias("j"), F.col("d").alias("dj")), "j")
-    matrix = _checkpointed(ends.select("i", "j", (F.col("val") / F.col("di") / F.col("dj")).alias("val")))
-    top = matrix.groupBy("i").agg(F.sum(F.abs("val")).alias("s")).agg(F.max("s")).first()[0]
+    matrix, size, top = scaled(lap.select("i", "j", (t * F.col("val")).alias("val")), b.select("vertex"), a)
     nought = F.lit(0.0)
     state = _checkpointed(b.join(size, "vertex").select("vertex", "d", (F.col("x") / F.col("d")).alias("y"), nought.alias("x")))
     first = state.agg(F.sum(F.pow(F.col("y") * F.col("d"), 2))).first()[0] or 0.0
-    middle, half = top * (1 + 1 / 30) / 2, top * (1 - 1 / 30) / 2
+    middle, half = _span(top)
     left, done, starts = first, 0, 0
     while True:
         # from the residual as a product tells it

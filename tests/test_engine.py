@@ -514,6 +514,27 @@ def test_implicit_steps_equal_dense_algebra(spark, monkeypatch, limit):
     assert sorted(map(tuple, walks.heat(lap, table, 0.0).collect())) == sorted(map(tuple, table.collect()))
 
 
+@pytest.mark.parametrize("spread", [0.0, 8.0])
+def test_lowest_pairs_of_tame_and_badly_scaled_operators(spark, spread):
+    rng = np.random.default_rng(3)
+    n, m = 240, 6
+    c = np.zeros((n, n))
+    at = rng.normal(size=(n, 3))
+    at[200:] += 50  # a component of its own: zero is there twice
+    for i in range(n):
+        for j in np.argsort(((at - at[i]) ** 2).sum(1))[1:7]:
+            c[i, j] = c[j, i] = rng.uniform(0.5, 2)
+    mass = 10 ** rng.uniform(-spread, 0, n)
+    a = (np.diag(c.sum(1)) - c) / np.sqrt(np.outer(mass, mass))
+    lap = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "i long, j long, val double")
+    low = spectral.lowest(lap, m)
+    assert np.allclose(low.values, np.linalg.eigvalsh(a)[:m], atol=1e-6)
+    v = np.array([r.v for r in low.vectors.orderBy("vertex").collect()])
+    assert v.shape == (n, m) and np.allclose(v.T @ v, np.eye(m), atol=1e-6)
+    with pytest.raises(RuntimeError, match="residuals"):
+        spectral.lowest(lap, m, rounds=3)
+
+
 @pytest.mark.parametrize("spread", [0.0, 8.0])
 def test_solves_by_products_equal_dense_algebra(spark, monkeypatch, spread):
     rng = np.random.default_rng(5)
