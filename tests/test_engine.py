@@ -696,3 +696,11 @@ def test_one_logistic_fit_over_a_table_equals_the_grouped_one(spark):
         group = logit.iwls(rows, "g", quadratic).orderBy("x").toPandas()
         for c in ("prediction", "loo_brier", "loo_deviance"):
             assert np.allclose(one[c], group[c], atol=1e-5), c
+
+
+def test_kernels_of_a_value_of_zero(spark, tmp_path):
+    rows = [(1, 7, 0.0), (2, 7, 20.0), (3, 8, 80.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r for r in catalog.kernel_eval(spark, str(tmp_path)).collect()}
+    assert [got[e].hyperbolic for e in (1, 2, 3)] == [math.inf, 2.0, 0.5]
+    assert got[1].epanechnikov == got[1].cosine == 1.0 and got[3].epanechnikov == 0.0
