@@ -698,6 +698,36 @@ def test_one_logistic_fit_over_a_table_equals_the_grouped_one(spark):
             assert np.allclose(one[c], group[c], atol=1e-5), c
 
 
+@pytest.mark.parametrize("spread", [0.0, 2.0])
+def test_operators_between_dense_and_joined_sizes_are_solved_in_one_kernel(spark, monkeypatch, spread):
+    rng = np.random.default_rng(11)
+    n, m = 360, 6
+    c = np.zeros((n, n))
+    part = np.zeros((n // 3, n // 3))
+    for i, j in [(i, i + 1) for i in range(n // 3 - 1)] + [tuple(sorted(p)) for p in rng.integers(0, n // 3, (200, 2)) if p[0] != p[1]]:
+        part[i, j] = part[j, i] = rng.uniform(0.5, 2)
+    for k in range(3):  # three equal components: every eigenvalue is there three times
+        c[k * n // 3 : (k + 1) * n // 3, k * n // 3 : (k + 1) * n // 3] = part
+    mass = np.tile(10 ** rng.uniform(-spread, 0, n // 3), 3)
+    a = (np.diag(c.sum(1)) - c) / np.sqrt(np.outer(mass, mass))
+    lap = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "i long, j long, val double")
+
+    def joins(*args, **kwargs):
+        raise AssertionError("products by joins")
+
+    for name in ("lowest", "lanczos", "scaled"):
+        monkeypatch.setattr(spectral, name, joins)
+    low = spectral.spectrum(lap, m, dense_limit=n - 100)
+    assert np.allclose(low.values, np.linalg.eigvalsh(a)[:m], atol=1e-6)
+    v = np.array([r.v for r in low.vectors.orderBy("vertex").collect()])
+    assert np.allclose(v.T @ v, np.eye(m), atol=1e-6) and np.abs(a @ v - v * low.values).max() <= 1e-5
+    monkeypatch.setattr(spectral, "DENSE", n - 100)
+    b = rng.normal(size=n + 1)  # the last vertex is in no row of the operator
+    table = spark.createDataFrame([(i, float(x)) for i, x in enumerate(b)], "vertex long, x double")
+    got = np.array([r.x for r in spectral.solve(lap, table, 1.0, 3.0).orderBy("vertex").collect()])
+    assert np.allclose(got, np.append(np.linalg.solve(np.eye(n) + 3 * a, b[:n]), b[n]), atol=1e-8)
+
+
 def test_kernels_of_a_value_of_zero(spark, tmp_path):
     rows = [(1, 7, 0.0), (2, 7, 20.0), (3, 8, 80.0)]
     spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
