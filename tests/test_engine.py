@@ -734,3 +734,21 @@ def test_kernels_of_a_value_of_zero(spark, tmp_path):
     got = {r.event_id: r for r in catalog.kernel_eval(spark, str(tmp_path)).collect()}
     assert [got[e].hyperbolic for e in (1, 2, 3)] == [math.inf, 2.0, 0.5]
     assert got[1].epanechnikov == got[1].cosine == 1.0 and got[3].epanechnikov == 0.0
+
+
+def test_triangles_carry_the_mass_of_their_members(spark):
+    rng = np.random.default_rng(4)
+    pairs = sorted({tuple(sorted(map(int, p))) for p in rng.integers(0, 14, (60, 2)) if p[0] != p[1]})
+    held = {v: {v, *map(int, rng.integers(0, 14, 4))} for v in range(14)}
+    w = {v: 0.5 + v for v in range(14)}
+    edges = spark.createDataFrame(pairs, "i long, j long")
+    sets = spark.createDataFrame([(v, m) for v in held for m in held[v]], "vertex long, member long")
+    found = graph.triangles(edges, sets, spark.createDataFrame(list(w.items()), "vertex long, w double"))
+    want = {}
+    for a, b, c in [(a, b, c) for a, b in pairs for c in range(b + 1, 14) if (a, c) in pairs and (b, c) in pairs]:
+        common = held[a] & held[b] & held[c]
+        if common:
+            want[a, b, c] = (len(common), sum(w[m] for m in common))
+    got = {(r.v0, r.v1, r.v2): (r.isize, r.mass) for r in found.collect()}
+    assert got == want and len(got) > 3
+    assert {tuple(r) for r in graph.triangles(edges, sets).collect()} == {(*k, n) for k, (n, _) in want.items()}
