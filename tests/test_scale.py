@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfield.functions import orders
-from lumenfield.operators import extrema, graph, resample
+from lumenfield.operators import extrema, graph, resample, spectral
 
 
 @contextlib.contextmanager
@@ -95,6 +95,32 @@ def test_partial_neighbours_of_clustered_points_grow_with_the_points(spark, monk
     assert made[1] / made[0] < 5**1.4
 
 
+def test_points_that_nothing_prunes_travel_as_often_whatever_their_number(spark):
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    made = []
+    for n in (4_000, 20_000):
+        x = np.random.default_rng(n).normal(size=(n, 32))
+        points = spectral._checkpointed(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vertex long, x array<double>"))
+        before = written()
+        got = graph.knn(points, 3).collect()
+        made.append(written() - before)
+        some = [r for r in got if r.vertex % 997 == 0]
+        for v in {r.vertex for r in some}:
+            d = np.sqrt(((x - x[v]) ** 2).sum(1))
+            assert [r.nbr for r in sorted(some, key=lambda r: r.rank) if r.vertex == v] == np.lexsort((np.arange(n), d))[:3].tolist()
+    assert made[1] / made[0] < 5 * 1.3
+
+
+def test_neighbours_at_extreme_scales(spark):
+    rng = np.random.default_rng(3)
+    for scale, shift in ((1e-25, 0.0), (1e25, 0.0), (1.0, 1e7)):
+        x = rng.normal(size=(900, 5)) * scale + shift
+        points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vertex long, x array<double>")
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        want = {(i, r): int(j) for i in range(len(x)) for r, j in enumerate(np.lexsort((np.arange(len(x)), d[i]))[:4])}
+        assert {(r.vertex, r.rank): r.nbr for r in graph.knn(points, 4, 100).collect()} == want
+
+
 def test_a_vertex_near_all_others_is_dealt_to_blocks(spark):
     n = 600
     near = spark.createDataFrame([(k, 0, 1.0 + k) for k in range(n)] + [(k, k, 0.0) for k in range(1, n)], "vertex long, nbr long, dist double")
