@@ -121,6 +121,22 @@ def test_neighbours_at_extreme_scales(spark):
         assert {(r.vertex, r.rank): r.nbr for r in graph.knn(points, 4, 100).collect()} == want
 
 
+def test_edges_with_a_short_way_of_two_need_no_frontier(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(600, 16))
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vertex long, x array<double>")
+    edges = spectral._checkpointed(graph.iknn(graph.knn(points, 7)))
+    rows, plain = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: (rows.append(df.count() if "way" in df.columns else 0), plain(df))[1])
+    left = graph.prune_long_ways(edges, 0.1).count()
+    assert 0 < left < edges.count() / 2
+    assert 0 < sum(rows) < edges.count()
+
+
+def test_edges_without_length_stay(spark):
+    edges = spark.createDataFrame([(1, 2, 0.0), (1, 3, 1.0), (2, 3, 1.0), (3, 4, 0.5), (1, 4, 1.5)], "i long, j long, length double")
+    assert sorted((r.i, r.j) for r in graph.prune_long_ways(edges, 0.1).collect()) == [(1, 2), (3, 4)]
+
+
 def test_a_vertex_near_all_others_is_dealt_to_blocks(spark):
     n = 600
     near = spark.createDataFrame([(k, 0, 1.0 + k) for k in range(n)] + [(k, k, 0.0) for k in range(1, n)], "vertex long, nbr long, dist double")
