@@ -86,12 +86,19 @@ def smooth(
     density_k = density_k or k
     d = len(points.first().x)
     origin = now = _checkpointed(points.select("vertex", "x"))
-    weights = _checkpointed(neighbour_weights(graph.knn(now, k + 1), kernel_name))
-    out, medians = now.withColumn("step", F.lit(0)), [median_kdistance(now, density_k)]
+
+    def measured(now: DataFrame) -> tuple[DataFrame, float]:
+        """Neighbours, which serve both the weights and the median k-distance."""
+        near = _checkpointed(graph.knn(now, max(k + 1, density_k)))
+        return near, orders.median(near.where(F.col("rank") == density_k - 1), "dist")
+
+    near, median = measured(now)
+    weights = _checkpointed(neighbour_weights(near.where(F.col("rank") <= k), kernel_name))
+    out, medians = now.withColumn("step", F.lit(0)), [median]
     state = now.select("vertex", F.lit(size).alias("s"), F.array(*[F.lit(0.0)] * d).alias("before"))
     for t in range(1, steps + 1):
         if again and t > 1:
-            weights = _checkpointed(neighbour_weights(graph.knn(now, k + 1), kernel_name))
+            weights = _checkpointed(neighbour_weights(near.where(F.col("rank") <= k), kernel_name))
         if adaptive and not again:
             far = weights.join(origin.select(F.col("vertex").alias("nbr"), F.col("x").alias("xn")), "nbr")
             field = now.join(_mean(far, "vertex", "xn", "w", d, "m"), "vertex").select("vertex", "x", _unit(F.zip_with("m", "x", lambda m, x: m - x)).alias("g"))
@@ -106,7 +113,8 @@ def smooth(
         moved = _checkpointed(moved.select("vertex", F.zip_with("x", "g", lambda x, g: x + g * F.col("s") * F.col("size")).alias("x"), "s", "before"))
         now, state = moved.select("vertex", "x"), moved.select("vertex", "s", "before")
         out = out.unionByName(now.withColumn("step", F.lit(t)))
-        medians.append(median_kdistance(now, density_k))
+        near, median = measured(now)
+        medians.append(median)
     return out, medians
 
 

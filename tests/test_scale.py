@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfield.functions import orders
-from lumenfield.operators import extrema, graph, resample, spectral
+from lumenfield.operators import extrema, graph, meanshift, resample, spectral
 
 
 @contextlib.contextmanager
@@ -137,6 +137,14 @@ def test_edges_without_length_stay(spark):
     assert sorted((r.i, r.j) for r in graph.prune_long_ways(edges, 0.1).collect()) == [(1, 2), (3, 4)]
 
 
+def test_mean_shift_searches_once_for_each_place_of_the_points(spark, monkeypatch):
+    calls, plain = [], graph.knn
+    monkeypatch.setattr(graph, "knn", lambda *a: (calls.append(a[1]), plain(*a))[1])
+    points = spark.createDataFrame([(k, [float(k % 5), float(k // 5) + k % 3 / 7]) for k in range(20)], "vertex long, x array<double>")
+    meanshift.smooth(points, k=3, steps=1, method="knn_adaptive_grad")
+    assert calls == [4, 4]
+
+
 def test_a_vertex_near_all_others_is_dealt_to_blocks(spark):
     n = 600
     near = spark.createDataFrame([(k, 0, 1.0 + k) for k in range(n)] + [(k, k, 0.0) for k in range(1, n)], "vertex long, nbr long, dist double")
