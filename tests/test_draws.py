@@ -186,6 +186,24 @@ def test_indefinite_systems_keep_the_least_residual(spark, monkeypatch):
     assert 0.1 < rough < 1
 
 
+def test_strong_edges_leave_low_eigenpairs_to_the_sparse_kernel(spark, monkeypatch):
+    rng, n, m = np.random.default_rng(3), 400, 6
+    a = np.zeros((n, n))
+    for i in range(n):
+        for j in rng.choice(n, 4, replace=False):
+            if i != j:
+                c = 10.0 ** rng.uniform(0, 6) if rng.random() < 0.3 else 1.0
+                a[i, j] -= c
+                a[j, i] -= c
+    a -= np.diag(a.sum(1))
+    lap = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "i long, j long, val double")
+    monkeypatch.setattr(spectral, "lowest", None)  # the joins are not needed
+    low = spectral.spectrum(lap, m, dense_limit=300)
+    v = np.array([r.v for r in low.vectors.orderBy("vertex").collect()])
+    assert np.allclose(low.values, np.linalg.eigvalsh(a)[:m], atol=1e-5)
+    assert np.allclose(v.T @ v, np.eye(m), atol=1e-8) and np.linalg.norm(a @ v - v * low.values, axis=0).max() < 1e-5
+
+
 def test_zero_modes_are_counted_by_components(spark):
     edges = [(0, 1), (1, 2), (3, 4)]
     a = np.zeros((5, 5))
