@@ -2,6 +2,7 @@
 
 import math
 import random
+import warnings
 
 import duckdb
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from lumenfield import catalog
 from lumenfield.functions import columns as fx
 from lumenfield.functions import orders
-from lumenfield.operators import draws as arrays, extrema, graph, logit, meanshift, measures, metrics, resample, spectral, splines, walks
+from lumenfield.operators import draws as arrays, extrema, graph, logit, meanshift, measures, members, metrics, resample, spectral, splines, walks
 from lumenfield.plans import fit as plans
 from lumenfield.plans import pipelines
 from lumenfield.sources import tables
@@ -671,6 +672,35 @@ def test_full_coboundary_solves_its_equation(spark, model):
     assert np.allclose((m1 + 1e-10 * np.eye(len(edges))) @ delta, right, atol=1e-6 * max(1, np.abs(right).max()))
 
 
+def test_full_coboundary_by_members_is_exact_beyond_dense_sizes(spark, model, monkeypatch):
+    fit, _, y, *_ = model
+    common = members.edge_members(fit.edge_rho, fit.vertex_rho, fit.sets)
+    mass = measures.edge_mass(fit.edges, graph.triangles(fit.edges, fit.sets), fit.edge_rho, fit.vertex_rho, fit.sets)
+    x = fit.edges.select("i", "j", (F.col("i") * 7 % 11 - F.col("j") % 5 / 3.0).alias("x"))
+    rows = mass.join(x.select(F.col("i").alias("i2"), F.col("j").alias("j2"), "x"), ["i2", "j2"]).groupBy("i", "j").agg(F.sum(F.col("val") * F.col("x")).alias("x"))
+    want = {(r.i, r.j): r.x for r in rows.collect()}
+    diagonal = fit.edge_rho.select("i", "j", F.greatest("rho", F.lit(1e-15)).alias("d"))
+    assert {(r.i, r.j): r.x for r in members.times(diagonal, common, x).collect()} == pytest.approx(want, abs=1e-9)
+    assert members.edge_members(fit.edge_rho.limit(9), fit.vertex_rho, fit.sets) is None
+    full = {(r.i, r.j): (r.right, r.delta) for r in extrema.coboundary_full(y, fit.vertex_rho, mass).collect()}
+    for limit in (spectral.ELIMINATED, 90):
+        monkeypatch.setattr(spectral, "ELIMINATED", limit)
+        got = {(r.i, r.j): (r.right, r.delta) for r in extrema.coboundary_by_members(y, fit.vertex_rho, fit.edge_rho, common).collect()}
+        assert got.keys() == full.keys()
+        assert all(got[e] == pytest.approx(full[e], rel=1e-6, abs=1e-6) for e in full)
+    monkeypatch.setattr(spectral, "ENTRIES", 0)
+    with pytest.warns(UserWarning, match="residual"):
+        rough = extrema.coboundary_by_members(y, fit.vertex_rho, fit.edge_rho, common, rounds=2)
+    assert {(r.i, r.j): r.right for r in rough.collect()} == pytest.approx({e: r for e, (r, _) in full.items()}, abs=1e-9)
+
+
+def test_full_coboundary_query_solves_beyond_dense_sizes(spark, duck, monkeypatch):
+    monkeypatch.setattr(spectral, "ELIMINATED", 700)
+    with warnings.catch_warnings():
+        warnings.filterwarnings("error", message="the coboundary")
+        test_query_equals_its_sql(spark, duck, "coboundary_product")
+
+
 def test_coherence_path_and_report(spark, model, monkeypatch):
     fit, points, y, *_ = model
     plain = plans.report(fit).first()
