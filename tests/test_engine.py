@@ -536,6 +536,14 @@ def test_lowest_pairs_of_tame_and_badly_scaled_operators(spark, spread):
         spectral.lowest(lap, m, rounds=3)
 
 
+def test_factors_of_the_preconditioner_leave_a_chebyshev_residual():
+    middle, half = spectral._span(1.7)
+    t = np.linspace(0, 1.7, 50)
+    left = 1 - t * np.polynomial.polynomial.polyval(t, spectral._factors(1.7))
+    cheb = np.polynomial.chebyshev.Chebyshev.basis(spectral.PRODUCTS)
+    assert np.allclose(left, cheb((middle - t) / half) / cheb(middle / half), atol=1e-12)
+
+
 @pytest.mark.parametrize("spread", [0.0, 8.0])
 def test_solves_by_products_equal_dense_algebra(spark, monkeypatch, spread):
     rng = np.random.default_rng(5)
