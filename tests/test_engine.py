@@ -774,6 +774,16 @@ def test_kernels_of_a_value_of_zero(spark, tmp_path):
     assert got[1].epanechnikov == got[1].cosine == 1.0 and got[3].epanechnikov == 0.0
 
 
+def test_kernels_of_negative_and_tiny_values_equal_their_sql(spark, tmp_path):
+    values = [-100.0, -40.0, -30.0, -0.5, 4.0724657047685666e-11, 6.383139324603916e-12, 1e-300, 5e-324, 40.96, 204.8, math.nan, None]
+    spark.createDataFrame(list(enumerate([7] * len(values))), "event_id long, user_id long").join(spark.createDataFrame(list(enumerate(values)), "event_id long, value double"), "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = {r[0]: r for r in own.execute(catalog.ORACLES["kernel_eval"]).fetchall()}
+    for r in catalog.kernel_eval(spark, str(tmp_path)).collect():
+        assert repr(tuple(r)) == repr(want[r.event_id])
+
+
 def test_triangles_carry_the_mass_of_their_members(spark):
     rng = np.random.default_rng(4)
     pairs = sorted({tuple(sorted(map(int, p))) for p in rng.integers(0, 14, (60, 2)) if p[0] != p[1]})
