@@ -702,6 +702,36 @@ def test_full_coboundary_by_members_is_exact_beyond_dense_sizes(spark, model, mo
     assert {(r.i, r.j): r.right for r in rough.collect()} == pytest.approx({e: r for e, (r, _) in full.items()}, abs=1e-9)
 
 
+def test_masses_are_solved_exactly_whatever_is_left_of_them(monkeypatch):
+    rng = np.random.default_rng(8)
+    sets = {m: np.unique(np.r_[m, rng.integers(0, 60, rng.integers(3, 9))]) for m in range(60)}
+    pairs = sorted({(a, b, m) for m, s in sets.items() for a in s for b in s if a < b})
+    edges = sorted({p[:2] for p in pairs})
+    at = {e: k for k, e in enumerate(edges)}
+    i, j, m = np.array(pairs).T
+    edge = np.array([at[p[:2]] for p in pairs])
+    d = 0.8 * np.bincount(edge)
+    right = rng.integers(-9, 10, len(edges)).astype(float)
+    full = np.diag(d).astype(float)
+    for s in sets.values():
+        own = [e for e in edges if e[0] in s and e[1] in s]
+        for a in own:
+            for b in own:
+                full[at[a], at[b]] += a != b and len({*a, *b}) == 3
+    kernel = members.Members.of(d, edge, i, j, m, np.ones(len(pairs)))
+    want = np.linalg.solve(full, right)
+    # a rest in memory, a rest on disk by panels, steps without a rest
+    for held, front, rest in ((spectral.ELIMINATED, 1024, 1 << 15), (20, 20, 1 << 15), (20, 20, 5)):
+        monkeypatch.setattr(spectral, "ELIMINATED", held)
+        for name, value in (("FRONT", front), ("REST", rest), ("PANEL", 16)):
+            monkeypatch.setattr(members, name, value)
+        x, residual = kernel.solve(right)
+        assert residual < 1e-8 and np.allclose(x, want, rtol=1e-4, atol=1e-4)
+    monkeypatch.setattr(members.Members, "least", lambda self, right, tolerance: 0 * right)
+    with pytest.raises(RuntimeError, match="residual"):
+        kernel.solve(right)
+
+
 def test_full_coboundary_query_solves_beyond_dense_sizes(spark, duck, monkeypatch):
     monkeypatch.setattr(spectral, "ELIMINATED", 700)
     with warnings.catch_warnings():
