@@ -702,6 +702,11 @@ def test_full_coboundary_by_members_is_exact_beyond_dense_sizes(spark, model, mo
     assert {(r.i, r.j): r.right for r in rough.collect()} == pytest.approx({e: r for e, (r, _) in full.items()}, abs=1e-9)
 
 
+def test_gamma_is_chosen_from_the_whole_grid(spark, model, monkeypatch):
+    monkeypatch.setattr(plans, "gamma_scores", lambda fit, grid: [(g, 1.0) for g in grid])
+    assert [r.gamma for r in pipelines.gamma_select(model[0]).orderBy("gamma").collect()] == list(plans.GAMMAS) and len(plans.GAMMAS) == 26
+
+
 def test_masses_are_solved_exactly_whatever_is_left_of_them(monkeypatch):
     rng = np.random.default_rng(8)
     sets = {m: np.unique(np.r_[m, rng.integers(0, 60, rng.integers(3, 9))]) for m in range(60)}
